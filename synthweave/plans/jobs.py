@@ -140,3 +140,29 @@ def job_reanswer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (answers.join(corpus.select(F.col("row_id").alias("round_id"), "instruction"), "round_id")
             .where(F.col("generation").isNotNull() & (F.col("generation") != ""))
             .select(F.col("round_id").alias("row_id"), "instruction", F.col("generation").alias("output")))
+
+
+def job_fed_round(updates: DataFrame, sizes: DataFrame, participants: DataFrame, glob: DataFrame) -> DataFrame:
+    """One aggregation round (round 0 participants, FedAvg) and the change it makes."""
+    from synthweave.operators.federated import fed_avg
+    new = fed_avg(updates, sizes, participants.where(F.col("round") == 0))
+    return (new.join(glob.withColumnRenamed("value", "g"), ["key", "pos"])
+            .select("key", "pos", "value", (F.col("value") - F.col("g")).alias("change")))
+
+
+def loss_matrix(updates: DataFrame, glob: DataFrame, clients: DataFrame, participants: DataFrame,
+                n_rounds: int) -> DataFrame:
+    """The ``[client][round]`` loss table, -1 where a client did not train.
+
+    Each participant's loss is the mean absolute distance of its update from
+    the global model, decayed by round.  Every client row expands into its
+    rounds (a generator) and left-joins the trained losses.
+    """
+    trained = (participants.join(updates.drop("round"), "client_id").join(glob.withColumnRenamed("value", "g"), ["key", "pos"])
+               .groupBy("round", "client_id")
+               .agg((F.avg(F.abs(F.col("value") - F.col("g"))) / (F.col("round") + 1)).alias("loss")))
+    grid = (clients.select("client_id")
+            .withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(n_rounds - 1)))))
+    return (grid.join(trained, ["round", "client_id"], "left")
+            .select(F.col("round").cast("int").alias("round"), "client_id",
+                    F.coalesce(F.col("loss"), F.lit(-1.0)).alias("loss")))
