@@ -166,3 +166,12 @@ def loss_matrix(updates: DataFrame, glob: DataFrame, clients: DataFrame, partici
     return (grid.join(trained, ["round", "client_id"], "left")
             .select(F.col("round").cast("int").alias("round"), "client_id",
                     F.coalesce(F.col("loss"), F.lit(-1.0)).alias("loss")))
+
+
+def over_budget(runs: DataFrame, run_key: list[str], every: int, total: int, max_eps: float) -> DataFrame:
+    """The ledger at every ``every`` steps; rows where epsilon exceeds the budget."""
+    from synthweave.operators.privacy import rdp_ledger
+    ck = (runs.withColumn("steps", F.explode(F.sequence(F.lit(every), F.lit(total), F.lit(every))))
+          .withColumn("steps", F.col("steps").cast("bigint")))
+    led = rdp_ledger(ck, run_key + ["steps"])
+    return led.where(F.col("epsilon") > max_eps).select(*run_key, "steps", "epsilon")
