@@ -43,4 +43,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from synthweave.plans import queries_bleu, queries_core, queries_fed, queries_privacy  # noqa: F401
+    from synthweave.plans import queries_bleu, queries_chat, queries_core, queries_fed, queries_privacy  # noqa: F401
