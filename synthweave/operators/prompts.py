@@ -107,7 +107,7 @@ def prompt_repeat(exemplars: DataFrame, n: int, round_col: str = "round_id") ->
 def train_text_expr(style: str, eos: str, instruction="instruction", response="response") -> Column:
     """SFT training text for ``alpaca`` or ``vicuna``."""
     tpl = {"alpaca": T.ALPACA_TRAIN, "vicuna": T.VICUNA_TRAIN}[style]
-    a, b, _ = tpl.split("{}")
+    a, b = tpl.split("{}")[:2]
     return F.concat(F.lit(a), col_(instruction), F.lit(b), col_(response), F.lit(eos))
 
 
@@ -124,12 +124,16 @@ def ifd_text_exprs(style: str, instruction="instruction", inp="input", response=
     has_input = F.coalesce(col_(inp), F.lit("")) != "" if inp is not None else F.lit(False)
     answer = F.concat(F.lit(T.IFD_RESPONSE), resp)
     if style == "wiz":
-        whole = F.when(has_input, F.concat(ins, F.lit(T.IFD_WIZ_INPUT), col_(inp), F.lit(T.IFD_WIZ_RESPONSE), resp)) \
-            .otherwise(F.concat(ins, F.lit(T.IFD_WIZ_RESPONSE), resp))
-        return ins, whole, answer
+        plain = F.concat(ins, F.lit(T.IFD_WIZ_RESPONSE), resp)
+        if inp is None:
+            return ins, plain, answer
+        with_input = F.concat(ins, F.lit(T.IFD_WIZ_INPUT), col_(inp), F.lit(T.IFD_WIZ_RESPONSE), resp)
+        return ins, F.when(has_input, with_input).otherwise(plain), answer
     if style == "alpaca":
-        p_in = _fill(T.IFD_PROMPT_INPUT, instruction=ins, input=inp)
         p_no = _fill(T.IFD_PROMPT_NO_INPUT, instruction=ins)
+        if inp is None:
+            return p_no, F.concat(p_no, resp), answer
+        p_in = _fill(T.IFD_PROMPT_INPUT, instruction=ins, input=inp)
         prompt = F.when(has_input, p_in).otherwise(p_no)
         return prompt, F.concat(prompt, resp), answer
     raise ValueError(style)
@@ -137,5 +141,5 @@ def ifd_text_exprs(style: str, instruction="instruction", inp="input", response=
 
 def embed_text_expr(instruction="instruction", response="response") -> Column:
     """R11."""
-    a, b, _ = T.EMBED_TEXT.split("{}")
+    a, b = T.EMBED_TEXT.split("{}")[:2]
     return F.concat(F.lit(a), col_(instruction), F.lit(b), col_(response))
