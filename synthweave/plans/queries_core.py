@@ -483,3 +483,43 @@ def generation_coverage(spark, sf_dir):
     outs = (J.job_icl(spark, sf_dir).where(F.col("verdict") != "unparsed")
             .select(F.col("round_id").alias("row_id")))
     return FL.generation_coverage(prompts, outs)
+
+
+# ---------------------------------------------------------------- C4 / C3 / C5
+
+_STAGE1_SQL = _GEN_SQL + f""",
+  p1 AS (SELECT round_id, CASE WHEN strpos({_sql_split('generation', '###example:', 1)}, '##instruction:') > 0
+                               THEN {_sql_strip(_sql_split(_sql_split('generation', '###example:', 1), '##instruction:', 2))}
+                          END AS instruction FROM gen),
+  ok1 AS (SELECT * FROM p1 WHERE instruction IS NOT NULL AND instruction <> ''),
+  pairs1 AS (SELECT o.round_id, d.slot, o.instruction AS text_a, d.instruction AS text_b
+             FROM ok1 o JOIN draws0 d USING (round_id)),
+  {_sql_tfidf('pairs1', 'round_id, slot').strip()},
+  gate1 AS (SELECT round_id, max(coalesce(sim, 1.0)) AS max_sim FROM sims GROUP BY round_id),
+  kept AS (SELECT o.round_id, o.instruction FROM ok1 o JOIN gate1 g USING (round_id)
+           WHERE NOT (g.max_sim > 0.52) AND length(o.instruction) > 1)"""
+
+
+@query("stage1_filter", with_views("v_corpus", extra=_sql_draw(0).strip() + "," + _STAGE1_SQL) + """
+SELECT round_id, instruction FROM kept""")
+def stage1_filter(spark, sf_dir):
+    return J.stage1_filter(spark, sf_dir)
+
+
+@query("job_self_instruct", with_views("v_corpus", extra=_sql_draw(0).strip() + "," + _STAGE1_SQL + f""",
+  gen2 AS (SELECT r.round_id, k.response AS generation FROM kept r
+           JOIN ranked k ON k.pos = {md5_pos(['r.round_id', "'gen'"], 12, '(SELECT count(*) FROM v_corpus)')}),
+  out2 AS (SELECT round_id, {_sql_strip(_sql_split(_sql_split('generation', '###example:', 1), '##', 1))} AS output FROM gen2)""") + """
+SELECT k.round_id, k.instruction, o.output FROM kept k JOIN out2 o USING (round_id)
+WHERE o.output IS NOT NULL AND o.output <> ''""")
+def job_self_instruct(spark, sf_dir):
+    return J.job_self_instruct(spark, sf_dir, icl=True)
+
+
+@query("reanswer", with_views("v_corpus", "v_pairs", extra=f"""
+  rp AS (SELECT row_number() OVER (ORDER BY row_id) - 1 AS pos, response FROM v_pairs),
+  ans AS (SELECT c.row_id, c.instruction, r.response AS output FROM v_corpus c
+          JOIN rp r ON r.pos = {md5_pos(['c.row_id', "'gen'"], 13, '(SELECT count(*) FROM v_pairs)')})""") + """
+SELECT row_id, instruction, output FROM ans WHERE output IS NOT NULL AND output <> ''""")
+def reanswer(spark, sf_dir):
+    return J.job_reanswer(spark, sf_dir)

@@ -43,5 +43,5 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from synthweave.plans import (queries_bleu, queries_chat, queries_core, queries_fed, queries_lm,  # noqa: F401
-                                  queries_privacy)
+    from synthweave.plans import (queries_bleu, queries_chat, queries_core, queries_distance,  # noqa: F401
+                                  queries_fed, queries_lm, queries_privacy)
