@@ -523,3 +523,24 @@ def job_self_instruct(spark, sf_dir):
 SELECT row_id, instruction, output FROM ans WHERE output IS NOT NULL AND output <> ''""")
 def reanswer(spark, sf_dir):
     return J.job_reanswer(spark, sf_dir)
+
+
+def _tail64(s):
+    """A stand-in user model: answers with the last 64 characters of the prompt."""
+    return s.str[-64:]
+
+
+@query("generate_batch", with_views("v_corpus", extra=_sql_draw(0).strip() + "," + _sql_prompt_icl("draws0")) + """
+SELECT round_id, md5(right(prompt, 64)) AS gen_md5 FROM pr""")
+def generate_batch(spark, sf_dir):
+    gen = G.generate(J.icl_prompts(spark, sf_dir), _tail64, key="round_id")
+    return gen.select("round_id", F.md5("generation").alias("gen_md5"))
+
+
+@query("generate_ngram")
+def generate_ngram(spark, sf_dir):
+    from synthweave.operators.lm import BigramLM
+    from synthweave.session import checkpoint_dir
+    checkpoint_dir(spark)
+    lm = BigramLM(load(spark, sf_dir, "documents"), "text")
+    return G.generate_ngram(J.icl_prompts(spark, sf_dir), lm, steps=8, seed=3)

@@ -44,4 +44,4 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from synthweave.plans import (queries_bleu, queries_chat, queries_core, queries_distance,  # noqa: F401
-                                  queries_fed, queries_io, queries_lm, queries_privacy)
+                                  queries_fed, queries_io, queries_lm, queries_privacy, queries_stream)
