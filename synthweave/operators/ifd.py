@@ -51,10 +51,18 @@ def ifd_rows(df: DataFrame, lm: L.BigramLM, style: str = "wiz", max_length: int
 
     m1 = span_mean("_alone", F.col("_b1"), "1")
     m2 = span_mean("_whole", F.lit(max_length), "2")
-    out = (m1.join(m2, key).withColumn("ifd", F.col("mean2") / F.col("mean1"))
-           .where(F.col("ifd") <= 1)
-           .select(key, F.col("mean1").alias("mean_alone"), F.col("mean2").alias("mean_cond"), "ifd"))
-    return out
+    return ratio_gate(m1, m2, key)
+
+
+def ratio_gate(m1: DataFrame, m2: DataFrame, key: str = "row_id") -> DataFrame:
+    """A10 + the last F8 gate: ``ifd = mean_cond / mean_alone``, kept when <= 1.
+
+    ``m1``: ``(key, mean1)`` over the answer alone; ``m2``: ``(key, mean2)``
+    over the answer after the instruction.
+    """
+    return (m1.join(m2, key).withColumn("ifd", F.col("mean2") / F.col("mean1"))
+            .where(F.col("ifd") <= 1)
+            .select(key, F.col("mean1").alias("mean_alone"), F.col("mean2").alias("mean_cond"), "ifd"))
 
 
 def ifd_mean(rows: DataFrame) -> DataFrame:
