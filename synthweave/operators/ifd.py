@@ -19,9 +19,13 @@ from synthweave.operators.ranking import global_row_number
 
 
 def _span(df: DataFrame, text: str, answer: str, budget, tag: str) -> DataFrame:
-    """Token span of the answer's last occurrence: ``start{tag}``, ``end{tag}`` (truncated)."""
+    """Token span of the answer's last occurrence: ``start{tag}``, ``end{tag}`` (truncated).
+
+    The text is tokenised once (``_tok{tag}``); the scorer reuses that array.
+    """
     start = F.size(L.tokens(F.expr(f"substring(`{text}`, 1, greatest({L.last_index_sql(text, answer)}, 0))")))
-    end = F.least(F.size(L.tokens(text)), budget)
+    df = df.withColumn(f"_tok{tag}", L.tokens(text))
+    end = F.least(F.size(f"_tok{tag}"), budget)
     return df.withColumn(f"start{tag}", start).withColumn(f"end{tag}", end)
 
 
@@ -42,16 +46,18 @@ def ifd_rows(df: DataFrame, lm: L.BigramLM, style: str = "wiz", max_length: int
                        & (F.col("end1") - F.col("start1") > 0) & (F.col("end2") - F.col("start2") > 0)
                        & (F.col("_ilen") + F.col("end1") - F.col("start1") <= max_length))
 
-    def span_mean(text, budget, tag):
-        losses = L.token_losses(gated.select(key, F.col(text).alias("text"), budget.alias("_bud")),
-                                lm, key, "text", F.col("_bud"))
-        return (losses.join(gated.select(key, f"start{tag}", f"end{tag}"), key)
-                .where((F.col("pos") >= F.col(f"start{tag}")) & (F.col("pos") < F.col(f"end{tag}")))
-                .groupBy(key).agg(F.avg("loss").alias(f"mean{tag}")))
-
-    m1 = span_mean("_alone", F.col("_b1"), "1")
-    m2 = span_mean("_whole", F.lit(max_length), "2")
-    return ratio_gate(m1, m2, key)
+    # both texts of a row are scored in one pass, tagged 1 (alone) / 2 (after the instruction)
+    spans = (gated.select(key, F.lit(1).alias("_tag"), F.col("_tok1").alias("_toks"), F.col("_b1").alias("_bud"),
+                          F.col("start1").alias("_s"), F.col("end1").alias("_e"))
+             .unionByName(gated.select(key, F.lit(2).alias("_tag"), F.col("_tok2").alias("_toks"),
+                                       F.lit(max_length).alias("_bud"), F.col("start2").alias("_s"),
+                                       F.col("end2").alias("_e"))))
+    losses = L.token_losses(spans, lm, [key, "_tag"], max_length=F.col("_bud"), span=("_s", "_e"),
+                            tokens_col="_toks")
+    means = losses.groupBy(key).agg(F.avg(F.when(F.col("_tag") == 1, F.col("loss"))).alias("mean1"),
+                                    F.avg(F.when(F.col("_tag") == 2, F.col("loss"))).alias("mean2"))
+    return ratio_gate(means.select(key, "mean1").where(F.col("mean1").isNotNull()),
+                      means.select(key, "mean2").where(F.col("mean2").isNotNull()), key)
 
 
 def ratio_gate(m1: DataFrame, m2: DataFrame, key: str = "row_id") -> DataFrame:

@@ -50,8 +50,9 @@ class BigramLM:
                          .agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def token_losses(df: DataFrame, lm: BigramLM, key: str = "row_id", text: str = "text",
-                 max_length=None) -> DataFrame:
+def token_losses(df: DataFrame, lm: BigramLM, key="row_id", text: str = "text",
+                 max_length=None, span: tuple[str, str] | None = None,
+                 tokens_col: str | None = None) -> DataFrame:
     """L2: per-token losses ``(key, pos, loss)`` for positions 1..n-1 (n = truncated length).
 
     ``p = lambda * p_bigram(w | h) + (1 - lambda) * p_cache(w)`` where the
@@ -60,21 +61,30 @@ def token_losses(df: DataFrame, lm: BigramLM, key: str = "row_id", text: str = "
     answer tokens it shares words with.  The cache count is a window over
     ``(row, token)``, a group bounded by the truncated text length.
     """
-    t = tokens(text)
+    t = F.col(tokens_col) if tokens_col else tokens(text)
     if max_length is not None:
         t = F.slice(t, 1, max_length)
-    pos = (df.select(key, t.alias("_t"))
-           .select(key, "_t", F.explode(F.expr("sequence(1, greatest(size(_t) - 1, 1))")).alias("pos"))
-           .where(F.col("pos") < F.size("_t"))
-           .select(key, "pos", F.expr("_t[pos - 1]").alias("h"), F.expr("_t[pos]").alias("w"),
-                   F.expr("CASE WHEN _t[0] = _t[pos] THEN 1 ELSE 0 END").alias("_f0")))
-    seen = F.row_number().over(Window.partitionBy(key, "w").orderBy("pos")) - 1 + F.col("_f0")
+    # (pos, h, w) triples are built inside one array expression, so the token
+    # array is not copied into every position row
+    triples = F.expr("transform(filter(sequence(1, greatest(size(_t) - 1, 1)), i -> i < size(_t)), "
+                     "i -> named_struct('pos', i, 'h', _t[i - 1], 'w', _t[i], "
+                     "'f0', CASE WHEN _t[0] = _t[i] THEN 1 ELSE 0 END))")
+    keys = [key] if isinstance(key, str) else list(key)
+    extra = list(span) if span else []
+    pos = (df.select(*keys, *extra, t.alias("_t"))
+           .select(*keys, *extra, F.explode(triples).alias("_x"))
+           .select(*keys, *extra, F.col("_x.pos").alias("pos"), F.col("_x.h").alias("h"),
+                   F.col("_x.w").alias("w"), F.col("_x.f0").alias("_f0")))
+    seen = F.row_number().over(Window.partitionBy(*keys, "w").orderBy("pos")) - 1 + F.col("_f0")
+    pos = pos.withColumn("_seen", seen)
+    if span:
+        # only the span's positions are scored; the cache count above saw them all
+        pos = pos.where((F.col("pos") >= F.col(span[0])) & (F.col("pos") < F.col(span[1])))
     v = lm.vocab_size.cast("double")
     p_bi = (F.coalesce("c", F.lit(0)) + 1.0) / (F.coalesce("ch", F.lit(0)) + v)
     p_cache = (F.col("_seen") + 1.0) / (F.col("pos") + v)
-    return (pos.withColumn("_seen", seen)
-            .join(lm.bigrams, ["h", "w"], "left").join(lm.history, "h", "left")
-            .select(key, "pos", (-F.log(CACHE_WEIGHT * p_cache + (1 - CACHE_WEIGHT) * p_bi)).alias("loss")))
+    return (pos.join(lm.bigrams, ["h", "w"], "left").join(lm.history, "h", "left")
+            .select(*keys, "pos", (-F.log(CACHE_WEIGHT * p_cache + (1 - CACHE_WEIGHT) * p_bi)).alias("loss")))
 
 
 def perplexity(losses: DataFrame, key: str = "row_id") -> DataFrame:

@@ -14,11 +14,27 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+# Tables whose rows carry long texts: their per-row work (regex tokenising,
+# n-grams) is CPU-bound, so every task slot should get a share.
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one table; Catalyst prunes columns and pushes filters into the scan."""
+    """Read one table; Catalyst prunes columns and pushes filters into the scan.
+
+    A text table whose scan has fewer splits than the cluster has task slots
+    (parquet splits only at row-group boundaries, so a small file may come as
+    a handful of splits) is spread round-robin over all slots.  At scale the
+    scan already has more splits than slots and nothing is added.
+    """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(table_path(sf_dir, name))
+    df = spark.read.parquet(table_path(sf_dir, name))
+    if name in TEXT_TABLES:
+        slots = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < slots:
+            df = df.repartition(slots)
+    return df
 
 
 def register_all(spark: SparkSession, sf_dir: str) -> None:
