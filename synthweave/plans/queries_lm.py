@@ -10,7 +10,7 @@ from synthweave.operators import ifd as I
 from synthweave.operators import lm as L
 from synthweave.operators import prompts as R
 from synthweave.plans.oracle_views import with_views
-from synthweave.plans.registry import query
+from synthweave.plans.registry import ORACLES, query
 from synthweave.sources import fixtures as V
 from synthweave.sources.tables import load
 
@@ -250,3 +250,7 @@ SELECT row_id, round(ifd, 9) AS ifd FROM ifd""")
 def job_ifd(spark, sf_dir):
     df = V.v_alpaca(spark, sf_dir).withColumnRenamed("output", "response").select("row_id", "instruction", "input", "response")
     return I.ifd_rows(df, _lm(spark, sf_dir), "alpaca", 1024).select("row_id", "ifd")
+
+
+# R10 under its planned name: the generator's ``wiz`` form, used for both stages
+query("ifd_text", ORACLES["ifd_text_wiz"])(lambda spark, sf_dir: ifd_text_wiz(spark, sf_dir))
