@@ -52,7 +52,7 @@ def dense_positions(df: DataFrame, order: str = "row_id", out: str = "pos") -> D
 
 
 def fewshot_draw(corpus: DataFrame, rounds: DataFrame, k: int = 3, slots: int = 12,
-                 seed: int = 0, round_col: str = "round_id") -> DataFrame:
+                 seed: int = 0, round_col: str = "round_id", indexed: DataFrame | None = None) -> DataFrame:
     """M4 + J1: ``k`` distinct exemplars per round, looked up by position.
 
     Slot ``s`` of round ``r`` points at position ``md5(r:s:seed) mod N``;
@@ -60,7 +60,8 @@ def fewshot_draw(corpus: DataFrame, rounds: DataFrame, k: int = 3, slots: int =
     distinct candidates fails the job (also when N < k), as the reference does.
     Output: ``(round_id, slot, row_id, instruction, response)``, slot in 0..k-1.
     """
-    indexed = dense_positions(corpus, "row_id", "pos")
+    if indexed is None:  # callers that draw repeatedly pass a persisted index
+        indexed = dense_positions(corpus, "row_id", "pos")
     n_rows = corpus.select(F.count(F.lit(1))).scalar()  # scalar subquery
     cand = (rounds.select(round_col)
             .withColumn("_sw_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))

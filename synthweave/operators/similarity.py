@@ -28,10 +28,11 @@ IDF_ONE_SIDE = 1.0 + math.log(1.5)
 def tfidf_pair(pairs: DataFrame, key: list[str], left: str = "text_a", right: str = "text_b",
                out: str = "sim") -> DataFrame:
     """Cosine of the two texts of each pair; one output row per input key."""
-    sides = (pairs.select(*key, F.explode(word_tokens(left)).alias("_tok"), F.lit(1).alias("_a"), F.lit(0).alias("_b"))
-             .unionByName(pairs.select(*key, F.explode(word_tokens(right)).alias("_tok"),
-                                       F.lit(0).alias("_a"), F.lit(1).alias("_b"))))
-    per_token = sides.groupBy(*key, "_tok").agg(F.sum("_a").alias("ca"), F.sum("_b").alias("cb"))
+    # one pass over the pairs: both sides' tokens, tagged, in a single explode
+    tagged = F.concat(F.transform(word_tokens(left), lambda t: F.struct(t.alias("tok"), F.lit(1).alias("a"), F.lit(0).alias("b"))),
+                      F.transform(word_tokens(right), lambda t: F.struct(t.alias("tok"), F.lit(0).alias("a"), F.lit(1).alias("b"))))
+    sides = pairs.select(*key, F.explode(tagged).alias("_x"))
+    per_token = sides.groupBy(*key, F.col("_x.tok").alias("_tok")).agg(F.sum("_x.a").alias("ca"), F.sum("_x.b").alias("cb"))
     both = (F.col("ca") > 0) & (F.col("cb") > 0)
     idf2 = F.when(both, F.lit(1.0)).otherwise(F.lit(IDF_ONE_SIDE * IDF_ONE_SIDE))
     agg = (per_token.groupBy(*key).agg(

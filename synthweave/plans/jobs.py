@@ -51,26 +51,55 @@ def _rounds(corpus: DataFrame) -> DataFrame:
     return corpus.select(F.col("row_id").alias("round_id"))
 
 
+class _Corpus:
+    """The private corpus with its dense position index, built once per job.
+
+    Both the few-shot sampler and the replay generator look rows up by
+    position.  They share this one index DataFrame, so within a job's plan
+    the range exchange that ranks the corpus is planned once and reused
+    (not cached: pinning a copy of the corpus text would not scale).
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.df = V.v_corpus(spark, sf_dir)
+        self.indexed = M.dense_positions(self.df, "row_id", "pos")
+
+    def draws(self, rounds: DataFrame, seed: int = 0) -> DataFrame:
+        return M.fewshot_draw(self.df, rounds, seed=seed, indexed=self.indexed)
+
+    def replay(self, prompts: DataFrame, text, seed: int) -> DataFrame:
+        return G.generate_replay(prompts, self.df, text, seed=seed, indexed=self.indexed)
+
+
 def icl_draws(spark: SparkSession, sf_dir: str, seed: int = 0) -> DataFrame:
-    corpus = V.v_corpus(spark, sf_dir)
-    return M.fewshot_draw(corpus, _rounds(corpus), seed=seed)
+    c = _Corpus(spark, sf_dir)
+    return c.draws(_rounds(c.df), seed)
 
 
 def icl_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.prompt_icl(icl_draws(spark, sf_dir))
 
 
+def _icl_parts(spark: SparkSession, sf_dir: str):
+    c = _Corpus(spark, sf_dir)
+    draws = c.draws(_rounds(c.df))
+    gen = c.replay(R.prompt_icl(draws), G.wrap_generation(), GEN_SEED)
+    return c, draws, gen
+
+
 def icl_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R1 prompts answered by the replay backend (L1)."""
-    corpus = V.v_corpus(spark, sf_dir)
-    prompts = R.prompt_icl(icl_draws(spark, sf_dir))
-    return G.generate_replay(prompts, corpus, G.wrap_generation(), seed=GEN_SEED)
+    return _icl_parts(spark, sf_dir)[2]
+
+
+def _parsed_ok():
+    return (F.col("instruction").isNotNull() & (F.col("instruction") != "")
+            & F.col("output").isNotNull() & (F.col("output") != ""))
 
 
 def _verdicts(parsed: DataFrame, draws: DataFrame) -> DataFrame:
     """F4 -> F5 -> F6: 'unparsed' (dropped), 'failed' or 'kept'."""
-    ok = (F.col("instruction").isNotNull() & (F.col("instruction") != "")
-          & F.col("output").isNotNull() & (F.col("output") != ""))
+    ok = _parsed_ok()
     gate = SIM.similarity_gate(parsed.where(ok).select("round_id", "instruction"),
                                draws.select("round_id", "slot", "instruction"))
     verdict = (F.when(~ok, "unparsed")
@@ -85,27 +114,21 @@ def job_icl(spark: SparkSession, sf_dir: str) -> DataFrame:
     One DataFrame carries every verdict; writers split it with
     ``partitionBy('verdict')`` in a single pass (S7).
     """
-    draws = icl_draws(spark, sf_dir)
-    gen = icl_generations(spark, sf_dir)
+    _, draws, gen = _icl_parts(spark, sf_dir)
     parsed = X.parse_pair(gen, "generation").select("round_id", "instruction", "output")
     return _verdicts(parsed, draws)
 
 
 def icl_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    draws = icl_draws(spark, sf_dir)
-    parsed = X.parse_pair(icl_generations(spark, sf_dir), "generation")
-    ok = (F.col("instruction").isNotNull() & (F.col("instruction") != "")
-          & F.col("output").isNotNull() & (F.col("output") != ""))
-    return SIM.similarity_gate(parsed.where(ok).select("round_id", "instruction"),
+    _, draws, gen = _icl_parts(spark, sf_dir)
+    parsed = X.parse_pair(gen, "generation")
+    return SIM.similarity_gate(parsed.where(_parsed_ok()).select("round_id", "instruction"),
                                draws.select("round_id", "slot", "instruction"))
 
 
-def stage1_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C4: instruction-only generation, kept when parsed, dissimilar and long enough."""
-    corpus = V.v_corpus(spark, sf_dir)
-    draws = icl_draws(spark, sf_dir)
-    prompts = R.prompt_self1(draws)
-    gen = G.generate_replay(prompts, corpus, G.wrap_generation(), seed=GEN_SEED)
+def _stage1(c: _Corpus) -> DataFrame:
+    draws = c.draws(_rounds(c.df))
+    gen = c.replay(R.prompt_self1(draws), G.wrap_generation(), GEN_SEED)
     parsed = X.parse_instruction(gen, "generation").select("round_id", "instruction")
     ok = F.col("instruction").isNotNull() & (F.col("instruction") != "")
     gate = SIM.similarity_gate(parsed.where(ok), draws.select("round_id", "slot", "instruction"))
@@ -114,13 +137,18 @@ def stage1_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("round_id", "instruction"))
 
 
+def stage1_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4: instruction-only generation, kept when parsed, dissimilar and long enough."""
+    return _stage1(_Corpus(spark, sf_dir))
+
+
 def job_self_instruct(spark: SparkSession, sf_dir: str, icl: bool = True) -> DataFrame:
     """Stage 1 (C4), a fresh draw per kept instruction, answer prompt, parse, keep non-empty."""
-    corpus = V.v_corpus(spark, sf_dir)
-    kept = stage1_filter(spark, sf_dir)
-    draws2 = M.fewshot_draw(corpus, kept.select("round_id"), seed=1) if icl else None
+    c = _Corpus(spark, sf_dir)
+    kept = _stage1(c)
+    draws2 = c.draws(kept.select("round_id"), seed=1) if icl else None
     prompts = R.prompt_self2(kept, draws2, icl=icl)
-    gen = G.generate_replay(prompts, corpus, F.col("response"), seed=GEN_SEED + 1)
+    gen = c.replay(prompts, F.col("response"), GEN_SEED + 1)
     out = X.parse_output(gen, "generation")
     return (out.join(kept, "round_id").where(F.col("output").isNotNull() & (F.col("output") != ""))
             .select("round_id", "instruction", "output"))
