@@ -66,7 +66,8 @@ def scan_mixed_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
     Each line may hold one object or an array of objects (every element is a
     row).  Malformed lines are kept as ``_corrupt_record`` instead of being
-    dropped silently, so a caller can count them.
+    dropped silently, so a caller can count them (Spark requires another
+    column to be read alongside ``_corrupt_record`` in such a query).
     """
     reader = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
     if schema is not None:
