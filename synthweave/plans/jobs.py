@@ -71,6 +71,19 @@ class _Corpus:
         return G.generate_replay(prompts, self.df, text, seed=seed, indexed=self.indexed)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the session's checkpoint folder and read it from there.
+
+    Used for generator output: it is the costly step, it is not
+    deterministic with a real model, and later steps read it more than once
+    (verdict split, second stage).  A reliable checkpoint also survives the
+    loss of the executors that produced it.
+    """
+    from synthweave.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def icl_draws(spark: SparkSession, sf_dir: str, seed: int = 0) -> DataFrame:
     c = _Corpus(spark, sf_dir)
     return c.draws(_rounds(c.df), seed)
@@ -83,7 +96,7 @@ def icl_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _icl_parts(spark: SparkSession, sf_dir: str):
     c = _Corpus(spark, sf_dir)
     draws = c.draws(_rounds(c.df))
-    gen = c.replay(R.prompt_icl(draws), G.wrap_generation(), GEN_SEED)
+    gen = materialize(c.replay(R.prompt_icl(draws), G.wrap_generation(), GEN_SEED))
     return c, draws, gen
 
 
@@ -128,7 +141,7 @@ def icl_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stage1(c: _Corpus) -> DataFrame:
     draws = c.draws(_rounds(c.df))
-    gen = c.replay(R.prompt_self1(draws), G.wrap_generation(), GEN_SEED)
+    gen = materialize(c.replay(R.prompt_self1(draws), G.wrap_generation(), GEN_SEED))
     parsed = X.parse_instruction(gen, "generation").select("round_id", "instruction")
     ok = F.col("instruction").isNotNull() & (F.col("instruction") != "")
     gate = SIM.similarity_gate(parsed.where(ok), draws.select("round_id", "slot", "instruction"))
@@ -145,10 +158,10 @@ def stage1_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_self_instruct(spark: SparkSession, sf_dir: str, icl: bool = True) -> DataFrame:
     """Stage 1 (C4), a fresh draw per kept instruction, answer prompt, parse, keep non-empty."""
     c = _Corpus(spark, sf_dir)
-    kept = _stage1(c)
+    kept = materialize(_stage1(c))          # stage 1's output feeds three places of stage 2
     draws2 = c.draws(kept.select("round_id"), seed=1) if icl else None
     prompts = R.prompt_self2(kept, draws2, icl=icl)
-    gen = c.replay(prompts, F.col("response"), GEN_SEED + 1)
+    gen = materialize(c.replay(prompts, F.col("response"), GEN_SEED + 1))
     out = X.parse_output(gen, "generation")
     return (out.join(kept, "round_id").where(F.col("output").isNotNull() & (F.col("output") != ""))
             .select("round_id", "instruction", "output"))
