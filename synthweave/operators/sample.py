@@ -56,27 +56,24 @@ def fewshot_draw(corpus: DataFrame, rounds: DataFrame, k: int = 3, slots: int =
     """M4 + J1: ``k`` distinct exemplars per round, looked up by position.
 
     Slot ``s`` of round ``r`` points at position ``md5(r:s:seed) mod N``;
-    the first ``k`` distinct positions win.  A round with fewer than ``k``
+    the first ``k`` distinct positions win.  ``indexed`` may carry the
+    corpus with its ``pos`` column when the caller already built it.  A round with fewer than ``k``
     distinct candidates fails the job (also when N < k), as the reference does.
     Output: ``(round_id, slot, row_id, instruction, response)``, slot in 0..k-1.
     """
-    if indexed is None:  # callers that draw repeatedly pass a persisted index
+    if indexed is None:
         indexed = dense_positions(corpus, "row_id", "pos")
     n_rows = corpus.select(F.count(F.lit(1))).scalar()  # scalar subquery
-    cand = (rounds.select(round_col)
-            .withColumn("_sw_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-            .withColumn("pos", hash_pos(round_col, "_sw_slot", seed=seed, n=n_rows)))
-    first_use = Window.partitionBy(round_col, "pos").orderBy("_sw_slot")
-    distinct = (cand.withColumn("_sw_first", F.row_number().over(first_use))
-                .where(F.col("_sw_first") == 1))
-    order_w = Window.partitionBy(round_col).orderBy("_sw_slot")
-    picked = (distinct.withColumn("slot", (F.row_number().over(order_w) - 1).cast("int"))
-              .withColumn("_sw_have", F.count(F.lit(1)).over(Window.partitionBy(round_col)))
-              .withColumn("slot", F.when(F.col("_sw_have") < k,
-                                         F.raise_error(F.lit("not enough distinct exemplars for a round")).cast("int"))
-                          .otherwise(F.col("slot")))
-              .where(F.col("slot") < k))
-    return (picked.join(indexed, "pos")
+    # a round's candidate positions form one array: first-occurrence dedupe
+    # and the first k are row-local (no window, no shuffle)
+    cands = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(slots - 1)),
+                                         lambda s: hash_pos(F.col(round_col), s, seed=seed, n=F.col("_sw_n"))))
+    picked = F.when(F.size(cands) < k, F.raise_error(F.lit("not enough distinct exemplars for a round"))
+                    .cast("array<bigint>")).otherwise(F.slice(cands, 1, k))
+    drawn = (rounds.select(round_col, n_rows.alias("_sw_n"))
+             .select(round_col, F.posexplode(picked).alias("slot", "pos"))
+             .withColumn("slot", F.col("slot").cast("int")))
+    return (drawn.join(indexed, "pos")
             .select(round_col, "slot", "row_id", "instruction", "response"))
 
 

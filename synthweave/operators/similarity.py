@@ -46,17 +46,54 @@ def tfidf_pair(pairs: DataFrame, key: list[str], left: str = "text_a", right: st
     return pairs.select(*key).join(scored, key, "left")
 
 
+def _bags(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, tok, c)`` token counts of each text, one explode per distinct text."""
+    return (df.select(key, F.explode(word_tokens(text)).alias("tok"))
+            .groupBy(key, "tok").agg(F.count(F.lit(1)).alias("c")))
+
+
+def pair_cosine(pairs: DataFrame, pair_key: list[str], left: DataFrame, lkey: str,
+                right: DataFrame, rkey: str, text: str = "text", out: str = "sim") -> DataFrame:
+    """A1 for many pairs over shared texts: ``pairs (pair_key..., lkey, rkey)``.
+
+    Each text is tokenised once however many pairs it is in.  Only tokens
+    present on both sides meet in a join; the norms come from per-text
+    totals, corrected for the shared tokens (whose idf is 1 instead of
+    ``1 + ln 1.5``):  ``|a|^2 = i^2 * sum c_a^2 - (i^2 - 1) * sum_shared c_a^2``.
+    """
+    a = _bags(left, lkey, text).withColumnRenamed("c", "ca")
+    b = _bags(right, rkey, text).withColumnRenamed("c", "cb")
+    sa = a.groupBy(lkey).agg(F.sum(F.col("ca") * F.col("ca")).alias("_sa"))
+    sb = b.groupBy(rkey).agg(F.sum(F.col("cb") * F.col("cb")).alias("_sb"))
+    shared = (pairs.select(*pair_key, lkey, rkey).join(a, lkey).join(b, [rkey, "tok"])
+              .groupBy(*pair_key).agg(F.sum(F.col("ca") * F.col("cb")).cast("double").alias("_dot"),
+                                      F.sum(F.col("ca") * F.col("ca")).alias("_qa"),
+                                      F.sum(F.col("cb") * F.col("cb")).alias("_qb")))
+    i2 = IDF_ONE_SIDE * IDF_ONE_SIDE
+    j = (pairs.select(*pair_key, lkey, rkey).join(sa, lkey, "left").join(sb, rkey, "left")
+         .join(shared, pair_key, "left").fillna(0, ["_sa", "_sb", "_dot", "_qa", "_qb"]))
+    na = F.col("_sa") * i2 - (i2 - 1) * F.col("_qa")
+    nb = F.col("_sb") * i2 - (i2 - 1) * F.col("_qb")
+    sim = (F.when((F.col("_sa") == 0) & (F.col("_sb") == 0), F.lit(None).cast("double"))
+           .when((F.col("_sa") == 0) | (F.col("_sb") == 0), F.lit(0.0))
+           .otherwise(F.col("_dot") / (F.sqrt(na) * F.sqrt(nb))))
+    return j.select(*pair_key, sim.alias(out))
+
+
 def similarity_gate(generations: DataFrame, exemplars: DataFrame, round_col: str = "round_id",
                     threshold: float = SIMILARITY_CUT) -> DataFrame:
     """per round, reject when the parsed instruction is too close to any exemplar.
 
     ``generations``: ``(round_id, instruction)``; ``exemplars``:
-    ``(round_id, slot, instruction)``.  An error (empty vocabulary) rejects.
+    ``(round_id, slot, row_id, instruction)`` -- an exemplar row drawn by
+    several rounds is tokenised once.  An error (empty vocabulary) rejects.
     Output: ``(round_id, max_sim, similar)``.
     """
-    pairs = (generations.select(round_col, F.col("instruction").alias("text_a"))
-             .join(exemplars.select(round_col, "slot", F.col("instruction").alias("text_b")), round_col))
-    sims = tfidf_pair(pairs, [round_col, "slot"])
+    gens = generations.select(F.col(round_col).alias("_g"), F.col("instruction").alias("text"))
+    rows = exemplars.select(F.col("row_id").alias("_e"), F.col("instruction").alias("text")).dropDuplicates(["_e"])
+    pairs = (generations.select(round_col).join(exemplars.select(round_col, "slot", "row_id"), round_col)
+             .select(round_col, "slot", F.col(round_col).alias("_g"), F.col("row_id").alias("_e")))
+    sims = pair_cosine(pairs, [round_col, "slot"], gens, "_g", rows, "_e")
     return (sims.groupBy(round_col)
             .agg(F.max(F.coalesce(F.col("sim"), F.lit(1.0))).alias("max_sim"))
             .withColumn("similar", F.col("max_sim") > threshold))

@@ -114,7 +114,7 @@ def _verdicts(parsed: DataFrame, draws: DataFrame) -> DataFrame:
     """F4 -> F5 -> F6: 'unparsed' (dropped), 'failed' or 'kept'."""
     ok = _parsed_ok()
     gate = SIM.similarity_gate(parsed.where(ok).select("round_id", "instruction"),
-                               draws.select("round_id", "slot", "instruction"))
+                               draws.select("round_id", "slot", "row_id", "instruction"))
     verdict = (F.when(~ok, "unparsed")
                .when((F.col("max_sim") > 0.52) | (F.length("instruction") <= 1) | (F.length("output") <= 1), "failed")
                .otherwise("kept"))
@@ -136,7 +136,7 @@ def icl_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, draws, gen = _icl_parts(spark, sf_dir)
     parsed = X.parse_pair(gen, "generation")
     return SIM.similarity_gate(parsed.where(_parsed_ok()).select("round_id", "instruction"),
-                               draws.select("round_id", "slot", "instruction"))
+                               draws.select("round_id", "slot", "row_id", "instruction"))
 
 
 def _stage1(c: _Corpus) -> DataFrame:
@@ -144,7 +144,7 @@ def _stage1(c: _Corpus) -> DataFrame:
     gen = materialize(c.replay(R.prompt_self1(draws), G.wrap_generation(), GEN_SEED))
     parsed = X.parse_instruction(gen, "generation").select("round_id", "instruction")
     ok = F.col("instruction").isNotNull() & (F.col("instruction") != "")
-    gate = SIM.similarity_gate(parsed.where(ok), draws.select("round_id", "slot", "instruction"))
+    gate = SIM.similarity_gate(parsed.where(ok), draws.select("round_id", "slot", "row_id", "instruction"))
     return (parsed.where(ok).join(gate, "round_id")
             .where(~F.col("similar") & (F.length("instruction") > 1))
             .select("round_id", "instruction"))

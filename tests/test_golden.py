@@ -131,3 +131,15 @@ def test_c10_rdp(spark):
     runs = spark.createDataFrame([(0, 0.01, 1.0)], "run int, q double, sigma double")
     r = D.rdp_terms(runs, orders=(8, 8)).first()["rdp"]
     assert r == pytest.approx(0.000893643907606, rel=1e-9)
+
+
+def test_c3_pair_cosine_agrees(spark):
+    texts = [(0, "a b", "c d"), (1, "foo bar", "!!"), (2, "same words here", "same words here"),
+             (3, "Étion dans çouelle, dans a x", "dans le çouelle éeau")]
+    left = spark.createDataFrame([(k, a) for k, a, _ in texts], "lk int, text string")
+    right = spark.createDataFrame([(k, b) for k, _, b in texts], "rk int, text string")
+    pairs = spark.createDataFrame([(k, k, k) for k, _, _ in texts], "k int, lk int, rk int")
+    got = {r["k"]: r["sim"] for r in SIM.pair_cosine(pairs, ["k"], left, "lk", right, "rk").collect()}
+    assert got[0] is None and got[1] == 0.0
+    assert got[2] == pytest.approx(1.0)
+    assert got[3] == pytest.approx(0.465646219, abs=1e-9)
