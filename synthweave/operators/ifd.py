@@ -42,18 +42,22 @@ def ifd_rows(df: DataFrame, lm: L.BigramLM, style: str = "wiz", max_length: int
     base = base.withColumn("_b1", F.lit(max_length) - F.col("_ilen") + 4)
     base = _span(base, "_alone", "response", F.col("_b1"), "1")
     base = _span(base, "_whole", "response", F.lit(max_length), "2")
-    gated = base.where((F.lit(max_length) - F.col("_ilen") > 0)
-                       & (F.col("end1") - F.col("start1") > 0) & (F.col("end2") - F.col("start2") > 0)
-                       & (F.col("_ilen") + F.col("end1") - F.col("start1") <= max_length))
+    # F8 as a column: rows that fail are dropped after the token window (see
+    # token_losses ``keep``), so the gate never becomes a scan-level filter
+    gated = base.withColumn("_keep", (F.lit(max_length) - F.col("_ilen") > 0)
+                            & (F.col("end1") - F.col("start1") > 0) & (F.col("end2") - F.col("start2") > 0)
+                            & (F.col("_ilen") + F.col("end1") - F.col("start1") <= max_length))
 
     # both texts of a row are scored in one pass, tagged 1 (alone) / 2 (after the instruction)
-    spans = (gated.select(key, F.lit(1).alias("_tag"), F.col("_tok1").alias("_toks"), F.col("_b1").alias("_bud"),
-                          F.col("start1").alias("_s"), F.col("end1").alias("_e"))
-             .unionByName(gated.select(key, F.lit(2).alias("_tag"), F.col("_tok2").alias("_toks"),
-                                       F.lit(max_length).alias("_bud"), F.col("start2").alias("_s"),
-                                       F.col("end2").alias("_e"))))
+    # one pass over the gated rows: both texts leave as two elements of one array
+    two = F.array(F.struct(F.lit(1).alias("_tag"), F.col("_tok1").alias("_toks"), F.col("_b1").alias("_bud"),
+                           F.col("start1").alias("_s"), F.col("end1").alias("_e"), F.col("_keep")),
+                  F.struct(F.lit(2).alias("_tag"), F.col("_tok2").alias("_toks"),
+                           F.lit(max_length).cast("int").alias("_bud"), F.col("start2").alias("_s"),
+                           F.col("end2").alias("_e"), F.col("_keep")))
+    spans = gated.select(key, F.explode(two).alias("_sp")).select(key, "_sp.*")
     losses = L.token_losses(spans, lm, [key, "_tag"], max_length=F.col("_bud"), span=("_s", "_e"),
-                            tokens_col="_toks")
+                            tokens_col="_toks", keep="_keep")
     means = losses.groupBy(key).agg(F.avg(F.when(F.col("_tag") == 1, F.col("loss"))).alias("mean1"),
                                     F.avg(F.when(F.col("_tag") == 2, F.col("loss"))).alias("mean2"))
     return ratio_gate(means.select(key, "mean1").where(F.col("mean1").isNotNull()),

@@ -31,28 +31,44 @@ def tokens(text) -> Column:
     return word_tokens(text)
 
 
+def _hashed(toks) -> Column:
+    """Tokens as 64-bit hashes: shuffles and joins move longs, not strings."""
+    return F.transform(toks, lambda x: F.xxhash64(x))
+
+
 def _bigrams(df: DataFrame, toks: str) -> DataFrame:
-    pairs = F.expr(f"transform(sequence(1, greatest(size(`{toks}`) - 1, 0)), i -> "
-                   f"named_struct('h', `{toks}`[i - 1], 'w', `{toks}`[i]))")
-    return (df.where(F.size(toks) >= 2).select(F.explode(pairs).alias("_b"))
+    # short texts give an empty array here; a row filter on the token count
+    # would be pushed into the scan and run the tokenizer twice
+    pairs = F.expr(f"transform(filter(sequence(1, greatest(size(`{toks}`) - 1, 1)), i -> i < size(`{toks}`)), "
+                   f"i -> named_struct('h', `{toks}`[i - 1], 'w', `{toks}`[i]))")
+    return (df.select(F.explode(pairs).alias("_b"))
             .select(F.col("_b.h").alias("h"), F.col("_b.w").alias("w")))
 
 
 class BigramLM:
-    """Counts of a training table; ``bigrams (h, w, c)``, ``history (h, ch)``, ``vocab_size``."""
+    """Counts of a training table over hashed tokens.
+
+    ``bigrams (h, w, c, ch)`` carries each seen bigram's count and its
+    history count, so scoring needs one join for seen bigrams; ``history
+    (h, ch)`` serves the unseen ones; ``vocab_size`` is a scalar subquery.
+    """
 
     def __init__(self, train: DataFrame, text: str = "text"):
-        toks = train.select(tokens(text).alias("_t"))
-        self.bigrams = _bigrams(toks, "_t").groupBy("h", "w").agg(F.count(F.lit(1)).alias("c"))
-        self.history = self.bigrams.groupBy("h").agg(F.sum("c").alias("ch"))
+        words = train.select(tokens(text).alias("_w"))
+        toks = words.select(_hashed("_w").alias("_t"))
+        counts = _bigrams(toks, "_t").groupBy("h", "w").agg(F.count(F.lit(1)).alias("c"))
+        self.history = counts.groupBy("h").agg(F.sum("c").alias("ch"))
+        self.bigrams = counts.join(self.history, "h")
         self.vocab_size = toks.select(F.explode("_t").alias("t")).select(F.count_distinct("t")).scalar()
-        self.unigrams = (toks.select(F.explode("_t").alias("token")).groupBy("token")
+        self.unigrams = (words.select(F.explode("_w").alias("token")).groupBy("token")
                          .agg(F.count(F.lit(1)).alias("cnt")))
+        # word-level counts for samplers that emit words (lazy: built only when used)
+        self.word_bigrams = _bigrams(words, "_w").groupBy("h", "w").agg(F.count(F.lit(1)).alias("c"))
 
 
 def token_losses(df: DataFrame, lm: BigramLM, key="row_id", text: str = "text",
                  max_length=None, span: tuple[str, str] | None = None,
-                 tokens_col: str | None = None) -> DataFrame:
+                 tokens_col: str | None = None, keep: str | None = None) -> DataFrame:
     """L2: per-token losses ``(key, pos, loss)`` for positions 1..n-1 (n = truncated length).
 
     ``p = lambda * p_bigram(w | h) + (1 - lambda) * p_cache(w)`` where the
@@ -63,14 +79,14 @@ def token_losses(df: DataFrame, lm: BigramLM, key="row_id", text: str = "text",
     """
     t = F.col(tokens_col) if tokens_col else tokens(text)
     if max_length is not None:
-        t = F.slice(t, 1, max_length)
+        t = F.slice(t, 1, F.greatest(max_length if not isinstance(max_length, int) else F.lit(max_length), F.lit(0)))
     # (pos, h, w) triples are built inside one array expression, so the token
-    # array is not copied into every position row
+    # array is not copied into every position row; tokens travel as hashes
     triples = F.expr("transform(filter(sequence(1, greatest(size(_t) - 1, 1)), i -> i < size(_t)), "
-                     "i -> named_struct('pos', i, 'h', _t[i - 1], 'w', _t[i], "
+                     "i -> named_struct('pos', i, 'h', xxhash64(_t[i - 1]), 'w', xxhash64(_t[i]), "
                      "'f0', CASE WHEN _t[0] = _t[i] THEN 1 ELSE 0 END))")
     keys = [key] if isinstance(key, str) else list(key)
-    extra = list(span) if span else []
+    extra = (list(span) if span else []) + ([keep] if keep else [])
     pos = (df.select(*keys, *extra, t.alias("_t"))
            .select(*keys, *extra, F.explode(triples).alias("_x"))
            .select(*keys, *extra, F.col("_x.pos").alias("pos"), F.col("_x.h").alias("h"),
@@ -80,11 +96,21 @@ def token_losses(df: DataFrame, lm: BigramLM, key="row_id", text: str = "text",
     if span:
         # only the span's positions are scored; the cache count above saw them all
         pos = pos.where((F.col("pos") >= F.col(span[0])) & (F.col("pos") < F.col(span[1])))
+    if keep:
+        # a row-level gate computed upstream; applied here, above the window, it
+        # cannot be pushed into the scan (where it would re-run the tokenizer)
+        pos = pos.where(F.col(keep))
     v = lm.vocab_size.cast("double")
-    p_bi = (F.coalesce("c", F.lit(0)) + 1.0) / (F.coalesce("ch", F.lit(0)) + v)
+    # the count tables grow with the training corpus: never broadcast them
+    # (a compressed shuffle size can look small while the hash table is not)
+    looked = pos.join(lm.bigrams.hint("merge"), ["h", "w"], "left")
+    # unseen bigrams still need their history count: a second, much smaller join
+    misses = (looked.where(F.col("c").isNull()).drop("ch")
+              .join(lm.history.hint("merge"), "h", "left").withColumn("c", F.lit(0).cast("long")))
+    scored = looked.where(F.col("c").isNotNull()).unionByName(misses)
+    p_bi = (F.col("c") + 1.0) / (F.coalesce("ch", F.lit(0)) + v)
     p_cache = (F.col("_seen") + 1.0) / (F.col("pos") + v)
-    return (pos.join(lm.bigrams, ["h", "w"], "left").join(lm.history, "h", "left")
-            .select(*keys, "pos", (-F.log(CACHE_WEIGHT * p_cache + (1 - CACHE_WEIGHT) * p_bi)).alias("loss")))
+    return scored.select(*keys, "pos", (-F.log(CACHE_WEIGHT * p_cache + (1 - CACHE_WEIGHT) * p_bi)).alias("loss"))
 
 
 def perplexity(losses: DataFrame, key: str = "row_id") -> DataFrame:
@@ -126,11 +152,12 @@ def tokenize_truncate(df: DataFrame, voc: DataFrame, key: str = "row_id", text:
                       seq_length: int = 512) -> DataFrame:
     """``(key, pos, input_id, label)`` of the first ``seq_length`` tokens; labels copy ids.
 
-    Unknown tokens get id -1.  The vocabulary joins on the token (shuffle join;
-    AQE broadcasts it when it is small).
+    Unknown tokens get id -1.  The vocabulary joins on the token with a
+    shuffle (sort-merge) join: it grows with the corpus.
     """
     pos = (df.select(key, F.posexplode(F.slice(tokens(text), 1, seq_length)).alias("pos", "token")))
-    ids = pos.join(voc, "token", "left").select(key, "pos", F.coalesce("id", F.lit(-1)).cast("bigint").alias("input_id"))
+    ids = (pos.join(voc.hint("merge"), "token", "left")   # the vocabulary grows with the corpus
+           .select(key, "pos", F.coalesce("id", F.lit(-1)).cast("bigint").alias("input_id")))
     return ids.withColumn("label", F.col("input_id"))
 
 
