@@ -87,6 +87,8 @@ def ifd_topk(rows: DataFrame, data: DataFrame, rate: float = 0.1, sample_number:
     ``k = sample_number`` or ``int(n * rate)``; ``k = 0`` selects nothing (the
     reference's ``[-0:]`` would select everything -- not reproduced).
     """
+    from synthweave.session import materialize
+    rows = materialize(rows.select(key, "ifd"))   # narrow; read by the count and the rank below
     n = rows.select(F.count(F.lit(1))).scalar()
     k = F.lit(sample_number) if sample_number else F.floor(n * F.lit(rate))
     ranked = global_row_number(rows.withColumn("_neg_ifd", -F.col("ifd")).withColumn("_neg_key", -F.col(key)),

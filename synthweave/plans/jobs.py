@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from synthweave.functions.text import py_strip
+from synthweave.session import materialize
 from synthweave.operators import generate as G
 from synthweave.operators import normalize as N
 from synthweave.operators import parse as X
@@ -71,19 +72,6 @@ class _Corpus:
         return G.generate_replay(prompts, self.df, text, seed=seed, indexed=self.indexed)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the session's checkpoint folder and read it from there.
-
-    Used for generator output: it is the costly step, it is not
-    deterministic with a real model, and later steps read it more than once
-    (verdict split, second stage).  A reliable checkpoint also survives the
-    loss of the executors that produced it.
-    """
-    from synthweave.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def icl_draws(spark: SparkSession, sf_dir: str, seed: int = 0) -> DataFrame:
     c = _Corpus(spark, sf_dir)
     return c.draws(_rounds(c.df), seed)

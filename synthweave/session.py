@@ -57,3 +57,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Write ``df`` once to the checkpoint folder and continue from there.
+
+    For results that are costly, may be non-deterministic (a real model's
+    output) or are read several times; a reliable checkpoint also survives
+    the loss of the executors that produced it.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
