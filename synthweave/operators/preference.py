@@ -94,8 +94,9 @@ def split_ultrafeedback(df: DataFrame, template: str = DEFAULT_TEMPLATE) -> Data
     prompts = C.render(C.with_template(msgs, template))
     return (df.drop("prompt").join(prompts.select(F.col("conv_id").alias("row_id"), "prompt"), "row_id")
             .select("row_id", "prompt",
-                    F.concat(F.lit(" "), F.element_at("chosen", 2)["content"]).alias("chosen"),
-                    F.concat(F.lit(" "), F.element_at("rejected", 2)["content"]).alias("rejected")))
+                    # a row with fewer than two messages yields NULL instead of failing the job
+                    F.concat(F.lit(" "), F.try_element_at("chosen", F.lit(2))["content"]).alias("chosen"),
+                    F.concat(F.lit(" "), F.try_element_at("rejected", F.lit(2))["content"]).alias("rejected")))
 
 
 def process_dpo(df: DataFrame, dataset: str, model: str, n: int, seed: int = 2023) -> DataFrame:

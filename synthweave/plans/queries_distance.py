@@ -85,7 +85,8 @@ def job_distance(spark, sf_dir):
     synth = J.job_reanswer(spark, sf_dir).withColumnRenamed("output", "response")
     both = (pairs.select(F.lit(0).alias("side"), R.embed_text_expr().alias("text"))
             .unionByName(synth.select(F.lit(1).alias("side"), R.embed_text_expr().alias("text"))))
-    emb = D.tfidf_embed(both, "text", 32)
+    from synthweave.session import materialize
+    emb = materialize(D.tfidf_embed(both, "text", 32).select("side", "embedding"))  # read by FID and MAUVE
     fid_v = D.fid(emb).first()["fid"]
     mv = D.mauve(emb).first()["mauve"]
     len_o = B.avg_length(pairs, "instruction").first()[0]

@@ -58,7 +58,7 @@ def scan_shards(spark: SparkSession, path: str, schema=None, fmt: str = "json")
     """
     df = read_dataset(spark, path, schema, fmt, recursiveFileLookup="true")
     return (df.withColumn("file_path", F.col("_metadata.file_path"))
-            .withColumn("shard_id", F.regexp_extract("file_path", SHARD_RE, 1).cast("int")))
+            .withColumn("shard_id", F.regexp_extract("file_path", SHARD_RE, 1).try_cast("int")))
 
 
 def scan_mixed_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -143,5 +143,5 @@ def merge_replicates(spark: SparkSession, root: str, fmt: str = "json") -> DataF
     df = read_dataset(spark, root, fmt=fmt, recursiveFileLookup="true")
     path = F.col("_metadata.file_path")
     out = (df.withColumn("file_name", F.concat(F.lit("client"), F.regexp_extract(path, SHARD_RE, 1), F.lit(".json")))
-           .withColumn("replicate", F.regexp_extract(path, r"/rep(\d+)/", 1).cast("int")))
+           .withColumn("replicate", F.regexp_extract(path, r"/rep(\d+)/", 1).try_cast("int")))
     return norm_generated(out)

@@ -34,7 +34,7 @@ def corpus_from_documents(docs: DataFrame) -> DataFrame:
     nl = F.instr(F.col("text"), "\n")
     return docs.select(
         F.col("doc_id").alias("row_id"),
-        F.regexp_extract("source", r"(\d+)", 1).cast("int").alias("client_id"),
+        F.regexp_extract("source", r"(\d+)", 1).try_cast("int").alias("client_id"),
         F.col("lang").alias("category"),
         F.when(nl == 0, F.col("text")).otherwise(F.expr("substring(text, 1, instr(text, '\n') - 1)")).alias("instruction"),
         F.when(nl == 0, F.lit("")).otherwise(F.expr("substring(text, instr(text, '\n') + 1)")).alias("response"),

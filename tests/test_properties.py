@@ -96,3 +96,17 @@ def test_bleu_of_identical_text_is_one(spark):
     pairs = spark.createDataFrame([(0, "a b c d e", "a b c d e")], "k int, h string, r string") \
         .select("k", B.tokens("h").alias("hyp"), B.tokens("r").alias("ref"))
     assert B.sentence_bleu(pairs, ["k"]).first()["bleu"] == pytest.approx(1.0)
+
+
+def test_ngram_sampler_follows_bigram_counts(spark):
+    from synthweave.operators import generate as G
+
+    class _LM:  # a bigram table with known counts: after 'aa', 'bb' 3 times and 'cc' once
+        word_bigrams = spark.createDataFrame([("aa", "bb", 3), ("aa", "cc", 1)], "h string, w string, c long")
+
+    rows = [(i, "xx aa") for i in range(4000)] + [(4000, "!")]   # the last prompt has no word
+    prompts = spark.createDataFrame(rows, "round_id long, prompt string")
+    out = G.generate_ngram(prompts, _LM(), steps=1, seed=5)
+    counts = {r["generation"]: r["count"] for r in out.groupBy("generation").count().collect()}
+    assert set(counts) == {"bb", "cc"}
+    assert abs(counts["bb"] / 4000 - 0.75) < 0.03
