@@ -238,11 +238,11 @@ def pref_ultra(spark, sf_dir):
     return P.split_ultrafeedback(P.v_pref_ultra(spark, sf_dir), "vicuna_v1.1")
 
 
-@query("pref_pipeline", with_views("v_pairs", extra=_SQL_PREF.strip() + "," + _SQL_CP + "," + _SQL_HH
+@query("pref_dpo", with_views("v_pairs", extra=_SQL_PREF.strip() + "," + _SQL_CP + "," + _SQL_HH
                                    + "," + _sql_templates(["vicuna_v1.1"]) + "," + sql_render("hhmsgs", "0")) + f"""
 SELECT row_id, prompt, chosen, rejected FROM (
   SELECT h.row_id, r.prompt, substr(h.chosen, h.n) AS chosen, substr(h.rejected, h.n) AS rejected
   FROM hh1 h JOIN rendered r ON r.conv_id = h.row_id) t
 ORDER BY {md5_key('row_id', 2023)}, row_id LIMIT 100""")
-def pref_pipeline(spark, sf_dir):
+def pref_dpo(spark, sf_dir):
     return P.process_dpo(P.v_pref_hh(spark, sf_dir), "Anthropic/hh-rlhf", "some/unknown-model", 100)
