@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from synthweave.functions import templates as T
-from synthweave.functions.text import col_, py_strip, split_part
+from synthweave.functions.text import py_strip, split_part
 
 
 def instruction_expr(text) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synthweave.functions.text import py_strip
 from synthweave.session import materialize
 from synthweave.operators import generate as G
 from synthweave.operators import normalize as N

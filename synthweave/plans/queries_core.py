@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from synthweave.functions.keys import hash_key
 from synthweave.operators import filters as FL
 from synthweave.operators import generate as G
 from synthweave.operators import normalize as N

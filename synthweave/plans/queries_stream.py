@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import functions as F
 
 from synthweave.operators import parse as X
 from synthweave.plans.registry import ORACLES, query
