@@ -110,3 +110,26 @@ def test_ngram_sampler_follows_bigram_counts(spark):
     counts = {r["generation"]: r["count"] for r in out.groupBy("generation").count().collect()}
     assert set(counts) == {"bb", "cc"}
     assert abs(counts["bb"] / 4000 - 0.75) < 0.03
+
+
+def test_group_rank_with_a_hot_group(spark):
+    rows = [(i, "hot" if i % 10 else f"g{i % 7}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "row_id long, grp string")
+    got = {r["row_id"]: r["rn"] for r in RK.rank_within_groups(df, ["grp"], ["row_id"], "rn", partitions=12).collect()}
+    by = {}
+    for rid, g in sorted(rows):
+        by.setdefault(g, []).append(rid)
+    assert got == {rid: i + 1 for ids in by.values() for i, rid in enumerate(ids)}
+
+
+def test_client_draw_rules(spark):
+    from synthweave.operators import sample as M
+    clients = spark.createDataFrame([(c,) for c in range(10)], "client_id int")
+    local = M.client_draw(clients, 3, 4, fed_alg="local7").collect()
+    assert sorted((r["round"], r["client_id"]) for r in local) == [(0, 7), (1, 7), (2, 7)]
+    few = M.client_draw(clients.where("client_id < 3"), 2, 5).collect()     # fewer clients than k: all of them
+    assert sorted((r["round"], r["client_id"]) for r in few) == [(r, c) for r in range(2) for c in range(3)]
+    drawn = M.client_draw(clients, 50, 4)
+    per_round = {r["round"]: r["count"] for r in drawn.groupBy("round").count().collect()}
+    assert set(per_round.values()) == {4} and len(per_round) == 50
+    assert drawn.select("client_id").distinct().count() == 10               # every client gets drawn somewhere
