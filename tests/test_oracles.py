@@ -10,7 +10,7 @@ from tools.oracle_check import digest
 KEYS = ["job_prepare", "sample_per_file", "row_range", "shard_skew", "parse_pair", "tfidf_pair", "prompt_icl",
         "job_icl", "fed_yogi", "round_metrics", "dp_ledger", "bleu_corpus", "trigram_bleu", "chat_by_template",
         "pref_hh", "chat_messages", "ifd_rows", "completion_mask", "embed_moments", "client_quality",
-        "merge_replicates", "job_merge_sample"]
+        "merge_replicates", "job_merge_sample", "pref_dpo", "dp_noised_sum", "scan_mixed_json", "stream_parse_pair"]
 
 
 @pytest.fixture(scope="module")
