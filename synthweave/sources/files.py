@@ -116,11 +116,12 @@ class SourceRegistry:
     """Dataset name -> (path, format, normaliser); names become temp views."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
-        self.spark, self.root, self.entries = spark, root, {}
+        self.spark, self.root, self.entries, self.splits = spark, root, {}, {}
 
     def register(self, name: str, path: str, fmt: str | None = None, normaliser=None, view: str | None = None):
         full = os.path.join(self.root, path) if self.root and not path.startswith("/") else path
         self.entries[name] = (full, fmt, normaliser)
+        self.splits[name] = SOURCES.get(name, ("train", None))   # (split, config) the dataset is published with
         if view:
             self.load(name).createOrReplaceTempView(view)
         return self
