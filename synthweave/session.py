@@ -46,16 +46,19 @@ def get_spark(master: str | None = None, app: str = "synthweave",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for reliable checkpoints and lineage-cutting tables.
 
-    Reads ``spark.checkpoint.dir`` from the session.  Only when it is unset
-    (local tests) a fresh scratch folder is created and registered; on a
-    cluster the platform is expected to name a shared, durable location.
+    Reads ``spark.checkpoint.dir`` from the session.  Where it is unset, a
+    single-JVM session (``local[...]``: tests, bench) gets a scratch folder of
+    its own; a cluster session fails, because a folder of one machine is not
+    seen by the others.
     """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="synthweave-ckpt-")
+        if not sc.master.startswith(("local[", "local ")) and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = os.path.join(tempfile.gettempdir(), f"synthweave-{sc.applicationId}")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
     return path
 
 

@@ -14,30 +14,15 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-# Tables whose rows carry long texts (and their key column): their per-row
-# work (regex tokenising, n-grams) is CPU-bound, so every task slot should
-# get a share.
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
-
-
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one table; Catalyst prunes columns and pushes filters into the scan.
 
-    A text table whose scan has fewer splits than the cluster has task slots
-    (parquet splits only at row-group boundaries, so a small file may come as
-    a handful of splits) is spread over all slots by hashing its key: a
-    deterministic exchange, so the repeated scans of one plan share it
-    (Spark reuses identical exchanges; a round-robin one could not be).  At
-    scale the scan already has more splits than slots and nothing is added.
+    The number of scan tasks is the session's business
+    (``spark.sql.files.maxPartitionBytes``, row groups of the files).
     """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(table_path(sf_dir, name))
-    if name in TEXT_TABLES:
-        slots = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < slots:
-            df = df.repartition(slots, TEXT_TABLES[name])
-    return df
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
 def register_all(spark: SparkSession, sf_dir: str) -> None:
