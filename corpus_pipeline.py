@@ -21,8 +21,7 @@ from synthweave.sources.tables import load
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that every quality rule accepts."""
-    verdict = "quality_verdict"
-    return quality_rules.judged(docs, out=verdict).where(f"{verdict}.kept").select(docs.columns)
+    return quality_rules.accepted(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ Vectors are cut in two halves and each half is quantised by its own k-means
 codebook, which divides the space into ``k * k`` cells.  A query walks the
 pairs of centroids in order of summed distance with a heap until the cells
 visited hold enough vectors; those are reranked by exact Euclidean distance.
+Reranking runs in blocks: at most ``BLOCK`` queries against at most about
+``BLOCK`` entries of one first-half centroid, as one matrix product each.
 
 Codebooks are fitted on a bounded sample (``SAMPLE`` vectors, chosen by
 hash); every vector is indexed.  Equal vectors are one entry of the index:
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 from synthweave.session import materialize
 
 SAMPLE = 20_000
-CODEBOOK = 32           # centroids of each half
-VISIT = 1_500           # distinct vectors that the visited cells hold at least
+CODEBOOK = 64           # centroids of each half
+VISIT = 1_500           # distinct vectors that the visited cells hold at least,
+SHARE = 0.42            # or this share of the index: vectors without clusters need it for a recall of 0.9
+BLOCK = 4_096
 ROUNDS = 12
 
 
@@ -94,7 +98,7 @@ def walk(first: np.ndarray, second: np.ndarray, sizes: dict[int, int], visit: in
 
 
 def search(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", n: int = 10,
-           codebook: int = CODEBOOK, visit: int = VISIT) -> DataFrame:
+           codebook: int = CODEBOOK, visit: int = VISIT, share: float = SHARE) -> DataFrame:
     """``(query_id, rank, <key>, score)``: the ``n`` nearest found of every row for which ``queries`` holds."""
     spark = df.sparkSession
     base = (df.where(valid(F.col(f"`{vector}`")) & F.col(f"`{key}`").isNotNull())
@@ -121,30 +125,73 @@ def search(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "e
 
     index = materialize(kept.select("id", "vector", "r").mapInArrow(place, "id bigint, vector array<double>, r int, cell int"))
     sizes = {r["cell"]: r["count"] for r in index.where("r = 1").groupBy("cell").count().collect()}   # at most codebook^2
-    held = spark.sparkContext.broadcast(sizes)
+    row = len(second)
+    lines: dict[int, int] = {}
+    for cell, count in sizes.items():
+        lines[cell // row] = lines.get(cell // row, 0) + count
+    held = spark.sparkContext.broadcast((sizes, lines))
+    goal = max(visit, int(share * sum(sizes.values())))
+    asked = base.where(F.col("asks")).dropDuplicates(["id"])
+    query_blocks = -(-asked.count() // BLOCK)
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each query and block: which cells of the block's line (first-half centroid) it visits."""
         one, two = books.value
+        sizes, lines = held.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 x = _matrix(part.column(1))
-                cells = [walk(a, b, held.value, visit) for a, b in zip(_distances(x[:, :half], one), _distances(x[:, half:], two))]
-                rows = np.repeat(np.arange(len(x)), [len(c) for c in cells])
+                rows, line, salt, cells = [], [], [], []
+                for i, (a, b) in enumerate(zip(_distances(x[:, :half], one), _distances(x[:, half:], two))):
+                    by_line: dict[int, list[int]] = {}
+                    for cell in walk(a, b, sizes, goal):
+                        by_line.setdefault(cell // row, []).append(cell)
+                    for k, cs in by_line.items():
+                        for s in range(-(-lines[k] // BLOCK)):
+                            rows.append(i), line.append(k), salt.append(s), cells.append(cs)
+                rows = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), pa.array([c for cs in cells for c in cs], pa.int32())],
-                    ["query_id", "query", "cell"])
-
-    asked = base.where(F.col("asks")).dropDuplicates(["id"]).select("id", "vector")
-    routed = asked.mapInArrow(route, "query_id bigint, query array<double>, cell int")
-    pairs = routed.join(index.select("cell", "id", "vector"), "cell").where("id != query_id").select("query_id", "query", "id", "vector")
-
-    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gap = _matrix(batch.column(1)) - _matrix(batch.column(3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.sqrt((gap * gap).sum(1)), pa.float64())], ["query_id", "id", "score"])
-
-    scored = pairs.mapInArrow(measure, "query_id bigint, id bigint, score double")
+                    [part.column(0).take(rows), part.column(1).take(rows), part.column(2).take(rows), pa.array(line, pa.int32()),
+                     pa.array(salt, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], ["query_id", "query", "asked", "line", "salt", "cells"])
+
+    def block(ids: str) -> Column:
+        return F.pmod(F.xxhash64(ids), F.lit(max(query_blocks, 1))).cast("int")
+
+    routed = (asked.select("id", "vector", block("id").alias("asked"))
+              .mapInArrow(route, "query_id bigint, query array<double>, asked int, line int, salt int, cells array<int>"))
+    parts = F.get(F.array(*[F.lit(-(-lines.get(i, 0) // BLOCK)) for i in range(len(first))]), (F.col("cell") / row).cast("int"))
+    entries = (index.withColumn("line", (F.col("cell") / row).cast("int"))
+               .withColumn("salt", F.pmod(F.xxhash64("id"), F.greatest(parts, F.lit(1))).cast("int"))
+               .withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(max(query_blocks, 1) - 1)))))
+
+    def rerank(asks: pa.Table, found: pa.Table) -> pa.Table:
+        """Exact distances of a block's entries; per query the best ``n`` of the cells it visits."""
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if asks.num_rows and found.num_rows:
+            x, ids, cell = _matrix(found.column("vector").combine_chunks()), found.column("id").to_numpy(), found.column("cell").to_numpy()
+            norm = (x * x).sum(1)
+            where = {int(c): np.flatnonzero(cell == c) for c in np.unique(cell)}
+            for at in range(0, asks.num_rows, 256):
+                part = asks.slice(at, 256)
+                q = _matrix(part.column("query").combine_chunks())
+                rough = norm[None] - 2 * q @ x.T
+                for i, (me, cells) in enumerate(zip(part.column("query_id").to_pylist(), part.column("cells").to_pylist())):
+                    near = [where[c] for c in cells if c in where]
+                    near = np.concatenate(near) if near else np.zeros(0, np.int64)
+                    near = near[ids[near] != me]
+                    if len(near) > n:
+                        r = rough[i, near]
+                        near = near[r <= np.partition(r, n - 1)[n - 1] + 1e-9 * (1 + norm.max() + (q[i] ** 2).sum())]
+                    gap = x[near] - q[i]
+                    d = np.sqrt((gap * gap).sum(1))
+                    best = np.lexsort((ids[near], d))[:n]
+                    out.append((np.full(len(best), me, np.int64), ids[near][best], d[best]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "id", "score"])
+
+    on = ["asked", "line", "salt"]
+    scored = (routed.groupBy(*on).cogroup(entries.select(*on, "id", "vector", "cell").groupBy(*on))
+              .applyInArrow(rerank, "query_id bigint, id bigint, score double"))
     best = Window.partitionBy("query_id").orderBy("score", "id")
     return (scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
             .select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score"))

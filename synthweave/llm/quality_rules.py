@@ -121,6 +121,18 @@ def judged(df: DataFrame, text: str = "text", out: str = "quality", rules: dict
                                       (~base & (F.size(failed) == 0)).alias("kept")))
 
 
+def accepted(df: DataFrame, text: str = "text", rules: dict = RULES) -> DataFrame:
+    """The rows that pass, with their own columns.
+
+    The row number keeps the optimizer from pushing the filter below the
+    measuring projections, which would write every array expression out again
+    at each of its uses.
+    """
+    verdict, number = "quality_verdict", "quality_row"
+    rows = judged(df, text, verdict, rules).withColumn(number, F.monotonically_increasing_id())
+    return rows.where(F.col(f"{verdict}.kept") & (F.col(number) >= 0)).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def oracle_sql(rules: dict = RULES) -> str:
     """The query's rows in DuckDB."""
     terms = []
