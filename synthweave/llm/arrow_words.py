@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 WHITE = b"\t\n\x0b\x0c\r "
 PIECE_BYTES = 1 << 20
@@ -182,3 +184,36 @@ def joined_words(w: Words, i: int, keep: np.ndarray | None = None) -> bytes:
     if keep is not None:
         found = [x for x, k in zip(found, keep[lo:hi].tolist()) if k]
     return b" ".join(found)
+
+
+def packed_texts(texts: DataFrame) -> DataFrame:
+    """Distinct texts of ``(node, text)`` as ``(node, packed)``, compressed before they are shuffled."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for piece in pieces(batches, "text"):
+            raw = [(t or "").encode() for t in piece.column(1).to_pylist()]
+            packed = [len(r).to_bytes(8, "little") + codec.compress(r, asbytes=True) for r in raw]
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(packed, pa.binary())], ["node", "packed"])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, packed binary").groupBy("node").agg(F.first("packed").alias("packed"))
+
+
+def packed_pieces(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[pa.RecordBatch]:
+    """Slices whose packed texts in the named columns hold about a megabyte together, one row at least."""
+    for batch in batches:
+        size = np.zeros(batch.num_rows, np.int64)
+        for name in columns:
+            size += [int.from_bytes(p[:8], "little") for p in batch.column(batch.schema.names.index(name)).to_pylist()]
+        total = np.concatenate([[0], np.cumsum(size)])
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(total, total[at] + PIECE_BYTES, side="right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def unpack(packed: pa.Array) -> pa.Array:
+    """The texts of packed values."""
+    codec = pa.Codec("zstd")
+    return pa.array([codec.decompress(p[8:], int.from_bytes(p[:8], "little"), asbytes=True).decode() for p in packed.to_pylist()], pa.large_string())

@@ -35,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from synthweave.llm.arrow_words import PIECE_BYTES, Words, joined_words, mix, pieces, rolling, sliding_argmin, word_hashes, words
+from synthweave.llm.arrow_words import (Words, joined_words, mix, packed_pieces, packed_texts, pieces, rolling, sliding_argmin, unpack,
+                                        word_hashes, words)
 from synthweave.session import materialize
 
 WINDOW = 35
@@ -85,41 +86,12 @@ def prefix_counts(texts: DataFrame, window: int, gram: int) -> DataFrame:
     return texts.mapInArrow(run, "prefix bigint, node bigint, n bigint")
 
 
-def packed_texts(texts: DataFrame) -> DataFrame:
-    """Distinct texts as ``(node, packed)``, compressed before they are shuffled."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd")
-        for piece in pieces(batches, "text"):
-            raw = [(t or "").encode() for t in piece.column(1).to_pylist()]
-            packed = [len(r).to_bytes(8, "little") + codec.compress(r, asbytes=True) for r in raw]
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(packed, pa.binary())], ["node", "packed"])
-
-    return texts.mapInArrow(run, "node bigint, packed binary").groupBy("node").agg(F.first("packed").alias("packed"))
-
-
-def _packed_pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices whose texts (column 1, packed) hold about a megabyte together."""
-    for batch in batches:
-        total = np.cumsum([int.from_bytes(p[:8], "little") for p in batch.column(1).to_pylist()])
-        at = 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PIECE_BYTES, side="right")))
-            yield batch.slice(at, to - at)
-            at = to
-
-
-def _unpack(packed: pa.Array) -> pa.Array:
-    codec = pa.Codec("zstd")
-    return pa.array([codec.decompress(p[8:], int.from_bytes(p[:8], "little"), asbytes=True).decode() for p in packed.to_pylist()], pa.large_string())
-
-
 def suffix_rows(marked: DataFrame, window: int, gram: int) -> DataFrame:
     """One row per anchor whose prefix is marked: the words of all its windows, keyed by prefix and part."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in _packed_pieces(batches):
-            w = words(_unpack(piece.column(1)))
+        for piece in packed_pieces(batches, "packed"):
+            w = words(unpack(piece.column(1)))
             at, prefix, start, n, h = anchors(w, window, gram)
             doc = np.searchsorted(w.first, at, side="right") - 1
             lists = piece.column(2)
@@ -294,7 +266,7 @@ def _results(df: DataFrame, key: str, text: str, window: int, digest: bool) -> D
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                w = words(_unpack(row.column(1)))
+                w = words(unpack(row.column(1)))
                 spans = row.column(2)[0].values
                 lo, hi = (spans.field(c).to_numpy(zero_copy_only=False) for c in ("first", "last"))
                 edge = np.zeros(len(w.start) + 1, np.int64)

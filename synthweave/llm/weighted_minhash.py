@@ -8,11 +8,15 @@ weighted sampling).  Samples are banded; texts that share a band are compared
 exactly, and pairs of similarity ``THRESHOLD`` or more are links.  Classes
 are the connected components of the links.
 
-No bucket is expanded into all pairs.  In each bucket every text is compared
-with the bucket's first text; only texts that end up in another component
-than that of the first are then compared with the bucket's texts of other
-components.  So every two texts of a bucket are in one class or were
-compared, and thousands of copies cost one comparison each.
+No bucket is expanded into all pairs.  Each bucket elects a head, the text
+that shares most buckets with most others (in a group of copies of one
+original that is the original or its closest copy), and every member is
+compared with it.  Members of the head's component then leave the bucket;
+the rest elect a head of their own, round by round, until a round adds next
+to no link (``LEAST_GAIN``).  A round costs one comparison per member, so
+thousands of copies cost thousands of comparisons.  Two texts that are alike
+where neither is like the head share samples that the head does not have,
+and so meet in buckets without it.
 
 Document frequencies are summed over all documents in ``2 ** DF_BITS`` hash
 buckets -- a fixed size, so the table can be broadcast; shingles that share
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from synthweave.llm.arrow_words import Words, mix, pieces, rolling, word_hashes, words
+from synthweave.llm.arrow_words import Words, mix, packed_pieces, packed_texts, pieces, rolling, unpack, word_hashes, words
 from synthweave.session import materialize
 
 SHINGLE = 5
@@ -41,6 +45,7 @@ BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
 DF_BITS = 18
 IDF_STRENGTH = 0.5      # weights run from 1 (in every document) to 1.5 (in one)
+LEAST_GAIN = 0.01       # share of new links among all that makes another round worth while
 MOST_UNLIKE_BITS = 22   # of SAMPLES one-bit samples; a pair at 0.8 differs in 6.4 on average (deviation 2.4)
 _U = np.uint64
 _TABLE_BITS = 16
@@ -165,15 +170,15 @@ def signatures(df: DataFrame, table: np.ndarray, docs: int, text: str = "text")
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, table: np.ndarray, docs: int, threshold: float = THRESHOLD) -> DataFrame:
-    """``(a, b, similarity)`` for the pairs whose exact weighted Jaccard similarity reaches the threshold."""
+    """``(a, b, similarity)`` for the pairs (texts packed by node) whose exact weighted Jaccard similarity reaches the threshold."""
     sent = texts.sparkSession.sparkContext.broadcast((table, docs))
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = Weights(*sent.value)
-        for piece in pieces(batches, "text_a", "text_b"):
+        for piece in packed_pieces(batches, "text_a", "text_b"):
             sides = []
             for name in ("text_a", "text_b"):
-                doc, value, tf = shingles(words(piece.column(piece.schema.names.index(name))))
+                doc, value, tf = shingles(words(unpack(piece.column(piece.schema.names.index(name)))))
                 sides.append((doc, value, weights.of(value, tf)))
             doc, value, weight = (np.concatenate(x) for x in zip(*sides))
             order = np.lexsort((value, doc))
@@ -186,7 +191,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, table: np.ndarray, docs: i
             hit = pa.array(like >= threshold - 1e-9)
             yield pa.RecordBatch.from_arrays([piece.column(0).filter(hit), piece.column(1).filter(hit), pa.array(like).filter(hit)], ["a", "b", "similarity"])
 
-    left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    left, right = texts.select(F.col("node").alias("a"), F.col("packed").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("packed").alias("text_b"))
     return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a bigint, b bigint, similarity double")
 
 
@@ -222,34 +227,35 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     rows = materialize(signatures(base, table, docs))
     nodes = rows.where(F.size("bands") > 0).groupBy("node").agg(*[F.first(c).alias(c) for c in ("bands", "bits", "weight")])
     members = nodes.select(F.explode("bands").alias("bucket"), "node", "bits", "weight")
-    heads = members.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "head")
-    crowded = materialize(members.join(heads, "bucket"))        # members of buckets with company
-    texts = base.groupBy("node").agg(F.first("text").alias("text"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Links among candidate pairs (both prunings leave out only pairs far below the threshold)."""
-        pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        return materialize(similar_pairs(pairs, texts.join(needed, "node", "left_semi"), table, docs, threshold))
-
-    def may_be_like(a: str, b: str) -> Column:
-        ratio = F.least(f"{a}.weight", f"{b}.weight") >= threshold * F.greatest(f"{a}.weight", f"{b}.weight") * (1 - 1e-9)
-        return ratio & (F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= MOST_UNLIKE_BITS)
-
-    first = nodes.select(F.col("node").alias("head"), "bits", "weight").alias("h")
-    star = (crowded.where("node <> head").select("node", "head", "bits", "weight").distinct().alias("m")
-            .join(first, "head").where(may_be_like("m", "h")).select(F.col("head").alias("a"), F.col("m.node").alias("b")))
-    links = verified(star)
-    found = components(links)
-    named = crowded.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads_named = named.where("node = head").select("bucket", F.col("component").alias("head_component"))
-    named = materialize(named.join(heads_named, "bucket").withColumn("out", F.col("component") != F.col("head_component")))
-    strangers, others = named.where("out").alias("o"), named.where("node <> head").alias("m")
-    more = (strangers.join(others, (F.col("o.bucket") == F.col("m.bucket")) & (F.col("o.component") != F.col("m.component"))
-                           & (~F.col("m.out") | (F.col("o.node") < F.col("m.node"))) & may_be_like("o", "m"))
-            .select(F.col("o.node").alias("a"), F.col("m.node").alias("b")))
-    links = links.select("a", "b").union(verified(more).select("a", "b"))
-    found = components(links)
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowded = members.join(sizes, "bucket")
+    shared = crowded.groupBy("node").agg(F.sum("n").alias("score"))
+    left = materialize(crowded.drop("n").join(shared, "node"))             # members of buckets with company
+    texts = materialize(packed_texts(base.join(left.select("node").distinct(), "node", "left_semi")))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        return materialize(similar_pairs(pairs, texts, table, docs, threshold))
+
+    ratio = F.least("weight", "head.weight") >= threshold * F.greatest("weight", "head.weight") * (1 - 1e-9)
+    may_be_like = ratio & (F.bit_count(F.col("bits").bitwiseXOR(F.col("head.bits"))) <= MOST_UNLIKE_BITS)
+    links, compared, found = None, None, None
+    while True:
+        heads = left.groupBy("bucket").agg(F.max(F.struct("score", "node", "bits", "weight")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        led = materialize(left.join(heads.select("bucket", "head"), "bucket").where("node <> head.node"))
+        pairs = led.where(may_be_like).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
+        pairs = materialize(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"))
+        new = alike(pairs).select("a", "b")
+        links, compared = (new, pairs) if links is None else (links.union(new), compared.union(pairs))
+        gained, total = new.count(), links.count()
+        if found is None or gained:
+            found = components(links)
+        if gained <= LEAST_GAIN * total:
+            break
+        mine = led.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        theirs = found.select(F.col("node").alias("head_node"), F.col("component").alias("head_component"))
+        left = materialize(mine.join(theirs, F.col("head.node") == F.col("head_node"), "left")
+                           .where(F.col("component") != F.coalesce("head_component", "head.node"))
+                           .select("bucket", "node", "bits", "weight", "score"))
     tagged = (rows.select("id", "node", (F.size("bands") > 0).alias("has_words")).join(found, "node", "left")
               .withColumn("component", F.coalesce("component", "node")))
     classes = (tagged.where("has_words").groupBy("component")
