@@ -26,6 +26,17 @@ _MULT_INV = pow(_MULT, -1, 1 << 64)
 _BYTE = np.random.default_rng(20_240_607).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
+BATCH_ROWS = "1000"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Long texts: fewer rows per Arrow batch than the default, unless the session names a number of its own."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name, "10000") == "10000":
+        conf.set(name, BATCH_ROWS)
+    return df
+
+
 @dataclass
 class Words:
     """Words of a run of texts: byte spans in ``buf``; text ``i`` owns words ``first[i]:first[i+1]``."""

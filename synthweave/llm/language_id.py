@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from synthweave.llm.arrow_words import _large, _offsets, pieces
+from synthweave.llm.arrow_words import _large, _offsets, pieces, small_batches
 from synthweave.llm.url_filter import host_and_path
 from synthweave.session import materialize
 
@@ -85,7 +85,7 @@ def fit_text_model(labelled: DataFrame, text: str = "text", lang: str = "lang",
 def text_evidence(pages: DataFrame, langs: list[str], model: np.ndarray, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``(key, host, domain, suffix, declared, loglik)`` of every page; ``loglik`` is tempered, one entry per language."""
     host = host_and_path(F.col(f"`{url}`"))[0]
-    rows = pages.select(F.col(f"`{key}`").alias("id"), host.alias("host"), F.col(f"`{html}`").alias("html"))
+    rows = small_batches(pages).select(F.col(f"`{key}`").alias("id"), host.alias("host"), F.col(f"`{html}`").alias("html"))
     sent = pages.sparkSession.sparkContext.broadcast(model)   # languages x BUCKETS doubles
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -49,11 +49,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Round trip of every document: counts and hashes of its ids and of the bytes they decode to."""
     path = path or public_tokenizers.path(RANKS)
-    ids = byte_bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    rows = byte_bpe.round_trip(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN)
     joined = F.array_join(F.col("tokens").cast("array<string>"), ",")
-    back = byte_bpe.decode(ids.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"),
-                                      F.sha2(joined, 256).alias("ids_sha256"), "tokens"), path)
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return rows.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from synthweave.llm.arrow_words import _large, _offsets, pieces
+from synthweave.llm.arrow_words import _large, _offsets, pieces, small_batches
 from synthweave.session import materialize
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -105,7 +105,7 @@ def _texts_with_runs(texts: pa.Array) -> np.ndarray:
 def candidates(df: DataFrame, text: str = "text", out: str = "found") -> DataFrame:
     """Replace the text by ``out``: its candidate spans with the hash of each value."""
     kept = [c for c in df.columns if c not in (text, out)]
-    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(text))
+    rows = small_batches(df).select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(text))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("hash", pa.string()), ("live", pa.bool_())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

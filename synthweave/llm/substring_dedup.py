@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from synthweave.llm.arrow_words import (Words, joined_words, mix, packed_pieces, packed_texts, pieces, rolling, sliding_argmin, unpack,
+from synthweave.llm.arrow_words import (Words, joined_words, mix, packed_pieces, packed_texts, pieces, rolling, sliding_argmin, small_batches, unpack,
                                         word_hashes, words)
 from synthweave.session import materialize
 
@@ -247,7 +247,7 @@ def remove_repeats_digest(df: DataFrame, key: str = "doc_id", text: str = "text"
 
 
 def _results(df: DataFrame, key: str, text: str, window: int, digest: bool) -> DataFrame:
-    base = df.select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("node"), F.col(f"`{text}`").alias("text"))
+    base = small_batches(df).select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("node"), F.col(f"`{text}`").alias("text"))
     texts = base.select("node", "text")
     out = "kept_sha256" if digest else "kept"
     kind = pa.string()

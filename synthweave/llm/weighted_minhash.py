@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from synthweave.llm.arrow_words import Words, mix, packed_pieces, packed_texts, pieces, rolling, unpack, word_hashes, words
+from synthweave.llm.arrow_words import Words, mix, packed_pieces, packed_texts, pieces, rolling, small_batches, unpack, word_hashes, words
 from synthweave.session import materialize
 
 SHINGLE = 5
@@ -222,7 +222,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     ``kept`` marks the row that represents the class.  ``node`` is the hash
     of the row's text.
     """
-    base = df.select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("node"), F.col(f"`{text}`").alias("text"))
+    base = small_batches(df).select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("node"), F.col(f"`{text}`").alias("text"))
     table, docs = document_frequencies(base)
     rows = materialize(signatures(base, table, docs))
     nodes = rows.where(F.size("bands") > 0).groupBy("node").agg(*[F.first(c).alias(c) for c in ("bands", "bits", "weight")])
