@@ -253,131 +253,6 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", token
     return small_batches(df).select(*[F.col(f"`{c}`") for c in df.columns if c not in (tokens, decoded) or c == text]).mapInArrow(run, T.StructType(fields))
 
 
-def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of a run of ids."""
-        n = self.lengths[ids]
-        ends = np.cumsum(n)
-        return self.bytes[np.repeat(self.offsets[ids] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-
-    def encode_pieces(self, found: list[bytes]) -> list[list[int]]:
-        """Token ids of each piece."""
-        out: list[list[int] | None] = [None] * len(found)
-        buckets: dict[int, list[int]] = {}
-        for i, p in enumerate(found):
-            whole = self.ranks.get(p)
-            if whole is not None or not p:
-                out[i] = [] if whole is None else [whole]
-            elif len(p) > LONG_PIECE:
-                out[i] = self._merge_long(p)
-            else:
-                buckets.setdefault(1 << (len(p) - 1).bit_length(), []).append(i)
-        for width, rows in buckets.items():
-            step = max(1, _MATRIX_CELLS // width)
-            for at in range(0, len(rows), step):
-                part = rows[at:at + step]
-                for i, ids in zip(part, self._merge_rows([found[i] for i in part], width)):
-                    out[i] = ids
-        return out
-
-    def _merge_rows(self, rows: list[bytes], width: int) -> list[list[int]]:
-        size = np.array([len(r) for r in rows])
-        ids = np.full((len(rows), width + 1), -1, np.int32)
-        inside = np.arange(width + 1) < size[:, None]
-        ids[inside] = self.single[np.frombuffer(b"".join(rows), np.uint8)]
-        rank = self.pairs.ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(rows), width)
-        done: list[list[int] | None] = [None] * len(rows)
-        row = np.arange(len(rows))
-        while len(row):
-            at = rank.argmin(axis=1)                      # the leftmost of the least
-            best = rank[np.arange(len(row)), at]
-            over = best == _NONE
-            if over.any():
-                for i, r, n in zip(row[over].tolist(), ids[over], size[over]):
-                    done[i] = r[:n].tolist()
-                go = ~over
-                row, ids, rank, size, at, best = row[go], ids[go], rank[go], size[go], at[go], best[go]
-                if not len(row):
-                    break
-                most = int(size.max())
-                ids, rank = ids[:, :most + 1], rank[:, :most]
-            me = np.arange(len(row))
-            ids[me, at] = best
-            shift = np.arange(ids.shape[1] - 1)
-            ids[:, :-1] = np.take_along_axis(ids, shift + (shift > at[:, None]), axis=1)
-            ids[:, -1] = -1
-            size -= 1
-            shift = np.arange(rank.shape[1] - 1)
-            rank[:, :-1] = np.take_along_axis(rank, shift + (shift > at[:, None]), axis=1)
-            rank[:, -1] = _NONE
-            rank[me, at] = self.pairs.ranks(ids[me, at], ids[me, at + 1])
-            left = at > 0
-            rank[me[left], at[left] - 1] = self.pairs.ranks(ids[me[left], at[left] - 1], ids[me[left], at[left]])
-        return done
-
-    def _merge_long(self, piece: bytes) -> list[int]:
-        ids = self.single[np.frombuffer(piece, np.uint8)]
-        first = self.pairs.ranks(ids[:-1], ids[1:]).tolist()
-        ids, n = ids.tolist(), len(piece)
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(r, i) for i, r in enumerate(first) if r != _NONE]
-        heapq.heapify(heap)
-
-        def look(i):
-            if i >= 0 and right[i] >= 0:
-                r = int(self.pairs.ranks(np.array([ids[i]], np.int32), np.array([ids[right[i]]], np.int32))[0])
-                if r != _NONE:
-                    now[i] = r
-                    heapq.heappush(heap, (r, i))
-                    return
-            now.pop(i, None)
-
-        now = dict((i, r) for r, i in heap)               # the valid entry of each place
-        while heap:
-            r, i = heapq.heappop(heap)
-            if now.get(i) != r:
-                continue
-            j = right[i]
-            now.pop(j, None)
-            ids[i], ids[j], right[i] = r, None, right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            look(i)
-            look(left[i])
-        return [x for x in ids if x is not None]
-
-
-@lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
-
-
-def _pass_on(batch: pa.RecordBatch, schema: list[str], name: str, column: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([column if c == name else batch.column(batch.schema.names.index(c)) for c in schema], schema)
-
-
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "tokens") -> DataFrame:
-    """Replace the text column by ``out``: the token ids as ``array<int>``."""
-    fields = [f for f in df.schema.fields if f.name not in (text, out)] + [T.StructField(out, T.ArrayType(T.IntegerType(), False))]
-    names = [f.name for f in fields]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, split = vocabulary(path), regex.compile(pattern).findall
-        known: dict[str, list[int]] = {}
-        for piece in pieces(batches, text):
-            texts = piece.column(piece.schema.names.index(text)).to_pylist()
-            cut = [split(t) if t else [] for t in texts]
-            if len(known) > CACHE_PIECES:
-                known.clear()
-            new = list(set(chain.from_iterable(cut)).difference(known))
-            known.update(zip(new, vocab.encode_pieces([p.encode() for p in new])))
-            ids = [np.fromiter(chain.from_iterable(map(known.__getitem__, c)), np.int32) for c in cut]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-            yield _pass_on(piece, names, out, lists)
-
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != out or c == text]).mapInArrow(run, T.StructType(fields))
-
-
 def decode(df: DataFrame, path: str, tokens: str = "tokens", out: str = "decoded") -> DataFrame:
     """Replace the ids column by ``out``: the bytes they stand for."""
     fields = [f for f in df.schema.fields if f.name not in (tokens, out)] + [T.StructField(out, T.BinaryType())]
