@@ -5,7 +5,7 @@ partitioning, task order or retries, so a lost executor recomputes exactly the
 same rows, and DuckDB reproduces them with the same ``md5`` expression.
 
 * sort key: ``md5(concat(key, ':', seed))`` (hex string, compared as text)
-* position: first 8 hex digits of that md5 read as an unsigned integer, mod N
+* position: first 15 hex digits of that md5 read as an unsigned integer, mod N
 """
 
 from __future__ import annotations
@@ -27,12 +27,15 @@ def hash_key(*parts, seed) -> Column:
     return F.md5(F.concat(*pieces))
 
 
-def hash_u32(*parts, seed) -> Column:
-    """First 32 bits of :func:`hash_key` as a non-negative bigint."""
-    return F.conv(F.substring(hash_key(*parts, seed=seed), 1, 8), 16, 10).cast("bigint")
+HASH_RANGE = 1 << 60
+
+
+def hash_bits(*parts, seed) -> Column:
+    """First 60 bits of :func:`hash_key` as a non-negative bigint."""
+    return F.conv(F.substring(hash_key(*parts, seed=seed), 1, 15), 16, 10).cast("bigint")
 
 
 def hash_pos(*parts, seed, n) -> Column:
-    """Uniform position in ``[0, n)`` derived from :func:`hash_u32`."""
+    """Uniform position in ``[0, n)`` derived from :func:`hash_bits`."""
     n_col = n if isinstance(n, Column) else F.lit(n)
-    return F.pmod(hash_u32(*parts, seed=seed), n_col.cast("bigint"))
+    return F.pmod(hash_bits(*parts, seed=seed), n_col.cast("bigint"))

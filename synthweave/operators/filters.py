@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from synthweave.operators.ranking import global_row_number
 
-# Limits below this are served by a single top-k (TakeOrderedAndProject);
-# larger ones go through the distributed positional rank.
-TOPK_LIMIT = 100_000
-
 
 def filter_language(df: DataFrame, language: str = "English", column: str = "language") -> DataFrame:
     """keep one language; a plain predicate, pushed into the parquet scan."""
@@ -19,9 +15,8 @@ def filter_language(df: DataFrame, language: str = "English", column: str = "lan
 
 def first_n(df: DataFrame, n: int, order: str = "row_id") -> DataFrame:
     """the first ``n`` rows by position (``row_id`` order)."""
-    if n <= TOPK_LIMIT:
-        return df.orderBy(order).limit(n)
-    return global_row_number(df, [order], "_pos").where(F.col("_pos") <= n).drop("_pos")
+    first = global_row_number(df.select(order), [order], "_pos").where(F.col("_pos") <= n).select(order)
+    return df.join(first, order, "left_semi")
 
 
 def row_range(df: DataFrame, start: int, end: int = -1, order: str = "row_id") -> DataFrame:

@@ -52,11 +52,13 @@ def alpaca_format(df: DataFrame, drop: tuple = ("input", "output")) -> DataFrame
 
 
 def norm_generated(df: DataFrame) -> DataFrame:
-    """P5: merge-time normaliser; only touches the columns that exist."""
+    """P5: merge-time normaliser, row by row: a row without ``input`` or ``output`` keeps its own fields."""
     if "input" in df.columns:
-        df = df.withColumn("instruction", alpaca_join_expr()).drop("input", "text")
+        df = df.withColumn("instruction", F.when(F.col("input").isNull(), F.col("instruction"))
+                           .otherwise(alpaca_join_expr())).drop("input", "text")
     if "output" in df.columns:
-        df = df.withColumn("response", F.col("output")).drop("output")
+        own = F.col("response") if "response" in df.columns else F.lit(None).cast("string")
+        df = df.withColumn("response", F.coalesce(F.col("output"), own)).drop("output")
     return df
 
 

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from synthweave.functions.keys import hash_u32
+from synthweave.functions.keys import HASH_RANGE, hash_bits
 
 ORDERS = (2, 64)
 
@@ -43,8 +43,8 @@ def clip_sum(df: DataFrame, unit: str, coord: str, value: str, clip: float,
 
 def gaussian(key: str, seed: int):
     """Standard normal draw determined by ``(key, seed)`` (Box-Muller)."""
-    u1 = (hash_u32(key, F.lit("u1"), seed=seed) + 0.5) / 4294967296.0
-    u2 = (hash_u32(key, F.lit("u2"), seed=seed) + 0.5) / 4294967296.0
+    u1 = (hash_bits(key, F.lit("u1"), seed=seed) + 0.5) / float(HASH_RANGE)
+    u2 = (hash_bits(key, F.lit("u2"), seed=seed) + 0.5) / float(HASH_RANGE)
     return F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * math.pi * u2)
 
 

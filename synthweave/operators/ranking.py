@@ -14,7 +14,9 @@ range-partitioned sort does it:
    per partition, so its size is bounded by the partition count and it is
    safe to broadcast) and add the offset.
 
-Both branches read the same range exchange, which Spark reuses.
+The numbered rows are written to the session's shared folder once, and rows,
+counts and offsets all come from that table: range bounds are sampled, so two
+executions of the exchange need not agree on them.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from synthweave.session import materialize
+
 _LOCAL_BITS = 33
 
 
@@ -39,6 +43,7 @@ def global_row_number(df: DataFrame, order: list, out: str = "rn",
               .withColumn("_sw_mid", F.monotonically_increasing_id())
               .withColumn("_sw_pid", F.shiftright("_sw_mid", _LOCAL_BITS))
               .withColumn("_sw_loc", F.col("_sw_mid").bitwiseAND((1 << _LOCAL_BITS) - 1)))
+    ranged = materialize(ranged)
     counts = ranged.groupBy("_sw_pid").agg(F.count(F.lit(1)).alias("_sw_cnt"))
     w = Window.orderBy("_sw_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_sw_pid", F.coalesce(F.sum("_sw_cnt").over(w), F.lit(0)).alias("_sw_off"))
@@ -63,6 +68,7 @@ def rank_within_groups(df: DataFrame, group: list[str], order: list, out: str =
               .withColumn("_sw_mid", F.monotonically_increasing_id())
               .withColumn("_sw_pid", F.shiftright("_sw_mid", _LOCAL_BITS))
               .withColumn("_sw_loc", F.col("_sw_mid").bitwiseAND((1 << _LOCAL_BITS) - 1)))
+    ranged = materialize(ranged)
     counts = ranged.groupBy("_sw_pid").agg(F.count(F.lit(1)).alias("_sw_cnt"))
     w = Window.orderBy("_sw_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_sw_pid", F.coalesce(F.sum("_sw_cnt").over(w), F.lit(0)).alias("_sw_off"))

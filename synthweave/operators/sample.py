@@ -9,17 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from synthweave.functions.keys import hash_key, hash_pos, hash_u32
-from synthweave.operators.filters import TOPK_LIMIT
+from synthweave.functions.keys import HASH_RANGE, hash_key, hash_pos, hash_bits
 from synthweave.operators.ranking import global_row_number, top_n_per_group
 
 
 def _take_ranked(df: DataFrame, n: int, key_col: str) -> DataFrame:
-    if n <= TOPK_LIMIT:
-        # bounded top-k: per-partition heaps of n rows, merged once
-        return df.orderBy(key_col, "row_id").limit(n)
-    return (global_row_number(df, [key_col, "row_id"], "_pos")
-            .where(F.col("_pos") <= n).drop("_pos"))
+    """The first ``n`` rows by ``(key_col, row_id)``: the narrow keys are ranked, the wide rows only semi-joined."""
+    first = (global_row_number(df.select(key_col, "row_id"), [key_col, "row_id"], "_pos")
+             .where(F.col("_pos") <= n).select("row_id"))
+    return df.join(first, "row_id", "left_semi")
 
 
 def sample_exact(df: DataFrame, n: int, seed: int = 0, key: str = "row_id",
@@ -51,25 +49,29 @@ def dense_positions(df: DataFrame, order: str = "row_id", out: str = "pos") -> D
     return global_row_number(df, [order], out).withColumn(out, F.col(out) - 1)
 
 
-def fewshot_draw(corpus: DataFrame, rounds: DataFrame, k: int = 3, slots: int = 12,
+def fewshot_draw(corpus: DataFrame, rounds: DataFrame, k: int = 3,
                  seed: int = 0, round_col: str = "round_id", indexed: DataFrame | None = None) -> DataFrame:
     """M4 + J1: ``k`` distinct exemplars per round, looked up by position.
 
-    Slot ``s`` of round ``r`` points at position ``md5(r:s:seed) mod N``;
-    the first ``k`` distinct positions win.  ``indexed`` may carry the
-    corpus with its ``pos`` column when the caller already built it.  A round with fewer than ``k``
-    distinct candidates fails the job (also when N < k), as the reference does.
+    Slot ``s`` draws one of the ``N - s`` positions still free:
+    ``md5(r:s:seed) mod (N - s)``, moved past the earlier picks.  Exact
+    sampling without replacement, row-local.  ``indexed`` may carry the
+    corpus with its ``pos`` column when the caller already built it.  The job
+    fails when N < k, as the reference does.
     Output: ``(round_id, slot, row_id, instruction, response)``, slot in 0..k-1.
     """
     if indexed is None:
         indexed = dense_positions(corpus, "row_id", "pos")
     n_rows = corpus.select(F.count(F.lit(1))).scalar()  # scalar subquery
-    # a round's candidate positions form one array: first-occurrence dedupe
-    # and the first k are row-local (no window, no shuffle)
-    cands = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(slots - 1)),
-                                         lambda s: hash_pos(F.col(round_col), s, seed=seed, n=F.col("_sw_n"))))
-    picked = F.when(F.size(cands) < k, F.raise_error(F.lit("not enough distinct exemplars for a round"))
-                    .cast("array<bigint>")).otherwise(F.slice(cands, 1, k))
+    # each pick is moved past the smaller earlier picks, in ascending order
+    def pick(taken, s):
+        raw = hash_pos(F.col(round_col), s, seed=seed, n=F.col("_sw_n") - s)
+        free = F.aggregate(F.array_sort(taken), raw, lambda x, p: x + F.when(x >= p, F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+        return F.concat(taken, F.array(free))
+
+    picks = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.array().cast("array<bigint>"), pick)
+    picked = F.when(F.col("_sw_n") < k, F.raise_error(F.lit("the corpus holds too few exemplars"))
+                    .cast("array<bigint>")).otherwise(picks)
     drawn = (rounds.select(round_col, n_rows.alias("_sw_n"))
              .select(round_col, F.posexplode(picked).alias("slot", "pos"))
              .withColumn("slot", F.col("slot").cast("int")))
@@ -115,5 +117,5 @@ def author_sample(df: DataFrame, rate: float, seed: int = 0, author: str = "auth
     follow their author through a semi-join -- no author group is collected.
     """
     authors = (df.select(author).distinct()
-               .where(hash_u32(author, seed=seed) < F.lit(int(rate * 4294967296))))
+               .where(hash_bits(author, seed=seed) < F.lit(int(rate * HASH_RANGE))))
     return df.join(authors, author, "left_semi")

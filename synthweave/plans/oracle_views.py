@@ -86,4 +86,4 @@ def md5_key(key: str, seed) -> str:
 def md5_pos(parts: list[str], seed, n: str) -> str:
     """DuckDB twin of ``functions.keys.hash_pos``."""
     inner = " || ':' || ".join(f"CAST({p} AS VARCHAR)" for p in parts) + f" || ':' || '{seed}'"
-    return f"(('0x' || substr(md5({inner}), 1, 8))::BIGINT % ({n}))"
+    return f"(('0x' || substr(md5({inner}), 1, 15))::BIGINT % ({n}))"

@@ -279,10 +279,10 @@ def _sql_tfidf(pairs_cte: str, key: str) -> str:
   tb AS (SELECT {key}, unnest(regexp_extract_all(lower(text_b), '{_TOK}')) AS tok FROM {pairs_cte}),
   ca AS (SELECT {key}, tok, count(*) AS c FROM ta GROUP BY ALL),
   cb AS (SELECT {key}, tok, count(*) AS c FROM tb GROUP BY ALL),
-  na AS (SELECT {key}, sum(c * c * CASE WHEN EXISTS (SELECT 1 FROM cb WHERE {' AND '.join(f'cb.{k} = ca.{k}' for k in key.split(', '))} AND cb.tok = ca.tok)
-                                    THEN 1 ELSE {_IDF2} END) AS n2 FROM ca GROUP BY ALL),
-  nb AS (SELECT {key}, sum(c * c * CASE WHEN EXISTS (SELECT 1 FROM ca WHERE {' AND '.join(f'ca.{k} = cb.{k}' for k in key.split(', '))} AND ca.tok = cb.tok)
-                                    THEN 1 ELSE {_IDF2} END) AS n2 FROM cb GROUP BY ALL),
+  na AS (SELECT {key}, sum(ca.c * ca.c * CASE WHEN cb.c IS NOT NULL THEN 1 ELSE {_IDF2} END) AS n2
+         FROM ca LEFT JOIN cb USING ({key}, tok) GROUP BY {key}),
+  nb AS (SELECT {key}, sum(cb.c * cb.c * CASE WHEN ca.c IS NOT NULL THEN 1 ELSE {_IDF2} END) AS n2
+         FROM cb LEFT JOIN ca USING ({key}, tok) GROUP BY {key}),
   dt AS (SELECT {', '.join('ca.' + k for k in key.split(', '))}, sum(ca.c * cb.c) AS d FROM ca JOIN cb USING ({key}, tok) GROUP BY ALL),
   sims AS (SELECT {', '.join('p.' + k for k in key.split(', '))},
                   CASE WHEN na.n2 IS NULL AND nb.n2 IS NULL THEN NULL
@@ -302,14 +302,17 @@ def tfidf_pair(spark, sf_dir):
 
 # ---------------------------------------------------------------- M4 / R / L1 / C2-C5
 
-def _sql_draw(seed: int, rounds: str = "SELECT row_id AS round_id FROM v_corpus", k: int = 3, slots: int = 12) -> str:
+def _sql_draw(seed: int, rounds: str = "SELECT row_id AS round_id FROM v_corpus", k: int = 3) -> str:
+    n = "(SELECT count(*) FROM v_corpus)"
+    draw = [md5_pos(["round_id", str(s)], seed, f"({n} - {s})") for s in range(3)]
     return f"""
   ranked AS (SELECT row_number() OVER (ORDER BY row_id) - 1 AS pos, row_id, instruction, response FROM v_corpus),
   rounds{seed} AS ({rounds}),
-  cand{seed} AS (SELECT round_id, s.slot, {md5_pos(['round_id', 's.slot'], seed, '(SELECT count(*) FROM v_corpus)')} AS pos
-                 FROM rounds{seed}, range(0, {slots}) s(slot)),
-  dd{seed} AS (SELECT round_id, slot, pos, row_number() OVER (PARTITION BY round_id, pos ORDER BY slot) AS f FROM cand{seed}),
-  pk{seed} AS (SELECT round_id, pos, row_number() OVER (PARTITION BY round_id ORDER BY slot) - 1 AS slot FROM dd{seed} WHERE f = 1),
+  one{seed} AS (SELECT round_id, {draw[0]} AS p0, {draw[1]} AS t1, {draw[2]} AS t2 FROM rounds{seed}),
+  two{seed} AS (SELECT round_id, p0, t1 + CASE WHEN t1 >= p0 THEN 1 ELSE 0 END AS p1, t2 FROM one{seed}),
+  tri{seed} AS (SELECT round_id, p0, p1, t2 + CASE WHEN t2 >= least(p0, p1) THEN 1 ELSE 0 END AS t2 FROM two{seed}),
+  pk{seed} AS (SELECT round_id, unnest([0, 1, 2]) AS slot,
+                      unnest([p0, p1, t2 + CASE WHEN t2 >= greatest(p0, p1) THEN 1 ELSE 0 END]) AS pos FROM tri{seed}),
   draws{seed} AS (SELECT round_id, CAST(slot AS INTEGER) AS slot, row_id, instruction, response
                   FROM pk{seed} JOIN ranked USING (pos) WHERE slot < {k})"""
 

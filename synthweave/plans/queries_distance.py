@@ -57,7 +57,7 @@ _TOK = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
 @query("client_quality", with_views("v_corpus", "v_pairs", extra=f"""
   rp AS (SELECT row_number() OVER (ORDER BY row_id) - 1 AS pos, response FROM v_pairs),
   syn AS (SELECT c.client_id, c.instruction || ' ' || r.response AS text FROM v_corpus c
-          JOIN rp r ON r.pos = (('0x' || substr(md5(CAST(c.row_id AS VARCHAR) || ':' || 'gen' || ':' || '13'), 1, 8))::BIGINT
+          JOIN rp r ON r.pos = (('0x' || substr(md5(CAST(c.row_id AS VARCHAR) || ':' || 'gen' || ':' || '13'), 1, 15))::BIGINT
                                 % (SELECT count(*) FROM v_pairs))
           WHERE r.response IS NOT NULL AND r.response <> ''),
   org AS (SELECT client_id, instruction || ' ' || response AS text FROM v_corpus),

@@ -29,8 +29,8 @@ def dp_clip_sum(spark, sf_dir):
 
 
 def _u(tag):
-    return (f"((('0x' || substr(md5(CAST(key AS VARCHAR) || ':' || '{tag}' || ':' || '42'), 1, 8))::BIGINT) + 0.5)"
-            " / 4294967296.0")
+    return (f"((('0x' || substr(md5(CAST(key AS VARCHAR) || ':' || '{tag}' || ':' || '42'), 1, 15))::BIGINT) + 0.5)"
+            " / 1152921504606846976.0")
 
 
 @query("dp_noised_sum", with_views("v_contrib", extra="""
@@ -99,7 +99,7 @@ def dp_over_budget(spark, sf_dir):
 @query("author_sample", with_views("v_contrib") + """
 SELECT author, key FROM v_contrib WHERE author IN (
   SELECT DISTINCT author FROM v_contrib
-  WHERE ('0x' || substr(md5(CAST(author AS VARCHAR) || ':' || '3'), 1, 8))::BIGINT < """ + str(int(0.2 * 4294967296)) + ")")
+  WHERE ('0x' || substr(md5(CAST(author AS VARCHAR) || ':' || '3'), 1, 15))::BIGINT < """ + str(int(0.2 * (1 << 60))) + ")")
 def author_sample(spark, sf_dir):
     return M.author_sample(V.v_contrib(spark, sf_dir), 0.2, seed=3).select("author", "key")
 
