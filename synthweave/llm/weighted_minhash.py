@@ -12,8 +12,8 @@ No bucket is expanded into all pairs.  Each bucket elects a head, the text
 that shares most buckets with most others (in a group of copies of one
 original that is the original or its closest copy), and every member is
 compared with it.  Members of the head's component then leave the bucket;
-the rest elect a head of their own, round by round, until a round adds next
-to no link (``LEAST_GAIN``).  A round costs one comparison per member, so
+the rest elect a head of their own, round by round, until a round adds no
+link anywhere.  A round costs one comparison per member, so
 thousands of copies cost thousands of comparisons.  Two texts that are alike
 where neither is like the head share samples that the head does not have,
 and so meet in buckets without it.
@@ -45,7 +45,6 @@ BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
 DF_BITS = 18
 IDF_STRENGTH = 0.5      # weights run from 1 (in every document) to 1.5 (in one)
-LEAST_GAIN = 0.01       # share of new links among all that makes another round worth while
 MOST_UNLIKE_BITS = 22   # of SAMPLES one-bit samples; a pair at 0.8 differs in 6.4 on average (deviation 2.4)
 _U = np.uint64
 _TABLE_BITS = 16
@@ -246,10 +245,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
         pairs = materialize(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"))
         new = alike(pairs).select("a", "b")
         links, compared = (new, pairs) if links is None else (links.union(new), compared.union(pairs))
-        gained, total = new.count(), links.count()
+        gained = new.limit(1).count() > 0
         if found is None or gained:
             found = components(links)
-        if gained <= LEAST_GAIN * total:
+        if not gained:
             break
         mine = led.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         theirs = found.select(F.col("node").alias("head_node"), F.col("component").alias("head_component"))
