@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's str.strip() removes every Unicode white-space character, SQL trim()
-# only blanks.  This pattern (Java regex) covers both classes.
-_STRIP_RE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+# Python's str.strip() and str.split() take every Unicode white-space character,
+# SQL trim() only blanks.  The inside of a character class, for Java and RE2 alike.
+BLANKS = r"\s\x0b\x1c-\x1f\x85\p{Z}"
+_STRIP_RE = rf"^[{BLANKS}]+|[{BLANKS}]+\z"
 
 # Word tokens of the TF-IDF similarity: maximal runs of >= 2 letters, digits
 # or underscores, taken from lower-cased text.

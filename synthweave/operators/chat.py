@@ -195,9 +195,14 @@ def update_last_message(conv: DataFrame, text) -> DataFrame:
 
 
 def set_system_message(conv: DataFrame, text: str) -> DataFrame:
-    """R16 set: every conversation's system turn (turn 0) becomes ``text``."""
-    others = conv.where(F.col("role") != "system")
-    has_sys = conv.where(F.col("role") == "system").select("conv_id")
-    systems = has_sys.select("conv_id", F.lit(0).cast(conv.schema["turn"].dataType).alias("turn"),
-                             F.lit("system").alias("role"), F.lit(text).alias("text"))
+    """R16 set: every conversation gets one system turn holding ``text``, before its first turn.
+
+    A conversation that has a system turn keeps that turn's number; one
+    without gets the number before its first turn.
+    """
+    is_sys = F.col("role") == "system"
+    others = conv.where(~F.coalesce(is_sys, F.lit(False)))
+    at = F.coalesce(F.min(F.when(is_sys, F.col("turn"))), F.min("turn") - 1)
+    systems = conv.groupBy("conv_id").agg(at.cast(conv.schema["turn"].dataType).alias("turn")).select(
+        "conv_id", "turn", F.lit("system").alias("role"), F.lit(text).alias("text"))
     return others.unionByName(systems)

@@ -12,10 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _keep(df: DataFrame, *cols: str) -> list[str]:
-    return [c for c in cols if c in df.columns]
-
-
 def norm_medical(df: DataFrame) -> DataFrame:
     """instruction = Patient, response = Doctor; raw columns dropped."""
     return (df.withColumn("instruction", F.col("Patient")).withColumn("response", F.col("Doctor"))
@@ -29,13 +25,13 @@ def alpaca_always(df: DataFrame) -> DataFrame:
 
 
 def arena_first_turns(df: DataFrame, drop_conversations: bool = True) -> DataFrame:
-    """P3/P6g: first turn -> instruction, second -> response."""
+    """P3/P6g: first turn -> instruction, second -> response; P6g keeps the conversations and their moderation columns."""
     out = (df.withColumn("instruction", F.try_element_at("conversation_a", F.lit(1))["content"])
            .withColumn("response", F.try_element_at("conversation_a", F.lit(2))["content"]))
     drop = ["question_id", "model_a", "model_b", "winner", "judge", "turn", "anony",
-            "language", "tstamp", "toxic_chat_tag", "openai_moderation"]
+            "language", "tstamp"]
     if drop_conversations:
-        drop += ["conversation_a", "conversation_b"]
+        drop += ["conversation_a", "conversation_b", "toxic_chat_tag", "openai_moderation"]
     return out.drop(*drop)
 
 

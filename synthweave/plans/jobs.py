@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from synthweave.functions.templates import SIMILARITY_CUT
 from synthweave.session import materialize
 from synthweave.operators import generate as G
 from synthweave.operators import normalize as N
@@ -12,6 +13,7 @@ from synthweave.operators import parse as X
 from synthweave.operators import prompts as R
 from synthweave.operators import sample as M
 from synthweave.operators import similarity as SIM
+from synthweave.operators.privacy import ORDERS, rdp_ledger
 from synthweave.sources import fixtures as V
 
 GEN_SEED = 11
@@ -83,7 +85,7 @@ def icl_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _icl_parts(spark: SparkSession, sf_dir: str):
     c = _Corpus(spark, sf_dir)
     draws = c.draws(_rounds(c.df))
-    gen = materialize(c.replay(R.prompt_icl(draws), G.wrap_generation(), GEN_SEED))
+    gen = materialize(c.replay(R.prompt_icl(draws), G.wrap_generation(), GEN_SEED).select("round_id", "generation"))
     return c, draws, gen
 
 
@@ -103,7 +105,7 @@ def _verdicts(parsed: DataFrame, draws: DataFrame) -> DataFrame:
     gate = SIM.similarity_gate(parsed.where(ok).select("round_id", "instruction"),
                                draws.select("round_id", "slot", "row_id", "instruction"))
     verdict = (F.when(~ok, "unparsed")
-               .when((F.col("max_sim") > 0.52) | (F.length("instruction") <= 1) | (F.length("output") <= 1), "failed")
+               .when((F.col("max_sim") > SIMILARITY_CUT) | (F.length("instruction") <= 1) | (F.length("output") <= 1), "failed")
                .otherwise("kept"))
     return parsed.join(gate.select("round_id", "max_sim"), "round_id", "left").withColumn("verdict", verdict)
 
@@ -112,11 +114,14 @@ def job_icl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Draw -> prompt -> generate -> parse -> gate -> verdict.
 
     One DataFrame carries every verdict; writers split it with
-    ``partitionBy('verdict')`` in a single pass (S7).
+    ``partitionBy('verdict')`` in a single pass (S7).  ``index_list`` holds
+    the row ids of the round's exemplars, in prompt order.
     """
     _, draws, gen = _icl_parts(spark, sf_dir)
     parsed = X.parse_pair(gen, "generation").select("round_id", "instruction", "output")
-    return _verdicts(parsed, draws)
+    few = F.array_sort(F.collect_list(F.struct("slot", "row_id")))            # a prompt's few exemplars
+    exemplars = draws.groupBy("round_id").agg(F.transform(few, lambda x: x["row_id"]).alias("index_list"))
+    return _verdicts(parsed, draws).join(exemplars, "round_id")
 
 
 def icl_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +133,7 @@ def icl_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stage1(c: _Corpus) -> DataFrame:
     draws = c.draws(_rounds(c.df))
-    gen = materialize(c.replay(R.prompt_self1(draws), G.wrap_generation(), GEN_SEED))
+    gen = materialize(c.replay(R.prompt_self1(draws), G.wrap_generation(), GEN_SEED).select("round_id", "generation"))
     parsed = X.parse_instruction(gen, "generation").select("round_id", "instruction")
     ok = F.col("instruction").isNotNull() & (F.col("instruction") != "")
     gate = SIM.similarity_gate(parsed.where(ok), draws.select("round_id", "slot", "row_id", "instruction"))
@@ -148,7 +153,7 @@ def job_self_instruct(spark: SparkSession, sf_dir: str, icl: bool = True) -> Dat
     kept = materialize(_stage1(c))          # stage 1's output feeds three places of stage 2
     draws2 = c.draws(kept.select("round_id"), seed=1) if icl else None
     prompts = R.prompt_self2(kept, draws2, icl=icl)
-    gen = materialize(c.replay(prompts, F.col("response"), GEN_SEED + 1))
+    gen = materialize(c.replay(prompts, F.col("response"), GEN_SEED + 1).select("round_id", "generation"))
     out = X.parse_output(gen, "generation")
     return (out.join(kept, "round_id").where(F.col("output").isNotNull() & (F.col("output") != ""))
             .select("round_id", "instruction", "output"))
@@ -178,28 +183,18 @@ def job_fed_round(updates: DataFrame, sizes: DataFrame, participants: DataFrame,
             .select("key", "pos", "value", (F.col("value") - F.col("g")).alias("change")))
 
 
-def loss_matrix(updates: DataFrame, glob: DataFrame, clients: DataFrame, participants: DataFrame,
-                n_rounds: int) -> DataFrame:
-    """The ``[client][round]`` loss table, -1 where a client did not train.
-
-    Each participant's loss is the mean absolute distance of its update from
-    the global model, decayed by round.  Every client row expands into its
-    rounds (a generator) and left-joins the trained losses.
-    """
-    trained = (participants.join(updates.drop("round"), "client_id").join(glob.withColumnRenamed("value", "g"), ["key", "pos"])
-               .groupBy("round", "client_id")
-               .agg((F.avg(F.abs(F.col("value") - F.col("g"))) / (F.col("round") + 1)).alias("loss")))
+def loss_matrix(losses: DataFrame, clients: DataFrame, n_rounds: int) -> DataFrame:
+    """J6 + F10: the ``[client][round]`` loss table from ``losses (round, client_id, loss)``; -1 where a client did not train."""
     grid = (clients.select("client_id")
             .withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(n_rounds - 1)))))
-    return (grid.join(trained, ["round", "client_id"], "left")
+    return (grid.join(losses, ["round", "client_id"], "left")
             .select(F.col("round").cast("int").alias("round"), "client_id",
                     F.coalesce(F.col("loss"), F.lit(-1.0)).alias("loss")))
 
 
-def over_budget(runs: DataFrame, run_key: list[str], every: int, total: int, max_eps: float) -> DataFrame:
+def over_budget(runs: DataFrame, run_key: list[str], every: int, total: int, max_eps: float, orders: tuple[int, int] = ORDERS) -> DataFrame:
     """The ledger at every ``every`` steps; rows where epsilon exceeds the budget."""
-    from synthweave.operators.privacy import rdp_ledger
     ck = (runs.withColumn("steps", F.explode(F.sequence(F.lit(every), F.lit(total), F.lit(every))))
           .withColumn("steps", F.col("steps").cast("bigint")))
-    led = rdp_ledger(ck, run_key + ["steps"])
+    led = rdp_ledger(ck, run_key + ["steps"], orders=orders)
     return led.where(F.col("epsilon") > max_eps).select(*run_key, "steps", "epsilon")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "v_pairs": ((), """
-        SELECT conv_id * 100 + turn AS row_id, conv_id, text AS instruction, next_text AS response
+        SELECT conv_id * 1048576 + turn AS row_id, conv_id, text AS instruction, next_text AS response
         FROM (SELECT conv_id, turn, role, text,
                      lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
                      lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text
@@ -42,7 +42,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT user_id AS author, event_type AS key, sum(value) AS value
         FROM events GROUP BY 1, 2"""),
     "v_medical": (("v_pairs",), """
-        SELECT row_id, substr(instruction, 1, 40) AS Description, instruction AS Patient, response AS Doctor
+        SELECT row_id, instruction AS Description, instruction AS Patient, response AS Doctor
         FROM v_pairs"""),
     "v_raw_gen": (("v_pairs",), """
         SELECT row_id AS round_id,

@@ -10,6 +10,9 @@ from synthweave.plans.registry import query
 from synthweave.sources import fixtures as V
 
 
+_WORD = r"[^\s\x0b\x1c-\x1f\x85\p{Z}]+"
+
+
 def _sql_ngrams(src: str, key: str, orders: int = 4) -> str:
     """DuckDB n-grams of list column ``t`` in CTE ``src``: (key..., o, g, c)."""
     return f"""
@@ -19,20 +22,19 @@ def _sql_ngrams(src: str, key: str, orders: int = 4) -> str:
    GROUP BY ALL)"""
 
 
-@query("ngram_counts", with_views("v_pairs", extra="tok AS (SELECT row_id, regexp_extract_all(response, '\\S+') AS t FROM v_pairs)") + f"""
-SELECT row_id, CAST(o AS INTEGER) AS "order", CAST(sum(c) AS BIGINT) AS n_total, count(*) AS n_distinct
-FROM {_sql_ngrams('tok', 'row_id')} n GROUP BY row_id, o""")
+@query("ngram_counts", with_views("v_pairs", extra=f"tok AS (SELECT row_id, regexp_extract_all(response, '{_WORD}') AS t FROM v_pairs)") + f"""
+SELECT row_id, CAST(o AS INTEGER) AS "order", md5(g) AS ngram_md5, c AS cnt FROM {_sql_ngrams('tok', 'row_id')} n""")
 def ngram_counts(spark, sf_dir):
     p = V.v_pairs(spark, sf_dir).select("row_id", B.tokens("response").alias("tokens"))
-    c = B.ngram_counts(p, ["row_id"])
-    return c.groupBy("row_id", "order").agg(F.sum("cnt").alias("n_total"), F.count(F.lit(1)).alias("n_distinct"))
+    c = B.ngram_counts(p, ["row_id"], hashed=False)
+    return c.select("row_id", "order", F.md5("ngram").alias("ngram_md5"), "cnt")
 
 
 _CORPUS = f"""
-  hyp AS (SELECT row_id, regexp_extract_all(response, '\\S+') AS t FROM v_pairs),
-  refs AS (SELECT row_id, 0 AS ref_id, regexp_extract_all(instruction, '\\S+') AS t FROM v_pairs
+  hyp AS (SELECT row_id, regexp_extract_all(response, '{_WORD}') AS t FROM v_pairs),
+  refs AS (SELECT row_id, 0 AS ref_id, regexp_extract_all(instruction, '{_WORD}') AS t FROM v_pairs
            UNION ALL
-           SELECT a.row_id, 1, regexp_extract_all(b.response, '\\S+') FROM v_pairs a JOIN v_pairs b ON b.row_id = a.row_id + 2),
+           SELECT a.row_id, 1, regexp_extract_all(b.response, '{_WORD}') FROM v_pairs a JOIN v_pairs b ON b.row_id = a.row_id + 2),
   rmax AS (SELECT row_id, o, g, max(c) AS c FROM {_sql_ngrams('refs', 'row_id, ref_id')} r GROUP BY row_id, o, g),
   hng AS {_sql_ngrams('hyp', 'row_id')},
   mt AS (SELECT h.o, sum(least(h.c, r.c)) AS m FROM hng h JOIN rmax r USING (row_id, o, g) GROUP BY h.o),
@@ -66,7 +68,7 @@ def _sent_pairs(spark, sf_dir):
 
 
 _SENT = """
-  sp AS (SELECT row_id, regexp_extract_all(instruction, '\\S+') AS h, regexp_extract_all(response, '\\S+') AS r FROM v_corpus),
+  sp AS (SELECT row_id, regexp_extract_all(instruction, '{word}') AS h, regexp_extract_all(response, '{word}') AS r FROM v_corpus),
   hs AS (SELECT row_id, h AS t FROM sp), rs AS (SELECT row_id, r AS t FROM sp),
   hn AS {hn}, rn AS {rn},
   mm AS (SELECT hn.row_id, hn.o, sum(least(hn.c, coalesce(rn.c, 0))) AS m, sum(hn.c) AS d
@@ -78,7 +80,7 @@ _BP = "CASE WHEN hl > rl THEN 1.0 WHEN hl = 0 THEN 0.0 ELSE exp(1 - rl / hl) END
 
 
 @query("bleu_sentence", with_views("v_corpus", extra=_SENT.format(
-        hn=_sql_ngrams('hs', 'row_id'), rn=_sql_ngrams('rs', 'row_id'), top=5).strip()) + f"""
+        hn=_sql_ngrams('hs', 'row_id'), rn=_sql_ngrams('rs', 'row_id'), top=5, word=_WORD).strip()) + f"""
 SELECT row_id, round(CASE WHEN sum(CASE WHEN o = 1 THEN m END) = 0 THEN 0.0
                      ELSE any_value({_BP}) * exp(sum(0.25 * ln(CASE WHEN o = 1 THEN m / d ELSE (m + 1.0) / (d + 1.0) END))) END, 9)
        AS bleu
@@ -88,7 +90,7 @@ def bleu_sentence(spark, sf_dir):
 
 
 @query("trigram_bleu", with_views("v_corpus", extra=_SENT.format(
-        hn=_sql_ngrams('hs', 'row_id', 3), rn=_sql_ngrams('rs', 'row_id', 3), top=4).strip() + """,
+        hn=_sql_ngrams('hs', 'row_id', 3), rn=_sql_ngrams('rs', 'row_id', 3), top=4, word=_WORD).strip() + """,
   w AS (SELECT row_id, any_value(hl) AS hl, any_value(rl) AS rl,
                sum(CASE WHEN o = 1 THEN m END) AS m1, sum(CASE WHEN o = 2 THEN m END) AS m2,
                sum(CASE WHEN o = 3 THEN m END) AS m3, sum(CASE WHEN o = 3 THEN d END) AS d3
@@ -96,7 +98,7 @@ def bleu_sentence(spark, sf_dir):
 SELECT row_id, round(CASE WHEN m1 = 0 THEN 0.0 ELSE {_BP} *
          CASE WHEN m3 = 0 AND hl > 1
               THEN (1.0 / (power(2.0, 1 + CASE WHEN m2 = 0 THEN 1 ELSE 0 END) * 5 / ln(hl))) / d3
-              ELSE m3 / d3 END END, 9) AS bleu3
+              WHEN m3 = 0 THEN 1.0 ELSE m3 / d3 END END, 9) AS bleu3
 FROM w""")
 def trigram_bleu(spark, sf_dir):
     return B.trigram_bleu(_sent_pairs(spark, sf_dir), ["row_id"])

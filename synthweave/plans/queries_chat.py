@@ -166,8 +166,10 @@ upd AS (SELECT conv_id, turn, role,
                CASE WHEN turn = max(turn) OVER (PARTITION BY conv_id) THEN 'reply to ' || CAST(conv_id AS VARCHAR)
                     ELSE text END AS text FROM ext)
 SELECT conv_id, count(*) AS n_turns, arg_max(role, turn) AS last_role, arg_max(text, turn) AS last_text,
-       count(*) FILTER (WHERE role = 'system') AS n_system
-FROM (SELECT conv_id, turn, role, CASE WHEN role = 'system' THEN 'Be brief.' ELSE text END AS text FROM upd) z
+       count(*) FILTER (WHERE role = 'system') AS n_system, arg_min(text, turn) AS first_text
+FROM (SELECT conv_id, turn, role, CASE WHEN role = 'system' THEN 'Be brief.' ELSE text END AS text FROM upd
+      UNION ALL SELECT conv_id, min(turn) - 1, 'system', 'Be brief.' FROM upd GROUP BY conv_id
+                HAVING count(*) FILTER (WHERE role = 'system') = 0) z
 GROUP BY conv_id""")
 def chat_append(spark, sf_dir):
     conv = load(spark, sf_dir, "conversations")
@@ -177,7 +179,7 @@ def chat_append(spark, sf_dir):
     return edited.groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("n_turns"), F.max_by("role", "turn").alias("last_role"),
         F.max_by("text", "turn").alias("last_text"),
-        F.count(F.when(F.col("role") == "system", 1)).alias("n_system"))
+        F.count(F.when(F.col("role") == "system", 1)).alias("n_system"), F.min_by("text", "turn").alias("first_text"))
 
 
 # ---------------------------------------------------------------- X6-X9

@@ -24,7 +24,7 @@ NL = "chr(10)"
 
 def _sql_strip(x: str) -> str:
     """DuckDB twin of ``functions.text.py_strip``."""
-    return rf"regexp_replace({x}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+    return rf"regexp_replace({x}, '^[\s\x0b\x1c-\x1f\x85\p{{Z}}]+|[\s\x0b\x1c-\x1f\x85\p{{Z}}]+\z', '', 'g')"
 
 
 def _sql_alpaca(ins="instruction", inp="input") -> str:
@@ -452,9 +452,12 @@ _VERDICT_SQL = f"""
 
 
 @query("job_icl", with_views("v_corpus", extra=_sql_draw(0).strip() + "," + _GEN_PARSED + "," + _VERDICT_SQL) + """
-SELECT round_id, verdict, instruction, output, round(max_sim, 9) AS max_sim FROM verdicts""")
+SELECT round_id, verdict, instruction, output, round(max_sim, 9) AS max_sim, index_list FROM verdicts
+JOIN (SELECT round_id, string_agg(CAST(row_id AS VARCHAR), ',' ORDER BY slot) AS index_list FROM draws0 GROUP BY round_id) il
+USING (round_id)""")
 def job_icl(spark, sf_dir):
-    return J.job_icl(spark, sf_dir).select("round_id", "verdict", "instruction", "output", "max_sim")
+    ids = F.array_join(F.col("index_list").cast("array<string>"), ",").alias("index_list")
+    return J.job_icl(spark, sf_dir).select("round_id", "verdict", "instruction", "output", "max_sim", ids)
 
 
 @query("generation_verdicts", with_views("v_corpus", extra=_sql_draw(0).strip() + "," + _GEN_PARSED + "," + _VERDICT_SQL) + """
@@ -535,7 +538,7 @@ def _tail64(s):
 @query("generate_batch", with_views("v_corpus", extra=_sql_draw(0).strip() + "," + _sql_prompt_icl("draws0")) + """
 SELECT round_id, md5(right(prompt, 64)) AS gen_md5 FROM pr""")
 def generate_batch(spark, sf_dir):
-    gen = G.generate(J.icl_prompts(spark, sf_dir), _tail64, key="round_id")
+    gen = G.generate(J.icl_prompts(spark, sf_dir), key="round_id", factory=lambda: _tail64)
     return gen.select("round_id", F.md5("generation").alias("gen_md5"))
 
 

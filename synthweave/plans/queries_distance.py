@@ -40,7 +40,7 @@ def fid(spark, sf_dir):
 
 @query("mauve")
 def mauve(spark, sf_dir):
-    return D.mauve(V.v_sides(spark, sf_dir))
+    return D.mauve(V.v_sides(spark, sf_dir), buckets=50)
 
 
 @query("embed_text_tfidf")
@@ -88,8 +88,12 @@ def job_distance(spark, sf_dir):
     from synthweave.session import materialize
     emb = materialize(D.tfidf_embed(both, "text", 32).select("side", "embedding"))  # read by FID and MAUVE
     fid_v = D.fid(emb).first()["fid"]
-    mv = D.mauve(emb).first()["mauve"]
+    mv = D.mauve(emb, buckets=20).first()["mauve"]
+    # corpus BLEU of the re-answered responses against the original responses of the same row number
+    hyps = synth.select("row_id", B.tokens("response").alias("tokens"))
+    refs = V.v_corpus(spark, sf_dir).select("row_id", F.lit(0).alias("ref_id"), B.tokens("response").alias("tokens"))
+    bleu_v = B.corpus_bleu(hyps, refs.join(hyps.select("row_id"), "row_id", "left_semi"), ["row_id"]).first()["bleu"]
     len_o = B.avg_length(pairs, "instruction").first()[0]
     len_s = B.avg_length(synth, "instruction").first()[0]
-    return spark.createDataFrame([(float(fid_v), float(mv), float(len_o), float(len_s))],
-                                 "fid double, mauve double, avg_len_origin double, avg_len_synthetic double")
+    return spark.createDataFrame([(float(fid_v), float(mv), float(bleu_v), float(len_o), float(len_s))],
+                                 "fid double, mauve double, bleu double, avg_len_origin double, avg_len_synthetic double")

@@ -194,12 +194,15 @@ _LOSS = """
              FROM grid gr LEFT JOIN trained t ON t.round = gr.round AND t.client_id = gr.client_id)"""
 
 
+def losses(spark, sf_dir):
+    return V.v_losses(spark, sf_dir, participants(spark, sf_dir, 20), v_global(spark, sf_dir))
+
+
 @query("loss_matrix", _base(rounds=20, extra=_LOSS) + """
 SELECT round, client_id, round(loss, 9) AS loss FROM matrix""")
 def loss_matrix(spark, sf_dir):
     from synthweave.plans.jobs import loss_matrix as lm
-    return lm(V.v_updates(spark, sf_dir), v_global(spark, sf_dir), V.v_client_sizes(spark, sf_dir),
-              participants(spark, sf_dir, 20), 20)
+    return lm(losses(spark, sf_dir), V.v_client_sizes(spark, sf_dir), 20)
 
 
 @query("round_metrics", _base(rounds=20, extra=_LOSS) + """
@@ -208,8 +211,7 @@ SELECT round, round(avg(nullif(loss, -1)), 9) AS mean_loss, count(nullif(loss, -
 FROM matrix GROUP BY round""")
 def round_metrics(spark, sf_dir):
     from synthweave.plans.jobs import loss_matrix as lm
-    m = lm(V.v_updates(spark, sf_dir), v_global(spark, sf_dir), V.v_client_sizes(spark, sf_dir),
-           participants(spark, sf_dir, 20), 20)
+    m = lm(losses(spark, sf_dir), V.v_client_sizes(spark, sf_dir), 20)
     loss = F.when(F.col("loss") != -1, F.col("loss"))
     return m.groupBy("round").agg(F.avg(loss).alias("mean_loss"), F.count(loss).alias("n_trained"),
                                   F.count(F.lit(1)).alias("n_clients"))

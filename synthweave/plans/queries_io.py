@@ -38,8 +38,8 @@ def scan_shards(spark, sf_dir):
 
 
 @query("scan_mixed_json", with_views("v_pairs", "v_corpus") + """
-SELECT 'pairs' AS source, row_id, instruction FROM v_pairs
-UNION ALL SELECT 'corpus', row_id, instruction FROM v_corpus""")
+SELECT 'pairs' AS source, row_id, instruction, false AS corrupt FROM v_pairs
+UNION ALL SELECT 'corpus', row_id, instruction, false FROM v_corpus""")
 def scan_mixed_json(spark, sf_dir):
     root = IO.scratch(spark, "scan_mixed_json")
     V.v_pairs(spark, sf_dir).select(F.lit("pairs").alias("source"), "row_id", "instruction") \
@@ -47,7 +47,7 @@ def scan_mixed_json(spark, sf_dir):
     IO.write_json_arrays(V.v_corpus(spark, sf_dir).select(F.lit("corpus").alias("source"), "row_id", "instruction"),
                          os.path.join(root, "arrays"))
     df = IO.scan_mixed_json(spark, root, "source string, row_id long, instruction string")
-    return df.where(F.col("_corrupt_record").isNull()).select("source", "row_id", "instruction")
+    return df.select("source", "row_id", "instruction", F.col("_corrupt_record").isNotNull().alias("corrupt"))
 
 
 @query("registry_scan", with_views("v_pairs") + "SELECT row_id, instruction, response FROM v_pairs")
@@ -61,20 +61,21 @@ def registry_scan(spark, sf_dir):
 
 
 @query("write_shards", with_views("v_corpus", extra="sl AS (" + _SHARD_LEN_SQL + ")") + """
-SELECT client_id, count(*) AS n FROM sl GROUP BY client_id""")
+SELECT sl.client_id, sl.row_id, c.instruction FROM sl JOIN v_corpus c USING (row_id)""")
 def write_shards(spark, sf_dir):
     path = IO.scratch(spark, "write_shards")
     IO.write_shards(S.shard_length(V.v_corpus(spark, sf_dir), 10).select("row_id", "client_id", "instruction"), path)
     back = IO.scan_shards(spark, path, "row_id long, instruction string")
-    return back.groupBy(F.col("shard_id").alias("client_id")).agg(F.count(F.lit(1)).alias("n"))
+    return back.select(F.col("shard_id").alias("client_id"), "row_id", "instruction")
 
 
 @query("write_verdicts")
 def write_verdicts(spark, sf_dir):
     path = IO.scratch(spark, "write_verdicts")
     IO.write_shards(J.job_icl(spark, sf_dir), path, by="verdict")
-    back = IO.read_dataset(spark, path, "round_id long, instruction string, output string", "json")
-    return back.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+    back = IO.read_dataset(spark, path, "round_id long, instruction string, output string, max_sim double, index_list array<long>", "json")
+    ids = F.array_join(F.col("index_list").cast("array<string>"), ",").alias("index_list")
+    return back.select("round_id", "verdict", "instruction", "output", "max_sim", ids)
 
 
 @query("write_sample_json")
@@ -88,8 +89,7 @@ def write_sample_json(spark, sf_dir):
 def loss_matrix_parquet(spark, sf_dir):
     from synthweave.plans import queries_fed as QF
     path = IO.scratch(spark, "loss_matrix")
-    m = J.loss_matrix(V.v_updates(spark, sf_dir), QF.v_global(spark, sf_dir), V.v_client_sizes(spark, sf_dir),
-                      QF.participants(spark, sf_dir, 20), 20)
+    m = J.loss_matrix(QF.losses(spark, sf_dir), V.v_client_sizes(spark, sf_dir), 20)
     IO.write_once(m, path, "parquet", ["round"])
     return spark.read.parquet(path).select(F.col("round").cast("int").alias("round"), "client_id", "loss")
 
@@ -115,17 +115,20 @@ def merge_replicates(spark, sf_dir):
     return merged.select("file_name", "replicate", "row_id", "instruction", "response")
 
 
+_UID = "CAST(row_id AS VARCHAR) || '-' || CAST(replicate AS VARCHAR)"
+
+
 @query("job_merge_sample", with_views("v_alpaca", extra=_REP_SQL) + f"""
 SELECT file_name, replicate, row_id FROM (
-  SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY {md5_key('row_id * 10 + replicate', 500)},
-                                                              row_id * 10 + replicate) AS rn FROM reps) t
+  SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY {md5_key(_UID, 500)},
+                                                              {_UID}) AS rn FROM reps) t
 WHERE rn <= 20""")
 def job_merge_sample(spark, sf_dir):
     merged = IO.merge_replicates(spark, _write_replicates(spark, sf_dir))
-    keyed = merged.withColumn("uid", F.col("row_id") * 10 + F.col("replicate"))
+    keyed = merged.withColumn("uid", F.concat_ws("-", F.col("row_id").cast("string"), F.col("replicate").cast("string")))
     return M.sample_per_group(keyed, "file_name", 20, seed=500, key="uid").select("file_name", "replicate", "row_id")
 
 
-ORACLES["write_verdicts"] = ORACLES["generation_verdicts"]
+ORACLES["write_verdicts"] = ORACLES["job_icl"]
 ORACLES["write_sample_json"] = ORACLES["job_prepare"]
 ORACLES["loss_matrix_parquet"] = ORACLES["loss_matrix"]

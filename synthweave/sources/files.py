@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,37 +63,61 @@ def scan_shards(spark: SparkSession, path: str, schema=None, fmt: str = "json")
 
 
 def scan_mixed_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """JSON lines and single-line JSON arrays in one folder.
+    """JSON lines and JSON arrays in one folder.
 
-    Each line may hold one object or an array of objects (every element is a
-    row).  Malformed lines are kept as ``_corrupt_record`` instead of being
-    dropped silently, so a caller can count them (Spark requires another
-    column to be read alongside ``_corrupt_record`` in such a query).
+    A line may hold one object or an array of objects (every element is a
+    row); a file that opens with ``[`` on a line of its own is an indented
+    array and is parsed as a whole (by one task: such a file is one JSON
+    value).  Malformed records are kept as ``_corrupt_record`` instead of
+    being dropped silently, so a caller can count them.
     """
-    reader = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    # one path per array file: bounded by the file listing that the driver holds anyway
+    arrays = [r["p"] for r in lines.where(F.trim("value") == "[").select(F.col("_metadata.file_path").alias("p")).distinct().collect()]
     if schema is not None:
         schema = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
-        schema = schema.add("_corrupt_record", T.StringType())
-        reader = reader.schema(schema)
-    return reader.option("recursiveFileLookup", "true").json(path)
-
-
-def write_json_arrays(df: DataFrame, path: str) -> None:
-    """Write rows as lines that each hold a JSON array of one Arrow batch."""
-    cols = df.columns
+    else:
+        schema = spark.read.option("recursiveFileLookup", "true").json(path).schema
+        schema = T.StructType([x for x in schema.fields if x.name != "_corrupt_record"])
+    schema = schema.add("_corrupt_record", T.StringType())
+    reader = (spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+              .option("recursiveFileLookup", "true"))
+    by_line = reader.json(path)
+    if not arrays:
+        return by_line
+    by_line = by_line.where(~F.col("_metadata.file_path").isin(arrays))
+    return by_line.unionByName(reader.option("multiLine", "true").json(arrays))
+
+
+def write_json_arrays(df: DataFrame, path: str, indent: int = 4) -> None:
+    """Every output file is one indented JSON array; rows stream through, one record ahead of the writer."""
+    pad = " " * indent
 
     def to_lines(batches):
-        import pandas as pd
+        last = None
+        yield pd.DataFrame({"value": ["["]})
         for pdf in batches:
-            if len(pdf):
-                yield pd.DataFrame({"value": [pdf[cols].to_json(orient="records", force_ascii=False)]})
+            rows = pdf["value"].tolist()
+            if last is not None and rows:
+                rows.insert(0, last)
+            if rows:
+                last = rows.pop()
+                yield pd.DataFrame({"value": [f"{pad}{r}," for r in rows]}, dtype="object")
+        yield pd.DataFrame({"value": [f"{pad}{last}", "]"] if last is not None else ["]"]})
 
-    df.mapInPandas(to_lines, "value string").write.mode("errorifexists").text(path)
+    rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value"))
+    rows.mapInPandas(to_lines, "value string").write.mode("errorifexists").text(path)
 
 
-def write_shards(df: DataFrame, path: str, by: str = "client_id", fmt: str = "json", mode: str = "errorifexists") -> None:
-    """One folder per shard value (``partitionBy``), one pass over the data."""
-    df.write.mode(mode).partitionBy(by).format(fmt).save(path)
+def write_shards(df: DataFrame, path: str, by: str = "client_id", fmt: str = "json", mode: str = "errorifexists",
+                 files_per_shard: int = 8) -> None:
+    """One folder per shard value (``partitionBy``), at most ``files_per_shard`` files in each.
+
+    Rows of a shard spread over that many salts, so neither does a shard get
+    a file from every task, nor a large shard one task alone.
+    """
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files_per_shard))
+    df.repartition(F.col(by), salt).write.mode(mode).partitionBy(by).format(fmt).save(path)
 
 
 def write_once(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from synthweave.sources.tables import load
 
+TURNS = 1 << 20  # pair id = conv_id * TURNS + turn: distinct for conversations of up to a million turns
+
 
 def v_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user turn, next assistant turn) pairs of ``conversations``.
@@ -26,7 +28,7 @@ def v_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = conv.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
     return (users.join(answers, ["conv_id", "turn"], "inner")
-            .select((F.col("conv_id") * 100 + F.col("turn")).alias("row_id"),
+            .select((F.col("conv_id") * TURNS + F.col("turn")).alias("row_id"),
                     "conv_id", "instruction", "response"))
 
 
@@ -106,7 +108,7 @@ def v_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v_medical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Medical layout (Description, Patient, Doctor) over the pairs view."""
     p = v_pairs(spark, sf_dir)
-    return p.select("row_id", F.substring("instruction", 1, 40).alias("Description"),
+    return p.select("row_id", F.col("instruction").alias("Description"),
                     F.col("instruction").alias("Patient"), F.col("response").alias("Doctor"))
 
 
@@ -125,3 +127,12 @@ def v_raw_gen(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(F.concat(F.lit("##instruction: "), F.col("instruction"), F.lit(" ##output: "),
                                 F.col("response"), F.lit(" ##instruction: again"))))
     return p.select(F.col("row_id").alias("round_id"), text.alias("text"))
+
+
+def v_losses(spark: SparkSession, sf_dir: str, participants: DataFrame, glob: DataFrame) -> DataFrame:
+    """A training loss for every participant and round: the mean absolute
+    distance of its update from the global model, decayed by round."""
+    return (participants.join(v_updates(spark, sf_dir).drop("round"), "client_id")
+            .join(glob.withColumnRenamed("value", "g"), ["key", "pos"])
+            .groupBy("round", "client_id")
+            .agg((F.avg(F.abs(F.col("value") - F.col("g"))) / (F.col("round") + 1)).alias("loss")))

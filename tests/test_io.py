@@ -1,5 +1,6 @@
 """Sources, sinks and the streaming runner."""
 
+import json
 import os
 
 import pytest
@@ -59,3 +60,25 @@ def test_stream_matches_batch(spark, sf):
     streamed = spark.read.parquet(os.path.join(root, "out"))
     batch = X.parse_pair(raw).select("round_id", "instruction", "output")
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
+
+
+def test_indented_arrays_round_trip(spark):
+    root = IO.scratch(spark, "t_arrays")
+    df = spark.range(25).selectExpr("id AS row_id", "concat('line ', id, '\\n\"x\"') AS instruction").repartition(3)
+    IO.write_json_arrays(df, os.path.join(root, "arrays"))
+    df.selectExpr("row_id + 100 AS row_id", "instruction").write.json(os.path.join(root, "lines"))
+    for name in os.listdir(os.path.join(root, "arrays")):
+        if name.startswith("part-"):
+            with open(os.path.join(root, "arrays", name)) as f:
+                assert isinstance(json.load(f), list)
+    back = IO.scan_mixed_json(spark, root, "row_id long, instruction string").cache()
+    assert back.where("_corrupt_record IS NOT NULL").count() == 0
+    assert {r["row_id"] for r in back.collect()} == {*range(25), *range(100, 125)}
+
+
+def test_long_conversations_and_replicates_keep_distinct_keys(spark, tmp_path):
+    turns = spark.range(300).selectExpr("id DIV 150 AS conv_id", "CAST(id % 150 AS INT) AS turn",
+                                        "if(id % 2 = 0, 'user', 'assistant') AS role", "'t' AS text")
+    turns.write.parquet(str(tmp_path / "conversations.parquet"))
+    pairs = V.v_pairs(spark, str(tmp_path))
+    assert pairs.count() == pairs.select("row_id").distinct().count() == 150

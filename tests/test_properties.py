@@ -133,3 +133,42 @@ def test_client_draw_rules(spark):
     per_round = {r["round"]: r["count"] for r in drawn.groupBy("round").count().collect()}
     assert set(per_round.values()) == {4} and len(per_round) == 50
     assert drawn.select("client_id").distinct().count() == 10               # every client gets drawn somewhere
+
+
+def test_system_message_reaches_every_conversation(spark):
+    from synthweave.operators import chat as C
+    conv = spark.createDataFrame([(1, 0, "system", "old"), (1, 1, "user", "a"), (2, 0, "user", "b"), (2, 1, "assistant", "c")],
+                                 "conv_id long, turn int, role string, text string")
+    rows = sorted(tuple(r) for r in C.set_system_message(conv, "new").collect())
+    assert rows == [(1, 0, "system", "new"), (1, 1, "user", "a"), (2, -1, "system", "new"), (2, 0, "user", "b"), (2, 1, "assistant", "c")]
+    messages = {(r["conv_id"], r["sys_text"]) for r in C.messages(C.set_system_message(conv, "new")).collect()}
+    assert messages == {(1, "new"), (2, "new")}
+
+
+def test_one_token_trigram_bleu_is_the_brevity_penalty(spark):
+    import math
+
+    from synthweave.operators import bleu as B
+    df = spark.createDataFrame([(1, "a", "a b"), (2, "a", "b"), (3, "a\u00a0b\u3000c", "a b c")], "k long, h string, r string")
+    out = {r["k"]: r["bleu3"] for r in B.trigram_bleu(df.select("k", B.tokens("h").alias("hyp"), B.tokens("r").alias("ref")), ["k"]).collect()}
+    assert math.isclose(out[1], math.exp(-1)) and out[2] == 0.0 and math.isclose(out[3], 1.0)
+
+
+def test_moments_do_not_cancel_and_ignore_partitioning(spark):
+    import numpy as np
+
+    from synthweave.operators import distance as D
+    x = np.random.default_rng(5).normal(size=(500, 3)) + 1e8
+    df = spark.createDataFrame([(i % 2, r.tolist()) for i, r in enumerate(x)], "side int, embedding array<double>")
+    for parts in (1, 7):
+        got = {(r["side"], r["i"], r["j"]): r["cov"] for r in D.moments(df.repartition(parts))[1].collect()}
+        for s in (0, 1):
+            want = np.cov(x[s::2], rowvar=False)
+            assert all(abs(got[s, i, j] - want[i, j]) < 1e-6 for i in range(3) for j in range(3))
+
+
+def test_model_factory_runs_in_the_task(spark):
+    from synthweave.operators import generate as G
+    df = spark.range(10).selectExpr("id AS row_id", "concat('p', id) AS prompt")
+    out = G.generate(df, factory=lambda: (lambda s: s.str.upper()))
+    assert {r["generation"] for r in out.collect()} == {f"P{i}" for i in range(10)}
