@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -71,3 +72,16 @@ def materialize(df):
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df):
+    """Write ``df`` once as Parquet in the shared checkpoint folder and read it back.
+
+    Cuts lineage as ``materialize`` does; a reader prunes columns, small files
+    share a task, and the planner knows the table's size.  Column names must
+    differ and have types.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
