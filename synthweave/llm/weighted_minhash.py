@@ -13,7 +13,8 @@ that shares most buckets with most others (in a group of copies of one
 original that is the original or its closest copy), and every member is
 compared with it.  Members of the head's component then leave the bucket;
 the rest elect a head of their own, round by round, until a round adds no
-link anywhere.  A round costs one comparison per member, so
+link anywhere.  After the first round only members, texts and components that
+the round concerns are read or joined.  A round costs one comparison per member, so
 thousands of copies cost thousands of comparisons.  Two texts that are alike
 where neither is like the head share samples that the head does not have,
 and so meet in buckets without it.
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from synthweave.llm.arrow_words import Words, mix, packed_pieces, packed_texts, pieces, rolling, small_batches, unpack, word_hashes, words
-from synthweave.session import materialize
+from synthweave.session import stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -199,21 +200,26 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round takes the least label among neighbours, then jumps to the
     label's own label, so long chains shrink geometrically.  Rounds are cut
-    by reliable checkpoints and end when no label changes.
+    by stored tables and end when no label changes.
     """
-    edges = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    labels = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component"))
-    labels = materialize(labels)
+    edges = stored(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
+    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
     while True:
         near = (edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near")))
         step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         up = step.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        new = materialize(step.join(up, "component").select("node", "old", F.least("component", "up").alias("component")))
+        new = stored(step.join(up, "component").select("node", "old", F.least("component", "up").alias("component")))
         labels = new.select("node", "component")
-        if new.where("old <> component").limit(1).count() == 0:
+        if new.where("old <> component").isEmpty():
             return labels
 
 
+def relabelled(df: DataFrame, column: str, moved: DataFrame) -> DataFrame:
+    """``df`` with the components of ``column`` replaced where ``moved`` (old as ``node``, new as ``component``) has them."""
+    to = moved.select(F.col("node").alias(column), F.col("component").alias("moved_to"))
+    return df.join(to, column, "left").withColumn(column, F.coalesce("moved_to", column)).drop("moved_to")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``(key, node, class_id, class_size, kept)`` of every row.
 
@@ -223,39 +229,45 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     """
     base = small_batches(df).select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("node"), F.col(f"`{text}`").alias("text"))
     table, docs = document_frequencies(base)
-    rows = materialize(signatures(base, table, docs))
+    rows = stored(signatures(base, table, docs))
     nodes = rows.where(F.size("bands") > 0).groupBy("node").agg(*[F.first(c).alias(c) for c in ("bands", "bits", "weight")])
     members = nodes.select(F.explode("bands").alias("bucket"), "node", "bits", "weight")
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     crowded = members.join(sizes, "bucket")
     shared = crowded.groupBy("node").agg(F.sum("n").alias("score"))
-    left = materialize(crowded.drop("n").join(shared, "node"))             # members of buckets with company
-    texts = materialize(packed_texts(base.join(left.select("node").distinct(), "node", "left_semi")))
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        return materialize(similar_pairs(pairs, texts, table, docs, threshold))
+    left = stored(crowded.drop("n").join(shared, "node").withColumn("component", F.col("node")))      # members of buckets with company
+    texts = stored(packed_texts(base.join(left.select("node").distinct(), "node", "left_semi")))
 
     ratio = F.least("weight", "head.weight") >= threshold * F.greatest("weight", "head.weight") * (1 - 1e-9)
     may_be_like = ratio & (F.bit_count(F.col("bits").bitwiseXOR(F.col("head.bits"))) <= MOST_UNLIKE_BITS)
-    links, compared, found = None, None, None
+    side = lambda pick: pick(F.struct("node", "component"), F.struct("head.node", F.col("head_component").alias("component")))
+    found = df.sparkSession.createDataFrame([], "node bigint, component bigint")
+    compared = None
     while True:
-        heads = left.groupBy("bucket").agg(F.max(F.struct("score", "node", "bits", "weight")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        led = materialize(left.join(heads.select("bucket", "head"), "bucket").where("node <> head.node"))
-        pairs = led.where(may_be_like).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
-        pairs = materialize(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"))
-        new = alike(pairs).select("a", "b")
-        links, compared = (new, pairs) if links is None else (links.union(new), compared.union(pairs))
-        gained = new.limit(1).count() > 0
-        if found is None or gained:
-            found = components(links)
-        if not gained:
+        heads = (left.groupBy("bucket").agg(F.max(F.struct("score", "node", "bits", "weight", "component")).alias("head"), F.count(F.lit(1)).alias("n"))
+                 .where("n > 1").select("bucket", "head", F.col("head.component").alias("head_component")))
+        led = stored(left.join(heads, "bucket").where("component <> head_component"))
+        pairs = (led.where(may_be_like).select(side(F.least).alias("x"), side(F.greatest).alias("y"))
+                 .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.component").alias("component_a"), F.col("y.component").alias("component_b"))
+                 .dropDuplicates(["a", "b"]))
+        pairs = stored(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            break
+        if compared is not None:                                          # a few texts only, after the first round
+            nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+            near = stored(texts.join(nodes, "node", "left_semi"))
+        else:
+            near = texts
+        links = stored(similar_pairs(pairs, near, table, docs, threshold))
+        if links.isEmpty():
             break
-        mine = led.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        theirs = found.select(F.col("node").alias("head_node"), F.col("component").alias("head_component"))
-        left = materialize(mine.join(theirs, F.col("head.node") == F.col("head_node"), "left")
-                           .where(F.col("component") != F.coalesce("head_component", "head.node"))
-                           .select("bucket", "node", "bits", "weight", "score"))
-    tagged = (rows.select("id", "node", (F.size("bands") > 0).alias("has_words")).join(found, "node", "left")
+        merged = pairs.join(links.select("a", "b"), ["a", "b"]).select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))
+        moved = components(merged)                                        # of old components
+        found = stored(relabelled(found, "component", moved).unionByName(moved.join(found, "node", "left_anti")))
+        compared = pairs.select("a", "b") if compared is None else compared.union(pairs.select("a", "b"))
+        left = stored(relabelled(relabelled(led, "component", moved), "head_component", moved).where("component <> head_component")
+                      .select("bucket", "node", "bits", "weight", "score", "component"))
+    tagged = (rows.select("id", "node", (F.col("weight") > 0).alias("has_words")).join(found, "node", "left")
               .withColumn("component", F.coalesce("component", "node")))
     classes = (tagged.where("has_words").groupBy("component")
                .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("best"), F.count(F.lit(1)).cast("bigint").alias("class_size")))
