@@ -281,9 +281,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows with one of each class left; all columns kept.  Rows equal in key and text are one row; texts without words all stay."""
-    classes = near_duplicates(df, key, text).where("kept").select(F.col(key).alias("dedup_id"), F.col("node").alias("dedup_node")).distinct()
-    tagged = df.withColumn("dedup_own", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    wordless = F.regexp_replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), r"[\x20\x09-\x0D]+", "") == ""
-    kept = tagged.join(classes, (F.col("dedup_own") == F.col("dedup_node")) & F.col(f"`{key}`").eqNullSafe(F.col("dedup_id")), "left_semi")
-    once = kept.where(~wordless).dropDuplicates(["dedup_own", key])
-    return once.unionByName(kept.where(wordless)).select(*[F.col(f"`{c}`") for c in df.columns])
+    own = ["dedup_own", "dedup_id"]                                        # null ids are equal inside a struct
+    classes = near_duplicates(df, key, text).where("kept").select(F.col("node").alias("dedup_own"), F.struct(key).alias("dedup_id"))
+    worded = F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    tagged = df.where(worded).withColumns({"dedup_own": F.xxhash64(text), "dedup_id": F.struct(key)})
+    once = tagged.join(classes, own, "left_semi").dropDuplicates(own)      # grouped as joined: texts are shuffled once
+    return once.select(*[F.col(f"`{c}`") for c in df.columns]).unionByName(df.where(~worded))
