@@ -197,8 +197,8 @@ def joined_words(w: Words, i: int, keep: np.ndarray | None = None) -> bytes:
     return b" ".join(found)
 
 
-def packed_texts(texts: DataFrame) -> DataFrame:
-    """Distinct texts of ``(node, text)`` as ``(node, packed)``, compressed before they are shuffled."""
+def packed_texts(texts: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Distinct texts of ``(node, text)`` as ``(node, packed)``, compressed before they are shuffled, once; of the nodes in ``only``, if given."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
@@ -207,7 +207,10 @@ def packed_texts(texts: DataFrame) -> DataFrame:
             packed = [len(r).to_bytes(8, "little") + codec.compress(r, asbytes=True) for r in raw]
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(packed, pa.binary())], ["node", "packed"])
 
-    return texts.select("node", "text").mapInArrow(run, "node bigint, packed binary").groupBy("node").agg(F.first("packed").alias("packed"))
+    packed = texts.select("node", "text").mapInArrow(run, "node bigint, packed binary")
+    if only is not None:
+        packed = packed.join(only.select("node").hint("merge"), "node", "left_semi")
+    return packed.groupBy("node").agg(F.first("packed").alias("packed"))
 
 
 def packed_pieces(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[pa.RecordBatch]:

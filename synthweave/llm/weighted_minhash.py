@@ -192,7 +192,8 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, table: np.ndarray, docs: i
             yield pa.RecordBatch.from_arrays([piece.column(0).filter(hit), piece.column(1).filter(hit), pa.array(like).filter(hit)], ["a", "b", "similarity"])
 
     left, right = texts.select(F.col("node").alias("a"), F.col("packed").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("packed").alias("text_b"))
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a bigint, b bigint, similarity double")
+    # packed texts look small to the planner: merged at every size, never broadcast
+    return pairs.select("a", "b").join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a bigint, b bigint, similarity double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -236,7 +237,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     crowded = members.join(sizes, "bucket")
     shared = crowded.groupBy("node").agg(F.sum("n").alias("score"))
     left = stored(crowded.drop("n").join(shared, "node").withColumn("component", F.col("node")))      # members of buckets with company
-    texts = stored(packed_texts(base.join(left.select("node").distinct(), "node", "left_semi")))
+    texts = stored(packed_texts(base, left.select("node").distinct()))
 
     ratio = F.least("weight", "head.weight") >= threshold * F.greatest("weight", "head.weight") * (1 - 1e-9)
     may_be_like = ratio & (F.bit_count(F.col("bits").bitwiseXOR(F.col("head.bits"))) <= MOST_UNLIKE_BITS)
