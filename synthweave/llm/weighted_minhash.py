@@ -15,9 +15,13 @@ compared with it.  Members of the head's component then leave the bucket;
 the rest elect a head of their own, round by round, until a round adds no
 link anywhere.  After the first round only members, texts and components that
 the round concerns are read or joined.  A round costs one comparison per member, so
-thousands of copies cost thousands of comparisons.  Two texts that are alike
-where neither is like the head share samples that the head does not have,
-and so meet in buckets without it.
+thousands of copies cost thousands of comparisons.
+
+Rounds only thin the work out.  The texts of every bucket that then still
+holds two components or more are searched once again, exactly: by a weighted
+prefix filter on their rarest shingles (``prefixes``, ``crossing_pairs``),
+which drops no link between two components, and the check of one-bit samples
+that the rounds use, too (``MOST_UNLIKE_BITS``).
 
 Document frequencies are summed over all documents in ``2 ** DF_BITS`` hash
 buckets -- a fixed size, so the table can be broadcast; shingles that share
@@ -47,6 +51,8 @@ SAMPLES = BANDS * ROWS
 DF_BITS = 18
 IDF_STRENGTH = 0.5      # weights run from 1 (in every document) to 1.5 (in one)
 MOST_UNLIKE_BITS = 22   # of SAMPLES one-bit samples; a pair at 0.8 differs in 6.4 on average (deviation 2.4)
+SLACK = 1e-7            # of bounds on sums of weights, for rounding
+LIST_PART = 1000        # entries of one shingle that a task pairs with the whole list
 _U = np.uint64
 _TABLE_BITS = 16
 
@@ -196,6 +202,76 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, table: np.ndarray, docs: i
     return pairs.select("a", "b").join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a bigint, b bigint, similarity double")
 
 
+def prefixes(active: DataFrame, table: np.ndarray, docs: int, threshold: float = THRESHOLD) -> DataFrame:
+    """``(shingle, node, component, bits, weight, rest)`` for the rarest shingles of ``(node, component, bits, packed)``.
+
+    Shingles are ordered by document frequency, then hash; ``rest`` is the
+    text's weight from the shingle on.  Two texts share at most the ``rest``
+    of their first common shingle, and must share ``threshold`` times the
+    heavier one's weight, so later shingles are left out.
+    """
+    sent = active.sparkSession.sparkContext.broadcast((table, docs))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = Weights(*sent.value)
+        for piece in packed_pieces(batches, "packed"):
+            doc, value, tf = shingles(words(unpack(piece.column(3))))
+            weight = weights.of(value, tf)
+            total = np.bincount(doc, weights=weight, minlength=piece.num_rows)
+            order = np.lexsort((value, sent.value[0][(value >> weights.shift).astype(np.int64)], doc))
+            doc, value, weight = doc[order], value[order], weight[order]
+            before = np.cumsum(weight) - weight
+            first = np.searchsorted(doc, np.arange(piece.num_rows))
+            rest = total[doc] - (before - before[first[doc]])
+            keep = rest >= total[doc] * threshold * (1 - SLACK)
+            of = pa.array(doc[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(value[keep].view(np.int64)), *(piece.column(i).take(of) for i in range(3)),
+                                              pa.array(total[doc[keep]]), pa.array(rest[keep])], ["shingle", "node", "component", "bits", "weight", "rest"])
+
+    return (active.select("node", "component", "bits", "packed")
+            .mapInArrow(run, "shingle bigint, node bigint, component bigint, bits bigint, weight double, rest double"))
+
+
+def crossing_pairs(entries: DataFrame, threshold: float = THRESHOLD, group: int = LIST_PART) -> DataFrame:
+    """``(a, b, component_a, component_b)``: all pairs from two components that may reach the threshold.
+
+    A pair needs ``threshold / (1 + threshold)`` of both weights together in
+    common, and so as much ``rest`` at its first common shingle, on either
+    side: the lighter text within its first ninth (at 0.8), the heavier within
+    its first fifth.  Texts of one component are never paired: a shingle's
+    list is joined as one row for each component, scale of weight and part of
+    the list, and the parts of long lists are spread over tasks.  The bits are
+    checked as in the rounds.
+    """
+    most = F.col("rest") * ((1 + threshold) / threshold * (1 + SLACK)) - F.col("weight")      # of the other text's weight
+    light = F.max(F.col("most") >= F.col("weight"))
+    scale = F.floor(F.log("weight") / (math.log(1 / threshold) * (1 + 1e-3))).cast("int")     # a pair's differ by one at most
+    entries = entries.withColumn("most", most)
+    lists = (entries.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), light.alias("light"), F.count(F.lit(1)).alias("n"))
+             .where("low <> high and light").select("shingle", F.ceil(F.col("n") / group).cast("int").alias("parts")))
+    rows = (entries.join(lists, "shingle").withColumns({"part": F.expr("cast(pmod(xxhash64(node), parts) as int)"), "scale": scale})
+            .groupBy("shingle", "part", "scale", "component").agg(F.first("parts").alias("parts"), light.alias("light"),
+                                                                  F.collect_list(F.struct("weight", "node", "most", "bits")).alias("texts")))
+    rows = stored(rows)
+    one = rows.where("light").select("shingle", "part", "scale", F.col("component").alias("c"),
+                                     F.filter("texts", lambda t: t["most"] >= t["weight"]).alias("lighter"))
+    other = (rows.select("shingle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "scale", F.col("component").alias("d"), F.col("texts").alias("heavier"))
+             .select("shingle", "part", F.explode(F.array("scale", F.col("scale") - 1)).alias("scale"), "d", "heavier"))
+
+    def may_be_like(x: Column, y: Column) -> Column:
+        order = (x["weight"] < y["weight"]) | ((x["weight"] == y["weight"]) & (x["node"] < y["node"]))
+        return order & (y["weight"] <= x["most"]) & (x["weight"] <= y["most"]) & (F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= MOST_UNLIKE_BITS)
+
+    met = (one.hint("merge").join(other, ["shingle", "part", "scale"]).where("c <> d")
+           .select("c", "d", F.explode(F.flatten(F.transform("lighter", lambda x: F.transform(
+               F.filter("heavier", lambda y: may_be_like(x, y)), lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("pair"))
+           .select("c", "d", "pair.x", "pair.y"))
+    first = F.col("x.node") < F.col("y.node")
+    return (met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"),
+                       F.when(first, F.col("c")).otherwise(F.col("d")).alias("component_a"), F.when(first, F.col("d")).otherwise(F.col("c")).alias("component_b"))
+            .dropDuplicates(["a", "b"]))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(node, component)`` of every linked node: the least node that it reaches.
 
@@ -221,6 +297,13 @@ def relabelled(df: DataFrame, column: str, moved: DataFrame) -> DataFrame:
     return df.join(to, column, "left").withColumn(column, F.coalesce("moved_to", column)).drop("moved_to")
 
 
+def with_links(found: DataFrame, pairs: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``found`` with the components of linked pairs joined, and the components that moved."""
+    merged = pairs.join(links.select("a", "b"), ["a", "b"]).select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))
+    moved = components(merged)                                            # of old components
+    return stored(relabelled(found, "component", moved).unionByName(moved.join(found, "node", "left_anti"))), moved
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``(key, node, class_id, class_size, kept)`` of every row.
 
@@ -238,6 +321,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     shared = crowded.groupBy("node").agg(F.sum("n").alias("score"))
     left = stored(crowded.drop("n").join(shared, "node").withColumn("component", F.col("node")))      # members of buckets with company
     texts = stored(packed_texts(base, left.select("node").distinct()))
+    met = left.select("bucket", "node", "bits")
 
     ratio = F.least("weight", "head.weight") >= threshold * F.greatest("weight", "head.weight") * (1 - 1e-9)
     may_be_like = ratio & (F.bit_count(F.col("bits").bitwiseXOR(F.col("head.bits"))) <= MOST_UNLIKE_BITS)
@@ -262,12 +346,20 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
         links = stored(similar_pairs(pairs, near, table, docs, threshold))
         if links.isEmpty():
             break
-        merged = pairs.join(links.select("a", "b"), ["a", "b"]).select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))
-        moved = components(merged)                                        # of old components
-        found = stored(relabelled(found, "component", moved).unionByName(moved.join(found, "node", "left_anti")))
+        found, moved = with_links(found, pairs, links)
         compared = pairs.select("a", "b") if compared is None else compared.union(pairs.select("a", "b"))
         left = stored(relabelled(relabelled(led, "component", moved), "head_component", moved).where("component <> head_component")
                       .select("bucket", "node", "bits", "weight", "score", "component"))
+    # every pair that shares a bucket and is not in one component by now: searched exactly
+    met = met.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = met.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    active = stored(met.join(mixed, "bucket").select("node", "component", "bits").distinct())
+    entries = stored(prefixes(texts.join(active, "node"), table, docs, threshold))
+    pairs = stored(crossing_pairs(entries, threshold))
+    if not pairs.isEmpty():
+        links = stored(similar_pairs(pairs, texts, table, docs, threshold))
+        if not links.isEmpty():
+            found, _ = with_links(found, pairs, links)
     tagged = (rows.select("id", "node", (F.col("weight") > 0).alias("has_words")).join(found, "node", "left")
               .withColumn("component", F.coalesce("component", "node")))
     classes = (tagged.where("has_words").groupBy("component")

@@ -1,6 +1,8 @@
 """The operators against brute force, and on nulls, empty and clashing inputs."""
 
+import itertools
 import math
+from collections import Counter
 
 import duckdb
 import public_tokenizers
@@ -99,6 +101,44 @@ def test_near_duplicates(docs):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "4", "5", "None", "7", "8"])
 
 
+def shared_passage(n=150, pairs=40):
+    """Texts around one long passage, just under the threshold with one another, and copies of some just over it."""
+    passage = " ".join(f"s{j}" for j in range(300))
+    own = lambda i, at, to: " ".join(f"t{i}x{j}" for j in range(at, to))
+    texts = [(i, f"{passage} {own(i, 0, 30)}") for i in range(n)]
+    return texts + [(1000 + i, f"{passage} {own(i, 0, 7)} {own(1000 + i, 7, 30)}") for i in range(pairs)]
+
+
+def brute_classes(texts, threshold=weighted_minhash.THRESHOLD):
+    """The least id of every text's class, by all pairs."""
+    held = brute.shingle_weights(texts, lambda g: 1)
+    df = Counter(g for t in held.values() for g in t)
+    w = brute.shingle_weights(texts, lambda g: 1 + weighted_minhash.IDF_STRENGTH * math.log((len(texts) + 1) / (df[g] + 1)) / math.log(len(texts) + 1))
+    least = {i: i for i, _ in texts}
+    for a, b in itertools.combinations(sorted(least), 2):
+        if least[a] != least[b] and brute.weighted_jaccard(w[a], w[b]) >= threshold:
+            least = {i: min(least[a], least[b]) if c in (least[a], least[b]) else c for i, c in least.items()}
+    return least
+
+
+def test_near_duplicates_in_a_shared_passage_family(spark):
+    texts = shared_passage()
+    want = brute_classes(texts)
+    assert len(set(want.values())) == 150 and all(want[1000 + i] == i for i in range(40))
+    got = weighted_minhash.near_duplicates(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == want
+
+
+def test_crossing_pairs_of_long_lists(spark):
+    """Lists over the part size are spread; no pair of two components may get lost, none of one be told."""
+    entries = [(1, i, i % 7, 0, 10.0 + i % 3, 10.0) for i in range(50)] + [(2, i, 0, 0, 10.0, 10.0) for i in range(50)]
+    df = spark.createDataFrame(entries, "shingle bigint, node bigint, component bigint, bits bigint, weight double, rest double")
+    small, large = (rows(weighted_minhash.crossing_pairs(df, 0.8, group)) for group in (4, 1000))
+    like = lambda a, b: 10.0 >= 0.8 / 1.8 * (20.0 + a % 3 + b % 3)
+    want = {(a, b) for a, b in itertools.combinations(range(50), 2) if a % 7 != b % 7 and like(a, b)}
+    assert small == large and {(a, b) for a, b, *_ in small} == want and len(small) == len(want)
+
+
 def test_nearest(spark):
     vectors = [(i, [float((i * 7 + j * j) % 13), float(i % 5), float((i * j) % 11), 1.0]) for i in range(300) for j in [i % 17]]
     vectors += [(1000, None), (1100, [0.0] * 4), (1200, [1.0, None, 2.0, 3.0]), (1300, [float("nan")] * 4)]
