@@ -2,9 +2,9 @@
 
 One pass over the whole texts finds candidate spans; the hashes of their
 values are aggregated over the corpus by distinct repositories and owners.
-A value that several owners hold is a widely copied example; a value of one
-owner that looks random is a live credential.  Base kinds are always
-reported; tokens of the wider kinds are added only where they look live.
+A value that several owners hold is a widely copied example; a value of
+fewer owners that looks random is a live credential.  Base kinds are always
+reported; tokens of the wider kinds are added only where they are live.
 
 Offsets are code points, ends exclusive.  A null or empty text has no spans.
 Null owners and repositories count as one owner and one repository of their
@@ -40,6 +40,7 @@ WIDER = {
     "random": re.compile(r"[A-Za-z0-9+/_=-]{20,}"),
 }
 KINDS = (*BASE, *WIDER)
+PREFIXED = ("provider", "jwt")      # named by a prefix: the entropy alone tells
 EXAMPLE_OWNERS = 3      # a value held by as many owners is a copied example
 MIN_ENTROPY = 3.5       # bits per character of a live-looking value
 
@@ -79,7 +80,9 @@ def find_spans(text: str, runs: bool = True) -> list[tuple[str, int, int, str, b
     base = [(s, e) for _, s, e, _, _ in out]
     for kind, pattern in WIDER.items():
         for m in pattern.finditer(text):
-            if looks_random(m[0]) and not any(s < m.end() and m.start() < e for s, e in base):
+            prefixed = kind in PREFIXED and not text[max(m.start() - 1, 0):m.start()].isalnum()      # not risk-, task-
+            random = entropy(m[0]) >= MIN_ENTROPY if prefixed else looks_random(m[0])
+            if random and not any(s < m.end() and m.start() < e for s, e in base):
                 out.append((kind, m.start(), m.end(), m[0], True))
                 base.append((m.start(), m.end()))
     return out
@@ -139,8 +142,8 @@ def scan(df: DataFrame, key: str = "doc_id", owner: str = "source", repo: str |
 
     ``verdict`` is ``example`` (held by ``example_owners`` or more), ``live``
     (fewer owners, looks random) or ``unclear``.  Base spans are all kept;
-    those of the wider kinds only if live and held by one owner.  Without a
-    repository column each key is a repository.
+    those of the wider kinds only if live.  Without a repository column each
+    key is a repository.
     """
     cols = list(dict.fromkeys([key, owner, *([repo] if repo else []), text]))
     found = materialize(candidates(df.select(*cols), text).withColumn("rid", F.monotonically_increasing_id()))
@@ -149,7 +152,7 @@ def scan(df: DataFrame, key: str = "doc_id", owner: str = "source", repo: str |
     verdict = F.when(F.col("owners") >= example_owners, "example").when(F.col("s.live"), "live").otherwise("unclear")
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("s.kind")).cast("int")
     told = (one.join(stats, "hash").withColumn("verdict", verdict)
-            .where(F.col("s.kind").isin(*BASE) | ((F.col("verdict") == "live") & (F.col("owners") == 1)))
+            .where(F.col("s.kind").isin(*BASE) | (F.col("verdict") == "live"))
             .groupBy("rid").agg(F.array_sort(F.collect_list(F.struct(
                 F.col("s.start").alias("start"), order.alias("rank"), F.col("s.end").alias("end"),
                 F.col("s.kind").alias("kind"), "owners", "repos", "verdict"))).alias("spans")))
