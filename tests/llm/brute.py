@@ -34,6 +34,21 @@ def substring_dedup(rows, window=35):
     return out
 
 
+def later_bytes(rows, window):
+    """Bytes covered by a string that starts earlier; ids in order, null ids last."""
+    seen, out = set(), []
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        raw = (t or "").encode()
+        gone = [False] * len(raw)
+        for p in range(len(raw) - window + 1):
+            if raw[p:p + window] in seen:
+                gone[p:p + window] = [True] * window
+            seen.add(raw[p:p + window])
+        runs = sum(g and not b for g, b in zip(gone, [False, *gone]))
+        out.append((i, len(raw), sum(gone), runs, sha(bytes(b for b, g in zip(raw, gone) if not g))))
+    return out
+
+
 def bpe(rows, path, pattern):
     import tiktoken
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
