@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synthweave.llm import (byte_bpe, language_id, mixing, multi_index, quality_rules, secrets_scan, sharding,
-                            substring_dedup, suffix_array_dedup, url_filter, weighted_minhash)
+from synthweave.llm import (byte_bpe, collocations, language_id, mixing, multi_index, quality_rules, secrets_scan, sharding,
+                            substring_dedup, suffix_array_dedup, url_filter, weighted_minhash, whitening)
 from synthweave.sources.tables import load
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -80,6 +80,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats_digest(load(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's 32 whitened components."""
+    return whitening.whitened(load(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 best phrases of two or three words."""
+    return collocations.collocations(load(spark, sf_dir, "documents"))
+
+
 def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that earlier 100-byte strings cover, and a hash of those left."""
     return suffix_array_dedup.remove_later_digest(load(spark, sf_dir, "documents"))
@@ -88,6 +98,7 @@ def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_multi_index, op2_url_filter, op3_quality_rules, op4_language_id, op5_sharding, op6_mixing, op7_byte_bpe,
     op8_weighted_minhash, op9_secret_scan, op10_substring_dedup,
-    op13_suffix_array_dedup)}
+    op11_whitening, op12_collocations, op13_suffix_array_dedup)}
 
-ORACLES = {"op3_quality_rules": quality_rules.oracle_sql(), "op5_sharding": sharding.oracle_sql(), "op6_mixing": mixing.oracle_sql()}
+ORACLES = {"op3_quality_rules": quality_rules.oracle_sql(), "op5_sharding": sharding.oracle_sql(), "op6_mixing": mixing.oracle_sql(),
+           "op12_collocations": collocations.oracle_sql()}
