@@ -10,8 +10,9 @@ Four kinds of evidence are combined as log probabilities of each language:
   domain, the domain towards the suffix and the suffix towards all pages.
 
 The trigram model is fitted on a bounded sample of labelled documents
-(``TRAIN_DOCS``, chosen by hash); every other count is a grouped aggregation
-over all pages.  A page never counts towards its own prior.
+(about ``TRAIN_DOCS`` rows, chosen by the hash of their ids; more only where
+many rows share an id); every other count is a grouped aggregation over all
+pages.  A page never counts towards its own prior.
 
 Null or empty markup has no text evidence and is decided by the rest; a null
 url has the empty host.  Repeated rows are judged alike.  An empty table of
@@ -36,7 +37,8 @@ TRAIN_DOCS = 8_000
 BUCKETS = 1 << 14
 TEMPER = 30.0          # a text speaks with the weight of so many trigrams at most
 PRIOR_WEIGHT = 5.0     # pages that a parent's share counts for
-_TAGS = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+# an element that is never closed reaches to the end, so no opening is searched for its end twice
+_TAGS = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*(?:>|\Z)", re.S | re.I)
 
 
 def _trigrams(buf: np.ndarray) -> np.ndarray:
@@ -59,7 +61,7 @@ def fit_text_model(labelled: DataFrame, text: str = "text", lang: str = "lang",
     total = labelled.count()
     share = min(1.0, docs / max(total, 1))
     picked = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(1_000_000)) < int(share * 1_000_000)
-    rows = labelled.where(picked & F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).limit(2 * docs)
+    rows = labelled.where(picked & F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -105,10 +105,12 @@ def search(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "e
             .select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("vector"), queries.alias("asks")))
     dims = sorted(base.groupBy(F.size("vector").alias("d")).count().collect(), key=lambda r: (-r["count"], r["d"]))
     schema = f"query_id bigint, rank int, `{key}` bigint, score double"
-    if not dims or dims[0]["d"] < 2:
+    if not dims or dims[0]["d"] < 1:
         return spark.createDataFrame([], schema)
     dim = dims[0]["d"]
     base = base.where(F.size("vector") == dim)
+    if dim == 1:                                           # a second half that is 0 everywhere changes no distance
+        dim, base = 2, base.withColumn("vector", F.concat("vector", F.array(F.lit(0.0))))
     # equal vectors: the n + 1 smallest ids stand for all
     digest = F.sha2(F.to_json(F.struct("vector")), 256)
     kept = (base.withColumn("same", digest).dropDuplicates(["id", "same"])

@@ -3,7 +3,8 @@
 ``measured`` adds a struct of whole-text measures, ``judged`` adds the rules a
 row fails.  Everything is row-local (no shuffle).  A null text has no words;
 a text without words has every ratio 0 and fails the length rule; repeated
-rows are judged alike; an empty table gives an empty result.  The input's own
+rows are judged alike; an empty table gives an empty result.  Texts are
+measured whole, however long (no rule has an upper length).  The input's own
 columns are kept aside while measuring, so no name of theirs can clash; a
 column named like the output struct is replaced.
 """
@@ -26,7 +27,7 @@ STOP_WORDS = ("the of and to in that is for on with as was be by "
 
 # rule -> (measure, divided by, smallest, largest); None leaves a side open.
 RULES: dict[str, tuple[str, str | None, float | None, float | None]] = {
-    "length": ("n_words", None, 20, 1_000_000),
+    "length": ("n_words", None, 20, None),
     "word_length": ("word_chars", "n_words", 2.0, 20.0),
     "symbols": ("n_symbols", "n_words", None, 0.3),
     "stop_words": ("n_stop_words", "n_words", 0.02, None),
@@ -128,9 +129,9 @@ def accepted(df: DataFrame, text: str = "text", rules: dict = RULES) -> DataFram
     measuring projections, which would write every array expression out again
     at each of its uses.
     """
-    verdict, number = "quality_verdict", "quality_row"
-    rows = judged(df, text, verdict, rules).withColumn(number, F.monotonically_increasing_id())
-    return rows.where(F.col(f"{verdict}.kept") & (F.col(number) >= 0)).select(*[F.col(f"`{c}`") for c in df.columns])
+    kept = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("own"), F.col(f"`{text}`").alias("text"))
+    rows = judged(kept, "text", "verdict", rules).withColumn("number", F.monotonically_increasing_id())
+    return rows.where(F.col("verdict.kept") & (F.col("number") >= 0)).select("own.*")
 
 
 def oracle_sql(rules: dict = RULES) -> str:

@@ -9,10 +9,13 @@ reported; tokens of the wider kinds are added only where they are live.
 Offsets are code points, ends exclusive.  A null or empty text has no spans.
 Null owners and repositories count as one owner and one repository of their
 own.  Repeated rows are scanned alike.  Empty tables give empty results.
+Texts are scanned whole; the work grows with their length, also where one
+holds thousands of tokens.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -77,17 +80,39 @@ def find_spans(text: str, runs: bool = True) -> list[tuple[str, int, int, str, b
         out += [("access", m.start(), m.end(), m[0], True) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST["access"]]
     for m in re.finditer(f"[0-9a-f]{{{LEAST['hex']},}}", text):
         out.append(("hex", m.start(), m.end(), m[0], entropy(m[0]) >= 3.0))
-    base = [(s, e) for _, s, e, _, _ in out]
+    taken = Taken((s, e) for _, s, e, _, _ in out)
     for kind, pattern in WIDER.items():
         for m in pattern.finditer(text):
             prefixed = kind in PREFIXED and not text[max(m.start() - 1, 0):m.start()].isalnum()      # not risk-, task-
             random = entropy(m[0]) >= MIN_ENTROPY if prefixed else looks_random(m[0])
-            if random and not any(s < m.end() and m.start() < e for s, e in base):
+            if random and taken.take(m.start(), m.end()):
                 out.append((kind, m.start(), m.end(), m[0], True))
-                base.append((m.start(), m.end()))
     return out
 
 
+class Taken:
+    """Disjoint stretches of a text, in order: the union of spans."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def take(self, start: int, end: int) -> bool:
+        """Add a span if it overlaps none."""
+        at = bisect.bisect_right(self.ends, start)
+        if at < len(self.starts) and self.starts[at] < end:
+            return False
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+        return True
+
+
 def _texts_with_runs(texts: pa.Array) -> np.ndarray:
     """Which texts hold a run of at least 19 token characters (every kind but ``assign`` needs one)."""
     texts = _large(texts)
@@ -167,29 +192,43 @@ def span_text(spans: Column, kinds: tuple | None = None) -> Column:
     return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(text: Column, spans: Column, mask: str = "[secret]") -> Column:
-    """The text with the (sorted) spans masked, left to right; a span inside an earlier one is skipped."""
-    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
-
-    def step(state: Column, s: Column) -> Column:
-        before = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        return F.when(s["start"] >= state["at"], F.struct(F.concat(state["done"], before, F.lit(mask)).alias("done"), s["end"].alias("at"))) \
-            .when(s["end"] > state["at"], F.struct(state["done"].alias("done"), s["end"].alias("at"))).otherwise(state)
-
-    return F.when(F.size(spans) == 0, text).otherwise(
-        F.aggregate(spans, start, step, lambda st: F.concat(st["done"], F.substring(text, st["at"] + 1, 2147483647 - 1))))
+def redact(text: str, spans: Iterable[tuple[int, int]], mask: str = "[secret]") -> str:
+    """The text with the (sorted) spans masked, left to right; a span that begins inside an earlier one joins it."""
+    parts, at = [], 0
+    for start, end in spans:
+        if start >= at:
+            parts += [text[at:start], mask]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
 
 
 def redacted(df: DataFrame, key: str = "doc_id", owner: str = "source", text: str = "text") -> DataFrame:
-    """The rows with every span masked but those of widely copied examples; other columns as they were.
+    """The rows with every span masked but those of widely copied examples; other columns as they were, whatever their names.
 
     Rows are matched by the hash of key and text, so null and repeated keys
     are safe (equal rows have equal spans).
     """
-    sid = F.md5(F.concat_ws("\u0000", F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    tagged = df.withColumn("secret_row", sid)
-    found = scan(tagged.select("secret_row", owner, key, text), "secret_row", owner, key, text)
-    masks = (found.select("secret_row", F.filter("spans", lambda s: s["verdict"] != "example").alias("secret_spans"))
-             .where(F.size("secret_spans") > 0).dropDuplicates(["secret_row"]))
-    hit = F.when(F.col("secret_spans").isNotNull(), redact(F.col(f"`{text}`"), F.col("secret_spans"))).otherwise(F.col(f"`{text}`"))
-    return tagged.join(masks, "secret_row", "left").select(*[hit.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
+    col = lambda c: F.col(f"`{c}`")
+    sid = F.md5(F.concat_ws("\u0000", F.coalesce(col(key).cast("string"), F.lit("")), F.coalesce(col(text), F.lit(""))))
+    others = [c for c in df.columns if c != text]
+    # fields by number: rows may have columns of any name
+    tagged = df.select(F.struct(F.lit(0).alias("none"), *[col(c).alias(f"c{i}") for i, c in enumerate(others)]).alias("row"), col(text).alias("text"),
+                       col(key).alias("key"), col(owner).alias("owner"), sid.alias("sid"))
+    found = scan(tagged.select("sid", "owner", "key", "text"), "sid", "owner", "key", "text")
+    masks = (found.select("sid", F.transform(F.filter("spans", lambda s: s["verdict"] != "example"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
+             .where(F.size("spans") > 0).dropDuplicates(["sid"]))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1)
+            hit = np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False)).tolist()
+            if hit:
+                out, spans = texts.to_pylist(), batch.column(2)
+                for i in hit:
+                    out[i] = redact(out[i], [(s["start"], s["end"]) for s in spans[i].as_py()])
+                texts = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["row", "text"])
+
+    rows = tagged.join(masks, "sid", "left").select("row", "text", "spans")
+    masked = small_batches(rows).mapInArrow(run, rows.drop("spans").schema)
+    return masked.select(*[F.col("text").alias(c) if c == text else F.col(f"row.c{others.index(c)}").alias(c) for c in df.columns])

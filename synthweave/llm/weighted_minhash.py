@@ -29,6 +29,8 @@ a bucket share a frequency.  Texts are identified by a 64-bit hash (equal
 texts are one node).  Texts of fewer than five words are one shingle; null
 texts and texts without words are each a class of their own.  Repeated rows
 share a class; null ids are allowed; an empty table gives an empty result.
+Texts are worked on whole, one at a time if long; columns but key and text
+are not read.
 """
 
 from __future__ import annotations
@@ -308,8 +310,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     """``(key, node, class_id, class_size, kept)`` of every row.
 
     ``class_id`` is the least key of the class (null where all keys are);
-    ``kept`` marks the row that represents the class.  ``node`` is the hash
-    of the row's text.
+    ``kept`` marks the row that represents the class, and rows equal to it in
+    key and text.  ``node`` is the hash of the row's text.
     """
     base = small_batches(df).select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("node"), F.col(f"`{text}`").alias("text"))
     table, docs = document_frequencies(base)
@@ -373,10 +375,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
 
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows with one of each class left; all columns kept.  Rows equal in key and text are one row; texts without words all stay."""
-    own = ["dedup_own", "dedup_id"]                                        # null ids are equal inside a struct
-    classes = near_duplicates(df, key, text).where("kept").select(F.col("node").alias("dedup_own"), F.struct(key).alias("dedup_id"))
+    """The rows with one of each class left; all columns kept, whatever their names.
+
+    Rows equal in key and text are one row; texts without words all stay.
+    """
+    ident = F.struct(F.col(f"`{key}`").alias("key"))                       # null ids are equal inside a struct
+    classes = (near_duplicates(df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), "key", "text").where("kept")
+               .select(F.col("node").alias("own"), F.struct("key").alias("ident")))
     worded = F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    tagged = df.where(worded).withColumns({"dedup_own": F.xxhash64(text), "dedup_id": F.struct(key)})
-    once = tagged.join(classes, own, "left_semi").dropDuplicates(own)      # grouped as joined: texts are shuffled once
-    return once.select(*[F.col(f"`{c}`") for c in df.columns]).unionByName(df.where(~worded))
+    tagged = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.xxhash64(F.col(f"`{text}`")).alias("own"), ident.alias("ident"), worded.alias("worded"))
+    # grouped as joined: texts are shuffled once
+    once = tagged.where("worded").join(classes, ["own", "ident"], "left_semi").dropDuplicates(["own", "ident"])
+    return once.select("row.*").unionByName(tagged.where(~F.col("worded")).select("row.*"))
