@@ -15,8 +15,9 @@ block of directions much narrower than the vectors:
    a block as wide as the vectors is exact.
 
 The driver holds the block (dimensions x components), whatever the number of
-rows.  Tasks add up their own rows first and pass on one block each, which is
-summed by slices of dimensions, in order of partitions.
+rows.  Tasks add up their own rows first and pass on one block each; ``ADDERS``
+tasks sum those one by one, in order of partitions, and the driver adds their
+few results.
 
 Rows whose vector is null, empty, or holds null or non-finite entries are
 dropped, and so are those of another length than most (of lengths equally
@@ -41,14 +42,14 @@ from synthweave.llm.arrow_words import small_batches
 from synthweave.session import stored
 
 COMPONENTS = 32
-GUARD = 8               # directions that the block has besides the wanted ones
-DEGREE = 10
-LANCZOS = 10
+GUARD = 16              # directions that the block has besides the wanted ones
+DEGREE = 8
+LANCZOS = 8
 ROUNDS = 6              # before the block grows
 CERTIFIED = 1e-13       # residual norm, of the largest eigenvalue
 GOOD = 1e-10            # residuals that no longer shrink are accepted under this
 FLAT = 1e-12            # eigenvalues under this, of the largest, are no variance
-SLICES = 8
+ADDERS = 4              # tasks that add up the blocks of all others
 
 
 def integer_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -66,11 +67,10 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return x.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
 
 
-def added(rows: DataFrame, part: Callable[[np.ndarray], np.ndarray], slices: int = SLICES) -> np.ndarray | None:
-    """The sum of ``part(x)`` (a float matrix of fixed shape) over blocks ``x`` of all rows; None without rows.
+def added(rows: DataFrame, part: Callable[[np.ndarray], np.ndarray], adders: int = ADDERS) -> np.ndarray | None:
+    """The sum of ``part(x)`` (a float array of fixed shape) over blocks ``x`` of all rows, flat; None without rows.
 
-    One row for each task and slice of the matrix is shuffled, and each
-    slice's are added in order of partitions.
+    One row for each task is shuffled, one for each adder collected.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,26 +81,22 @@ def added(rows: DataFrame, part: Callable[[np.ndarray], np.ndarray], slices: int
                 one = part(_matrix(batch))
                 total = one if total is None else total + one
         if total is not None:
-            cut = np.array_split(total, slices)
-            at = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([at] * slices, pa.int32()),
-                                              pa.array([np.ascontiguousarray(c).tobytes() for c in cut], pa.binary())], ["slice", "task", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([np.ascontiguousarray(total).tobytes()], pa.binary())], ["task", "data"])
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        total, least = None, None
         for batch in batches:
-            for i, _, data in zip(*(c.to_pylist() for c in batch.columns)):
-                values = np.frombuffer(data) if data else np.zeros(0)
-                held[i] = held[i] + values if i in held else values.copy()
-        for i, total in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "data"])
-
-    out = (rows.select("x").mapInArrow(run, "slice int, task int, data binary").repartition("slice").sortWithinPartitions("slice", "task")
-           .mapInArrow(add, "slice int, data binary").toArrow())
+            for task, data in zip(*(c.to_pylist() for c in batch.columns)):
+                values = np.frombuffer(data)
+                total, least = (values.copy(), task) if total is None else (total + values, least)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([least], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["task", "data"])
+
+    schema = "task int, data binary"
+    out = rows.select("x").mapInArrow(run, schema).repartition(adders).sortWithinPartitions("task").mapInArrow(add, schema).toArrow()
     if not out.num_rows:
         return None
-    parts = dict(zip(out.column("slice").to_pylist(), out.column("data").to_pylist()))
-    return np.concatenate([np.frombuffer(parts[i]) for i in range(slices) if parts[i]])
+    return np.sum([np.frombuffer(d) for _, d in sorted(zip(out.column("task").to_pylist(), out.column("data").to_pylist()))], axis=0)
 
 
 @dataclass

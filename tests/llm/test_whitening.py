@@ -42,7 +42,7 @@ def test_against_dense(spark, n, d, decay):
     v = vectors(n, d, decay=decay)
     data = [(i, x) for i, x in enumerate(v.tolist())] + [(9001, None), (9002, []), (9003, [1.0] * (d - 1)), (9004, [float("nan")] * d),
                                                          (9005, [None] + [1.0] * (d - 1)), (9006, [float("inf")] * d)]
-    df = spark.createDataFrame(data, COLS).withColumns({c: F.lit("clash") for c in ("id", "x", "v", "slice", "component")})
+    df = spark.createDataFrame(data, COLS).withColumns({c: F.lit("clash") for c in ("id", "x", "v", "task", "component")})
     check(wh.whitened(df).collect(), list(range(n)), v, min(32, d))
 
 
