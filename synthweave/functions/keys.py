@@ -35,6 +35,12 @@ def hash_bits(*parts, seed) -> Column:
     return F.conv(F.substring(hash_key(*parts, seed=seed), 1, 15), 16, 10).cast("bigint")
 
 
+def hash_order(*parts, seed) -> list[Column]:
+    """:func:`hash_key` as three numbers that sort like it."""
+    key = hash_key(*parts, seed=seed)
+    return [F.conv(F.substring(key, at, size), 16, 10).cast("bigint") for at, size in ((1, 15), (16, 15), (31, 2))]
+
+
 def hash_pos(*parts, seed, n) -> Column:
     """Uniform position in ``[0, n)`` derived from :func:`hash_bits`."""
     n_col = n if isinstance(n, Column) else F.lit(n)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from synthweave.operators.ranking import global_row_number
+from synthweave.operators.ranking import nth_row, select_first, up_to
 
 
 def filter_language(df: DataFrame, language: str = "English", column: str = "language") -> DataFrame:
@@ -15,17 +15,18 @@ def filter_language(df: DataFrame, language: str = "English", column: str = "lan
 
 def first_n(df: DataFrame, n: int, order: str = "row_id") -> DataFrame:
     """the first ``n`` rows by position (``row_id`` order)."""
-    first = global_row_number(df.select(order), [order], "_pos").where(F.col("_pos") <= n).select(order)
-    return df.join(first, order, "left_semi")
+    return select_first(df, n, [F.col(order)])
 
 
 def row_range(df: DataFrame, start: int, end: int = -1, order: str = "row_id") -> DataFrame:
     """rows at 0-based positions ``[start, end)``; ``end=-1`` means to the end."""
-    ranked = global_row_number(df, [order], "_pos")
-    cond = F.col("_pos") > start
-    if end != -1:
-        cond = cond & (F.col("_pos") <= end)
-    return ranked.where(cond).drop("_pos")
+    by = [F.col(order)]
+    last = nth_row(df, end, by) if end > 0 else None
+    rows = df.where(F.lit(False)) if end != -1 and end <= start else df if last is None else df.where(up_to(by, last))
+    first = nth_row(df, start, by) if start > 0 else None
+    if start > 0 and first is None:
+        return df.where(F.lit(False))
+    return rows if first is None else rows.where(~up_to(by, first))
 
 
 def answer_nonempty(df: DataFrame, column: str = "output") -> DataFrame:

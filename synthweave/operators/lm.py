@@ -4,23 +4,30 @@ smoothed bigram language model interpolated with an in-text cache model.
     loss(w | h) = -ln(0.5 (c(h, w) + 1) / (c(h) + V) + 0.5 (seen(w) + 1) / (pos + V))
 
 ``c`` are bigram / history counts over a training table and ``V`` its
-vocabulary size.  Counting is explode + group-by; scoring joins each token
-position to the count tables on the bigram key (AQE's skew-join handling
-splits hot bigrams).  Losses stay in long form ``(row_id, pos, loss)``, so
-no text's tokens are gathered anywhere.
+vocabulary size.  The training table is tokenised once; its counts are
+written once, bucketed by their join keys, so scoring shuffles positions but
+never the counts, and any number of jobs can read them (AQE's skew-join
+handling splits hot bigrams).  Cache counts are row-local: the occurrence
+number of every token in its text.  Losses stay in long form ``(row_id, pos,
+loss)`` until a loss table (S10) is asked for.
 
 IFD computed from this model is a different number from an LLM's; the
-pipeline shape (spans, gates, ratio) is what carries over.  A user model can
-replace :func:`token_losses` through ``generate``-style ``mapInPandas``.
+pipeline shape (spans, gates, ratio) is what carries over.  A user's model
+takes its place through :class:`Scorer` (see ``operators.ifd``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import cached_property
+from typing import Protocol
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from synthweave.functions.text import word_tokens
 from synthweave.operators.ranking import global_row_number
+from synthweave.session import bucketed, stored
 
 IGNORE = -100  # fixed value: label of masked positions
 CACHE_WEIGHT = 0.5  # interpolation weight of the in-text cache model
@@ -31,88 +38,121 @@ def tokens(text) -> Column:
     return word_tokens(text)
 
 
-def _hashed(toks) -> Column:
+def hashed(toks) -> Column:
     """Tokens as 64-bit hashes: shuffles and joins move longs, not strings."""
     return F.transform(toks, lambda x: F.xxhash64(x))
 
 
-def _bigrams(df: DataFrame, toks: str) -> DataFrame:
-    # short texts give an empty array here; a row filter on the token count
-    # would be pushed into the scan and run the tokenizer twice
-    pairs = F.expr(f"transform(filter(sequence(1, greatest(size(`{toks}`) - 1, 1)), i -> i < size(`{toks}`)), "
-                   f"i -> named_struct('h', `{toks}`[i - 1], 'w', `{toks}`[i]))")
+def _pairs(df: DataFrame, toks: str) -> DataFrame:
+    """``(h, w)`` for every token and the one after it; ``w`` is null for a text's last."""
+    # texts without tokens give an empty array here; a row filter on the token
+    # count would be pushed into the scan and run the tokenizer twice
+    pairs = F.expr(f"transform(filter(sequence(1, greatest(size(`{toks}`), 1)), i -> i <= size(`{toks}`)), "
+                   f"i -> named_struct('h', `{toks}`[i - 1], 'w', get(`{toks}`, i)))")
     return (df.select(F.explode(pairs).alias("_b"))
             .select(F.col("_b.h").alias("h"), F.col("_b.w").alias("w")))
 
 
 class BigramLM:
-    """Counts of a training table over hashed tokens.
+    """Counts of a training table over hashed tokens, each table written when first used.
 
-    ``bigrams (h, w, c, ch)`` carries each seen bigram's count and its
-    history count, so scoring needs one join for seen bigrams; ``history
-    (h, ch)`` serves the unseen ones; ``vocab_size`` is a scalar subquery.
+    ``counts (h, w, c)`` holds every seen bigram and, with a null ``w``, the
+    texts' last tokens, so the vocabulary is the set of its histories.
+    ``bigrams (h, w, c, ch)`` carries each bigram's count and its history's;
+    ``history (h, ch)`` serves bigrams that were not seen.
     """
 
     def __init__(self, train: DataFrame, text: str = "text"):
-        words = train.select(tokens(text).alias("_w"))
-        toks = words.select(_hashed("_w").alias("_t"))
-        counts = _bigrams(toks, "_t").groupBy("h", "w").agg(F.count(F.lit(1)).alias("c"))
-        self.history = counts.groupBy("h").agg(F.sum("c").alias("ch"))
-        self.bigrams = counts.join(self.history, "h")
-        self.vocab_size = toks.select(F.explode("_t").alias("t")).select(F.count_distinct("t")).scalar()
-        self.unigrams = (words.select(F.explode("_w").alias("token")).groupBy("token")
-                         .agg(F.count(F.lit(1)).alias("cnt")))
-        # word-level counts for samplers that emit words (lazy: built only when used)
-        self.word_bigrams = _bigrams(words, "_w").groupBy("h", "w").agg(F.count(F.lit(1)).alias("c"))
+        self._words = train.select(tokens(text).alias("_w"))
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        rows = self._words.select(hashed("_w").alias("_t"))
+        return stored(_pairs(rows, "_t").groupBy("h", "w").agg(F.count(F.lit(1)).alias("c")))
+
+    @cached_property
+    def history(self) -> DataFrame:
+        return bucketed(self.counts.where("w is not null").groupBy("h").agg(F.sum("c").alias("ch")), "h")
+
+    @cached_property
+    def bigrams(self) -> DataFrame:
+        return bucketed(self.counts.where("w is not null").join(self.history.hint("merge"), "h"), "h", "w")
+
+    @property
+    def vocab_size(self) -> Column:
+        return self.counts.select(F.count_distinct("h")).scalar()
+
+    @cached_property
+    def unigrams(self) -> DataFrame:
+        return self._words.select(F.explode("_w").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
+
+    @cached_property
+    def word_bigrams(self) -> DataFrame:
+        """Word-level counts for samplers that emit words."""
+        return _pairs(self._words, "_w").where("w is not null").groupBy("h", "w").agg(F.count(F.lit(1)).alias("c"))
+
+
+def with_seen(df: DataFrame, toks: str, out: str = "_seen") -> DataFrame:
+    """Add ``out``: how often each token of the array ``toks`` occurred before, within its own text.
+
+    Tokens are sorted with their places, runs of equal ones are numbered, and
+    the numbers are put back in order of places.
+    """
+    kept = df.columns
+    places = F.sort_array(F.transform(toks, lambda x, i: F.struct(x.alias("w"), i.alias("i"))))
+    df = df.select(*kept, places.alias("_o"))
+    begins = F.expr("filter(sequence(0, greatest(size(_o) - 1, 0)), j -> j = 0 OR get(_o, j).w <> get(_o, j - 1).w)")
+    df = df.select(*kept, "_o", begins.alias("_b"))
+    number = F.expr("flatten(transform(_b, (x, j) -> sequence(0, greatest(coalesce(get(_b, j + 1), size(_o)) - x - 1, 0))))")
+    df = df.select(*kept, "_o", number.alias("_n"))
+    back = F.expr("transform(sort_array(zip_with(_o, _n, (o, n) -> named_struct('i', o.i, 'n', n))), x -> x.n)")
+    return df.select(*kept, F.when(F.size("_o") == 0, F.array().cast("array<int>")).otherwise(back).alias(out))
 
 
 def token_losses(df: DataFrame, lm: BigramLM, key="row_id", text: str = "text",
-                 max_length=None, span: tuple[str, str] | None = None,
-                 tokens_col: str | None = None, keep: str | None = None) -> DataFrame:
+                 max_length: int | None = None, span: tuple[str, str] | None = None,
+                 hashed_col: str | None = None) -> DataFrame:
     """L2: per-token losses ``(key, pos, loss)`` for positions 1..n-1 (n = truncated length).
 
     ``p = lambda * p_bigram(w | h) + (1 - lambda) * p_cache(w)`` where the
     cache part counts ``w`` among the earlier tokens of the same text (a cache
     language model): context such as an instruction lowers the loss of the
-    answer tokens it shares words with.  The cache count is a window over
-    ``(row, token)``, a group bounded by the truncated text length.
+    answer tokens it shares words with.  ``hashed_col`` names an array of
+    hashed tokens, cut to length, to use in place of the text; ``span`` two
+    columns that limit the scored positions.
     """
-    t = F.col(tokens_col) if tokens_col else tokens(text)
-    if max_length is not None:
-        t = F.slice(t, 1, F.greatest(max_length if not isinstance(max_length, int) else F.lit(max_length), F.lit(0)))
-    # (pos, h, w) triples are built inside one array expression, so the token
-    # array is not copied into every position row; tokens travel as hashes
-    triples = F.expr("transform(filter(sequence(1, greatest(size(_t) - 1, 1)), i -> i < size(_t)), "
-                     "i -> named_struct('pos', i, 'h', xxhash64(_t[i - 1]), 'w', xxhash64(_t[i]), "
-                     "'f0', CASE WHEN _t[0] = _t[i] THEN 1 ELSE 0 END))")
     keys = [key] if isinstance(key, str) else list(key)
-    extra = (list(span) if span else []) + ([keep] if keep else [])
-    pos = (df.select(*keys, *extra, t.alias("_t"))
-           .select(*keys, *extra, F.explode(triples).alias("_x"))
-           .select(*keys, *extra, F.col("_x.pos").alias("pos"), F.col("_x.h").alias("h"),
-                   F.col("_x.w").alias("w"), F.col("_x.f0").alias("_f0")))
-    seen = F.row_number().over(Window.partitionBy(*keys, "w").orderBy("pos")) - 1 + F.col("_f0")
-    pos = pos.withColumn("_seen", seen)
-    if span:
-        # only the span's positions are scored; the cache count above saw them all
-        pos = pos.where((F.col("pos") >= F.col(span[0])) & (F.col("pos") < F.col(span[1])))
-    if keep:
-        # a row-level gate computed upstream; applied here, above the window, it
-        # cannot be pushed into the scan (where it would re-run the tokenizer)
-        pos = pos.where(F.col(keep))
+    t = F.col(hashed_col) if hashed_col else hashed(tokens(text) if max_length is None else F.slice(tokens(text), 1, max_length))
+    first, last = (F.greatest(F.col(span[0]), F.lit(1)), F.least(F.col(span[1]), F.size("_t"))) if span else (F.lit(1), F.size("_t"))
+    rows = df.select(*keys, *(span or ()), t.alias("_t")).select(*keys, "_t", first.alias("_first"), last.alias("_last"))
+    # only the span leaves the row; places are built inside one array
+    # expression, so the token array is not copied into every position row
+    places = F.expr("transform(filter(sequence(_first, greatest(_last - 1, _first)), i -> i < _last), "
+                    "i -> named_struct('pos', i, 'h', _t[i - 1], 'w', _t[i], 'seen', _seen[i]))")
+    pos = with_seen(rows, "_t").select(*keys, F.explode(places).alias("_x")).select(*keys, "_x.*")
     v = lm.vocab_size.cast("double")
-    # the count tables grow with the training corpus: never broadcast them
-    # (a compressed shuffle size can look small while the hash table is not)
-    looked = pos.join(lm.bigrams.hint("merge"), ["h", "w"], "left")
+    # the count tables grow with the training corpus: merged, never broadcast
+    # (a compressed size can look small while the hash table is not)
+    looked = stored(pos.join(lm.bigrams.hint("merge"), ["h", "w"], "left"))
     # unseen bigrams still need their history count: a second, much smaller join
     misses = (looked.where(F.col("c").isNull()).drop("ch")
               .join(lm.history.hint("merge"), "h", "left").withColumn("c", F.lit(0).cast("long")))
     scored = looked.where(F.col("c").isNotNull()).unionByName(misses)
     p_bi = (F.col("c") + 1.0) / (F.coalesce("ch", F.lit(0)) + v)
-    p_cache = (F.col("_seen") + 1.0) / (F.col("pos") + v)
+    p_cache = (F.col("seen") + 1.0) / (F.col("pos") + v)
     return scored.select(*keys, "pos", (-F.log(CACHE_WEIGHT * p_cache + (1 - CACHE_WEIGHT) * p_bi)).alias("loss"))
 
 
+class Scorer(Protocol):
+    """A user's model, built once per task by a factory that loads it there."""
+
+    def lengths(self, texts: pd.Series) -> pd.Series:
+        """Number of tokens of every text."""
+
+    def losses(self, texts: pd.Series, limits: pd.Series) -> pd.Series:
+        """For every text, cut to ``limits`` tokens: the losses of its tokens but the first, as lists."""
+
+
 def perplexity(losses: DataFrame, key: str = "row_id") -> DataFrame:
     """L3: ``exp(mean loss)`` per row."""
     return losses.groupBy(key).agg(F.exp(F.avg("loss")).alias("ppl"))

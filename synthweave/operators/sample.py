@@ -9,32 +9,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from synthweave.functions.keys import HASH_RANGE, hash_key, hash_pos, hash_bits
-from synthweave.operators.ranking import global_row_number, top_n_per_group
-
-
-def _take_ranked(df: DataFrame, n: int, key_col: str) -> DataFrame:
-    """The first ``n`` rows by ``(key_col, row_id)``: the narrow keys are ranked, the wide rows only semi-joined."""
-    first = (global_row_number(df.select(key_col, "row_id"), [key_col, "row_id"], "_pos")
-             .where(F.col("_pos") <= n).select("row_id"))
-    return df.join(first, "row_id", "left_semi")
+from synthweave.functions.keys import HASH_RANGE, hash_key, hash_order, hash_pos, hash_bits
+from synthweave.operators.ranking import nth_row, positions, select_first, top_n_per_group, up_to
 
 
 def sample_exact(df: DataFrame, n: int, seed: int = 0, key: str = "row_id",
                  check: bool = True) -> DataFrame:
-    """M1: exactly ``n`` rows without replacement; error if ``n`` > rows."""
-    if check:
-        total = df.count()
-        if n > total:
-            raise ValueError("num_choice outranges num_length")
-    ranked = df.withColumn("_sw_k", hash_key(key, seed=seed))
-    return _take_ranked(ranked, n, "_sw_k").drop("_sw_k")
+    """M1: exactly ``n`` rows without replacement; error if ``n`` > rows.
+
+    The n-th smallest draw is found by histograms; the sample is a filter.
+    """
+    order = [*hash_order(key, seed=seed), F.col(key)]
+    last = nth_row(df, n, order) if n > 0 else None
+    if check and n > 0 and last is None:
+        raise ValueError(f"cannot draw {n} rows: the table has fewer")
+    return df.where(F.lit(False)) if n <= 0 else df if last is None else df.where(up_to(order, last))
 
 
 def shuffle_limit(df: DataFrame, n: int, seed: int = 2023, key: str = "row_id") -> DataFrame:
     """M3: seeded shuffle, then the first ``min(n, rows)`` rows."""
-    ranked = df.withColumn("_sw_k", hash_key(key, seed=seed))
-    return _take_ranked(ranked, n, "_sw_k").drop("_sw_k")
+    return select_first(df, n, [*hash_order(key, seed=seed), F.col(key)])
 
 
 def sample_per_group(df: DataFrame, group: str, n: int, seed: int = 0, key: str = "row_id") -> DataFrame:
@@ -44,24 +38,32 @@ def sample_per_group(df: DataFrame, group: str, n: int, seed: int = 0, key: str
                            salt_cols=[F.col(key)]).drop("_sw_k")
 
 
+def position_index(df: DataFrame, key: str = "row_id", out: str = "pos") -> DataFrame:
+    """``(key, out)``: 0-based dense position in order of the integer ``key`` (the reference's row index); no other column travels."""
+    return positions(df, key, [F.col(key)], out=out).withColumn(out, F.col(out) - 1)
+
+
 def dense_positions(df: DataFrame, order: str = "row_id", out: str = "pos") -> DataFrame:
-    """0-based dense position under ``order`` (the reference's row index)."""
-    return global_row_number(df, [order], out).withColumn(out, F.col(out) - 1)
+    """The rows with their 0-based position, joined by key."""
+    return df.join(position_index(df, order, out), order)
 
 
 def fewshot_draw(corpus: DataFrame, rounds: DataFrame, k: int = 3,
-                 seed: int = 0, round_col: str = "round_id", indexed: DataFrame | None = None) -> DataFrame:
+                 seed: int = 0, round_col: str = "round_id", indexed: DataFrame | None = None,
+                 index_list: list[int] | None = None) -> DataFrame:
     """M4 + J1: ``k`` distinct exemplars per round, looked up by position.
 
     Slot ``s`` draws one of the ``N - s`` positions still free:
     ``md5(r:s:seed) mod (N - s)``, moved past the earlier picks.  Exact
-    sampling without replacement, row-local.  ``indexed`` may carry the
-    corpus with its ``pos`` column when the caller already built it.  The job
-    fails when N < k, as the reference does.
+    sampling without replacement, row-local.  ``index_list`` gives every
+    round the same positions instead, in that order; one outside the corpus
+    fails the job.  ``indexed`` may carry the corpus' ``(row_id, pos)`` when
+    the caller already built it.  The job fails when N < k, as the reference
+    does.  Texts are joined once, by row id.
     Output: ``(round_id, slot, row_id, instruction, response)``, slot in 0..k-1.
     """
     if indexed is None:
-        indexed = dense_positions(corpus, "row_id", "pos")
+        indexed = position_index(corpus)
     n_rows = corpus.select(F.count(F.lit(1))).scalar()  # scalar subquery
     # each pick is moved past the smaller earlier picks, in ascending order
     def pick(taken, s):
@@ -70,12 +72,18 @@ def fewshot_draw(corpus: DataFrame, rounds: DataFrame, k: int = 3,
         return F.concat(taken, F.array(free))
 
     picks = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.array().cast("array<bigint>"), pick)
-    picked = F.when(F.col("_sw_n") < k, F.raise_error(F.lit("the corpus holds too few exemplars"))
-                    .cast("array<bigint>")).otherwise(picks)
+    few = F.lit("the corpus holds too few exemplars")
+    if index_list is not None:
+        fits = F.col("_sw_n") > max([*index_list, -1])
+        picks = F.array(*[F.lit(i).cast("bigint") for i in index_list])
+        few = F.lit("a listed exemplar lies outside the corpus")
+    else:
+        fits = F.col("_sw_n") >= k
+    picked = F.when(~fits, F.raise_error(few).cast("array<bigint>")).otherwise(picks)
     drawn = (rounds.select(round_col, n_rows.alias("_sw_n"))
              .select(round_col, F.posexplode(picked).alias("slot", "pos"))
              .withColumn("slot", F.col("slot").cast("int")))
-    return (drawn.join(indexed, "pos")
+    return (drawn.join(indexed.select("row_id", "pos"), "pos").join(corpus.select("row_id", "instruction", "response"), "row_id")
             .select(round_col, "slot", "row_id", "instruction", "response"))
 
 

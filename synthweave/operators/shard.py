@@ -1,7 +1,8 @@
 """Sharding rows into clients.
 
 A shard is a ``client_id`` column, not a file; writers partition by it.
-Positions come from the distributed ranks in ``operators.ranking``.
+Positions come from the distributed ranks in ``operators.ranking``; only keys
+and orders are ranked, and wide rows are joined to their shard by key.
 """
 
 from __future__ import annotations
@@ -9,15 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from synthweave.functions.keys import hash_key
-from synthweave.operators.ranking import global_row_number, rank_within_groups
+from synthweave.functions.keys import hash_bits, hash_key
+from synthweave.operators.ranking import positions, rank_within_groups
 
 
 def shard_iid(df: DataFrame, num_clients: int, seed: int = 42, key: str = "row_id") -> DataFrame:
     """Seeded shuffle, then row i of the shuffled order goes to shard i mod n."""
-    ranked = global_row_number(df.withColumn("_sw_k", hash_key(key, seed=seed)), ["_sw_k", key], "_pos")
-    return (ranked.withColumn("client_id", F.pmod(F.col("_pos") - 1, F.lit(num_clients)).cast("int"))
-            .drop("_sw_k", "_pos"))
+    ranked = positions(df, key, [hash_key(key, seed=seed), F.col(key)], [hash_bits(key, seed=seed)], "_pos")
+    shards = ranked.select(key, F.pmod(F.col("_pos") - 1, F.lit(num_clients)).cast("int").alias("client_id"))
+    return df.drop("client_id").join(shards, key)
 
 
 def shard_length(df: DataFrame, num_clients: int, exact: bool = False,
@@ -28,7 +29,7 @@ def shard_length(df: DataFrame, num_clients: int, exact: bool = False,
     reference; ``exact=True`` spreads rows over exactly ``n`` shards instead.
     ``N < n`` fails the job like the reference's zero-step range.
     """
-    ranked = global_row_number(df.withColumn("_sw_len", F.length(column)), ["_sw_len", key], "_pos")
+    ranked = positions(df, key, [F.length(column), F.col(key)], out="_pos")
     total = df.select(F.count(F.lit(1))).scalar()
     chunk = F.floor(total / F.lit(num_clients))
     if exact:
@@ -36,7 +37,7 @@ def shard_length(df: DataFrame, num_clients: int, exact: bool = False,
     else:
         shard = F.when(chunk == 0, F.raise_error(F.lit("fewer rows than clients")).cast("long")) \
                  .otherwise(F.floor((F.col("_pos") - 1) / chunk))
-    return ranked.withColumn("client_id", shard.cast("int")).drop("_sw_len", "_pos")
+    return df.drop("client_id").join(ranked.select(key, shard.cast("int").alias("client_id")), key)
 
 
 def shard_skew(df: DataFrame, num_clients: int, category: str = "category", key: str = "row_id") -> DataFrame:
@@ -60,12 +61,15 @@ def shard_skew(df: DataFrame, num_clients: int, category: str = "category", key:
                  w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
              .withColumn("_sw_size", F.when(F.col("_sw_shards") > 0,
                                             F.floor(F.col("_sw_len") / F.col("_sw_shards"))).otherwise(0))
-             .select(category, "_sw_shards", "_sw_first", "_sw_size"))
-    ranked = rank_within_groups(df, [category], [key], "_pos")
-    return (ranked.join(stats, category)
-            .where((F.col("_sw_size") > 0) & (F.col("_pos") <= F.col("_sw_size") * F.col("_sw_shards")))
-            .withColumn("client_id", (F.col("_sw_first") + F.floor((F.col("_pos") - 1) / F.col("_sw_size"))).cast("int"))
-            .drop("_pos", "_sw_shards", "_sw_first", "_sw_size"))
+             .withColumn("_sw_before", F.coalesce(F.sum("_sw_len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+             .select(category, "_sw_idx", "_sw_before", "_sw_shards", "_sw_first", "_sw_size"))
+    # a place within the category is the place by (category, key) less the rows of the categories before
+    numbered = df.select(key, category).join(stats.select(category, "_sw_idx"), category)
+    ranked = positions(numbered, key, [F.col("_sw_idx"), F.col(key)], out="_sw_at")
+    placed = (numbered.join(ranked, key).join(stats.drop("_sw_idx"), category).withColumn("_pos", F.col("_sw_at") - F.col("_sw_before"))
+              .where((F.col("_sw_size") > 0) & (F.col("_pos") <= F.col("_sw_size") * F.col("_sw_shards"))))
+    shards = placed.select(key, (F.col("_sw_first") + F.floor((F.col("_pos") - 1) / F.col("_sw_size"))).cast("int").alias("client_id"))
+    return df.drop("client_id").join(shards, key)
 
 
 def shard_sizes(df: DataFrame, client_col: str = "client_id") -> DataFrame:

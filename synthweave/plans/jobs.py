@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from synthweave.functions.templates import SIMILARITY_CUT
-from synthweave.session import materialize
+from synthweave.session import materialize, stored
 from synthweave.operators import generate as G
 from synthweave.operators import normalize as N
 from synthweave.operators import parse as X
@@ -54,17 +54,16 @@ def _rounds(corpus: DataFrame) -> DataFrame:
 
 
 class _Corpus:
-    """The private corpus with its dense position index, built once per job.
+    """The private corpus with its position index, built once per job.
 
     Both the few-shot sampler and the replay generator look rows up by
-    position.  They share this one index DataFrame, so within a job's plan
-    the range exchange that ranks the corpus is planned once and reused
-    (not cached: pinning a copy of the corpus text would not scale).
+    position.  They share one stored table of row ids and positions; texts
+    are read from the corpus and joined by row id where they are needed.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.df = V.v_corpus(spark, sf_dir)
-        self.indexed = M.dense_positions(self.df, "row_id", "pos")
+        self.indexed = stored(M.position_index(self.df))
 
     def draws(self, rounds: DataFrame, seed: int = 0) -> DataFrame:
         return M.fewshot_draw(self.df, rounds, seed=seed, indexed=self.indexed)

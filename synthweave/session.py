@@ -85,3 +85,18 @@ def stored(df):
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df, *keys, buckets=None):
+    """Write ``df`` once as a table bucketed and sorted by ``keys`` and read it back.
+
+    Joins on exactly these keys shuffle and sort the other side only.  The
+    files lie in the shared checkpoint folder; ``buckets`` defaults to the
+    session's shuffle partitions, so both sides of such joins agree.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"synthweave_{uuid.uuid4().hex}"
+    (df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys)
+     .option("path", f"{checkpoint_dir(spark)}/{name}").saveAsTable(name))
+    return spark.table(name)
