@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,7 +97,7 @@ def loss_table(df: DataFrame, lm: L.BigramLM, style: str = "wiz", max_length: in
     lists = losses.groupBy(key, "_tag").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "loss"))), lambda x: x["loss"]).alias("l"))
     wide = lists.groupBy(key).agg(*[F.max(F.when(F.col("_tag") == i, F.col("l"))).alias(f"l{i}") for i in (1, 2)])
     none = F.array().cast("array<double>")
-    rows = spans.drop("toks1", "toks2").join(wide, key).select(key, "start1", "end1", "start2", "end2", *[F.coalesce(f"l{i}", none).alias(f"l{i}") for i in (1, 2)])
+    rows = spans.drop("toks1", "toks2").join(wide, key, "left").select(key, "start1", "end1", "start2", "end2", *[F.coalesce(f"l{i}", none).alias(f"l{i}") for i in (1, 2)])
     ppl = [F.exp(_mean(_part(F.col(f"l{i}"), F.col(f"start{i}"), F.col(f"end{i}")))) for i in (1, 2)]
     return rows.select(key, F.array(F.lit(0.0), *ppl).alias("ppl"), F.array(none, "l1", "l2").alias("token_loss"))
 
@@ -132,7 +133,7 @@ def scored_losses(df: DataFrame, factory: Callable[[], L.Scorer], style: str = "
                 out[f"end{i}"] = pd.concat([model.lengths(pdf[text]), limit], axis=1).min(axis=1).clip(lower=0).astype("int32")
                 lists[i] = [[float(x) for x in one] for one in model.losses(pdf[text], limit)]
             spans = [[one[max(s, 1) - 1:max(e - 1, 0)] for one, s, e in zip(lists[i], out[f"start{i}"], out[f"end{i}"])] for i in (1, 2)]
-            ppl = [pd.Series([sum(x) / len(x) if x else None for x in part], dtype="float64").map(lambda m: 2.718281828459045 ** m) for part in spans]
+            ppl = [pd.Series([sum(x) / len(x) if x else None for x in part], dtype="float64").map(np.exp) for part in spans]
             out["ppl"] = [[0.0, None if a != a else a, None if b != b else b] for a, b in zip(*ppl)]
             out["token_loss"] = [[[], a, b] for a, b in zip(lists[1], lists[2])]
             yield out

@@ -24,12 +24,15 @@ def alpaca_always(df: DataFrame) -> DataFrame:
             .withColumn("response", F.col("output")).drop("input", "output"))
 
 
+# Columns of an arena record that no output keeps.
+ARENA_DROPPED = ("question_id", "model_a", "model_b", "winner", "judge", "turn", "anony", "language", "tstamp")
+
+
 def arena_first_turns(df: DataFrame, drop_conversations: bool = True) -> DataFrame:
     """P3/P6g: first turn -> instruction, second -> response; P6g keeps the conversations and their moderation columns."""
     out = (df.withColumn("instruction", F.try_element_at("conversation_a", F.lit(1))["content"])
            .withColumn("response", F.try_element_at("conversation_a", F.lit(2))["content"]))
-    drop = ["question_id", "model_a", "model_b", "winner", "judge", "turn", "anony",
-            "language", "tstamp"]
+    drop = list(ARENA_DROPPED)
     if drop_conversations:
         drop += ["conversation_a", "conversation_b", "toxic_chat_tag", "openai_moderation"]
     return out.drop(*drop)
@@ -101,7 +104,7 @@ SFT_RULES: dict[str, Callable[[DataFrame], DataFrame]] = {
 def normalize_sft(name: str, df: DataFrame) -> DataFrame:
     """Per-dataset dispatch to the canonical schema."""
     if name not in SFT_RULES:
-        raise NotImplementedError(f"Dataset {name} is not supported.")
+        raise NotImplementedError(f"no rule normalises {name!r}")
     return SFT_RULES[name](df)
 
 

@@ -26,7 +26,7 @@ def job_prepare(raw: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 
 def normalize_many(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    """P6 over several raw layouts, then the per-dataset shuffle + limit (M3)."""
+    """P6 over the raw layout of every dataset it knows, then the per-dataset shuffle + limit (M3)."""
     pairs = V.v_pairs(spark, sf_dir)
     alp = V.v_alpaca(spark, sf_dir)
     layouts = {
@@ -37,9 +37,15 @@ def normalize_many(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
         "medalpaca/medical_meadow_medical_flashcards": pairs.select(
             "row_id", F.lit("Answer this question truthfully").alias("instruction"),
             F.concat("instruction", F.lit("?")).alias("input"), F.col("response").alias("output")),
-        "tatsu-lab/alpaca": alp.select("row_id", "instruction", "input", "output", "text"),
         "WizardLM/WizardLM_evol_instruct_70k": alp.select("row_id", "instruction", "output"),
+        "lmsys/chatbot_arena_conversations": V.v_arena(spark, sf_dir).select(
+            F.col("conv_id").alias("row_id"), *[F.lit("x").alias(c) for c in N.ARENA_DROPPED], "conversation_a", F.col("conversation_a").alias("conversation_b")),
     }
+    with_input = alp.select("row_id", "instruction", "input", "output")
+    layouts |= dict.fromkeys(("lucasmccabe-lmi/CodeAlpaca-20k", "yahma/alpaca-cleaned"), with_input)
+    layouts |= dict.fromkeys(("tatsu-lab/alpaca", "vicgalle/alpaca-gpt4", "gbharti/finance-alpaca"), alp.select("row_id", "instruction", "input", "output", "text"))
+    canonical = pairs.select("row_id", "instruction", "response")
+    layouts |= dict.fromkeys(("iamtarun/python_code_instructions_18k_alpaca", "FinGPT/fingpt-sentiment-train", "TIGER-Lab/MathInstruct", "new"), canonical)
     parts = [N.normalize_sft(name, df).select(F.lit(name).alias("dataset"), "row_id", "instruction", "response")
              for name, df in layouts.items()]
     union = parts[0]

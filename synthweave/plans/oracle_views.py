@@ -72,7 +72,7 @@ def with_views(*names: str, extra: str = "") -> str:
 
     for n in names:
         visit(n)
-    ctes = [f"{n} AS ({VIEWS[n][1]})" for n in order]
+    ctes = [f"{n} AS MATERIALIZED ({VIEWS[n][1]})" for n in order]
     if extra:
         ctes.append(extra)
     return "WITH " + ",\n".join(ctes) + "\n" if ctes else ""

@@ -145,7 +145,14 @@ def norm_generated(spark, sf_dir):
     SELECT 'gsm8k' AS dataset, row_id, instruction, response FROM v_pairs
     UNION ALL SELECT 'lighteval/MATH', row_id, instruction, response FROM v_pairs
     UNION ALL SELECT 'medalpaca/medical_meadow_medical_flashcards', row_id, instruction || '?', response FROM v_pairs
-    UNION ALL SELECT 'tatsu-lab/alpaca', row_id, {_sql_alpaca()}, output FROM v_alpaca
+    UNION ALL SELECT name, row_id, {_sql_alpaca()}, output
+              FROM v_alpaca, (SELECT unnest(['tatsu-lab/alpaca', 'vicgalle/alpaca-gpt4', 'gbharti/finance-alpaca',
+                                             'lucasmccabe-lmi/CodeAlpaca-20k', 'yahma/alpaca-cleaned']) AS name) x
+    UNION ALL SELECT name, row_id, instruction, response
+              FROM v_pairs, (SELECT unnest(['iamtarun/python_code_instructions_18k_alpaca', 'FinGPT/fingpt-sentiment-train',
+                                            'TIGER-Lab/MathInstruct', 'new']) AS name) y
+    UNION ALL SELECT 'lmsys/chatbot_arena_conversations', conv_id, texts[1], texts[2]
+              FROM (SELECT conv_id, list(text ORDER BY turn) AS texts FROM conversations WHERE role <> 'system' GROUP BY conv_id) z
     UNION ALL SELECT 'WizardLM/WizardLM_evol_instruct_70k', row_id, instruction, output FROM v_alpaca)""") + f"""
 SELECT dataset, row_id, instruction, response FROM (
   SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY {md5_key('row_id', 2023)}, row_id) AS rn FROM u) t

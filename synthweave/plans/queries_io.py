@@ -60,6 +60,25 @@ def registry_scan(spark, sf_dir):
     return reg.load("gsm8k").select("row_id", "instruction", "response")
 
 
+@query("registry_splits", with_views("v_pairs") + """
+SELECT row_id, CASE WHEN row_id % 4 = 0 THEN 'test' ELSE 'train' END AS split, instruction, response FROM v_pairs
+UNION ALL SELECT row_id, 'socratic', instruction, response FROM v_pairs WHERE row_id % 4 = 1""")
+def registry_splits(spark, sf_dir):
+    """A source with two configurations, of which one has two splits."""
+    root = IO.scratch(spark, "registry_splits")
+    raw = V.v_pairs(spark, sf_dir).select("row_id", F.col("instruction").alias("question"), F.col("response").alias("answer"))
+    raw.where("row_id % 4 <> 0").write.parquet(f"{root}/gsm8k/main/train")
+    raw.where("row_id % 4 = 0").write.json(f"{root}/gsm8k/main/test")
+    raw.where("row_id % 4 = 1").write.parquet(f"{root}/gsm8k/socratic/train")
+    reg = IO.SourceRegistry(spark, root).register("gsm8k", "gsm8k", None, lambda d: N.normalize_sft("gsm8k", d))
+    parts = [reg.load("gsm8k").withColumn("split", F.lit("train")), reg.load("gsm8k", split="test").withColumn("split", F.lit("test")),
+             reg.load("gsm8k", config="socratic").withColumn("split", F.lit("socratic"))]
+    out = parts[0].select("row_id", "split", "instruction", "response")
+    for p in parts[1:]:
+        out = out.unionByName(p.select("row_id", "split", "instruction", "response"))
+    return out
+
+
 @query("write_shards", with_views("v_corpus", extra="sl AS (" + _SHARD_LEN_SQL + ")") + """
 SELECT sl.client_id, sl.row_id, c.instruction FROM sl JOIN v_corpus c USING (row_id)""")
 def write_shards(spark, sf_dir):

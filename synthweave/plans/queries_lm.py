@@ -3,6 +3,10 @@ completion masks, IFD rows / mean / top-k and the IFD job."""
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from synthweave.functions import templates as TT
@@ -11,6 +15,7 @@ from synthweave.operators import lm as L
 from synthweave.operators import prompts as R
 from synthweave.plans.oracle_views import with_views
 from synthweave.plans.registry import ORACLES, query
+from synthweave.sources import files as IO
 from synthweave.sources import fixtures as V
 from synthweave.sources.tables import load
 
@@ -225,6 +230,73 @@ def ifd_rows(spark, sf_dir):
     return _ifd_wiz(spark, sf_dir)
 
 
+def _losses_written(spark, sf_dir) -> str:
+    """The pairs' loss table (S10), written once; its path."""
+    path = IO.scratch(spark, "token_losses")
+    IO.write_once(I.loss_table(V.v_pairs(spark, sf_dir), _lm(spark, sf_dir), "wiz", MAXLEN), path)
+    return path
+
+
+def _read_losses(spark, path: str):
+    return IO.read_dataset(spark, path, f"row_id bigint, {I.LOSS_TABLE}", "parquet")
+
+
+@query("loss_table", _IFD_WIZ + """
+SELECT g.row_id, round(exp(m1.mean1), 4) AS ppl_alone, round(exp(m2.mean2), 4) AS ppl_cond,
+       coalesce(c1.n, 0) AS n_alone, coalesce(c2.n, 0) AS n_cond, round(coalesce(c1.s, 0), 6) AS sum_alone, round(coalesce(c2.s, 0), 6) AS sum_cond
+FROM gated g LEFT JOIN m1 USING (row_id) LEFT JOIN m2 USING (row_id)
+LEFT JOIN (SELECT row_id, count(*) AS n, sum(loss) AS s FROM l1 GROUP BY row_id) c1 USING (row_id)
+LEFT JOIN (SELECT row_id, count(*) AS n, sum(loss) AS s FROM l2 GROUP BY row_id) c2 USING (row_id)""")
+def loss_table(spark, sf_dir):
+    back = _read_losses(spark, _losses_written(spark, sf_dir))
+    total = lambda i: F.round(F.aggregate(F.get("token_loss", F.lit(i)), F.lit(0.0), lambda a, x: a + x), 6)
+    return back.select("row_id", F.round(F.get("ppl", F.lit(1)), 4).alias("ppl_alone"), F.round(F.get("ppl", F.lit(2)), 4).alias("ppl_cond"),
+                       F.size(F.get("token_loss", F.lit(1))).cast("bigint").alias("n_alone"), F.size(F.get("token_loss", F.lit(2))).cast("bigint").alias("n_cond"),
+                       total(1).alias("sum_alone"), total(2).alias("sum_cond"))
+
+
+@query("ifd_stored", _IFD_WIZ + """
+SELECT row_id, round(mean_alone, 9) AS mean_alone, round(mean_cond, 9) AS mean_cond, round(ifd, 9) AS ifd FROM ifd""")
+def ifd_stored(spark, sf_dir):
+    """IFD rows from a loss table that an earlier job wrote; only the spans are counted again."""
+    table = _read_losses(spark, _losses_written(spark, sf_dir))
+    return I.ifd_from_losses(table, I.span_rows(V.v_pairs(spark, sf_dir), "wiz", MAXLEN), MAXLEN)
+
+
+class WordLengthScorer:
+    """A model small enough for SQL: words between blanks, each as surprising as it is long."""
+
+    def lengths(self, texts):
+        return texts.str.count(r"(?a:\S+)")
+
+    def losses(self, texts, limits):
+        return pd.Series([np.log1p([len(w) for w in re.findall(r"(?a:\S+)", t)[1:n]]).tolist() if n > 0 else [] for t, n in zip(texts, limits)], index=texts.index)
+
+
+def _words(x: str) -> str:
+    return f"regexp_extract_all({x}, '[^ \\t\\n\\r\\f\\v]+')"
+
+
+def _sql_word_losses(i: int, text: str, budget: str) -> str:
+    return (f"list_transform(list_slice({_words(text)}, 2, {budget}), lambda w: ln(1 + length(w))) AS loss{i}, "
+            f"len({_words(f'substr({text}, 1, greatest(i{i}, 0))')}) AS start{i}, greatest(least(len({_words(text)}), {budget}), 0) AS end{i}")
+
+
+@query("ifd_scored", with_views("v_pairs", extra=f"""
+  rows0 AS ({_WIZ_ROWS}),
+  rows1 AS (SELECT *, least(len({_words('p')}), {MAXLEN}) AS ilen, {_sql_rfind('alone', 'response')} AS i1, {_sql_rfind('whole', 'response')} AS i2 FROM rows0),
+  rows2 AS (SELECT row_id, ilen, {_sql_word_losses(1, 'alone', f'({MAXLEN} - ilen + 4)')}, {_sql_word_losses(2, 'whole', str(MAXLEN))} FROM rows1),
+  means AS (SELECT row_id, list_avg(list_slice(loss1, greatest(start1, 1), end1 - 1)) AS mean1, list_avg(list_slice(loss2, greatest(start2, 1), end2 - 1)) AS mean2
+            FROM rows2 WHERE {MAXLEN} - ilen > 0 AND end1 - start1 > 0 AND end2 - start2 > 0 AND ilen + end1 - start1 <= {MAXLEN})""") + """
+SELECT row_id, round(mean1, 9) AS mean_alone, round(mean2, 9) AS mean_cond, round(mean2 / mean1, 9) AS ifd
+FROM means WHERE mean1 IS NOT NULL AND mean2 IS NOT NULL AND mean2 / mean1 <= 1""")
+def ifd_scored(spark, sf_dir):
+    """S10 and IFD with a model of the user's, loaded once per task; the loss table is written and read back."""
+    path = IO.scratch(spark, "scored_losses")
+    IO.write_once(I.scored_losses(V.v_pairs(spark, sf_dir), WordLengthScorer, "wiz", MAXLEN), path)
+    return I.ifd_from_losses(spark.read.parquet(path), max_length=MAXLEN)
+
+
 @query("ifd_mean", _IFD_WIZ + """
 SELECT round(avg(ifd), 9) AS ifd_mean, count(*) AS n_rows FROM ifd""")
 def ifd_mean(spark, sf_dir):
@@ -252,5 +324,13 @@ def job_ifd(spark, sf_dir):
     return I.ifd_rows(df, _lm(spark, sf_dir), "alpaca", 1024).select("row_id", "ifd")
 
 
+@query("ifd_selected_file", ORACLES["ifd_topk"])
+def ifd_selected_file(spark, sf_dir):
+    """The selected subset as JSON array files, read back."""
+    path = IO.scratch(spark, "ifd_selected")
+    IO.write_json_arrays(ifd_topk(spark, sf_dir), path)
+    return IO.scan_mixed_json(spark, path, "row_id long, instruction string, response string").select("row_id", "instruction", "response")
+
+
 # R10 under its planned name: the generator's ``wiz`` form, used for both stages
 query("ifd_text", ORACLES["ifd_text_wiz"])(lambda spark, sf_dir: ifd_text_wiz(spark, sf_dir))

@@ -109,15 +109,15 @@ def write_json_arrays(df: DataFrame, path: str, indent: int = 4) -> None:
     rows.mapInPandas(to_lines, "value string").write.mode("errorifexists").text(path)
 
 
-def write_shards(df: DataFrame, path: str, by: str = "client_id", fmt: str = "json", mode: str = "errorifexists",
-                 files_per_shard: int = 8) -> None:
-    """One folder per shard value (``partitionBy``), at most ``files_per_shard`` files in each.
+def write_shards(df: DataFrame, path: str, by: str = "client_id", fmt: str = "json", mode: str = "errorifexists") -> None:
+    """One folder per shard value (``partitionBy``), written by as many tasks as its bytes ask for.
 
-    Rows of a shard spread over that many salts, so neither does a shard get
-    a file from every task, nor a large shard one task alone.
+    Rows are dealt by shard, then rebalanced at run time by the bytes that
+    the exchange has seen: a large shard is split into tasks of about
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes``, small shards share
+    one, and no shard gets a file from every task.
     """
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files_per_shard))
-    df.repartition(F.col(by), salt).write.mode(mode).partitionBy(by).format(fmt).save(path)
+    df.hint("rebalance", F.col(f"`{by}`")).write.mode(mode).partitionBy(by).format(fmt).save(path)
 
 
 def write_once(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
@@ -138,23 +138,53 @@ SOURCES = {
 
 
 class SourceRegistry:
-    """Dataset name -> (path, format, normaliser); names become temp views."""
+    """Dataset name -> (path, format, normaliser), with its splits and configurations.
+
+    A dataset's folder may hold a folder per configuration, and that (or the
+    dataset itself) a folder or a file per split.  ``load`` reads the split
+    and configuration that it is asked for, by default those that the dataset
+    is published with; a dataset without such parts is read whole.  Names
+    become temp views.
+    """
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark, self.root, self.entries, self.splits = spark, root, {}, {}
 
-    def register(self, name: str, path: str, fmt: str | None = None, normaliser=None, view: str | None = None):
-        full = os.path.join(self.root, path) if self.root and not path.startswith("/") else path
+    def register(self, name: str, path: str, fmt: str | None = None, normaliser=None, view: str | None = None,
+                 split: str | None = None, config: str | None = None):
+        full = os.path.join(self.root, path) if self.root and "://" not in path and not path.startswith("/") else path
         self.entries[name] = (full, fmt, normaliser)
-        self.splits[name] = SOURCES.get(name, ("train", None))   # (split, config) the dataset is published with
+        own = SOURCES.get(name, ("train", None))
+        self.splits[name] = (split or own[0], config or own[1])
         if view:
             self.load(name).createOrReplaceTempView(view)
         return self
 
-    def load(self, name: str) -> DataFrame:
+    def _listed(self, path: str) -> dict[str, str]:
+        """Names in a folder (without extension) and their paths, through Spark's own file system."""
+        jvm, sc = self.spark._jvm, self.spark.sparkContext
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+        if not fs.exists(at) or not fs.getFileStatus(at).isDirectory():
+            return {}
+        names = [str(x.getPath().getName()) for x in fs.listStatus(at)]
+        return {n.split(".")[0]: f"{path.rstrip('/')}/{n}" for n in sorted(names) if not n.startswith(("_", "."))}
+
+    def path_of(self, name: str, split: str | None = None, config: str | None = None) -> str:
+        """The file or folder of a split; asking for one by name that does not exist is an error."""
         if name not in self.entries:
-            raise NotImplementedError(f"Dataset {name} is not supported.")
-        path, fmt, norm = self.entries[name]
+            raise NotImplementedError(f"no dataset is registered as {name!r}")
+        path = self.entries[name][0]
+        for asked, usual in ((config, self.splits[name][1]), (split, self.splits[name][0])):
+            found = self._listed(path).get(asked or usual) if asked or usual else None
+            if asked and not found:
+                raise FileNotFoundError(f"{name} has no {asked!r} in {path}")
+            path = found or path
+        return path
+
+    def load(self, name: str, split: str | None = None, config: str | None = None) -> DataFrame:
+        path = self.path_of(name, split, config)
+        _, fmt, norm = self.entries[name]
         df = read_dataset(self.spark, path, fmt=fmt)
         return norm(df) if norm else df
 
