@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from synthweave.operators import lm as L
 from synthweave.operators.prompts import ifd_text_exprs
 from synthweave.operators.ranking import select_first
-from synthweave.session import stored
+from synthweave.session import dealt, spread, stored
 
 LOSS_TABLE = "ppl array<double>, token_loss array<array<double>>"
 
@@ -56,12 +56,13 @@ def span_rows(df: DataFrame, style: str = "wiz", max_length: int = 512, key: str
     cut to the budget, 1 for the answer alone, 2 for the whole text.
     """
     cut = lambda text: L.tokens(F.expr(f"substring({text}, 1, greatest({L.last_index_sql(text, 'response')}, 0))"))
-    rows = _texts(df, style, key).select(
+    fields = [c for c in ("instruction", "input", "response") if c in df.columns]
+    rows = _texts(spread(df.select(key, *fields), key), style, key).select(
         key, F.least(F.size(L.tokens("_p")), F.lit(max_length)).alias("ilen"), F.size(cut("_alone")).alias("start1"), F.size(cut("_whole")).alias("start2"),
         L.hashed(L.tokens("_alone")).alias("_t1"), L.hashed(L.tokens("_whole")).alias("_t2"))
     rows = rows.select(key, "ilen", "start1", "start2", F.slice("_t1", 1, F.greatest(_budget(max_length), F.lit(0))).alias("toks1"), F.slice("_t2", 1, max_length).alias("toks2"))
     rows = rows.select(key, "ilen", "start1", F.size("toks1").alias("end1"), "start2", F.size("toks2").alias("end2"), "toks1", "toks2")
-    return stored(rows).where(_gate(max_length))
+    return dealt(stored(rows).where(_gate(max_length)), key)
 
 
 def _tagged_losses(spans: DataFrame, lm: L.BigramLM, key: str, whole: bool) -> DataFrame:

@@ -8,7 +8,7 @@ vocabulary size.  The training table is tokenised once; its counts are
 written once, bucketed by their join keys, so scoring shuffles positions but
 never the counts, and any number of jobs can read them (AQE's skew-join
 handling splits hot bigrams).  Cache counts are row-local: the occurrence
-number of every token in its text.  Losses stay in long form ``(row_id, pos,
+number of every token in its text, counted over Arrow batches.  Losses stay in long form ``(row_id, pos,
 loss)`` until a loss table (S10) is asked for.
 
 IFD computed from this model is a different number from an LLM's; the
@@ -18,16 +18,19 @@ takes its place through :class:`Scorer` (see ``operators.ifd``).
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import cached_property
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from synthweave.functions.text import word_tokens
 from synthweave.operators.ranking import global_row_number
-from synthweave.session import bucketed, stored
+from synthweave.session import bucketed, spread, stored
 
 IGNORE = -100  # fixed value: label of masked positions
 CACHE_WEIGHT = 0.5  # interpolation weight of the in-text cache model
@@ -63,7 +66,7 @@ class BigramLM:
     """
 
     def __init__(self, train: DataFrame, text: str = "text"):
-        self._words = train.select(tokens(text).alias("_w"))
+        self._words = spread(train.select(F.col(text).alias("_text")), "_text").select(tokens("_text").alias("_w"))
 
     @cached_property
     def counts(self) -> DataFrame:
@@ -92,21 +95,33 @@ class BigramLM:
         return _pairs(self._words, "_w").where("w is not null").groupBy("h", "w").agg(F.count(F.lit(1)).alias("c"))
 
 
-def with_seen(df: DataFrame, toks: str, out: str = "_seen") -> DataFrame:
-    """Add ``out``: how often each token of the array ``toks`` occurred before, within its own text.
+def seen_positions(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, pos, h, w, seen)`` for the places ``_first.._last - 1`` of every array of hashed tokens ``_t``.
 
-    Tokens are sorted with their places, runs of equal ones are numbered, and
-    the numbers are put back in order of places.
+    ``seen`` is how often the token occurred before in its own text, counted
+    for whole Arrow batches by one sort; only the span's places come back.
     """
-    kept = df.columns
-    places = F.sort_array(F.transform(toks, lambda x, i: F.struct(x.alias("w"), i.alias("i"))))
-    df = df.select(*kept, places.alias("_o"))
-    begins = F.expr("filter(sequence(0, greatest(size(_o) - 1, 0)), j -> j = 0 OR get(_o, j).w <> get(_o, j - 1).w)")
-    df = df.select(*kept, "_o", begins.alias("_b"))
-    number = F.expr("flatten(transform(_b, (x, j) -> sequence(0, greatest(coalesce(get(_b, j + 1), size(_o)) - x - 1, 0))))")
-    df = df.select(*kept, "_o", number.alias("_n"))
-    back = F.expr("transform(sort_array(zip_with(_o, _n, (o, n) -> named_struct('i', o.i, 'n', n))), x -> x.n)")
-    return df.select(*kept, F.when(F.size("_o") == 0, F.array().cast("array<int>")).otherwise(back).alias(out))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = batch.column(len(keys))
+            value, size = t.flatten().to_numpy(zero_copy_only=False), t.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), size)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            order = np.lexsort((value, row))                              # stable: equal tokens keep their order
+            new = np.ones(len(row), bool)
+            new[1:] = (row[order][1:] != row[order][:-1]) | (value[order][1:] != value[order][:-1])
+            head = np.flatnonzero(new)
+            seen = np.empty(len(row), np.int64)
+            seen[order] = np.arange(len(row)) - np.repeat(head, np.diff(np.append(head, len(row))))
+            first, last = (batch.column(len(keys) + i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            at = np.flatnonzero((pos >= np.maximum(first, 1)[row]) & (pos < last[row]))
+            of = pa.array(row[at])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(of) for i in range(len(keys))), pa.array(pos[at].astype(np.int32)),
+                                              pa.array(value[at - 1]), pa.array(value[at]), pa.array(seen[at])], [*keys, "pos", "h", "w", "seen"])
+
+    own = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return df.select(*keys, "_t", "_first", "_last").mapInArrow(run, f"{own}, pos int, h bigint, w bigint, seen bigint")
 
 
 def token_losses(df: DataFrame, lm: BigramLM, key="row_id", text: str = "text",
@@ -125,11 +140,7 @@ def token_losses(df: DataFrame, lm: BigramLM, key="row_id", text: str = "text",
     t = F.col(hashed_col) if hashed_col else hashed(tokens(text) if max_length is None else F.slice(tokens(text), 1, max_length))
     first, last = (F.greatest(F.col(span[0]), F.lit(1)), F.least(F.col(span[1]), F.size("_t"))) if span else (F.lit(1), F.size("_t"))
     rows = df.select(*keys, *(span or ()), t.alias("_t")).select(*keys, "_t", first.alias("_first"), last.alias("_last"))
-    # only the span leaves the row; places are built inside one array
-    # expression, so the token array is not copied into every position row
-    places = F.expr("transform(filter(sequence(_first, greatest(_last - 1, _first)), i -> i < _last), "
-                    "i -> named_struct('pos', i, 'h', _t[i - 1], 'w', _t[i], 'seen', _seen[i]))")
-    pos = with_seen(rows, "_t").select(*keys, F.explode(places).alias("_x")).select(*keys, "_x.*")
+    pos = seen_positions(rows, keys)
     v = lm.vocab_size.cast("double")
     # the count tables grow with the training corpus: merged, never broadcast
     # (a compressed size can look small while the hash table is not)

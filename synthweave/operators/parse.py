@@ -25,25 +25,22 @@ def output_expr(text) -> Column:
     return py_strip(split_part(split_part(text, T.MARK_EXAMPLE, 1), "##", 1))
 
 
-def pair_exprs(text) -> tuple[Column, Column]:
-    """``(instruction, output)`` with the reference's three failure modes."""
-    head = split_part(text, T.MARK_EXAMPLE, 1)
-    has_out = head.contains(T.MARK_OUTPUT)
-    out = py_strip(split_part(head, T.MARK_OUTPUT, 2))
+def parse_pair(df: DataFrame, text: str = "text") -> DataFrame:
+    """Add ``instruction`` and ``output``, with the reference's three failure modes.
+
+    Every cut is a column of a layer of its own, so the text is split and
+    stripped once however often the rules look at the pieces.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("instruction", "output")]
+    rows = df.select(F.struct(*kept).alias("_row"), split_part(text, T.MARK_EXAMPLE, 1).alias("_head"))
+    rows = rows.select("_row", F.col("_head").contains(T.MARK_OUTPUT).alias("_has_out"), py_strip(split_part("_head", T.MARK_OUTPUT, 2)).alias("_out"),
+                       split_part("_head", T.MARK_OUTPUT, 1).alias("_before"))
+    out = F.col("_out")
     bad_example = out.contains(T.BAD_OUTPUT_EXAMPLE[0]) | out.contains(T.BAD_OUTPUT_EXAMPLE[1])
     bad_instr = out.contains(T.BAD_OUTPUT_INSTRUCTION[0]) | out.contains(T.BAD_OUTPUT_INSTRUCTION[1])
-    before_out = split_part(head, T.MARK_OUTPUT, 1)
-    has_instr = before_out.contains(T.MARK_INSTRUCTION)
-    instr = py_strip(split_part(before_out, T.MARK_INSTRUCTION, 2))
-    ok = has_out & ~bad_example & has_instr
-    instruction = F.when(ok, instr)
-    output = F.when(ok & ~bad_instr, out)
-    return instruction, output
-
-
-def parse_pair(df: DataFrame, text: str = "text") -> DataFrame:
-    ins, out = pair_exprs(text)
-    return df.withColumn("instruction", ins).withColumn("output", out)
+    rows = rows.select("_row", "_out", (F.col("_has_out") & ~bad_example & F.col("_before").contains(T.MARK_INSTRUCTION)).alias("_ok"), bad_instr.alias("_bad"),
+                       py_strip(split_part("_before", T.MARK_INSTRUCTION, 2)).alias("_instr"))
+    return rows.select("_row.*", F.when(F.col("_ok"), F.col("_instr")).alias("instruction"), F.when(F.col("_ok") & ~F.col("_bad"), out).alias("output"))
 
 
 def parse_instruction(df: DataFrame, text: str = "text") -> DataFrame:

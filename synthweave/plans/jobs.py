@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from synthweave.functions.templates import SIMILARITY_CUT
-from synthweave.session import materialize, stored
+from synthweave.session import dealt, materialize, stored
 from synthweave.operators import generate as G
 from synthweave.operators import normalize as N
 from synthweave.operators import parse as X
@@ -87,10 +87,15 @@ def icl_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.prompt_icl(icl_draws(spark, sf_dir))
 
 
+def _generated(generations: DataFrame) -> DataFrame:
+    """A generator's output, written once and dealt to all tasks, which parse it next."""
+    return materialize(dealt(generations.select("round_id", "generation"), "round_id"))
+
+
 def _icl_parts(spark: SparkSession, sf_dir: str):
     c = _Corpus(spark, sf_dir)
     draws = c.draws(_rounds(c.df))
-    gen = materialize(c.replay(R.prompt_icl(draws), G.wrap_generation(), GEN_SEED).select("round_id", "generation"))
+    gen = _generated(c.replay(R.prompt_icl(draws), G.wrap_generation(), GEN_SEED))
     return c, draws, gen
 
 
@@ -123,7 +128,7 @@ def job_icl(spark: SparkSession, sf_dir: str) -> DataFrame:
     the row ids of the round's exemplars, in prompt order.
     """
     _, draws, gen = _icl_parts(spark, sf_dir)
-    parsed = X.parse_pair(gen, "generation").select("round_id", "instruction", "output")
+    parsed = stored(X.parse_pair(gen, "generation").select("round_id", "instruction", "output"))      # read by the gate and the verdicts
     few = F.array_sort(F.collect_list(F.struct("slot", "row_id")))            # a prompt's few exemplars
     exemplars = draws.groupBy("round_id").agg(F.transform(few, lambda x: x["row_id"]).alias("index_list"))
     return _verdicts(parsed, draws).join(exemplars, "round_id")
@@ -131,15 +136,15 @@ def job_icl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def icl_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, draws, gen = _icl_parts(spark, sf_dir)
-    parsed = X.parse_pair(gen, "generation")
+    parsed = stored(X.parse_pair(gen, "generation").select("round_id", "instruction", "output"))
     return SIM.similarity_gate(parsed.where(_parsed_ok()).select("round_id", "instruction"),
                                draws.select("round_id", "slot", "row_id", "instruction"))
 
 
 def _stage1(c: _Corpus) -> DataFrame:
     draws = c.draws(_rounds(c.df))
-    gen = materialize(c.replay(R.prompt_self1(draws), G.wrap_generation(), GEN_SEED).select("round_id", "generation"))
-    parsed = X.parse_instruction(gen, "generation").select("round_id", "instruction")
+    gen = _generated(c.replay(R.prompt_self1(draws), G.wrap_generation(), GEN_SEED))
+    parsed = stored(X.parse_instruction(gen, "generation").select("round_id", "instruction"))
     ok = F.col("instruction").isNotNull() & (F.col("instruction") != "")
     gate = SIM.similarity_gate(parsed.where(ok), draws.select("round_id", "slot", "row_id", "instruction"))
     return (parsed.where(ok).join(gate, "round_id")
@@ -158,7 +163,7 @@ def job_self_instruct(spark: SparkSession, sf_dir: str, icl: bool = True) -> Dat
     kept = materialize(_stage1(c))          # stage 1's output feeds three places of stage 2
     draws2 = c.draws(kept.select("round_id"), seed=1) if icl else None
     prompts = R.prompt_self2(kept, draws2, icl=icl)
-    gen = materialize(c.replay(prompts, F.col("response"), GEN_SEED + 1).select("round_id", "generation"))
+    gen = _generated(c.replay(prompts, F.col("response"), GEN_SEED + 1))
     out = X.parse_output(gen, "generation")
     return (out.join(kept, "round_id").where(F.col("output").isNotNull() & (F.col("output") != ""))
             .select("round_id", "instruction", "output"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from synthweave.operators import bleu as B
 from synthweave.plans.oracle_views import with_views
 from synthweave.plans.registry import query
+from synthweave.session import spread
 from synthweave.sources import fixtures as V
 
 
@@ -63,7 +64,7 @@ def bleu_corpus(spark, sf_dir):
 
 
 def _sent_pairs(spark, sf_dir):
-    c = V.v_corpus(spark, sf_dir)
+    c = spread(V.v_corpus(spark, sf_dir).select("row_id", "instruction", "response"), "row_id")
     return c.select("row_id", B.tokens("instruction").alias("hyp"), B.tokens("response").alias("ref"))
 
 

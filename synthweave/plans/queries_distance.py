@@ -11,6 +11,7 @@ from synthweave.operators import prompts as R
 from synthweave.plans import jobs as J
 from synthweave.plans.oracle_views import with_views
 from synthweave.plans.registry import query
+from synthweave.session import stored
 from synthweave.sources import fixtures as V
 
 
@@ -40,18 +41,45 @@ def fid(spark, sf_dir):
 
 @query("mauve")
 def mauve(spark, sf_dir):
-    return D.mauve(V.v_sides(spark, sf_dir), buckets=50)
+    return D.mauve(V.v_sides(spark, sf_dir))
 
 
-@query("embed_text_tfidf")
+_TOK = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
+
+
+DIMS = 64
+
+
+@query("embed_text_tfidf", with_views("v_pairs", extra=f"""
+  tx AS (SELECT row_id, '#instruction:' || chr(10) || instruction || chr(10) || '#response:' || chr(10) || response AS text FROM v_pairs),
+  tc AS (SELECT row_id, tok, count(*) AS tf FROM (SELECT row_id, unnest({_TOK.format('text')}) AS tok FROM tx) t GROUP BY ALL),
+  df AS (SELECT tok, ln(((SELECT count(*) FROM tx) + 1) / (count(*) + 1)) AS idf FROM tc GROUP BY tok),
+  sl AS (SELECT tok, idf, ('0x' || substr(h, 1, 8))::BIGINT % {DIMS} AS slot, ('0x' || substr(h, 9, 1))::BIGINT % 2 * 2 - 1 AS sign
+         FROM (SELECT tok, idf, md5(tok || ':' || CAST(k AS VARCHAR)) AS h FROM df, range(0, 4) r(k)) x),
+  vv AS (SELECT row_id, slot, sum(tf * idf * sign) AS x FROM tc JOIN sl USING (tok) GROUP BY row_id, slot),
+  nn AS (SELECT row_id, sqrt(sum(x * x)) AS n FROM vv GROUP BY row_id)""") + f"""
+SELECT row_id, CAST(i AS INTEGER) AS i, round(CASE WHEN coalesce(n, 0) > 0 THEN coalesce(x, 0.0) / n ELSE 0.0 END, 6) AS x
+FROM tx, range(0, {DIMS}) g(i) LEFT JOIN vv ON vv.row_id = tx.row_id AND vv.slot = g.i LEFT JOIN nn USING (row_id)""".replace("SELECT row_id, CAST", "SELECT tx.row_id, CAST").replace("LEFT JOIN nn USING (row_id)", "LEFT JOIN nn ON nn.row_id = tx.row_id"))
 def embed_text_tfidf(spark, sf_dir):
     df = V.v_pairs(spark, sf_dir).select("row_id", R.embed_text_expr().alias("text"))
-    out = D.tfidf_embed(df, "text", 64)
-    return out.select("row_id", F.size("embedding").alias("dim"),
-                      F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x).alias("norm2"))
+    return D.tfidf_embed(df, ["row_id"], "text", DIMS).select("row_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+def letter_encoder():
+    """An encoder small enough for SQL: length and letter counts."""
+    return lambda texts: zip(texts.str.len(), *(texts.str.count(c) for c in "aeiou"))
+
+
+@query("embed_text_user", with_views("v_pairs") + """
+SELECT row_id, CAST(i AS INTEGER) AS i, CAST(x AS DOUBLE) AS x FROM (
+  SELECT row_id, unnest(range(0, 6)) AS i, unnest([length(response)] || [length(response) - length(replace(response, c, '')) FOR c IN ['a', 'e', 'i', 'o', 'u']]) AS x
+  FROM v_pairs) t""")
+def embed_text_user(spark, sf_dir):
+    """L7 with an encoder of the user's, built once per task."""
+    df = V.v_pairs(spark, sf_dir).select("row_id", F.col("response").alias("text"))
+    return D.encode(df, letter_encoder, ["row_id"]).select("row_id", F.posexplode("embedding").alias("i", "x"))
 
 
-_TOK = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
 
 
 @query("client_quality", with_views("v_corpus", "v_pairs", extra=f"""
@@ -83,12 +111,11 @@ def job_distance(spark, sf_dir):
     """Original (pairs) vs synthetic (re-answered corpus) -- FID, MAUVE, lengths, BLEU."""
     pairs = V.v_pairs(spark, sf_dir)
     synth = J.job_reanswer(spark, sf_dir).withColumnRenamed("output", "response")
-    both = (pairs.select(F.lit(0).alias("side"), R.embed_text_expr().alias("text"))
-            .unionByName(synth.select(F.lit(1).alias("side"), R.embed_text_expr().alias("text"))))
-    from synthweave.session import materialize
-    emb = materialize(D.tfidf_embed(both, "text", 32).select("side", "embedding"))  # read by FID and MAUVE
+    both = (pairs.select(F.lit(0).alias("side"), "row_id", R.embed_text_expr().alias("text"))
+            .unionByName(synth.select(F.lit(1).alias("side"), "row_id", R.embed_text_expr().alias("text"))))
+    emb = stored(D.tfidf_embed(stored(both), ["side", "row_id"], "text", DIMS).select("side", "embedding"))  # read by FID and MAUVE
     fid_v = D.fid(emb).first()["fid"]
-    mv = D.mauve(emb, buckets=20).first()["mauve"]
+    mv = D.mauve(emb).first()["mauve"]
     # corpus BLEU of the re-answered responses against the original responses of the same row number
     hyps = synth.select("row_id", B.tokens("response").alias("tokens"))
     refs = V.v_corpus(spark, sf_dir).select("row_id", F.lit(0).alias("ref_id"), B.tokens("response").alias("tokens"))

@@ -87,6 +87,29 @@ def stored(df):
     return spark.read.schema(df.schema).parquet(path)
 
 
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df, *keys):
+    """Deal the rows of a small input to all task slots by key.
+
+    A small file is one row group, so one task reads it, and what follows in
+    that stage runs in one slot.  An input with ``SPREAD_BYTES`` for every
+    slot (by the planner's size) is left as it is scanned: no shuffle there.
+    """
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= slots * SPREAD_BYTES:
+        return df
+    return df.repartition(max(slots, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
+def dealt(df, *keys):
+    """Rows dealt by key to as many tasks as the session shuffles to, however few bytes they have: for costly work on each row."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def bucketed(df, *keys, buckets=None):
     """Write ``df`` once as a table bucketed and sorted by ``keys`` and read it back.
 
