@@ -58,11 +58,11 @@ DIMS = 64
          FROM (SELECT tok, idf, md5(tok || ':' || CAST(k AS VARCHAR)) AS h FROM df, range(0, 4) r(k)) x),
   vv AS (SELECT row_id, slot, sum(tf * idf * sign) AS x FROM tc JOIN sl USING (tok) GROUP BY row_id, slot),
   nn AS (SELECT row_id, sqrt(sum(x * x)) AS n FROM vv GROUP BY row_id)""") + f"""
-SELECT row_id, CAST(i AS INTEGER) AS i, round(CASE WHEN coalesce(n, 0) > 0 THEN coalesce(x, 0.0) / n ELSE 0.0 END, 6) AS x
+SELECT row_id, CAST(i AS INTEGER) AS i, round(CASE WHEN coalesce(n, 0) > 0 THEN coalesce(x, 0.0) / n ELSE 0.0 END, 6) + 0.0 AS x
 FROM tx, range(0, {DIMS}) g(i) LEFT JOIN vv ON vv.row_id = tx.row_id AND vv.slot = g.i LEFT JOIN nn USING (row_id)""".replace("SELECT row_id, CAST", "SELECT tx.row_id, CAST").replace("LEFT JOIN nn USING (row_id)", "LEFT JOIN nn ON nn.row_id = tx.row_id"))
 def embed_text_tfidf(spark, sf_dir):
     df = V.v_pairs(spark, sf_dir).select("row_id", R.embed_text_expr().alias("text"))
-    return D.tfidf_embed(df, ["row_id"], "text", DIMS).select("row_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.round("x", 6))
+    return D.tfidf_embed(df, ["row_id"], "text", DIMS).select("row_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.round("x", 6) + 0.0)
 
 
 def letter_encoder():
