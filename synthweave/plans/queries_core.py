@@ -549,10 +549,31 @@ def generate_batch(spark, sf_dir):
     return gen.select("round_id", F.md5("generation").alias("gen_md5"))
 
 
-@query("generate_ngram")
+_NGRAM_STEPS, _NGRAM_SEED = 8, 3
+
+
+def _sql_ngram_steps() -> str:
+    """CTEs ``g1``..: the word that each step draws, by the cumulative counts of its history."""
+    out = []
+    for k in range(_NGRAM_STEPS):
+        bits = f"('0x' || substr(md5(CAST(s.round_id AS VARCHAR) || ':' || '{k}' || ':' || '{_NGRAM_SEED}'), 1, 15))::BIGINT"
+        out.append(f"""
+  t{k} AS (SELECT s.round_id, s.w AS h, CAST(floor(({bits}::DOUBLE + 0.5) / {float(1 << 60)!r}::DOUBLE * tot.ch) AS BIGINT) AS aim FROM g{k} s JOIN tot ON tot.h = s.w),
+  g{k + 1} AS MATERIALIZED (SELECT t.round_id, iv.w FROM t{k} t JOIN iv ON iv.h = t.h AND iv.hi - iv.c <= t.aim AND t.aim < iv.hi)""")
+    return ",".join(out)
+
+
+@query("generate_ngram", with_views("v_corpus", extra=_sql_draw(0).strip() + "," + _sql_prompt_icl("draws0") + f""",
+  corp AS (SELECT regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS t FROM documents),
+  bg AS (SELECT t[i] AS h, t[i + 1] AS w, count(*) AS c FROM (SELECT t, unnest(generate_series(1, len(t) - 1)) AS i FROM corp WHERE len(t) >= 2) x GROUP BY ALL),
+  iv AS MATERIALIZED (SELECT h, w, c, sum(c) OVER (PARTITION BY h ORDER BY substr(md5(w), 1, 2), w ROWS UNBOUNDED PRECEDING) AS hi FROM bg),
+  tot AS MATERIALIZED (SELECT h, sum(c) AS ch FROM bg GROUP BY h),
+  g0 AS MATERIALIZED (SELECT round_id, list_extract(regexp_extract_all(lower(prompt), '[\\p{{L}}\\p{{N}}_]{{2,}}'), -1) AS w FROM pr),{_sql_ngram_steps()},
+  allg AS ({" UNION ALL ".join(f"SELECT round_id, {k} AS step, w FROM g{k}" for k in range(1, _NGRAM_STEPS + 1))})""") + """
+SELECT round_id, string_agg(w, ' ' ORDER BY step) AS generation FROM allg GROUP BY round_id""")
 def generate_ngram(spark, sf_dir):
     from synthweave.operators.lm import BigramLM
     from synthweave.session import checkpoint_dir
     checkpoint_dir(spark)
     lm = BigramLM(load(spark, sf_dir, "documents"), "text")
-    return G.generate_ngram(J.icl_prompts(spark, sf_dir), lm, steps=8, seed=3)
+    return G.generate_ngram(J.icl_prompts(spark, sf_dir), lm, steps=_NGRAM_STEPS, seed=_NGRAM_SEED)
