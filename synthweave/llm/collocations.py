@@ -6,7 +6,7 @@ occurs ``LEAST`` times or more in pieces of one language is a candidate.
 
 1. Words are counted for every language (``word_counts``).
 2. Apriori-safe candidates.  A phrase can only be frequent if its parts are.
-   A first pass adds up hashed counts of word pairs in a table of fixed size
+   A first pass adds up hashed counts of word pairs in a table of bounded size
    (``sieve``): a pair whose slot stays under ``LEAST`` is rare for certain.
    A second pass does so for triples whose two pairs pass.  What passes is
    listed once and must consist of frequent words (``candidates``).  Slots
@@ -48,11 +48,12 @@ MOST = 2000
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
 PIECE_BYTES = 6 << 20
-SIEVE_BITS = 24         # slots of the sieve: 16 MB, whatever the corpus
+SIEVE_BITS = 16, 28     # slots of a sieve: about one per word of the corpus, 2 ** 28 (a broadcast of 32 MB) at most
+RANGES = 1 << 8         # ranges of slots: one row of a piece's counts for each
 CHUNK = 1 << 12         # counters that travel as one row
-TRIE = 1 << 19          # phrases of one trie
+TRIE = 1 << 18          # phrases of one trie
 ROUND = 4               # tries broadcast together
-SEEN = 1 << 18          # phrases that a task remembers to have listed
+SEEN = 1 << 20          # phrases that a task remembers to have listed
 _U = np.uint64
 
 _KIND = np.zeros(256, np.uint8)
@@ -149,18 +150,45 @@ def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * _U(0x9E3779B97F4A7C15) + b)
 
 
-def _slots(h: np.ndarray, size: int) -> np.ndarray:
-    """Slots of hashes in a table whose size is a power of two."""
-    return (h >> _U(65 - size.bit_length())).astype(np.int64)
+def _slots(h: np.ndarray, bits: int) -> np.ndarray:
+    """Slots of hashes in a table of ``2 ** bits``."""
+    return (h >> _U(64 - bits)).astype(np.int64)
 
 
-def phrase_hashes(p: Pieces, size: int, passed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _encoded(values: np.ndarray) -> bytes:
+    """One chunk of counters, as numbers or as places and numbers, whichever is shorter."""
+    at = np.flatnonzero(values)
+    dense, sparse = values.astype("<i8").tobytes(), at.astype("<u2").tobytes() + values[at].astype("<i8").tobytes()
+    return b"d" + dense if len(dense) <= len(sparse) else b"s" + sparse
+
+
+def _add(total: np.ndarray, data: bytes) -> None:
+    if data[:1] == b"d":
+        values = np.frombuffer(data, "<i8", offset=1)
+        total[:len(values)] += values
+    else:
+        n = (len(data) - 1) // 10
+        total[np.frombuffer(data, "<u2", n, 1)] += np.frombuffer(data, "<i8", n, 1 + 2 * n)
+
+
+class Sieve:
+    """One bit per slot: whether phrases of that hash slot may be frequent."""
+
+    def __init__(self, bits: int, packed: np.ndarray):
+        self.bits, self.packed = bits, packed
+
+    def passes(self, h: np.ndarray) -> np.ndarray:
+        slot = _slots(h, self.bits)
+        return (self.packed[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+
+
+def phrase_hashes(p: Pieces, size: int, passed: Sieve | None = None) -> tuple[np.ndarray, np.ndarray]:
     """First words and hashes of all phrases of ``size`` words; of triples only those whose pairs pass the sieve ``passed``."""
     at = np.flatnonzero(p.left >= 2)
     pair = _pair_hash(p.symbol[at], p.symbol[at + 1])
     if size == 2:
         return at, pair
-    good = passed[_slots(pair, len(passed))]
+    good = passed.passes(pair)
     fine = np.zeros(len(p.symbol) + 1, bool)
     fine[at[good]] = True
     keep = good & fine[at + 1] & (p.left[at] >= 3)
@@ -168,89 +196,97 @@ def phrase_hashes(p: Pieces, size: int, passed: np.ndarray | None = None) -> tup
     return at, _pair_hash(pair, p.symbol[at + 2])
 
 
-def _encoded(values: np.ndarray, kind: str) -> bytes:
-    """One chunk of counters, as numbers or as places and numbers, whichever is shorter."""
-    at = np.flatnonzero(values)
-    dense, sparse = values.astype(kind).tobytes(), at.astype("<u2").tobytes() + values[at].astype(kind).tobytes()
-    return b"d" + dense if len(dense) <= len(sparse) else b"s" + sparse
-
-
-def _add(total: np.ndarray, data: bytes, kind: str) -> None:
-    if data[:1] == b"d":
-        values = np.frombuffer(data, kind, offset=1)
-        total[:len(values)] += values
-    else:
-        n = (len(data) - 1) // (2 + np.dtype(kind).itemsize)
-        total[np.frombuffer(data, "<u2", n, 1)] += np.frombuffer(data, kind, n, 1 + 2 * n)
-
-
-def sieve(texts: DataFrame, size: int, least: int = LEAST, passed: np.ndarray | None = None, bits: int = SIEVE_BITS) -> np.ndarray:
+def sieve(texts: DataFrame, size: int, bits: int, least: int = LEAST, passed: Sieve | None = None) -> Sieve:
     """Which of ``2 ** bits`` slots hold ``least`` phrases or more, over all texts.
 
-    Tasks clip their counts at ``least``, which changes no verdict.
+    Tasks send the slots they met, with counts clipped at ``least`` (100 at
+    most), which lets nothing frequent go; sums are made slot range by slot
+    range.
     """
-    spark = texts.sparkSession
-    sent = spark.sparkContext.broadcast(None if passed is None else np.packbits(passed))
+    least = min(least, 100)
+    width = max((1 << bits) // RANGES, 8)                                 # slots of a range
+    sent = texts.sparkSession.sparkContext.broadcast(passed)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << bits, np.uint8)
-        known = None if sent.value is None else np.unpackbits(sent.value).view(bool)
         for p, _ in _split_all(batches):
-            _, h = phrase_hashes(p, size, known)
-            slot = np.sort(_slots(h, len(table)))
+            _, h = phrase_hashes(p, size, sent.value)
+            slot = np.sort(_slots(h, bits))
             head = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])[:len(slot)])
-            at, n = slot[head], np.diff(np.append(head, len(slot)))
-            table[at] = np.minimum(table[at] + np.minimum(n, least), least)
-        chunks = table.reshape(-1, CHUNK)
-        used = np.flatnonzero(chunks.any(axis=1))
-        for lo in range(0, len(used), 256):
-            part = used[lo:lo + 256]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([_encoded(chunks[c], "u1") for c in part], pa.binary())], ["chunk", "data"])
+            slot, n = slot[head], np.minimum(np.diff(np.append(head, len(slot))), least).astype(np.uint8)
+            cut = np.searchsorted(slot, np.arange(0, (1 << bits) + 1, width))
+            low = (slot % width).astype("<u4")
+            used = np.flatnonzero(np.diff(cut))
+            data = [low[cut[c]:cut[c + 1]].tobytes() + n[cut[c]:cut[c + 1]].tobytes() for c in used.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(data, pa.binary())], ["part", "data"])
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for c, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total = held.setdefault(c, np.zeros(CHUNK, np.uint16))
-                _add(total, data, "u1")
-                np.minimum(total, least, out=total)
+                total = held.setdefault(c, np.zeros(width, np.uint8))
+                m = len(data) // 5
+                at = np.frombuffer(data, "<u4", m)
+                total[at] = np.minimum(total[at] + np.frombuffer(data, np.uint8, m, 4 * m), least)     # under 256: each is clipped
         for c, total in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], ["chunk", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], ["part", "data"])
 
-    schema = "chunk int, data binary"
-    rows = texts.mapInArrow(run, schema).repartition("chunk").mapInArrow(add, schema).toArrow()   # 2 ** bits / 8 bytes at most
-    out = np.zeros((1 << bits) // CHUNK * CHUNK, bool).reshape(-1, CHUNK)
-    for c, data in zip(rows.column("chunk").to_pylist(), rows.column("data").to_pylist()):
-        out[c] = np.unpackbits(np.frombuffer(data, np.uint8)).view(bool)
+    schema = "part int, data binary"
+    rows = texts.mapInArrow(run, schema).repartition("part").mapInArrow(add, schema).toArrow()         # 2 ** bits / 8 bytes at most
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for c, data in zip(rows.column("part").to_pylist(), rows.column("data").to_pylist()):
+        out[c * width // 8:(c + 1) * width // 8] = np.frombuffer(data, np.uint8)
     sent.unpersist()
-    return out.ravel()
+    return Sieve(bits, out)
+
 
+def listed(texts: DataFrame, size: int, kept: Sieve, passed: Sieve | None = None, ranges: int = RANGES) -> DataFrame:
+    """Distinct phrases ``(s1, s2[, s3])`` of word hashes that pass the sieve ``kept``.
 
-def listed(texts: DataFrame, size: int, kept: np.ndarray, passed: np.ndarray | None = None) -> DataFrame:
-    """Distinct phrases ``(s1, s2[, s3])`` of word hashes whose slot is ``kept``."""
-    sent = texts.sparkSession.sparkContext.broadcast((np.packbits(kept), None if passed is None else np.packbits(passed)))
+    Each task sends what it met packed by range of phrase hashes, and every
+    range is made distinct on its own.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast((kept, passed))
     names = [f"s{i + 1}" for i in range(size)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good, known = (None if x is None else np.unpackbits(x).view(bool) for x in sent.value)
+        good, known = sent.value
         seen = np.zeros(SEEN, np.uint64)
         for p, _ in _split_all(batches):
             at, h = phrase_hashes(p, size, known)
-            take = good[_slots(h, len(good))]
+            take = good.passes(h)
             take &= seen[(h & _U(SEEN - 1)).astype(np.int64)] != h
             at, h = at[take], h[take]
-            one, _ = _groups(h)
-            seen[(h[one] & _U(SEEN - 1)).astype(np.int64)] = h[one]
-            yield pa.RecordBatch.from_arrays([pa.array(p.symbol[at[one] + i].view(np.int64)) for i in range(size)], names)
+            one, _ = _groups(h)                                            # sorted by hash
+            at, h = at[one], h[one]
+            seen[(h & _U(SEEN - 1)).astype(np.int64)] = h
+            rows = np.stack([p.symbol[at + i] for i in range(size)], axis=1)
+            cut = np.searchsorted(h, np.arange(ranges, dtype=np.uint64) * _U((1 << 64) // ranges))
+            ends = np.append(cut[1:], len(h))
+            used = np.flatnonzero(ends > cut)
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([rows[cut[c]:ends[c]].tobytes() for c in used.tolist()], pa.binary())], ["part", "data"])
+
+    def once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for c, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts = held.setdefault(c, [])
+                parts.append(np.frombuffer(data, np.uint64).reshape(-1, size))
+                if len(parts) >= 64:
+                    held[c] = [np.unique(np.concatenate(parts), axis=0)]
+        for parts in held.values():
+            rows = np.unique(np.concatenate(parts), axis=0).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(size)], names)
 
-    return texts.mapInArrow(run, ", ".join(f"{c} bigint" for c in names)).distinct()
+    return texts.mapInArrow(run, "part int, data binary").repartition("part").mapInArrow(once, ", ".join(f"{c} bigint" for c in names))
 
 
 def candidates(texts: DataFrame, words: DataFrame, least: int = LEAST) -> DataFrame:
     """``(s1, s2, s3)``, ``s3`` null for pairs: a superset of all phrases that occur ``least`` times, made of ``words``."""
     frequent = words.where(F.col("n") >= least).select("symbol")
-    two = sieve(texts, 2, least)
-    three = sieve(texts, 3, least, two)
+    total = words.agg(F.sum("n")).first()[0] or 0
+    bits = min(max(total.bit_length(), SIEVE_BITS[0]), SIEVE_BITS[1])
+    two = sieve(texts, 2, bits, least)
+    three = sieve(texts, 3, bits, least, two)
     pairs = listed(texts, 2, two)
     for c in ("s1", "s2"):
         pairs = pairs.join(frequent.withColumnRenamed("symbol", c), c, "left_semi")
@@ -412,13 +448,13 @@ def occurrences(texts: DataFrame, phrases: DataFrame, least: int = LEAST, trie:
                 used = [c for c, x in enumerate(parts) if x.any()]
                 if used:
                     yield pa.RecordBatch.from_arrays([pa.array([i] * len(used), pa.int32()), pa.array(used, pa.int32()),
-                                                      pa.array([_encoded(parts[c], "<i8") for c in used], pa.binary())], ["trie", "chunk", "data"])
+                                                      pa.array([_encoded(parts[c]) for c in used], pa.binary())], ["trie", "chunk", "data"])
 
         def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[tuple[int, int], np.ndarray] = {}
             for batch in batches:
                 for i, c, data in zip(*(x.to_pylist() for x in batch.columns)):
-                    _add(held.setdefault((i, c), np.zeros(CHUNK, np.int64)), data, "<i8")
+                    _add(held.setdefault((i, c), np.zeros(CHUNK, np.int64)), data)
             known = {i: x for i, x in sent.value if any(k[0] == i for k in held)}
             for i, data in known.items():
                 t = Trie.from_bytes(data)

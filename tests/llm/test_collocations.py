@@ -56,7 +56,7 @@ def test_against_brute_force(spark, most):
 def test_many_tries_and_a_full_sieve(spark, monkeypatch):
     """Small tries in several rounds, and a sieve so small that every slot is full, change nothing."""
     monkeypatch.setattr(col.occurrences, "__defaults__", (10, 20, 2))
-    monkeypatch.setattr(col.sieve, "__defaults__", (10, None, 12))
+    monkeypatch.setattr(col, "SIEVE_BITS", (4, 4))
     data = corpus(150)
     assert rows(col.collocations(spark.createDataFrame(data, COLS))) == sorted(brute(data, 10, 2000), key=str)
 
