@@ -4,8 +4,11 @@ Vectors are cut in two halves and each half is quantised by its own k-means
 codebook, which divides the space into ``k * k`` cells.  A query walks the
 pairs of centroids in order of summed distance with a heap until the cells
 visited hold enough vectors; those are reranked by exact Euclidean distance.
-Reranking runs in blocks: at most ``BLOCK`` queries against at most about
-``BLOCK`` entries of one first-half centroid, as one matrix product each.
+Reranking runs in blocks: about ``BLOCK`` queries against about ``BLOCK``
+entries of one first-half centroid, as one matrix product each.  Queries
+share a block with those of the same and of neighbouring first-half
+centroids, and an entry is sent to a block only if one of its queries visits
+the entry's cell, so what is shuffled grows with the visits.
 
 Codebooks are fitted on a bounded sample (``SAMPLE`` vectors, chosen by
 hash); every vector is indexed.  Equal vectors are one entry of the index:
@@ -15,7 +18,9 @@ only those are kept -- an exact reduction that also splits the largest cells.
 Vectors that are null, zero, or hold null or non-finite components take no
 part, nor do vectors of another dimension than the longest-standing one (the
 most frequent, ties to the smaller).  Ties go to the smaller id; repeated
-rows of one id count once; empty tables give empty results.
+rows of one id count once, and of an id with several vectors the smallest
+asks while all can be found; empty tables give empty results.  Only the two
+named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -97,8 +102,30 @@ def walk(first: np.ndarray, second: np.ndarray, sizes: dict[int, int], visit: in
     return cells
 
 
+def query_blocks(first: np.ndarray, asked: dict[int, int], size: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of every first-half centroid's queries.
+
+    Centroids are taken along their main axis and share a block until it
+    holds ``size`` queries; a centroid with more gets blocks of its own.
+    """
+    centred = first - first.mean(axis=0)
+    axis = np.linalg.svd(centred, full_matrices=False)[2][0]
+    base, parts = np.zeros(len(first), np.int64), np.ones(len(first), np.int64)
+    block = held = 0
+    for line in np.argsort(centred @ axis, kind="stable").tolist():
+        n = asked.get(line, 0)
+        if held and held + n > size:
+            block, held = block + 1, 0
+        base[line], parts[line] = block, max(1, -(-n // size))
+        if n > size:
+            block, held = block + int(parts[line]), 0
+        else:
+            held += n
+    return base, parts
+
+
 def search(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", n: int = 10,
-           codebook: int = CODEBOOK, visit: int = VISIT, share: float = SHARE) -> DataFrame:
+           codebook: int = CODEBOOK, visit: int = VISIT, share: float = SHARE, size: int = BLOCK) -> DataFrame:
     """``(query_id, rank, <key>, score)``: the ``n`` nearest found of every row for which ``queries`` holds."""
     spark = df.sparkSession
     base = (df.where(valid(F.col(f"`{vector}`")) & F.col(f"`{key}`").isNotNull())
@@ -133,39 +160,54 @@ def search(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "e
         lines[cell // row] = lines.get(cell // row, 0) + count
     held = spark.sparkContext.broadcast((sizes, lines))
     goal = max(visit, int(share * sum(sizes.values())))
-    asked = base.where(F.col("asks")).dropDuplicates(["id"])
-    query_blocks = -(-asked.count() // BLOCK)
+    asked = base.where(F.col("asks")).groupBy("id").agg(F.min("vector").alias("vector"))
+    asked = materialize(asked.select("id", "vector", F.lit(1).alias("r")).mapInArrow(place, "id bigint, vector array<double>, r int, cell int"))
+    by_line = asked.groupBy((F.col("cell") / row).cast("int").alias("line")).count().collect()         # at most codebook
+    blocks = spark.sparkContext.broadcast(query_blocks(first, {r["line"]: r["count"] for r in by_line}, size))
 
-    def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each query and block: which cells of the block's line (first-half centroid) it visits."""
+    def visit_cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query's block and the cells it visits."""
         one, two = books.value
-        sizes, lines = held.value
+        base, split = blocks.value
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 x = _matrix(part.column(1))
+                cells = [walk(a, b, held.value[0], goal) for a, b in zip(_distances(x[:, :half], one), _distances(x[:, half:], two))]
+                line = part.column(2).to_numpy() // row
+                block = base[line] + part.column(3).to_numpy() % split[line]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(block, pa.int64()), pa.array(cells, pa.list_(pa.int32()))],
+                                                 ["query_id", "query", "asked", "cells"])
+
+    walked = materialize(asked.select("id", "vector", "cell", F.shiftrightunsigned(F.xxhash64("id"), 1).alias("h"))
+                         .mapInArrow(visit_cells, "query_id bigint, query array<double>, asked bigint, cells array<int>"))
+
+    def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each query, line (first-half centroid) and part of the line that it visits."""
+        lines = held.value[1]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 rows, line, salt, cells = [], [], [], []
-                for i, (a, b) in enumerate(zip(_distances(x[:, :half], one), _distances(x[:, half:], two))):
-                    by_line: dict[int, list[int]] = {}
-                    for cell in walk(a, b, sizes, goal):
-                        by_line.setdefault(cell // row, []).append(cell)
-                    for k, cs in by_line.items():
-                        for s in range(-(-lines[k] // BLOCK)):
+                for i, seen in enumerate(part.column(3).to_pylist()):
+                    of_line: dict[int, list[int]] = {}
+                    for cell in seen:
+                        of_line.setdefault(cell // row, []).append(cell)
+                    for k, cs in of_line.items():
+                        for s in range(-(-lines[k] // size)):
                             rows.append(i), line.append(k), salt.append(s), cells.append(cs)
                 rows = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(rows), part.column(1).take(rows), part.column(2).take(rows), pa.array(line, pa.int32()),
-                     pa.array(salt, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], ["query_id", "query", "asked", "line", "salt", "cells"])
-
-    def block(ids: str) -> Column:
-        return F.pmod(F.xxhash64(ids), F.lit(max(query_blocks, 1))).cast("int")
-
-    routed = (asked.select("id", "vector", block("id").alias("asked"))
-              .mapInArrow(route, "query_id bigint, query array<double>, asked int, line int, salt int, cells array<int>"))
-    parts = F.get(F.array(*[F.lit(-(-lines.get(i, 0) // BLOCK)) for i in range(len(first))]), (F.col("cell") / row).cast("int"))
-    entries = (index.withColumn("line", (F.col("cell") / row).cast("int"))
-               .withColumn("salt", F.pmod(F.xxhash64("id"), F.greatest(parts, F.lit(1))).cast("int"))
-               .withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(max(query_blocks, 1) - 1)))))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in range(3)), pa.array(line, pa.int32()), pa.array(salt, pa.int32()),
+                                                  pa.array(cells, pa.list_(pa.int32()))], ["query_id", "query", "asked", "line", "salt", "cells"])
+
+    routed = walked.mapInArrow(route, "query_id bigint, query array<double>, asked bigint, line int, salt int, cells array<int>")
+    line = (F.col("cell") / row).cast("int")
+    parts = F.greatest(F.get(F.array(*[F.lit(-(-lines.get(i, 0) // size)) for i in range(len(first))]), line), F.lit(1))
+    # a block's visited cells, once for each part of their line: a cell of many vectors is spread over the parts
+    visited = (walked.select("asked", F.explode("cells").alias("cell")).distinct()
+               .select("asked", "cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt")))
+    entries = (index.withColumn("line", line).withColumn("salt", F.pmod(F.xxhash64("id"), parts).cast("int"))
+               .join(visited, ["cell", "salt"]))
 
     def rerank(asks: pa.Table, found: pa.Table) -> pa.Table:
         """Exact distances of a block's entries; per query the best ``n`` of the cells it visits."""

@@ -299,6 +299,20 @@ def test_vectors_of_one_component_and_ties(spark):
     assert {q: [i for i, _ in near] for q, near in got.items()} == {q: [i for i, _ in near] for q, near in want.items()}
 
 
+def test_small_blocks_find_what_one_block_finds(spark):
+    rng = np.random.default_rng(4)
+    vectors = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(1200, 6)))] + [(5000 + i, [1.0, 0.0, 0.0, 2.0, 0.0, 0.0]) for i in range(400)]
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
+    want = brute.nearest(vectors, lambda i: i % 20 == 0)
+    got = {}
+    for r in multi_index.search(df, F.col("vec_id") % 20 == 0, codebook=8, visit=5000, size=9).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: [i for i, _ in near] for q, near in want.items()}
+    base, parts = multi_index.query_blocks(rng.normal(size=(8, 3)), {0: 30, 1: 2, 2: 3, 5: 9}, 9)
+    taken = [set(range(b, b + n)) for b, n in zip(base, parts)]
+    assert parts[0] == 4 and all(not taken[0] & taken[i] for i in (1, 2, 5)) and not taken[5] & (taken[1] | taken[2])
+
+
 def test_recall_with_the_walk_cut_short(spark):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(40, 16))
