@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from synthweave.functions.keys import HASH_RANGE, hash_bits
@@ -73,6 +73,28 @@ def rdp_terms(runs: DataFrame, q: str = "q", sigma: str = "sigma", orders=ORDERS
     return agg.withColumn("rdp", rdp).drop("_m", "_s")
 
 
+def rdp_array(q: Column, sigma: Column, orders: tuple[int, int] = ORDERS) -> Column:
+    """D3 in one expression: a step's Rényi divergence at every order of the range, as an array.
+
+    Row-local, so it also runs on streams; the log-sum-exp over the binomial
+    terms keeps the largest term and the rest's sum relative to it.
+    """
+    q, sigma = q.cast("double"), sigma.cast("double")
+
+    def divergence(alpha: Column) -> Column:
+        def add(acc: Column, k: Column) -> Column:
+            lb = acc["lb"] + F.when(k == 0, F.lit(0.0)).otherwise(F.log(alpha - k + 1) - F.log(k))
+            t = lb + (alpha - k) * F.log1p(-q) + k * F.log(q) + (k * k - k) / (2 * sigma * sigma)
+            m = F.greatest(acc["m"], t)
+            return F.struct(lb.alias("lb"), m.alias("m"), (acc["s"] * F.exp(acc["m"] - m) + F.exp(t - m)).alias("s"))
+
+        start = F.struct(F.lit(0.0).alias("lb"), F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("s"))
+        sampled = F.aggregate(F.sequence(F.lit(0), alpha), start, add, lambda acc: (acc["m"] + F.log(acc["s"])) / (alpha - 1))
+        return F.when(q >= 1, alpha / (2 * sigma * sigma)).when(q <= 0, F.lit(0.0)).otherwise(sampled)
+
+    return F.transform(F.sequence(F.lit(orders[0]), F.lit(orders[1])), divergence)
+
+
 def rdp_ledger(runs: DataFrame, run_key: list[str], q: str = "q", sigma: str = "sigma", steps: str = "steps",
                delta: str = "delta", orders=ORDERS) -> DataFrame:
     """D3: ``eps = min_a  rdp_a * steps - (ln delta + ln a) / (a - 1) + ln((a - 1) / a)``, floored at 0."""

@@ -5,10 +5,14 @@ from __future__ import annotations
 import os
 
 
+from pyspark.sql import functions as F
+
 from synthweave.operators import parse as X
+from synthweave.plans import queries_privacy as P
 from synthweave.plans.registry import ORACLES, query
 from synthweave.sources import files as IO
 from synthweave.sources import fixtures as V
+from synthweave.streaming import ledger as LG
 from synthweave.streaming import rowwise as ST
 
 
@@ -25,3 +29,17 @@ def stream_parse_pair(spark, sf_dir):
 
 
 ORACLES["stream_parse_pair"] = ORACLES["parse_pair"]
+
+
+@query("stream_over_budget", ORACLES["dp_over_budget"])
+def stream_over_budget(spark, sf_dir):
+    """D5 as a running check: every run's entries of 500 steps as a stream that stops half-way and goes on from its checkpoint."""
+    root = IO.scratch(spark, "stream_over_budget")
+    every = 500
+    entries = P.runs(spark, sf_dir).withColumn("entry", F.explode(F.sequence(F.lit(1), F.lit(P.STEPS // every)))).withColumn("steps", F.lit(every))
+    half = P.STEPS // every // 2
+    for part in (F.col("entry") <= half, F.col("entry") > half):
+        entries.where(part).write.mode("append").json(os.path.join(root, "in"))
+        src = ST.read_json_stream(spark, os.path.join(root, "in"), "client_id int, entry long, q double, sigma double, steps long, delta double")
+        LG.run_budget(spark, src, ["client_id"], 1.0, os.path.join(root, "out"), name=os.path.basename(root)).awaitTermination()
+    return spark.read.parquet(os.path.join(root, "out")).select("client_id", "steps", "epsilon")

@@ -62,31 +62,81 @@ def scan_shards(spark: SparkSession, path: str, schema=None, fmt: str = "json")
             .withColumn("shard_id", F.regexp_extract("file_path", SHARD_RE, 1).try_cast("int")))
 
 
+def array_files(spark: SparkSession, path: str) -> dict[str | None, list[str]]:
+    """The indented JSON arrays of a folder by the indentation of their records.
+
+    An indented array opens with ``[`` on a line of its own; its records open
+    with ``{`` at the least indentation of such lines.  ``None``: arrays
+    without an indented record (empty, of other values, or not indented).
+    The result is bounded by the file listing that the driver holds anyway.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    pad = F.regexp_extract("value", r"^([ \t]+)\{", 1)
+    rows = (lines.groupBy(F.col("_metadata.file_path").alias("p"))
+            .agg(F.max(F.trim(F.regexp_replace("value", "[\r\ufeff]", "")) == "[").alias("opens"),
+                 F.min_by(pad, F.when(pad != "", F.length(pad))).alias("pad"))
+            .where("opens").collect())
+    out: dict[str | None, list[str]] = {}
+    for r in rows:
+        out.setdefault(r["pad"], []).append(r["p"])
+    return out
+
+
+def array_records(spark: SparkSession, paths: list[str], pad: str) -> DataFrame:
+    """``(value, file_path)``: the records of indented JSON arrays, as texts.
+
+    A line break, the indentation and ``{`` open a record and occur nowhere
+    else (strings hold no line breaks), so they serve as the line separator
+    of the text source and Spark splits one file into as many tasks as its
+    bytes ask for.  Records that open elsewhere follow another one in its
+    piece and are told apart there.
+    """
+    text = spark.read.option("lineSep", f"\n{pad}{{").text(paths)
+    body = F.concat(F.lit("{"), F.regexp_replace("value", r"[\s,\]]+$", ""))
+    pieces = (text.select(body.alias("value"), F.col("_metadata.file_path").alias("file_path"))
+              .where(~F.col("value").rlike("^\\{[\\s\ufeff]*\\[?$")))                     # what stands before the first record
+    several = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<string>")
+    found = F.when(F.col("value").rlike(r"\}\s*,\s*\{"), several)
+    return pieces.select(F.explode(F.coalesce(F.when(F.size(found) > 1, found), F.array("value"))).alias("value"), "file_path")
+
+
 def scan_mixed_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """JSON lines and JSON arrays in one folder.
 
     A line may hold one object or an array of objects (every element is a
     row); a file that opens with ``[`` on a line of its own is an indented
-    array and is parsed as a whole (by one task: such a file is one JSON
-    value).  Malformed records are kept as ``_corrupt_record`` instead of
-    being dropped silently, so a caller can count them.
+    array, read by as many tasks as its bytes ask for (:func:`array_records`;
+    one without indented records is read whole by one task).  Malformed
+    records are kept as ``_corrupt_record`` instead of being dropped
+    silently, so a caller can count them; in an indented array the records
+    around them are read.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    # one path per array file: bounded by the file listing that the driver holds anyway
-    arrays = [r["p"] for r in lines.where(F.trim("value") == "[").select(F.col("_metadata.file_path").alias("p")).distinct().collect()]
+    arrays = array_files(spark, path)
+    records = [array_records(spark, paths, pad) for pad, paths in sorted(arrays.items(), key=str) if pad]
+    listed = [p for paths in arrays.values() for p in paths]
+    whole = arrays.get(None, [])
     if schema is not None:
         schema = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     else:
-        schema = spark.read.option("recursiveFileLookup", "true").json(path).schema
+        texts = spark.read.option("recursiveFileLookup", "true").text(path)
+        texts = texts.where(~F.col("_metadata.file_path").isin(listed)) if listed else texts
+        for r in records:
+            texts = texts.select("value").union(r.select("value"))
+        schema = spark.read.json(texts.rdd.map(lambda r: r[0])).schema
+        if whole:
+            known = set(schema.names)
+            more = spark.read.option("multiLine", "true").json(whole).schema
+            schema = T.StructType(schema.fields + [x for x in more.fields if x.name not in known])
         schema = T.StructType([x for x in schema.fields if x.name != "_corrupt_record"])
-    schema = schema.add("_corrupt_record", T.StringType())
-    reader = (spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-              .option("recursiveFileLookup", "true"))
-    by_line = reader.json(path)
-    if not arrays:
-        return by_line
-    by_line = by_line.where(~F.col("_metadata.file_path").isin(arrays))
-    return by_line.unionByName(reader.option("multiLine", "true").json(arrays))
+    schema = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    reader = spark.read.schema(schema).options(**options).option("recursiveFileLookup", "true")
+    out = reader.json(path)
+    if listed:
+        out = out.where(~F.col("_metadata.file_path").isin(listed))
+    for r in records:
+        out = out.unionByName(r.select(F.from_json("value", schema, options).alias("r")).select("r.*"))
+    return out.unionByName(reader.option("multiLine", "true").json(whole)) if whole else out
 
 
 def write_json_arrays(df: DataFrame, path: str, indent: int = 4) -> None:
