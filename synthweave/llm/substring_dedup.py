@@ -5,8 +5,10 @@ is repeated; the words that repeated runs cover are removed.  Windows are
 judged on the input, so removal never changes a verdict.
 
 Suffixes are grouped by a prefix and each group is sorted into a subtree on
-its own; a node as deep as the window with two leaves or more is a maximal
-repeat's trace.  Three things keep this small:
+its own.  Neighbours' common prefixes give the subtree's internal nodes; a
+leaf's deepest node, if it is as deep as the window, is the longest repeat
+that starts there, and those that no repeat to the left takes in are the
+maximal repeats.  Three things keep this small:
 
 * Sparse suffixes.  Of the ``GRAM``-word runs inside a window the one with
   the least hash (the leftmost of equals) is the window's anchor.  Equal
@@ -14,10 +16,14 @@ repeat's trace.  Three things keep this small:
   anchor travel together as one row, keyed by the anchor's words: the prefix.
 * Prefixes that occur once are dropped before any words are sent: no window
   around them can be repeated.
-* Variable-length prefixes.  A group over ``GROUP`` suffixes is split into
-  parts that fit; each part finds its own repeats and passes on one
-  representative of every distinct window, keyed by all its words -- the
-  longest prefix -- for a second, aggregated round.
+* Variable-length prefixes.  The suffixes of a prefix with more than
+  ``GROUP`` are told apart by longer and longer beginnings (``LEVELS`` steps
+  up to the window) until each group fits; beginnings that occur once are
+  dropped on the way.  A group that is still too large at full length holds
+  equal windows only: it is one node, and its leaves need no subtree.
+
+A row holds the words around one anchor, so a repeat longer than those is
+traced by several rows; its places overlap and are joined at the removal.
 
 Words travel as 32-bit hashes in subtrees and texts are identified by a
 64-bit hash; equal texts are one text found several times.  A null or empty
@@ -42,6 +48,7 @@ from synthweave.session import materialize
 WINDOW = 35
 GRAM = 12
 GROUP = 4_096           # suffixes of a prefix that one subtree takes
+LEVELS = 4              # lengths, up to the window, that a larger prefix is split at
 _PART_ROWS = 4_096      # anchors sorted together in a task, unless one group holds more
 _U = np.uint64
 
@@ -86,70 +93,138 @@ def prefix_counts(texts: DataFrame, window: int, gram: int) -> DataFrame:
     return texts.mapInArrow(run, "prefix bigint, node bigint, n bigint")
 
 
+def _marked(known: pa.Array, hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which ``hashes`` (of text ``doc``) are among their text's listed ones, and at which place of the flat list."""
+    owner = np.repeat(np.arange(len(known)), known.value_lengths().to_numpy(zero_copy_only=False))
+    flat = known.flatten()
+    flat = (flat.field("key") if pa.types.is_struct(flat.type) else flat).to_numpy(zero_copy_only=False)
+    marks = mix(flat.view(np.uint64) ^ mix(owner.astype(np.uint64)))
+    order = np.argsort(marks)
+    mine = mix(hashes ^ mix(doc.astype(np.uint64)))
+    slot = np.minimum(np.searchsorted(marks[order], mine), len(marks) - 1)
+    take = np.flatnonzero(marks[order][slot] == mine)
+    return take, order[slot[take]]
+
+
+def _word_lists(h: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Runs of ``size`` words from ``start``, as 32-bit hashes."""
+    end = np.cumsum(size)
+    flat = (h >> _U(32)).astype(np.uint32)[np.repeat(start - (end - size), size) + np.arange(int(end[-1]))]
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], end * 4]).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+
+
 def suffix_rows(marked: DataFrame, window: int, gram: int) -> DataFrame:
-    """One row per anchor whose prefix is marked: the words of all its windows, keyed by prefix and part."""
+    """One row per anchor whose prefix is in ``marks``: the words of all its windows, keyed by the prefix."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in packed_pieces(batches, "packed"):
             w = words(unpack(piece.column(1)))
             at, prefix, start, n, h = anchors(w, window, gram)
             doc = np.searchsorted(w.first, at, side="right") - 1
-            lists = piece.column(2)
-            owner = np.repeat(np.arange(piece.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-            known = lists.flatten()
-            marks, parts = (known.field(c).to_numpy(zero_copy_only=False) for c in ("prefix", "parts"))
-            marks = mix(marks.view(np.uint64) ^ mix(owner.astype(np.uint64)))
-            order = np.argsort(marks)
-            marks, parts = marks[order], parts[order]
-            mine = mix(prefix ^ mix(doc.astype(np.uint64)))
-            slot = np.minimum(np.searchsorted(marks, mine), len(marks) - 1)
-            take = np.flatnonzero(marks[slot] == mine)
-            if not len(take):
-                continue
-            doc, start, n, split = doc[take], start[take], n[take], parts[slot[take]]
-            node = piece.column(0).to_numpy()[doc]
-            place = start - w.first[doc]                    # the first window's place in its text
-            part = (mix(place.astype(np.uint64) ^ node.view(np.uint64)) % split.astype(np.uint64)).astype(np.int32)
-            short = (h >> _U(32)).astype(np.uint32)
-            size = n + window - 1
-            end = np.cumsum(size)
-            flat = short[np.repeat(start - (end - size), size) + np.arange(int(end[-1]))]
-            data = pa.Array.from_buffers(pa.binary(), len(take), [None, pa.py_buffer(np.concatenate([[0], end * 4]).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(prefix[take].view(np.int64)), pa.array(part), pa.array(split.astype(np.int32)), pa.array(node), pa.array(place.astype(np.int64)), data],
-                ["prefix", "part", "parts", "node", "start", "words"])
+            take, _ = _marked(piece.column(2), prefix, doc)
+            if len(take):
+                doc, start = doc[take], start[take]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(prefix[take].view(np.int64)), piece.column(0).take(pa.array(doc)), pa.array((start - w.first[doc]).astype(np.int64)),
+                     _word_lists(h, start, n[take] + window - 1)], ["prefix", "node", "start", "words"])
 
-    return marked.mapInArrow(run, "prefix bigint, part int, parts int, node bigint, start bigint, words binary")
+    return marked.mapInArrow(run, "prefix bigint, node bigint, start bigint, words binary")
 
 
-def _subtree(key: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sort suffixes (cut at the window) group by group; return the order and each one's common prefix with the one before.
+def levels(window: int, gram: int) -> list[int]:
+    """The lengths at which the suffixes of a large prefix are told apart."""
+    return sorted({gram + -(-(window - gram) * i // LEVELS) for i in range(1, LEVELS + 1)})
 
-    Equal neighbours -- a common prefix as long as the window -- are the
-    leaves of one deep node.
-    """
-    n, depth = windows.shape
-    wide = windows if depth % 2 == 0 else np.concatenate([windows, np.zeros((n, 1), np.uint32)], axis=1)
+
+def _beginnings(w: Words, marks: pa.Array, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """All windows of the marked anchors: their text, position and, for each level, the hash of their first words (and anchor's place)."""
+    at, prefix, start, n, h = anchors(w, window, gram)
+    take, _ = _marked(marks, prefix, np.searchsorted(w.first, at, side="right") - 1)
+    if not len(take):
+        return take, take, h, [np.zeros(0, np.uint64) for _ in levels(window, gram)]
+    at, prefix, start, n = at[take], prefix[take], start[take], n[take]
+    own = np.repeat(np.arange(len(n)), n)
+    place = start[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    root = mix(prefix[own] + (at[own] - place).astype(np.uint64))
+    return np.searchsorted(w.first, place, side="right") - 1, place, h, [mix(rolling(h, k)[place] ^ root) for k in levels(window, gram)]
+
+
+def beginning_counts(marked: DataFrame, window: int, gram: int) -> DataFrame:
+    """``(node, level, key, parent, n)``: how often each text holds each beginning, at every level, of a marked prefix's suffixes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in packed_pieces(batches, "packed"):
+            doc, _, _, keys = _beginnings(words(unpack(piece.column(1))), piece.column(2), window, gram)
+            parent = np.zeros(len(doc), np.uint64)
+            for level, key in enumerate(keys):
+                order = np.lexsort((key, doc))
+                new = np.ones(len(order), bool)
+                new[1:] = (doc[order[1:]] != doc[order[:-1]]) | (key[order[1:]] != key[order[:-1]])
+                first = np.flatnonzero(new)
+                pick = order[first]
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(0).take(pa.array(doc[pick])), pa.array(np.full(len(pick), level, np.int32)), pa.array(key[pick].view(np.int64)),
+                     pa.array(parent[pick].view(np.int64)), pa.array(np.diff(np.append(first, len(order))), pa.int64())], ["node", "level", "key", "parent", "n"])
+                parent = key
+
+    return marked.mapInArrow(run, "node bigint, level int, key bigint, parent bigint, n bigint")
+
+
+def beginning_rows(marked: DataFrame, window: int, gram: int) -> DataFrame:
+    """One row per window with a listed beginning, keyed by it; ``whole``: the beginning is the window, known to be repeated (no words)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in packed_pieces(batches, "packed"):
+            w = words(unpack(piece.column(1)))
+            doc, place, h, keys = _beginnings(w, piece.column(2), window, gram)
+            whole = piece.column(3).flatten().field("whole").to_numpy(zero_copy_only=False)
+            for key in keys if len(doc) else []:
+                take, mark = _marked(piece.column(3), key, doc)
+                if len(take):
+                    sure = whole[mark]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key[take].view(np.int64)), piece.column(0).take(pa.array(doc[take])), pa.array((place[take] - w.first[doc[take]]).astype(np.int64)),
+                         _word_lists(h, place[take], np.where(sure, 0, window)), pa.array(sure)], ["prefix", "node", "start", "words", "whole"])
+
+    return marked.mapInArrow(run, "prefix bigint, node bigint, start bigint, words binary, whole boolean")
+
+
+def _subtree(key: np.ndarray, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sort suffixes group by group; return the order and each one's common prefix with the one before."""
+    n, width = suffixes.shape
+    wide = suffixes if width % 2 == 0 else np.concatenate([suffixes, np.zeros((n, 1), np.uint32)], axis=1)
     wide = np.ascontiguousarray(wide).view(np.uint64)
     order = np.lexsort((*(wide[:, i] for i in range(wide.shape[1] - 1, -1, -1)), key))
     common = np.zeros(n, np.int64)
     if n > 1:
-        unlike = windows[order[1:]] != windows[order[:-1]]
-        common[1:] = np.where(unlike.any(axis=1), unlike.argmax(axis=1), depth)
+        unlike = suffixes[order[1:]] != suffixes[order[:-1]]
+        common[1:] = np.where(unlike.any(axis=1), unlike.argmax(axis=1), width)
         common[1:][key[order[1:]] != key[order[:-1]]] = 0
     return order, common
 
 
+def deepest_nodes(key: np.ndarray, suffixes: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Depth of every leaf's deepest internal node: the longest prefix that it shares with another suffix of its group.
+
+    In sorted order that is the longer of the common prefixes with the two
+    neighbours; ``length`` are the suffixes' own lengths (the rest is padding).
+    """
+    order, common = _subtree(key, suffixes)
+    common[1:] = np.minimum(common[1:], np.minimum(length[order[1:]], length[order[:-1]]))
+    depth = np.empty(len(order), np.int64)
+    depth[order] = np.maximum(common, np.append(common[1:], 0))
+    return depth
+
+
 def subtrees(rows: DataFrame, window: int) -> DataFrame:
-    """Build the subtrees; rows ``(node, first, last, content, repeated)``.
+    """Build the subtrees of rows ``(prefix, node, start, words)``.
 
-    ``content`` 0: the windows starting at ``first..last`` of the text are
-    repeated.  Otherwise one representative of a distinct window of a part,
-    to be matched with those of the other parts.
+    Gives their maximal repeats as ``(node, first, last)``: the windows that
+    start at ``first..last`` of the text lie within one repeat.
     """
 
     def solve(table: pa.Table) -> pa.RecordBatch:
-        prefix, part, parts, node, start = (table.column(c).to_numpy() for c in ("prefix", "part", "parts", "node", "start"))
+        prefix, node, start = (table.column(c).to_numpy() for c in ("prefix", "node", "start"))
         raw = table.column("words").combine_chunks()
         if isinstance(raw, pa.ChunkedArray):
             raw = raw.chunk(0)
@@ -160,49 +235,34 @@ def subtrees(rows: DataFrame, window: int) -> DataFrame:
         row = np.repeat(np.arange(len(count)), count)
         step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         new = np.ones(len(prefix), bool)
-        new[1:] = (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])
-        group = np.cumsum(new)
-        windows = flat[(base[row] + step)[:, None] + np.arange(window)]
-        order, common = _subtree(group[row], windows)
+        new[1:] = prefix[1:] != prefix[:-1]
+        group = np.cumsum(new)[row]
+        at = base[row] + step
+        # leaves under a node as deep as the window ...
+        order, common = _subtree(group, flat[at[:, None] + np.arange(window)])
         deep = common == window
-        repeated = deep.copy()
-        repeated[:-1] |= deep[1:]
-        flag = np.empty(len(row), bool)
-        flag[order] = repeated
-        # runs of repeated windows of one anchor
-        at = np.flatnonzero(flag)
-        brk = np.ones(len(at), bool)
-        brk[1:] = (np.diff(at) != 1) | (row[at[1:]] != row[at[:-1]])
-        lo = at[brk]
-        hi = at[np.append(np.flatnonzero(brk)[1:], len(at)) - 1] if len(at) else at
-        out_node, out_first, out_last = [node[row[lo]]], [start[row[lo]] + step[lo]], [start[row[hi]] + step[hi]]
-        content, told = [np.zeros(len(lo), np.int64)], [np.ones(len(lo), bool)]
-        # representatives of the windows of split groups
-        lead = order[~deep]
-        lead_flag = repeated[~deep]
-        wide = parts[row[lead]] > 1
-        lead, lead_flag = lead[wide], lead_flag[wide]
-        if len(lead):
-            value = np.full(len(lead), 1, np.uint64)
-            for i in range(window):
-                value = mix(value ^ windows[lead, i].astype(np.uint64)) + _U(i)
-            value = (value | _U(1)).view(np.int64)
-            place = start[row[lead]] + step[lead]
-            out_node.append(node[row[lead]])
-            out_first.append(place)
-            out_last.append(place)
-            content.append(value)
-            told.append(lead_flag)
-        cat = [np.concatenate(x) for x in (out_node, out_first, out_last, content, told)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cat], ["node", "first", "last", "content", "repeated"])
+        deep[:-1] |= deep[1:]
+        leaf = np.sort(order[deep])
+        row, step, at = row[leaf], step[leaf], at[leaf]
+        # ... and the depth of the last one above each
+        length = base[row + 1] - at
+        reach = np.arange(int(length.max()) if len(leaf) else window)
+        whole = np.where(reach < length[:, None], flat[np.minimum(at[:, None] + reach, max(len(flat) - 1, 0))], 0).astype(np.uint32)
+        end = step + deepest_nodes(group[leaf], whole, length)
+        # a repeat that one from further left takes in is not maximal
+        far = row * (int(end.max(initial=0)) + 1) + end
+        keep = np.ones(len(leaf), bool)
+        keep[1:] = far[1:] > np.maximum.accumulate(far)[:-1]
+        row, step, end = row[keep], step[keep], end[keep]
+        return pa.RecordBatch.from_arrays([pa.array(node[row]), pa.array(start[row] + step), pa.array(start[row] + end - window)], ["node", "first", "last"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
             held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             while held.num_rows >= _PART_ROWS:
-                prefix, part = held.column("prefix").to_numpy(), held.column("part").to_numpy()
-                border = np.flatnonzero((prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])) + 1
+                prefix = held.column("prefix").to_numpy()
+                border = np.flatnonzero(prefix[1:] != prefix[:-1]) + 1
                 if not len(border):
                     break                                   # one group so far: wait for its end
                 cut = border[border <= _PART_ROWS]
@@ -212,8 +272,28 @@ def subtrees(rows: DataFrame, window: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield solve(held.combine_chunks())
 
-    return (rows.repartition("prefix", "part").sortWithinPartitions("prefix", "part")
-            .mapInArrow(run, "node bigint, first bigint, last bigint, content bigint, repeated boolean"))
+    return rows.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(run, "node bigint, first bigint, last bigint")
+
+
+def _marks(held: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """``(node, marks)``: the prefixes among ``prefixes`` that each text holds."""
+    return held.join(prefixes.select("prefix"), "prefix").select("node", "prefix").distinct().groupBy("node").agg(F.collect_list("prefix").alias("marks"))
+
+
+def split_repeats(texts: DataFrame, marks: DataFrame, window: int, gram: int, group: int) -> DataFrame:
+    """``(node, first, last)`` of prefixes with more than ``group`` suffixes, by longer beginnings."""
+    marked = materialize(packed_texts(texts, marks).join(marks, "node").select("node", "packed", "marks"))
+    counts = materialize(beginning_counts(marked, window, gram))
+    totals = materialize(counts.groupBy("level", "key").agg(F.first("parent").alias("parent"), F.sum("n").alias("total")).where("total > 1"))
+    over = totals.where(F.col("total") > group).select(F.col("key").alias("parent"))
+    last = len(levels(window, gram)) - 1
+    fits = totals.where((F.col("total") <= group) | (F.col("level") == last))
+    fits = fits.where("level = 0").unionByName(fits.where("level > 0").join(over, "parent", "left_semi"))
+    fits = fits.select("key", (F.col("total") > group).alias("whole"))
+    listed = counts.join(fits, "key").groupBy("node").agg(F.collect_list(F.struct("key", "whole")).alias("keys"))
+    rows = materialize(beginning_rows(marked.join(listed, "node").select("node", "packed", "marks", "keys"), window, gram))
+    return (subtrees(rows.where("not whole").drop("whole"), window)
+            .union(rows.where("whole").select("node", F.col("start").alias("first"), F.col("start").alias("last"))))
 
 
 def repeated_windows(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
@@ -221,16 +301,13 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, g
     if not 0 < gram <= window:
         raise ValueError("gram must be between 1 and the window")
     held = prefix_counts(texts, window, gram)
-    often = (held.groupBy("prefix").agg(F.sum("n").alias("total")).where("total > 1")
-             .select("prefix", F.ceil(F.col("total") / group).cast("int").alias("parts")))
-    marks = (held.select("prefix", "node").join(often, "prefix").distinct()
-             .groupBy("node").agg(F.collect_list(F.struct("prefix", "parts")).alias("marks")))
-    marked = packed_texts(texts).join(marks, "node").select("node", "packed", "marks")
-    found = materialize(subtrees(suffix_rows(marked, window, gram), window))
-    twice = found.where("content <> 0").groupBy("content").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("content")
-    across = found.where("content <> 0 and not repeated").join(twice, "content")
-    # a representative that its own part told to be single is repeated if another part holds the same window
-    return found.where("content = 0").select("node", "first", "last").union(across.select("node", "first", "last"))
+    often = materialize(held.groupBy("prefix").agg(F.sum("n").alias("total")).where("total > 1"))
+    marks = _marks(held, often.where(F.col("total") <= group))
+    found = subtrees(suffix_rows(packed_texts(texts).join(marks, "node").select("node", "packed", "marks"), window, gram), window)
+    large = often.where(F.col("total") > group)
+    if large.isEmpty():
+        return found
+    return found.union(split_repeats(texts, materialize(_marks(held, large)), window, gram, group))
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:

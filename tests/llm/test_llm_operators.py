@@ -56,13 +56,27 @@ def test_substring_dedup(docs, window):
 
 
 def test_substring_dedup_split_groups(spark):
-    """Groups over the bound are split; windows that meet only across parts must still be found."""
-    texts = [(i, " ".join([f"a{i % 7}", *(f"s{j}" for j in range(40)), f"b{i % 5}", f"c{i}"])) for i in range(60)]
+    """Groups over the bound are split by longer beginnings; a hot prefix, hot windows and a word that repeats itself against brute force."""
+    hot = [f"s{j}" for j in range(20)]
+    texts = [(i, " ".join([f"a{i % 7}", *hot, *(f"s{20 + j}" for j in range(i % 20)), f"b{i % 5}", f"c{i}", *(f"d{i % 3}{j}" for j in range(25))])) for i in range(60)]
+    texts += [(70, "run " * 50), (71, "x " + "run " * 30 + "y"), (72, ""), (73, " ".join(hot))]
     df = spark.createDataFrame(texts, "node bigint, text string")
-    small = rows(substring_dedup.repeated_windows(df, 20, 8, group=4))
-    large = rows(substring_dedup.repeated_windows(df, 20, 8, group=4096))
+    starts = {}
+    for node, text in texts:
+        w = text.split()
+        for p in range(len(w) - 19):
+            starts.setdefault(tuple(w[p:p + 20]), []).append((node, p))
+    want = {x for places in starts.values() if len(places) > 1 for x in places}
     cover = lambda rs: {(n, p) for n, a, b in rs for p in range(a, b + 1)}
-    assert cover(small) == cover(large) != set()
+    for group in (1, 4, 30, 4096):
+        assert cover(rows(substring_dedup.repeated_windows(df, 20, 8, group=group))) == want
+
+
+def test_deepest_nodes():
+    key = np.array([1, 1, 1, 1, 2])
+    suffixes = np.array([[5, 6, 7, 8], [5, 6, 7, 9], [5, 6, 7, 0], [4, 1, 1, 1], [5, 6, 7, 8]], np.uint32)
+    assert substring_dedup.deepest_nodes(key, suffixes, np.array([4, 4, 3, 4, 4])).tolist() == [3, 3, 3, 0, 0]
+    assert substring_dedup.levels(35, 12) == [18, 24, 30, 35] and substring_dedup.levels(12, 12) == [12]
 
 
 def test_secret_scan(docs):
