@@ -171,7 +171,10 @@ def beginning_counts(marked: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def beginning_rows(marked: DataFrame, window: int, gram: int) -> DataFrame:
-    """One row per window with a listed beginning, keyed by it; ``whole``: the beginning is the window, known to be repeated (no words)."""
+    """Windows with a listed beginning: one row for each run of those known to be repeated, one keyed by its beginning, with words, for each other.
+
+    A run is ``start..last`` and has no words: its beginnings are whole windows.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in packed_pieces(batches, "packed"):
@@ -180,13 +183,23 @@ def beginning_rows(marked: DataFrame, window: int, gram: int) -> DataFrame:
             whole = piece.column(3).flatten().field("whole").to_numpy(zero_copy_only=False)
             for key in keys if len(doc) else []:
                 take, mark = _marked(piece.column(3), key, doc)
-                if len(take):
-                    sure = whole[mark]
+                sure = whole[mark]
+                one = take[~sure]
+                runs = take[sure][np.argsort(place[take[sure]], kind="stable")]
+                new = np.ones(len(runs), bool)
+                new[1:] = (place[runs[1:]] != place[runs[:-1]] + 1) | (doc[runs[1:]] != doc[runs[:-1]])
+                first = np.flatnonzero(new)
+                end = runs[np.append(first[1:], len(runs)) - 1] if len(runs) else runs
+                pick, last = np.concatenate([one, runs[first]]), np.concatenate([one, end])
+                if len(pick):
+                    sure = np.arange(len(pick)) >= len(one)
+                    base = w.first[doc[pick]]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[take].view(np.int64)), piece.column(0).take(pa.array(doc[take])), pa.array((place[take] - w.first[doc[take]]).astype(np.int64)),
-                         _word_lists(h, place[take], np.where(sure, 0, window)), pa.array(sure)], ["prefix", "node", "start", "words", "whole"])
+                        [pa.array(key[pick].view(np.int64)), piece.column(0).take(pa.array(doc[pick])), pa.array((place[pick] - base).astype(np.int64)),
+                         pa.array((place[last] - base).astype(np.int64)), _word_lists(h, place[pick], np.where(sure, 0, window)), pa.array(sure)],
+                        ["prefix", "node", "start", "last", "words", "whole"])
 
-    return marked.mapInArrow(run, "prefix bigint, node bigint, start bigint, words binary, whole boolean")
+    return marked.mapInArrow(run, "prefix bigint, node bigint, start bigint, last bigint, words binary, whole boolean")
 
 
 def _subtree(key: np.ndarray, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -292,8 +305,8 @@ def split_repeats(texts: DataFrame, marks: DataFrame, window: int, gram: int, gr
     fits = fits.select("key", (F.col("total") > group).alias("whole"))
     listed = counts.join(fits, "key").groupBy("node").agg(F.collect_list(F.struct("key", "whole")).alias("keys"))
     rows = materialize(beginning_rows(marked.join(listed, "node").select("node", "packed", "marks", "keys"), window, gram))
-    return (subtrees(rows.where("not whole").drop("whole"), window)
-            .union(rows.where("whole").select("node", F.col("start").alias("first"), F.col("start").alias("last"))))
+    return (subtrees(rows.where("not whole").drop("whole", "last"), window)
+            .union(rows.where("whole").select("node", F.col("start").alias("first"), "last")))
 
 
 def repeated_windows(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
