@@ -4,9 +4,7 @@ import math
 import random
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
-import pytest
 from pyspark.sql import functions as F
 
 from synthweave.functions.batches import token_slices
@@ -35,3 +33,81 @@ def test_token_slices():
     parts = [p.column(0).to_pylist() for p in token_slices(batch, [0], 6)]
     assert sum(parts, []) == lists and len(parts) > 1
     assert not list(token_slices(batch.slice(0, 0), [0]))
+
+
+def test_bigrams_of_a_row_travel_once(spark):
+    """Both texts of a row hold the answer: a bigram was sent for each place in each of them."""
+    from synthweave.operators import lm as L
+    toks = [5, 7, 5, 7, 9]
+    rows = spark.createDataFrame([(1, toks, 1, 5, [3, *toks], 2, 6), (2, [], 1, 0, None, 1, 0), (1, toks, 1, 5, [3], 0, 0)],
+                                 "row_id bigint, _t0 array<bigint>, _first0 int, _last0 int, _t1 array<bigint>, _first1 int, _last1 int")
+    found = L.bigram_places(rows, ["row_id"], 2)
+    assert found.count() == 6                                 # (5, 7), (7, 5), (7, 9) of two rows
+    got = sorted(tuple(r) for r in found.select("row_id", "h", "w", F.explode("at").alias("a")).select("row_id", "h", "w", *L.unpacked("a")).collect())
+    alone = [(1, 5, 7, 0, 1, 0), (1, 7, 5, 0, 2, 1), (1, 5, 7, 0, 3, 1), (1, 7, 9, 0, 4, 0)]
+    assert got == sorted(alone * 2 + [(1, h, w, 1, p + 1, s) for _, h, w, _, p, s in alone])
+
+
+def test_counts_are_dealt_once(spark):
+    """Bigram counts were shuffled to their histories and back before they were written; losses were stored on the way to the unseen ones."""
+    from synthweave.operators import lm as L
+    lm = L.BigramLM(spark.createDataFrame([("aa bb aa bb cc",), ("aa",), ("?",)], "text string"))
+    assert {tuple(r) for r in lm.history.join(spark.createDataFrame([(w,) for w in ("aa", "bb", "cc")], "w string").withColumn("h", F.xxhash64("w")), "h").select("w", "ch").collect()} == {("aa", 2), ("bb", 2), ("cc", 0)}
+    assert "Exchange" not in lm.counts.groupBy("h", "w").count()._jdf.queryExecution().executedPlan().toString()
+    got = {r["pos"]: r["loss"] for r in L.token_losses(spark.createDataFrame([(1, "aa bb zz aa")], "row_id bigint, text string"), lm).collect()}
+    want = {p: -math.log(0.5 * (s + 1) / (p + 3) + 0.5 * (c + 1) / (ch + 3)) for p, s, c, ch in ((1, 0, 2, 2), (2, 0, 0, 2), (3, 1, 0, 0))}
+    assert all(math.isclose(got[p], want[p]) for p in want) and len(got) == 3
+
+
+def test_scorer_meets_few_rows_at_a_time(spark):
+    from synthweave.operators import ifd as I
+    from synthweave.plans.queries_lm import WordLengthScorer
+
+    most = I.SCORED_ROWS
+
+    class Few(WordLengthScorer):
+        def losses(self, texts, limits):
+            assert len(texts) <= most
+            return super().losses(texts, limits)
+
+    n = 2 * most + 10
+    df = spark.range(n).select(F.col("id").alias("row_id"), F.lit("say it").alias("instruction"), F.concat(F.lit("so be it "), F.col("id")).alias("response")).coalesce(1)
+    assert I.scored_losses(df, Few, "wiz", 64).select("row_id").distinct().count() == n
+
+
+def test_sampler_tables_are_dealt_once(spark):
+    """Every step shuffled the whole table of successors."""
+    from synthweave.operators import generate as G
+    counts = spark.createDataFrame([("aa", w, c) for w, c in (("bb", 3), ("cc", 1), ("dd", 200))] + [("bb", "aa", 1)], "h string, w string, c long")
+    intervals, totals = G.successor_table(counts)
+    for table, keys in ((intervals, ["h", "b"]), (totals, ["h"])):
+        assert "Exchange" not in table.groupBy(*keys).count()._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in totals.collect()} == {("aa", 204, 4), ("bb", 1, 1)}
+    spans = sorted((r["lo"], r["hi"]) for r in intervals.where("h = 'aa'").select("lo", "hi").distinct().collect())
+    assert spans[0][0] == 0 and spans[-1][1] == 204 and all(a[1] == b[0] for a, b in zip(spans, spans[1:])) and sorted(b - a for a, b in spans) == [1, 3, 200]
+
+
+def test_clipped_matches_of_long_texts(spark):
+    """N-grams were sorted by array functions, once for each order and side."""
+    from synthweave.operators import bleu as B
+    rng = random.Random(5)
+    words = lambda n, k: [str(rng.randrange(k)) for _ in range(n)]
+    rows = [(i, words(rng.randrange(60), 4 + i % 30), words(rng.randrange(400), 4 + i % 30)) for i in range(200)] + [(900, None, ["a"]), (901, ["a"], None)]
+    parts = B._sentence_parts(spark.createDataFrame(rows, "row_id bigint, hyp array<string>, ref array<string>").coalesce(1), ["row_id"], "hyp", "ref", 4)
+    assert "array_intersect" not in plan(parts)
+    gram = lambda t, o: Counter(tuple(t[i:i + o]) for i in range(len(t or []) - o + 1))
+    got = {r["row_id"]: r for r in parts.collect()}
+    for i, h, r in rows:
+        for o in range(1, 5):
+            assert got[i][f"m{o}"] == sum((gram(h, o) & gram(r, o)).values()) and got[i][f"d{o}"] == max(len(h or []) - o + 1, 1)
+
+
+def test_replicates_are_dealt_once(spark, tmp_path):
+    import glob
+    from synthweave.sources import files as IO
+    df = spark.createDataFrame([(i, i % 2, f"say {i}", "", f"so {i}") for i in range(20)], "row_id long, client_id int, instruction string, input string, output string")
+    IO.write_shards(df, str(tmp_path / "r"), above=["rep"], compression="gzip",
+                    derived={"text": F.concat_ws(" ", "instruction", "output"), "rep": F.explode(F.sequence(F.lit(0), F.lit(2)))})
+    assert len(glob.glob(str(tmp_path / "r" / "rep=*" / "client_id=*" / "*.json.gz"))) >= 6
+    got = IO.merge_replicates(spark, str(tmp_path / "r")).select("file_name", "replicate", "row_id").collect()
+    assert sorted(tuple(r) for r in got) == sorted((f"client{i % 2}.json", k, i) for i in range(20) for k in range(3))
