@@ -5,9 +5,10 @@ smoothed bigram language model interpolated with an in-text cache model.
 
 ``c`` are bigram / history counts over a training table and ``V`` its
 vocabulary size.  The training table is tokenised once; its counts are
-written once, bucketed by their join keys, so scoring shuffles positions but
-never the counts, and any number of jobs can read them (AQE's skew-join
-handling splits hot bigrams).  Cache counts are row-local: the occurrence
+written once, bucketed by their join keys, so scoring shuffles places but
+never the counts, and any number of jobs can read them.  A bigram that stands
+several times in a key's texts travels once, with the list of its places, and
+once more to its history's count.  Cache counts are row-local: the occurrence
 number of every token in its text, counted over Arrow batches.  Losses stay in long form ``(row_id, pos,
 loss)`` until a loss table (S10) is asked for.
 
@@ -28,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from synthweave.functions.batches import token_slices
 from synthweave.functions.text import word_tokens
 from synthweave.operators.ranking import global_row_number
 from synthweave.session import bucketed, spread, stored
 
 IGNORE = -100  # fixed value: label of masked positions
 CACHE_WEIGHT = 0.5  # interpolation weight of the in-text cache model
+_POS_BITS = 31      # a place in a text
 
 
 def tokens(text) -> Column:
@@ -60,9 +63,9 @@ class BigramLM:
     """Counts of a training table over hashed tokens, each table written when first used.
 
     ``counts (h, w, c)`` holds every seen bigram and, with a null ``w``, the
-    texts' last tokens, so the vocabulary is the set of its histories.
-    ``bigrams (h, w, c, ch)`` carries each bigram's count and its history's;
-    ``history (h, ch)`` serves bigrams that were not seen.
+    texts' last tokens, bucketed by ``(h, w)`` by the tasks that count.
+    ``history (h, ch)`` has every token of the vocabulary and how often
+    another one follows it.
     """
 
     def __init__(self, train: DataFrame, text: str = "text"):
@@ -71,19 +74,15 @@ class BigramLM:
     @cached_property
     def counts(self) -> DataFrame:
         rows = self._words.select(hashed("_w").alias("_t"))
-        return stored(_pairs(rows, "_t").groupBy("h", "w").agg(F.count(F.lit(1)).alias("c")))
+        return bucketed(_pairs(rows, "_t").groupBy("h", "w").agg(F.count(F.lit(1)).alias("c")), "h", "w", deal=False)
 
     @cached_property
     def history(self) -> DataFrame:
-        return bucketed(self.counts.where("w is not null").groupBy("h").agg(F.sum("c").alias("ch")), "h")
-
-    @cached_property
-    def bigrams(self) -> DataFrame:
-        return bucketed(self.counts.where("w is not null").join(self.history.hint("merge"), "h"), "h", "w")
+        return stored(self.counts.groupBy("h").agg(F.coalesce(F.sum(F.when(F.col("w").isNotNull(), F.col("c"))), F.lit(0)).alias("ch")))
 
     @property
     def vocab_size(self) -> Column:
-        return self.counts.select(F.count_distinct("h")).scalar()
+        return self.history.where("h is not null").select(F.count(F.lit(1))).scalar()
 
     @cached_property
     def unigrams(self) -> DataFrame:
@@ -95,63 +94,104 @@ class BigramLM:
         return _pairs(self._words, "_w").where("w is not null").groupBy("h", "w").agg(F.count(F.lit(1)).alias("c"))
 
 
-def seen_positions(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys, pos, h, w, seen)`` for the places ``_first.._last - 1`` of every array of hashed tokens ``_t``.
+def _places(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, ...]:
+    """``row, pos, h, w, seen`` of the places ``first..last - 1`` (columns ``at + 1`` and ``at + 2``) of a batch's token arrays.
 
     ``seen`` is how often the token occurred before in its own text, counted
-    for whole Arrow batches by one sort; only the span's places come back.
+    for all rows by one sort; only the span's places come back.
     """
+    t = batch.column(at)
+    value, size = t.flatten().to_numpy(zero_copy_only=False), t.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(batch.num_rows), size)
+    pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    order = np.lexsort((value, row))                              # stable: equal tokens keep their order
+    new = np.ones(len(row), bool)
+    new[1:] = (row[order][1:] != row[order][:-1]) | (value[order][1:] != value[order][:-1])
+    head = np.flatnonzero(new)
+    seen = np.empty(len(row), np.int64)
+    seen[order] = np.arange(len(row)) - np.repeat(head, np.diff(np.append(head, len(row))))
+    first, last = (batch.column(at + i).to_numpy(zero_copy_only=False) for i in (1, 2))
+    mine = np.flatnonzero((pos >= np.maximum(first, 1)[row]) & (pos < last[row]))
+    return row[mine], pos[mine], value[mine - 1], value[mine], seen[mine]
+
+
+def seen_positions(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, pos, h, w, seen)`` for the places ``_first.._last - 1`` of every array of hashed tokens ``_t``; see :func:`_places`."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = batch.column(len(keys))
-            value, size = t.flatten().to_numpy(zero_copy_only=False), t.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(batch.num_rows), size)
-            pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            order = np.lexsort((value, row))                              # stable: equal tokens keep their order
-            new = np.ones(len(row), bool)
-            new[1:] = (row[order][1:] != row[order][:-1]) | (value[order][1:] != value[order][:-1])
-            head = np.flatnonzero(new)
-            seen = np.empty(len(row), np.int64)
-            seen[order] = np.arange(len(row)) - np.repeat(head, np.diff(np.append(head, len(row))))
-            first, last = (batch.column(len(keys) + i).to_numpy(zero_copy_only=False) for i in (1, 2))
-            at = np.flatnonzero((pos >= np.maximum(first, 1)[row]) & (pos < last[row]))
-            of = pa.array(row[at])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(of) for i in range(len(keys))), pa.array(pos[at].astype(np.int32)),
-                                              pa.array(value[at - 1]), pa.array(value[at]), pa.array(seen[at])], [*keys, "pos", "h", "w", "seen"])
+            for piece in token_slices(batch, [len(keys)]):
+                row, pos, h, w, seen = _places(piece, len(keys))
+                of = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(piece.column(i).take(of) for i in range(len(keys))), pa.array(pos.astype(np.int32)),
+                                                  pa.array(h), pa.array(w), pa.array(seen)], [*keys, "pos", "h", "w", "seen"])
 
     own = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     return df.select(*keys, "_t", "_first", "_last").mapInArrow(run, f"{own}, pos int, h bigint, w bigint, seen bigint")
 
 
+def bigram_places(df: DataFrame, keys: list[str], texts: int) -> DataFrame:
+    """``(keys, h, w, at)``: the places of :func:`seen_positions` in ``_t0``, ``_t1``, ... (``texts`` at most 2), one row for each bigram of a row.
+
+    ``at`` lists where it stands: the text's number, ``pos`` and ``seen``
+    packed into a long (:func:`unpacked`).  The bigrams that a row's texts
+    share meet here, not in a shuffle.
+    """
+    n = len(keys)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in token_slices(batch, [n + 3 * i for i in range(texts)]):
+                found = [_places(piece, n + 3 * i) for i in range(texts)]
+                row, h, w = (np.concatenate([x[j] for x in found]) for j in (0, 2, 3))
+                packed = np.concatenate([(((i << _POS_BITS) | pos) << _POS_BITS) | seen for i, (_, pos, _, _, seen) in enumerate(found)])
+                order = np.lexsort((w, h, row))
+                new = np.zeros(len(order), bool)
+                new[:1] = True
+                for x in (row[order], h[order], w[order]):
+                    new[1:] |= x[1:] != x[:-1]
+                head = np.flatnonzero(new)
+                of = pa.array(row[order[head]])
+                at = pa.ListArray.from_arrays(pa.array(np.append(head, len(order)).astype(np.int32)), pa.array(packed[order]))
+                yield pa.RecordBatch.from_arrays([*(piece.column(i).take(of) for i in range(n)), pa.array(h[order[head]]), pa.array(w[order[head]]), at], [*keys, "h", "w", "at"])
+
+    own = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    spans = [f"{c}{i}" for i in range(texts) for c in ("_t", "_first", "_last")]
+    return df.select(*keys, *spans).mapInArrow(run, f"{own}, h bigint, w bigint, at array<bigint>")
+
+
+def unpacked(at: str) -> list[Column]:
+    """``text``, ``pos`` and ``seen`` of a packed place."""
+    low = (1 << _POS_BITS) - 1
+    return [F.shiftright(at, 2 * _POS_BITS).cast("int").alias("text"), F.shiftright(at, _POS_BITS).bitwiseAND(low).cast("int").alias("pos"),
+            F.col(at).bitwiseAND(low).alias("seen")]
+
+
+def place_losses(rows: DataFrame, lm: BigramLM, keys: list[str], texts: int) -> DataFrame:
+    """``(keys, text, pos, loss)`` of the places that :func:`bigram_places` finds in ``rows``."""
+    v = lm.vocab_size.cast("double")
+    # the count tables grow with the training corpus: merged, never broadcast
+    # (a compressed size can look small while the hash table is not)
+    looked = bigram_places(rows, keys, texts).join(lm.counts.hint("merge"), ["h", "w"], "left").select(*keys, "h", "c", "at")
+    scored = (looked.join(lm.history.hint("merge"), "h", "left").select(*keys, "c", "ch", F.explode("at").alias("_at"))
+              .select(*keys, "c", "ch", *unpacked("_at")))
+    p_bi = (F.coalesce("c", F.lit(0)) + 1.0) / (F.coalesce("ch", F.lit(0)) + v)
+    p_cache = (F.col("seen") + 1.0) / (F.col("pos") + v)
+    return scored.select(*keys, "text", "pos", (-F.log(CACHE_WEIGHT * p_cache + (1 - CACHE_WEIGHT) * p_bi)).alias("loss"))
+
+
 def token_losses(df: DataFrame, lm: BigramLM, key="row_id", text: str = "text",
-                 max_length: int | None = None, span: tuple[str, str] | None = None,
-                 hashed_col: str | None = None) -> DataFrame:
+                 max_length: int | None = None) -> DataFrame:
     """L2: per-token losses ``(key, pos, loss)`` for positions 1..n-1 (n = truncated length).
 
     ``p = lambda * p_bigram(w | h) + (1 - lambda) * p_cache(w)`` where the
     cache part counts ``w`` among the earlier tokens of the same text (a cache
     language model): context such as an instruction lowers the loss of the
-    answer tokens it shares words with.  ``hashed_col`` names an array of
-    hashed tokens, cut to length, to use in place of the text; ``span`` two
-    columns that limit the scored positions.
+    answer tokens it shares words with.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    t = F.col(hashed_col) if hashed_col else hashed(tokens(text) if max_length is None else F.slice(tokens(text), 1, max_length))
-    first, last = (F.greatest(F.col(span[0]), F.lit(1)), F.least(F.col(span[1]), F.size("_t"))) if span else (F.lit(1), F.size("_t"))
-    rows = df.select(*keys, *(span or ()), t.alias("_t")).select(*keys, "_t", first.alias("_first"), last.alias("_last"))
-    pos = seen_positions(rows, keys)
-    v = lm.vocab_size.cast("double")
-    # the count tables grow with the training corpus: merged, never broadcast
-    # (a compressed size can look small while the hash table is not)
-    looked = stored(pos.join(lm.bigrams.hint("merge"), ["h", "w"], "left"))
-    # unseen bigrams still need their history count: a second, much smaller join
-    misses = (looked.where(F.col("c").isNull()).drop("ch")
-              .join(lm.history.hint("merge"), "h", "left").withColumn("c", F.lit(0).cast("long")))
-    scored = looked.where(F.col("c").isNotNull()).unionByName(misses)
-    p_bi = (F.col("c") + 1.0) / (F.coalesce("ch", F.lit(0)) + v)
-    p_cache = (F.col("seen") + 1.0) / (F.col("pos") + v)
-    return scored.select(*keys, "pos", (-F.log(CACHE_WEIGHT * p_cache + (1 - CACHE_WEIGHT) * p_bi)).alias("loss"))
+    rows = df.select(*keys, hashed(tokens(text) if max_length is None else F.slice(tokens(text), 1, max_length)).alias("_t0"))
+    return place_losses(rows.select(*keys, "_t0", F.lit(1).alias("_first0"), F.size("_t0").alias("_last0")), lm, keys, 1).drop("text")
 
 
 class Scorer(Protocol):
