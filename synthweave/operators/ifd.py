@@ -27,6 +27,7 @@ from synthweave.operators.prompts import ifd_text_exprs
 from synthweave.operators.ranking import select_first
 from synthweave.session import spread, stored
 
+SCORED_ROWS = 256       # rows whose losses a task of :func:`scored_losses` holds
 LOSS_TABLE = "ppl array<double>, token_loss array<array<double>>"
 
 
@@ -125,8 +126,9 @@ def _mean(values: Column) -> Column:
 def scored_losses(df: DataFrame, factory: Callable[[], L.Scorer], style: str = "wiz", max_length: int = 512, key: str = "row_id") -> DataFrame:
     """S10 with a user's model: ``(key, ilen, start1, end1, start2, end2, ppl, token_loss)`` of every row.
 
-    ``factory`` runs once per task and loads the model there; it scores Arrow
-    batches of texts.  The spans are counted with the model's own tokenizer.
+    ``factory`` runs once per task and loads the model there; it scores
+    ``SCORED_ROWS`` texts of an Arrow batch at a time, so only their losses
+    are held as lists.  The spans are counted with the model's own tokenizer.
     """
     kind = df.schema[key].dataType.simpleString()
     rows = _texts(df, style, key)
@@ -135,7 +137,7 @@ def scored_losses(df: DataFrame, factory: Callable[[], L.Scorer], style: str = "
 
     def run(batches):
         model = factory()
-        for pdf in batches:
+        for pdf in (pdf.iloc[at:at + SCORED_ROWS] for pdf in batches for at in range(0, len(pdf), SCORED_ROWS)):
             out = pd.DataFrame({key: pdf[key], "ilen": model.lengths(pdf["_p"]).clip(upper=max_length).astype("int32")})
             lists = {}
             for i, text, limit in ((1, "_alone", max_length - out["ilen"] + 4), (2, "_whole", pd.Series(max_length, pdf.index))):
