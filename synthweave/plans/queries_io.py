@@ -115,9 +115,10 @@ def loss_matrix_parquet(spark, sf_dir):
 
 def _write_replicates(spark, sf_dir, n: int = 3) -> str:
     root = IO.scratch(spark, "replicates")
-    gen = V.v_alpaca(spark, sf_dir).select("row_id", "client_id", "instruction", "input", "output", "text")
-    for r in range(n):
-        IO.write_shards(gen, os.path.join(root, f"rep{r}"))
+    # dealt once, without the text that repeats two columns; the writers make it and the replicates
+    gen = V.v_alpaca(spark, sf_dir).select("row_id", "client_id", "instruction", "input", "output")
+    IO.write_shards(gen, root, above=["rep"], compression="gzip", derived={
+        "text": F.concat_ws(" ", "instruction", "output"), "rep": F.explode(F.sequence(F.lit(0), F.lit(n - 1)))})
     return root
 
 

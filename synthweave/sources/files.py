@@ -13,7 +13,7 @@ import os
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -159,15 +159,19 @@ def write_json_arrays(df: DataFrame, path: str, indent: int = 4) -> None:
     rows.mapInPandas(to_lines, "value string").write.mode("errorifexists").text(path)
 
 
-def write_shards(df: DataFrame, path: str, by: str = "client_id", fmt: str = "json", mode: str = "errorifexists") -> None:
+def write_shards(df: DataFrame, path: str, by: str = "client_id", fmt: str = "json", mode: str = "errorifexists",
+                 derived: dict[str, Column] | None = None, above: list[str] | None = None, **options) -> None:
     """One folder per shard value (``partitionBy``), written by as many tasks as its bytes ask for.
 
     Rows are dealt by shard, then rebalanced at run time by the bytes that
     the exchange has seen: a large shard is split into tasks of about
     ``spark.sql.adaptive.advisoryPartitionSizeInBytes``, small shards share
-    one, and no shard gets a file from every task.
+    one, and no shard gets a file from every task.  ``derived`` columns are
+    computed by the writers, past the exchange; those named ``above`` are
+    folders above the shards.  ``options`` go to the writer.
     """
-    df.hint("rebalance", F.col(f"`{by}`")).write.mode(mode).partitionBy(by).format(fmt).save(path)
+    rows = df.hint("rebalance", F.col(f"`{by}`")).select("*", *[c.alias(n) for n, c in (derived or {}).items()])
+    rows.write.mode(mode).options(**options).partitionBy(*(above or []), by).format(fmt).save(path)
 
 
 def write_once(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
@@ -249,5 +253,5 @@ def merge_replicates(spark: SparkSession, root: str, fmt: str = "json") -> DataF
     df = read_dataset(spark, root, fmt=fmt, recursiveFileLookup="true")
     path = F.col("_metadata.file_path")
     out = (df.withColumn("file_name", F.concat(F.lit("client"), F.regexp_extract(path, SHARD_RE, 1), F.lit(".json")))
-           .withColumn("replicate", F.regexp_extract(path, r"/rep(\d+)/", 1).try_cast("int")))
+           .withColumn("replicate", F.regexp_extract(path, r"/rep=?(\d+)/", 1).try_cast("int")))
     return norm_generated(out)
