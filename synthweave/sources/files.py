@@ -22,6 +22,7 @@ from synthweave.session import checkpoint_dir
 # File extension -> reader format.
 EXT_FORMAT = {"jsonl": "json", "json": "json", "parquet": "parquet", "csv": "csv", "txt": "text"}
 SHARD_RE = r"client(?:_id=)?(\d+)"
+OPEN_FILES = 64         # shard files that a task writes at once
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
@@ -169,9 +170,22 @@ def write_shards(df: DataFrame, path: str, by: str = "client_id", fmt: str = "js
     one, and no shard gets a file from every task.  ``derived`` columns are
     computed by the writers, past the exchange; those named ``above`` are
     folders above the shards.  ``options`` go to the writer.
+
+    A task keeps up to ``OPEN_FILES`` shard files open and appends to them as
+    rows come, so rows (and what ``derived`` makes of them) are not sorted by
+    shard, which spills where a task's rows outgrow its memory; rows of
+    further shards in the same task are sorted.
     """
     rows = df.hint("rebalance", F.col(f"`{by}`")).select("*", *[c.alias(n) for n, c in (derived or {}).items()])
-    rows.write.mode(mode).options(**options).partitionBy(*(above or []), by).format(fmt).save(path)
+    conf, name = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    unset = conf.get(name, "0") == "0"                                     # a number that the session names stays
+    if unset:
+        conf.set(name, str(OPEN_FILES))
+    try:
+        rows.write.mode(mode).options(**options).partitionBy(*(above or []), by).format(fmt).save(path)
+    finally:
+        if unset:
+            conf.unset(name)
 
 
 def write_once(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
