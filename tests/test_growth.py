@@ -136,3 +136,23 @@ def test_shards_are_written_as_rows_come(spark, monkeypatch):
         got = Counter((r["rep"], r["client_id"], r["id"]) for r in spark.read.json(path).collect())
         assert got == Counter((rep, i % 7, i) for i in range(200) for rep in range(3))
     assert seen == [64, 2] and spark.conf.get(name, "0") == before
+
+
+def test_mauve_multiplies_blocks(spark, monkeypatch):
+    """The row solver took each row's distances to a tenth of the rows one by one."""
+    from pyspark.ml.clustering import KMeans
+
+    from synthweave.operators import distance as D
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i % 2, [rng.random() for _ in range(6)]) for i in range(120)], "side int, embedding array<double>")
+    fit, solver, used = KMeans.fit, None, []
+
+    def spy(self, data):
+        used.append(self.getSolver())
+        return fit(self.setSolver(solver or self.getSolver()), data)
+
+    monkeypatch.setattr(KMeans, "fit", spy)
+    got = D.mauve(df).first()
+    assert used == ["block"] * 5
+    solver = "row"
+    assert abs(D.mauve(df).first()["mauve"] - got["mauve"]) < 1e-9 and got["k"] == 6
