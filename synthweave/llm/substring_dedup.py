@@ -18,7 +18,8 @@ maximal repeats.  Three things keep this small:
   around them can be repeated.
 * Variable-length prefixes.  The suffixes of a prefix with more than
   ``GROUP`` are told apart by longer and longer beginnings (``LEVELS`` steps
-  up to the window) until each group fits; beginnings that occur once are
+  up to the window) until each group fits; only suffixes of a beginning that
+  is still too large take the next step, and beginnings that occur once are
   dropped on the way.  A group that is still too large at full length holds
   equal windows only: it is one node, and its leaves need no subtree.
 
@@ -149,25 +150,29 @@ def _beginnings(w: Words, marks: pa.Array, window: int, gram: int) -> tuple[np.n
     return np.searchsorted(w.first, place, side="right") - 1, place, h, [mix(rolling(h, k)[place] ^ root) for k in levels(window, gram)]
 
 
-def beginning_counts(marked: DataFrame, window: int, gram: int) -> DataFrame:
-    """``(node, level, key, parent, n)``: how often each text holds each beginning, at every level, of a marked prefix's suffixes."""
+def beginning_counts(marked: DataFrame, level: int, window: int, gram: int) -> DataFrame:
+    """``(node, key, n)``: how often each text holds each beginning, at one level, of a marked prefix's suffixes.
+
+    Past the first level only suffixes whose shorter beginning is among the text's ``known`` ones are told apart.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in packed_pieces(batches, "packed"):
             doc, _, _, keys = _beginnings(words(unpack(piece.column(1))), piece.column(2), window, gram)
-            parent = np.zeros(len(doc), np.uint64)
-            for level, key in enumerate(keys):
-                order = np.lexsort((key, doc))
-                new = np.ones(len(order), bool)
-                new[1:] = (doc[order[1:]] != doc[order[:-1]]) | (key[order[1:]] != key[order[:-1]])
-                first = np.flatnonzero(new)
-                pick = order[first]
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0).take(pa.array(doc[pick])), pa.array(np.full(len(pick), level, np.int32)), pa.array(key[pick].view(np.int64)),
-                     pa.array(parent[pick].view(np.int64)), pa.array(np.diff(np.append(first, len(order))), pa.int64())], ["node", "level", "key", "parent", "n"])
-                parent = key
+            key = keys[level]
+            if level and len(doc):
+                take, _ = _marked(piece.column(3), keys[level - 1], doc)
+                doc, key = doc[take], key[take]
+            order = np.lexsort((key, doc))
+            new = np.ones(len(order), bool)
+            new[1:] = (doc[order[1:]] != doc[order[:-1]]) | (key[order[1:]] != key[order[:-1]])
+            first = np.flatnonzero(new)
+            pick = order[first]
+            yield pa.RecordBatch.from_arrays(
+                [piece.column(0).take(pa.array(doc[pick])), pa.array(key[pick].view(np.int64)), pa.array(np.diff(np.append(first, len(order))), pa.int64())],
+                ["node", "key", "n"])
 
-    return marked.mapInArrow(run, "node bigint, level int, key bigint, parent bigint, n bigint")
+    return marked.mapInArrow(run, "node bigint, key bigint, n bigint")
 
 
 def beginning_rows(marked: DataFrame, window: int, gram: int) -> DataFrame:
@@ -296,14 +301,20 @@ def _marks(held: DataFrame, prefixes: DataFrame) -> DataFrame:
 def split_repeats(texts: DataFrame, marks: DataFrame, window: int, gram: int, group: int) -> DataFrame:
     """``(node, first, last)`` of prefixes with more than ``group`` suffixes, by longer beginnings."""
     marked = materialize(packed_texts(texts, marks).join(marks, "node").select("node", "packed", "marks"))
-    counts = materialize(beginning_counts(marked, window, gram))
-    totals = materialize(counts.groupBy("level", "key").agg(F.first("parent").alias("parent"), F.sum("n").alias("total")).where("total > 1"))
-    over = totals.where(F.col("total") > group).select(F.col("key").alias("parent"))
-    last = len(levels(window, gram)) - 1
-    fits = totals.where((F.col("total") <= group) | (F.col("level") == last))
-    fits = fits.where("level = 0").unionByName(fits.where("level > 0").join(over, "parent", "left_semi"))
-    fits = fits.select("key", (F.col("total") > group).alias("whole"))
-    listed = counts.join(fits, "key").groupBy("node").agg(F.collect_list(F.struct("key", "whole")).alias("keys"))
+    last, listed, part = len(levels(window, gram)) - 1, None, marked
+    for level in range(last + 1):
+        counts = materialize(beginning_counts(part, level, window, gram))
+        totals = materialize(counts.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1"))
+        fits = totals if level == last else totals.where(F.col("total") <= group)
+        found = counts.join(fits, "key").select("node", F.struct("key", (F.col("total") > group).alias("whole")).alias("key"))
+        listed = found if listed is None else listed.union(found)
+        over = totals.where(F.col("total") > group)
+        if level == last or over.isEmpty():
+            break
+        # longer beginnings only where these do not tell enough suffixes apart
+        known = counts.join(over.select("key"), "key").groupBy("node").agg(F.collect_list("key").alias("known"))
+        part = materialize(marked.join(known, "node").select("node", "packed", "marks", "known"))
+    listed = listed.groupBy("node").agg(F.collect_list("key").alias("keys"))
     rows = materialize(beginning_rows(marked.join(listed, "node").select("node", "packed", "marks", "keys"), window, gram))
     return (subtrees(rows.where("not whole").drop("whole", "last"), window)
             .union(rows.where("whole").select("node", F.col("start").alias("first"), "last")))
