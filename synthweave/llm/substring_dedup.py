@@ -16,12 +16,16 @@ maximal repeats.  Three things keep this small:
   anchor travel together as one row, keyed by the anchor's words: the prefix.
 * Prefixes that occur once are dropped before any words are sent: no window
   around them can be repeated.
+* Equal rows of a large prefix.  Where a prefix has more than ``GROUP`` rows,
+  rows with the same words are one row found several times: all their windows
+  are repeated, and one of them stands for the others in what follows.
 * Variable-length prefixes.  The suffixes of a prefix with more than
-  ``GROUP`` are told apart by longer and longer beginnings (``LEVELS`` steps
-  up to the window) until each group fits; only suffixes of a beginning that
-  is still too large take the next step, and beginnings that occur once are
-  dropped on the way.  A group that is still too large at full length holds
-  equal windows only: it is one node, and its leaves need no subtree.
+  ``GROUP`` different rows are told apart by longer and longer beginnings
+  (``LEVELS`` steps up to the window) until each group fits; only suffixes of
+  a beginning that is still too large take the next step, and beginnings that
+  occur once are dropped on the way.  A group that is still too large at full
+  length holds equal windows only: it is one node, and its leaves need no
+  subtree.
 
 A row holds the words around one anchor, so a repeat longer than those is
 traced by several rows; its places overlap and are joined at the removal.
@@ -74,6 +78,15 @@ def anchors(w: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, n
     return anchor[first], grams[anchor[first]], start[first], np.diff(np.append(first, len(start))), h
 
 
+def _tally(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one of each text's equal keys, and how many there are."""
+    order = np.lexsort((key, doc))
+    new = np.ones(len(order), bool)
+    new[1:] = (doc[order[1:]] != doc[order[:-1]]) | (key[order[1:]] != key[order[:-1]])
+    first = np.flatnonzero(new)
+    return order[first], np.diff(np.append(first, len(order)))
+
+
 def prefix_counts(texts: DataFrame, window: int, gram: int) -> DataFrame:
     """``(prefix, node, n)``: how often each text holds each anchor prefix."""
 
@@ -82,14 +95,9 @@ def prefix_counts(texts: DataFrame, window: int, gram: int) -> DataFrame:
             w = words(piece.column(1))
             at, prefix, _, _, _ = anchors(w, window, gram)
             doc = np.searchsorted(w.first, at, side="right") - 1
-            order = np.lexsort((prefix, doc))
-            doc, prefix = doc[order], prefix[order]
-            new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (prefix[1:] != prefix[:-1])
-            first = np.flatnonzero(new)
+            pick, n = _tally(doc, prefix)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(prefix[first].view(np.int64)), piece.column(0).take(pa.array(doc[first])), pa.array(np.diff(np.append(first, len(doc))), pa.int64())],
-                ["prefix", "node", "n"])
+                [pa.array(prefix[pick].view(np.int64)), piece.column(0).take(pa.array(doc[pick])), pa.array(n, pa.int64())], ["prefix", "node", "n"])
 
     return texts.mapInArrow(run, "prefix bigint, node bigint, n bigint")
 
@@ -99,6 +107,8 @@ def _marked(known: pa.Array, hashes: np.ndarray, doc: np.ndarray) -> tuple[np.nd
     owner = np.repeat(np.arange(len(known)), known.value_lengths().to_numpy(zero_copy_only=False))
     flat = known.flatten()
     flat = (flat.field("key") if pa.types.is_struct(flat.type) else flat).to_numpy(zero_copy_only=False)
+    if not len(flat):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     marks = mix(flat.view(np.uint64) ^ mix(owner.astype(np.uint64)))
     order = np.argsort(marks)
     mine = mix(hashes ^ mix(doc.astype(np.uint64)))
@@ -137,10 +147,80 @@ def levels(window: int, gram: int) -> list[int]:
     return sorted({gram + -(-(window - gram) * i // LEVELS) for i in range(1, LEVELS + 1)})
 
 
-def _beginnings(w: Words, marks: pa.Array, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """All windows of the marked anchors: their text, position and, for each level, the hash of their first words (and anchor's place)."""
+def _large_rows(w: Words, marks: pa.Array, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Anchors of the marked prefixes: text, word position, prefix, first window, number of windows, hash of all their words; and all word hashes."""
     at, prefix, start, n, h = anchors(w, window, gram)
-    take, _ = _marked(marks, prefix, np.searchsorted(w.first, at, side="right") - 1)
+    doc = np.searchsorted(w.first, at, side="right") - 1
+    take, _ = _marked(marks, prefix, doc)
+    doc, at, prefix, start, n = (x[take] for x in (doc, at, prefix, start, n))
+    whole = rolling(h, window)          # the first and the last window hold all words of a row
+    key = mix(mix(whole[start]) + whole[start + n - 1] + n.astype(np.uint64)) if len(take) else prefix
+    return doc, at, prefix, start, n, key, h
+
+
+def row_counts(marked: DataFrame, window: int, gram: int) -> DataFrame:
+    """``(node, prefix, key, n)``: how often each text holds each row of a marked prefix."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in packed_pieces(batches, "packed"):
+            doc, _, prefix, _, _, key, _ = _large_rows(words(unpack(piece.column(1))), piece.column(2), window, gram)
+            pick, n = _tally(doc, key)
+            yield pa.RecordBatch.from_arrays(
+                [piece.column(0).take(pa.array(doc[pick])), pa.array(prefix[pick].view(np.int64)), pa.array(key[pick].view(np.int64)), pa.array(n, pa.int64())],
+                ["node", "prefix", "key", "n"])
+
+    return marked.mapInArrow(run, "node bigint, prefix bigint, key bigint, n bigint")
+
+
+def _standing(same: pa.Array, key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows have equals, and which stand for a row: those without equals and one of the equals."""
+    take, mark = _marked(same, key, doc)
+    again, stand = np.zeros(len(key), bool), np.ones(len(key), bool)
+    again[take], stand[take] = True, False
+    lead = np.unique(mark, return_index=True)[1]            # the first of the text's equals
+    stand[take[lead]] = same.flatten().field("first").to_numpy(zero_copy_only=False)[mark[lead]]
+    return again, stand
+
+
+def _joined_runs(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places, in ascending ``first..last``, where runs that follow on each other within a text begin and end."""
+    new = np.ones(len(doc), bool)
+    new[1:] = (first[1:] != last[:-1] + 1) | (doc[1:] != doc[:-1])
+    begin = np.flatnonzero(new)
+    return begin, np.append(begin[1:], len(doc))[:len(begin)] - 1
+
+
+_ROWS = "prefix bigint, node bigint, start bigint, last bigint, words binary, whole boolean"
+
+
+def distinct_rows(told: DataFrame, window: int, gram: int) -> DataFrame:
+    """Rows of the marked prefixes: one for each run of windows in rows that have equals (``whole``: all repeated), and one, with
+    its words, for each different row of a prefix that is not in ``over``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in packed_pieces(batches, "packed"):
+            w = words(unpack(piece.column(1)))
+            doc, _, prefix, start, n, key, h = _large_rows(w, piece.column(2), window, gram)
+            again, stand = _standing(piece.column(3), key, doc)
+            stand[_marked(piece.column(4), prefix, doc)[0]] = False
+            one, runs, end = np.flatnonzero(stand), np.flatnonzero(again), start + n - 1
+            begin, to = _joined_runs(doc[runs], start[runs], end[runs])
+            pick, last = np.concatenate([one, runs[begin]]), np.concatenate([end[one], end[runs[to]]])
+            if len(pick):
+                sure = np.arange(len(pick)) >= len(one)
+                base = w.first[doc[pick]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(prefix[pick].view(np.int64)), piece.column(0).take(pa.array(doc[pick])), pa.array((start[pick] - base).astype(np.int64)),
+                     pa.array((last - base).astype(np.int64)), _word_lists(h, start[pick], np.where(sure, 0, n[pick] + window - 1)), pa.array(sure)],
+                    ["prefix", "node", "start", "last", "words", "whole"])
+
+    return told.mapInArrow(run, _ROWS)
+
+
+def _beginnings(w: Words, marks: pa.Array, same: pa.Array, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """All windows of the different rows of marked prefixes: text, position and, for each level, the hash of their first words (and anchor's place)."""
+    doc, at, prefix, start, n, key, h = _large_rows(w, marks, window, gram)
+    take = np.flatnonzero(_standing(same, key, doc)[1])
     if not len(take):
         return take, take, h, [np.zeros(0, np.uint64) for _ in levels(window, gram)]
     at, prefix, start, n = at[take], prefix[take], start[take], n[take]
@@ -151,26 +231,21 @@ def _beginnings(w: Words, marks: pa.Array, window: int, gram: int) -> tuple[np.n
 
 
 def beginning_counts(marked: DataFrame, level: int, window: int, gram: int) -> DataFrame:
-    """``(node, key, n)``: how often each text holds each beginning, at one level, of a marked prefix's suffixes.
+    """``(node, key, n)``: how often each text holds each beginning, at one level, of the suffixes of a marked prefix's different rows.
 
     Past the first level only suffixes whose shorter beginning is among the text's ``known`` ones are told apart.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in packed_pieces(batches, "packed"):
-            doc, _, _, keys = _beginnings(words(unpack(piece.column(1))), piece.column(2), window, gram)
+            doc, _, _, keys = _beginnings(words(unpack(piece.column(1))), piece.column(2), piece.column(3), window, gram)
             key = keys[level]
             if level and len(doc):
-                take, _ = _marked(piece.column(3), keys[level - 1], doc)
+                take, _ = _marked(piece.column(4), keys[level - 1], doc)
                 doc, key = doc[take], key[take]
-            order = np.lexsort((key, doc))
-            new = np.ones(len(order), bool)
-            new[1:] = (doc[order[1:]] != doc[order[:-1]]) | (key[order[1:]] != key[order[:-1]])
-            first = np.flatnonzero(new)
-            pick = order[first]
+            pick, n = _tally(doc, key)
             yield pa.RecordBatch.from_arrays(
-                [piece.column(0).take(pa.array(doc[pick])), pa.array(key[pick].view(np.int64)), pa.array(np.diff(np.append(first, len(order))), pa.int64())],
-                ["node", "key", "n"])
+                [piece.column(0).take(pa.array(doc[pick])), pa.array(key[pick].view(np.int64)), pa.array(n, pa.int64())], ["node", "key", "n"])
 
     return marked.mapInArrow(run, "node bigint, key bigint, n bigint")
 
@@ -184,18 +259,15 @@ def beginning_rows(marked: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in packed_pieces(batches, "packed"):
             w = words(unpack(piece.column(1)))
-            doc, place, h, keys = _beginnings(w, piece.column(2), window, gram)
-            whole = piece.column(3).flatten().field("whole").to_numpy(zero_copy_only=False)
+            doc, place, h, keys = _beginnings(w, piece.column(2), piece.column(3), window, gram)
+            whole = piece.column(4).flatten().field("whole").to_numpy(zero_copy_only=False)
             for key in keys if len(doc) else []:
-                take, mark = _marked(piece.column(3), key, doc)
+                take, mark = _marked(piece.column(4), key, doc)
                 sure = whole[mark]
                 one = take[~sure]
                 runs = take[sure][np.argsort(place[take[sure]], kind="stable")]
-                new = np.ones(len(runs), bool)
-                new[1:] = (place[runs[1:]] != place[runs[:-1]] + 1) | (doc[runs[1:]] != doc[runs[:-1]])
-                first = np.flatnonzero(new)
-                end = runs[np.append(first[1:], len(runs)) - 1] if len(runs) else runs
-                pick, last = np.concatenate([one, runs[first]]), np.concatenate([one, end])
+                begin, to = _joined_runs(doc[runs], place[runs], place[runs])
+                pick, last = np.concatenate([one, runs[begin]]), np.concatenate([one, runs[to]])
                 if len(pick):
                     sure = np.arange(len(pick)) >= len(one)
                     base = w.first[doc[pick]]
@@ -204,7 +276,7 @@ def beginning_rows(marked: DataFrame, window: int, gram: int) -> DataFrame:
                          pa.array((place[last] - base).astype(np.int64)), _word_lists(h, place[pick], np.where(sure, 0, window)), pa.array(sure)],
                         ["prefix", "node", "start", "last", "words", "whole"])
 
-    return marked.mapInArrow(run, "prefix bigint, node bigint, start bigint, last bigint, words binary, whole boolean")
+    return marked.mapInArrow(run, _ROWS)
 
 
 def _subtree(key: np.ndarray, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,9 +370,33 @@ def _marks(held: DataFrame, prefixes: DataFrame) -> DataFrame:
     return held.join(prefixes.select("prefix"), "prefix").select("node", "prefix").distinct().groupBy("node").agg(F.collect_list("prefix").alias("marks"))
 
 
+def _repeats(rows: DataFrame, window: int) -> DataFrame:
+    """``(node, first, last)`` of rows with words, by their subtrees, and of those known to be repeated."""
+    rows = materialize(rows)
+    return (subtrees(rows.where("not whole").drop("whole", "last"), window)
+            .union(rows.where("whole").select("node", F.col("start").alias("first"), "last")))
+
+
 def split_repeats(texts: DataFrame, marks: DataFrame, window: int, gram: int, group: int) -> DataFrame:
-    """``(node, first, last)`` of prefixes with more than ``group`` suffixes, by longer beginnings."""
+    """``(node, first, last)`` of prefixes with more than ``group`` rows: equal rows meet once; longer beginnings where that leaves too many."""
     marked = materialize(packed_texts(texts, marks).join(marks, "node").select("node", "packed", "marks"))
+    counts = materialize(row_counts(marked, window, gram))
+    totals = materialize(counts.groupBy("key").agg(F.first("prefix").alias("prefix"), F.sum("n").alias("total"), F.min("node").alias("first")))
+    over = materialize(totals.groupBy("prefix").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > group).select("prefix"))
+    same = (counts.join(totals.where("total > 1").select("key", "first"), "key")
+            .groupBy("node").agg(F.collect_list(F.struct("key", (F.col("node") == F.col("first")).alias("first"))).alias("same")))
+    told = marked.join(same, "node", "left").join(_marks(counts, over).withColumnRenamed("marks", "over"), "node", "left").select(
+        "node", "packed", "marks", F.coalesce("same", F.array().cast("array<struct<key:bigint,first:boolean>>")).alias("same"),
+        F.coalesce("over", F.array().cast("array<bigint>")).alias("over"))
+    found = _repeats(distinct_rows(told, window, gram), window)
+    if over.isEmpty():
+        return found
+    large = materialize(told.where(F.size("over") > 0).select("node", "packed", F.col("over").alias("marks"), "same"))
+    return found.union(_split_rows(large, window, gram, group))
+
+
+def _split_rows(marked: DataFrame, window: int, gram: int, group: int) -> DataFrame:
+    """``(node, first, last)`` of prefixes with more than ``group`` different rows, by longer beginnings."""
     last, listed, part = len(levels(window, gram)) - 1, None, marked
     for level in range(last + 1):
         counts = materialize(beginning_counts(part, level, window, gram))
@@ -313,11 +409,9 @@ def split_repeats(texts: DataFrame, marks: DataFrame, window: int, gram: int, gr
             break
         # longer beginnings only where these do not tell enough suffixes apart
         known = counts.join(over.select("key"), "key").groupBy("node").agg(F.collect_list("key").alias("known"))
-        part = materialize(marked.join(known, "node").select("node", "packed", "marks", "known"))
+        part = materialize(marked.join(known, "node").select("node", "packed", "marks", "same", "known"))
     listed = listed.groupBy("node").agg(F.collect_list("key").alias("keys"))
-    rows = materialize(beginning_rows(marked.join(listed, "node").select("node", "packed", "marks", "keys"), window, gram))
-    return (subtrees(rows.where("not whole").drop("whole", "last"), window)
-            .union(rows.where("whole").select("node", F.col("start").alias("first"), "last")))
+    return _repeats(beginning_rows(marked.join(listed, "node").select("node", "packed", "marks", "same", "keys"), window, gram), window)
 
 
 def repeated_windows(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
