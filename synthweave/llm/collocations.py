@@ -8,16 +8,18 @@ occurs ``LEAST`` times or more in pieces of one language is a candidate.
 2. Apriori-safe candidates.  A phrase can only be frequent if its parts are.
    A first pass adds up hashed counts of word pairs in a table of bounded size
    (``sieve``): a pair whose slot stays under ``LEAST`` is rare for certain.
-   A second pass does so for triples whose two pairs pass.  What passes is
-   listed once and must consist of frequent words (``candidates``).  Slots
-   that phrases share let some rare ones through, never drop a frequent one.
-3. Candidates are dealt to tries of at most ``TRIE`` phrases, built in tasks
-   as double arrays over the base-256 digits of word numbers
-   (``double_array``) and broadcast ``ROUND`` at a time, so what is broadcast
-   has a fixed bound however many candidates there are.  Tasks move the
-   states of all text positions at once, digit by digit, with NumPy, and
-   count accepting states (``occurrences``); counts are added over all shards
-   of the corpus.
+   A second pass does so for triples whose two pairs pass.  Slots that
+   phrases share let some rare ones through, never drop a frequent one.  A
+   third pass lists what passes, with how often it was met, dealt by range of
+   phrase hashes (``windows``): the texts are read no more after it.  Windows
+   met ``LEAST`` times that consist of frequent words are ``candidates``.
+3. Candidates are dealt by the same ranges to tries of at most ``TRIE``
+   phrases, built in tasks as double arrays over the base-256 digits of word
+   numbers (``double_array``) and broadcast ``ROUND`` at a time, so what is
+   broadcast has a fixed bound however many candidates there are.  Tasks read
+   the windows of those tries' ranges only, move their states at once, digit
+   by digit, with NumPy, and count accepting states (``occurrences``); counts
+   are added over all shards of the windows.
 4. Cuts, scores, containment and ranks are joins of the counted phrases.
 
 A word is identified by a 64-bit hash of language and word.  A null text has
@@ -31,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -41,7 +44,7 @@ from pyspark.sql import functions as F
 
 from synthweave.llm.arrow_words import Words, _large, _offsets, mix, pieces, small_batches, word_hashes
 from synthweave.operators.ranking import top_n_per_group
-from synthweave.session import stored
+from synthweave.session import checkpoint_dir, stored
 
 LEAST = 10
 MOST = 2000
@@ -53,7 +56,10 @@ RANGES = 1 << 8         # ranges of slots: one row of a piece's counts for each
 CHUNK = 1 << 12         # counters that travel as one row
 TRIE = 1 << 18          # phrases of one trie
 ROUND = 4               # tries broadcast together
-SEEN = 1 << 20          # phrases that a task remembers to have listed
+HELD = 1 << 19          # windows that a task gathers before it sends them
+RANGE_WORDS = 1 << 20   # words of the corpus to a range of phrase hashes; 32 ranges at least
+SLICE = 1 << 15         # windows of one row
+WINDOWS = "size int, data binary, part int"
 _U = np.uint64
 
 _KIND = np.zeros(256, np.uint8)
@@ -239,61 +245,121 @@ def sieve(texts: DataFrame, size: int, bits: int, least: int = LEAST, passed: Si
     return Sieve(bits, out)
 
 
-def listed(texts: DataFrame, size: int, kept: Sieve, passed: Sieve | None = None, ranges: int = RANGES) -> DataFrame:
-    """Distinct phrases ``(s1, s2[, s3])`` of word hashes that pass the sieve ``kept``.
+def _added(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in order and their rows, last columns added up."""
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    head = np.flatnonzero(np.append(True, h[1:] != h[:-1])[:len(h)])
+    out = rows[order[head]]
+    if len(head):
+        out[:, -1] = np.add.reduceat(rows[order, -1], head)
+    return h[head], out
 
-    Each task sends what it met packed by range of phrase hashes, and every
-    range is made distinct on its own.
+
+def _row_hashes(rows: np.ndarray) -> np.ndarray:
+    """Hashes of windows ``(s1, s2[, s3], n)``, as ``phrase_hashes`` has them."""
+    h = _pair_hash(rows[:, 0], rows[:, 1])
+    return h if rows.shape[1] == 3 else _pair_hash(h, rows[:, 2])
+
+
+def _unpacked(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint64).reshape(-1, size + 1)
+
+
+def windows(texts: DataFrame, two: Sieve, three: Sieve, ranges: int) -> DataFrame:
+    """All windows of two and three words that pass the sieves, ``(size, data, part)``: packed rows ``s1, s2[, s3], n`` of one range of phrase hashes.
+
+    One pass over the texts.  Each task sends what it met packed by range;
+    equal windows of a range meet and their numbers are added.  The table is
+    written by range, so that a reader of some ranges opens no others.
     """
-    sent = texts.sparkSession.sparkContext.broadcast((kept, passed))
-    names = [f"s{i + 1}" for i in range(size)]
+    spark = texts.sparkSession
+    sent = spark.sparkContext.broadcast((two, three))
+    starts = np.arange(ranges, dtype=np.uint64) * _U((1 << 64) // ranges)
+
+    def dealt(held: dict) -> Iterator[pa.RecordBatch]:
+        for size, found in held.items():
+            if found:
+                h, rows = _added(*(np.concatenate(x) for x in zip(*found)))
+                cut = np.append(np.searchsorted(h, starts), len(h))
+                used = np.flatnonzero(np.diff(cut))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), size, np.int32)), pa.array([rows[cut[c]:cut[c + 1]].tobytes() for c in used.tolist()], pa.binary()),
+                                                  pa.array(used.astype(np.int32))], ["size", "data", "part"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good, known = sent.value
-        seen = np.zeros(SEEN, np.uint64)
+        pairs, triples = sent.value
+        held, count = {2: [], 3: []}, 0
         for p, _ in _split_all(batches):
-            at, h = phrase_hashes(p, size, known)
-            take = good.passes(h)
-            take &= seen[(h & _U(SEEN - 1)).astype(np.int64)] != h
-            at, h = at[take], h[take]
-            one, _ = _groups(h)                                            # sorted by hash
-            at, h = at[one], h[one]
-            seen[(h & _U(SEEN - 1)).astype(np.int64)] = h
-            rows = np.stack([p.symbol[at + i] for i in range(size)], axis=1)
-            cut = np.searchsorted(h, np.arange(ranges, dtype=np.uint64) * _U((1 << 64) // ranges))
-            ends = np.append(cut[1:], len(h))
-            used = np.flatnonzero(ends > cut)
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([rows[cut[c]:ends[c]].tobytes() for c in used.tolist()], pa.binary())], ["part", "data"])
-
-    def once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for c, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts = held.setdefault(c, [])
-                parts.append(np.frombuffer(data, np.uint64).reshape(-1, size))
-                if len(parts) >= 64:
-                    held[c] = [np.unique(np.concatenate(parts), axis=0)]
-        for parts in held.values():
-            rows = np.unique(np.concatenate(parts), axis=0).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(size)], names)
+            for size, kept, known in ((2, pairs, None), (3, triples, pairs)):
+                at, h = phrase_hashes(p, size, known)
+                take = kept.passes(h)
+                at, h = at[take], h[take]
+                one, n = _groups(h)
+                at = at[one]
+                held[size].append((h[one], np.stack([*(p.symbol[at + i] for i in range(size)), n.astype(np.uint64)], axis=1)))
+                count += len(one)
+            if count >= HELD:
+                yield from dealt(held)
+                held, count = {2: [], 3: []}, 0
+        yield from dealt(held)
 
-    return texts.mapInArrow(run, "part int, data binary").repartition("part").mapInArrow(once, ", ".join(f"{c} bigint" for c in names))
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def merged(key: tuple, found: list) -> Iterator[pa.RecordBatch]:
+            rows = np.concatenate(found)
+            _, rows = _added(_row_hashes(rows), rows)
+            cut = [rows[i:i + SLICE].tobytes() for i in range(0, len(rows), SLICE)]
+            yield pa.RecordBatch.from_arrays([pa.array([key[1]] * len(cut), pa.int32()), pa.array(cut, pa.binary()), pa.array([key[0]] * len(cut), pa.int32())], ["size", "data", "part"])
 
+        key, held = None, []
+        for batch in batches:
+            for size, data, part in zip(*(x.to_pylist() for x in batch.columns)):
+                if held and key != (part, size):
+                    yield from merged(key, held)
+                    held = []
+                key = part, size
+                held.append(_unpacked(data, size))
+        if held:
+            yield from merged(key, held)
+
+    path = f"{checkpoint_dir(spark)}/windows-{uuid.uuid4().hex}"
+    (texts.mapInArrow(run, WINDOWS).repartition("part").sortWithinPartitions("part", "size").mapInArrow(add, WINDOWS)
+     .write.partitionBy("part").parquet(path))
+    sent.unpersist()
+    return spark.read.schema(WINDOWS).parquet(path)
 
-def candidates(texts: DataFrame, words: DataFrame, least: int = LEAST) -> DataFrame:
-    """``(s1, s2, s3)``, ``s3`` null for pairs: a superset of all phrases that occur ``least`` times, made of ``words``."""
-    frequent = words.where(F.col("n") >= least).select("symbol")
+
+def sieved(texts: DataFrame, words: DataFrame, least: int = LEAST) -> DataFrame:
+    """The ``windows`` of the texts that can be frequent, in as many ranges as their number of words asks."""
     total = words.agg(F.sum("n")).first()[0] or 0
     bits = min(max(total.bit_length(), SIEVE_BITS[0]), SIEVE_BITS[1])
     two = sieve(texts, 2, bits, least)
     three = sieve(texts, 3, bits, least, two)
-    pairs = listed(texts, 2, two)
+    return windows(texts, two, three, max(32, 1 << (total // RANGE_WORDS).bit_length()))
+
+
+def candidates(met: DataFrame, words: DataFrame, least: int = LEAST) -> DataFrame:
+    """``(s1, s2, s3, part)``, ``s3`` null for pairs: a superset of all phrases that occur ``least`` times, made of ``words``."""
+    frequent = words.where(F.col("n") >= least).select("symbol")
+
+    def listed(size: int) -> DataFrame:
+        names = [f"s{i + 1}" for i in range(size)]
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for data, part in zip(*(x.to_pylist() for x in batch.columns)):
+                    rows = _unpacked(data, size)
+                    rows = rows[rows[:, -1] >= least].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(rows[:, i])) for i in range(size)), pa.array(np.full(len(rows), part, np.int32))], [*names, "part"])
+
+        return met.where(F.col("size") == size).select("data", "part").mapInArrow(run, ", ".join(f"{c} bigint" for c in names) + ", part int")
+
+    pairs = listed(2)
     for c in ("s1", "s2"):
         pairs = pairs.join(frequent.withColumnRenamed("symbol", c), c, "left_semi")
-    pairs = stored(pairs.select("s1", "s2"))
-    triples = listed(texts, 3, three, two)
-    triples = triples.join(pairs, ["s1", "s2"], "left_semi").join(pairs.select(F.col("s1").alias("s2"), F.col("s2").alias("s3")), ["s2", "s3"], "left_semi")
-    return stored(pairs.withColumn("s3", F.lit(None).cast("bigint")).unionByName(triples.select("s1", "s2", "s3")))
+    pairs = stored(pairs.select("s1", "s2", "part"))
+    triples = (listed(3).join(pairs, ["s1", "s2"], "left_semi")
+               .join(pairs.select(F.col("s1").alias("s2"), F.col("s2").alias("s3")), ["s2", "s3"], "left_semi"))
+    return stored(pairs.select("s1", "s2", F.lit(None).cast("bigint").alias("s3"), "part").unionByName(triples.select("s1", "s2", "s3", "part")))
 
 
 def double_array(sequences: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -380,28 +446,48 @@ class Trie:
     def digits_of(words: int) -> int:
         return max(1, (max(words - 1, 1).bit_length() + 7) // 8)
 
+    def _moved(self, at: np.ndarray, state: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and states after one more word, digit by digit; those without a way are left out."""
+        for shift in range(8 * (Trie.digits_of(len(self.vocabulary)) - 1), -1, -8):
+            to = self.base[state] + ((number >> shift) & 255).astype(np.int32)
+            go = self.check[to] == state
+            at, state, number = at[go], to[go], number[go]
+        return at, state
+
+    def _numbers(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        number = np.minimum(np.searchsorted(self.vocabulary, symbol), len(self.vocabulary) - 1)
+        return number, self.vocabulary[number] == symbol
+
     def count(self, p: Pieces) -> np.ndarray:
         """How often each phrase occurs: the states of all positions move together, one digit at a time."""
         out = np.zeros(len(self.phrases), np.int64)
         if not len(p.symbol) or not len(out):
             return out
-        number = np.minimum(np.searchsorted(self.vocabulary, p.symbol), len(self.vocabulary) - 1)
-        known = self.vocabulary[number] == p.symbol
+        number, known = self._numbers(p.symbol)
         at = np.flatnonzero(known & (p.left >= 2))
         state = np.zeros(len(at), np.int32)
         for word in range(self.phrases.shape[1]):
             if word:
                 go = (p.left[at] > word) & known[np.minimum(at + word, len(known) - 1)]
                 at, state = at[go], state[go]
-            n = number[at + word]
-            for shift in range(8 * (Trie.digits_of(len(self.vocabulary)) - 1), -1, -8):
-                to = self.base[state] + ((n >> shift) & 255).astype(np.int32)
-                go = self.check[to] == state
-                at, state, n = at[go], to[go], n[go]
+            at, state = self._moved(at, state, number[at + word])
             told = self.accept[state]
             out += np.bincount(told[told >= 0], minlength=len(out))
         return out
 
+    def count_windows(self, rows: np.ndarray) -> np.ndarray:
+        """How often each phrase was met in windows ``(s1, s2[, s3], n)``, each one phrase."""
+        out = np.zeros(len(self.phrases), np.int64)
+        if not len(rows) or not len(out):
+            return out
+        at, state = np.arange(len(rows)), np.zeros(len(rows), np.int32)
+        for word in range(rows.shape[1] - 1):
+            number, known = self._numbers(rows[at, word])
+            at, state = self._moved(at[known], state[known], number[known])
+        told = self.accept[state]
+        np.add.at(out, told[told >= 0], rows[at[told >= 0], -1].view(np.int64))
+        return out
+
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
         np.savez(out, **self.__dict__)
@@ -412,9 +498,23 @@ class Trie:
         return Trie(**np.load(io.BytesIO(data)))
 
 
-def tries(phrases: DataFrame, most: int = TRIE) -> DataFrame:
-    """``(trie, data)``: the phrases dealt by hash to tries of about ``most``, each built in a task."""
-    parts = -(-phrases.count() // most)
+def dealt(phrases: DataFrame, most: int = TRIE) -> list[tuple[int, int, int]]:
+    """``(part, trie, split)``: the trie of each range's phrases, about ``most`` to a trie.
+
+    Small ranges share one; a larger range than that takes ``split`` tries, numbered on.
+    """
+    out, trie, room = [], -1, 0
+    for part, n in sorted(tuple(r) for r in phrases.groupBy("part").count().collect()):
+        if n > room:
+            trie, room = trie + 1, most
+        split = -(-n // most)
+        out.append((part, trie, split))
+        trie, room = trie + split - 1, max(room - n, 0)
+    return out
+
+
+def tries(phrases: DataFrame, ranges: list[tuple[int, int, int]]) -> DataFrame:
+    """``(trie, data)``: the phrases dealt to tries as ``ranges`` says, each built in a task."""
 
     def build(table: pa.Table) -> pa.Table:
         rest = table.column("s3")
@@ -422,27 +522,33 @@ def tries(phrases: DataFrame, most: int = TRIE) -> DataFrame:
         symbols = np.stack([table.column(c).fill_null(0).to_numpy().view(np.uint64) for c in ("s1", "s2", "s3")], axis=1)
         return pa.table({"trie": table.column("trie")[:1], "data": pa.array([Trie.of(symbols, size).to_bytes()], pa.binary())})
 
-    return (phrases.withColumn("trie", F.expr(f"cast(pmod(xxhash64(s1, s2, s3), {max(parts, 1)}) as int)"))
-            .groupBy("trie").applyInArrow(build, "trie int, data binary"))
+    table = phrases.sparkSession.createDataFrame(ranges, "part int, trie int, split int")
+    return (phrases.join(table.hint("broadcast"), "part").withColumn("trie", F.expr("trie + cast(pmod(xxhash64(s1, s2, s3), split) as int)"))
+            .select("trie", "s1", "s2", "s3").groupBy("trie").applyInArrow(build, "trie int, data binary"))
 
 
-def occurrences(texts: DataFrame, phrases: DataFrame, least: int = LEAST, trie: int = TRIE, together: int = ROUND) -> DataFrame:
-    """``(s1, s2, s3, a)`` of the phrases that occur ``least`` times or more; one pass over the texts for ``together`` tries."""
-    spark = texts.sparkSession
-    built = stored(tries(phrases, trie))
-    numbers = sorted(r["trie"] for r in built.select("trie").collect())
+def occurrences(met: DataFrame, phrases: DataFrame, least: int = LEAST, trie: int = TRIE, together: int = ROUND) -> DataFrame:
+    """``(s1, s2, s3, a)`` of the phrases that occur ``least`` times or more; ``together`` tries read the windows of their ranges."""
+    spark = met.sparkSession
+    ranges = dealt(phrases, trie)
+    built = stored(tries(phrases, ranges))
     schema = "s1 bigint, s2 bigint, s3 bigint, a bigint"
     out = spark.createDataFrame([], schema)
-    for lo in range(0, len(numbers), together):
-        chosen = built.where(F.col("trie").isin(numbers[lo:lo + together])).toArrow()
-        sent = spark.sparkContext.broadcast(list(zip(chosen.column("trie").to_pylist(), chosen.column("data").to_pylist())))
+    for lo in range(0, max((first + split for _, first, split in ranges), default=0), together):
+        hi = lo + together
+        chosen = built.where((F.col("trie") >= lo) & (F.col("trie") < hi)).toArrow()
+        own = {part: range(max(first, lo), min(first + split, hi)) for part, first, split in ranges if first < hi and first + split > lo}
+        sent = spark.sparkContext.broadcast((list(zip(chosen.column("trie").to_pylist(), chosen.column("data").to_pylist())), own))
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = {i: Trie.from_bytes(x) for i, x in sent.value}
+            held = {i: Trie.from_bytes(x) for i, x in sent.value[0]}
             totals = {i: np.zeros(len(t.phrases), np.int64) for i, t in held.items()}
-            for p, _ in _split_all(batches):
-                for i, t in held.items():
-                    totals[i] += t.count(p)
+            for batch in batches:
+                for size, data, part in zip(*(x.to_pylist() for x in batch.columns)):
+                    rows = _unpacked(data, size)
+                    for i in sent.value[1].get(part, ()):
+                        if i in held:
+                            totals[i] += held[i].count_windows(rows)
             for i, total in totals.items():
                 parts = [total[at:at + CHUNK] for at in range(0, len(total), CHUNK)]
                 used = [c for c, x in enumerate(parts) if x.any()]
@@ -455,7 +561,7 @@ def occurrences(texts: DataFrame, phrases: DataFrame, least: int = LEAST, trie:
             for batch in batches:
                 for i, c, data in zip(*(x.to_pylist() for x in batch.columns)):
                     _add(held.setdefault((i, c), np.zeros(CHUNK, np.int64)), data)
-            known = {i: x for i, x in sent.value if any(k[0] == i for k in held)}
+            known = {i: x for i, x in sent.value[0] if any(k[0] == i for k in held)}
             for i, data in known.items():
                 t = Trie.from_bytes(data)
                 for (k, c), total in held.items():
@@ -466,7 +572,8 @@ def occurrences(texts: DataFrame, phrases: DataFrame, least: int = LEAST, trie:
                         yield pa.RecordBatch.from_arrays([pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array(s[:, 2], mask=ids[:, 2] < 0), pa.array(total[hit])],
                                                          ["s1", "s2", "s3", "a"])
 
-        counted = texts.mapInArrow(run, "trie int, chunk int, data binary").repartition("trie", "chunk").mapInArrow(add, schema)
+        counted = (met.where(F.col("part").between(min(own), max(own))).select("size", "data", "part")
+                   .mapInArrow(run, "trie int, chunk int, data binary").repartition("trie", "chunk").mapInArrow(add, schema))
         out = out.union(stored(counted))
         sent.unpersist()
     return out
@@ -485,7 +592,8 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: i
     """
     texts = small_batches(df).select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.coalesce(F.col(f"`{lang}`"), F.lit("und")).alias("lang"))
     words = stored(word_counts(texts))
-    found = stored(occurrences(texts, candidates(texts, words, least), least))
+    met = sieved(texts, words, least)
+    found = stored(occurrences(met, candidates(met, words, least), least))
     frequent = words.where(F.col("n") >= least)
     one = lambda s, f: frequent.select(F.col("symbol").alias(s), F.col("n").alias(f))
     pairs = found.where("s3 is null").drop("s3")

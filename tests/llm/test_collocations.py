@@ -96,3 +96,36 @@ def test_oracle(spark, sf):
     df = col.collocations(spark.read.parquet(f"{sf}/documents.parquet"))
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({col.oracle_sql()})").fetchall()
     assert rows(df) == sorted(want, key=str) and len(want) > 50
+
+
+def test_texts_are_read_as_often_for_any_number_of_tries(spark, monkeypatch):
+    """Four tries took one more pass over all texts, so the passes grew with the candidates."""
+    df = spark.createDataFrame(corpus(150), COLS)
+    frame, passes, tried = type(df), [], []
+    run, deal = frame.mapInArrow, col.dealt
+
+    def spy(self, f, schema, *a, **b):
+        passes.extend([1] * (self.columns == ["text", "lang"]))
+        return run(self, f, schema, *a, **b)
+
+    monkeypatch.setattr(frame, "mapInArrow", spy)
+    monkeypatch.setattr(col, "dealt", lambda *a: tried.append(deal(*a)) or tried[-1])
+    monkeypatch.setattr(col, "SIEVE_BITS", (4, 4))
+    monkeypatch.setattr(col.occurrences, "__defaults__", (10, 25, 4))
+    got = rows(col.collocations(df, most=50))
+    assert max(trie + split for _, trie, split in tried[0]) > 4 and len(passes) == 4
+    assert got == sorted(brute(corpus(150), 10, 50), key=str)
+
+
+def test_ranges_of_phrases_to_tries(spark):
+    """Small ranges share a trie, one that is larger than a trie takes several."""
+    sizes = {0: 3, 1: 4, 2: 4, 5: 25, 7: 1}
+    table = spark.createDataFrame([(p, p * 100 + i, i, None if i % 2 else 7) for p, n in sizes.items() for i in range(n)], "part int, s1 bigint, s2 bigint, s3 bigint")
+    found = col.dealt(table, 10)
+    assert found == [(0, 0, 1), (1, 0, 1), (2, 1, 1), (5, 2, 3), (7, 5, 1)]
+    built = {r["trie"]: col.Trie.from_bytes(r["data"]) for r in col.tries(table, found).collect()}
+    phrases = {i: {tuple(t.vocabulary[p[p >= 0]].tolist()) for p in t.phrases} for i, t in built.items()}
+    assert len(phrases[0]) == 7 and len(phrases[1]) == 4 and len(set().union(*phrases.values())) == sum(map(len, phrases.values())) == 37
+    seen = np.array([[500, 0, 3], [501, 1, 9], [999, 1, 5]], np.uint64)
+    assert sum(t.count_windows(seen).sum() for i, t in built.items() if 2 <= i < 5) == 9          # (500, 0) is no phrase of two words
+    assert not col._added(np.zeros(0, np.uint64), np.zeros((0, 3), np.uint64))[1].size
