@@ -156,3 +156,44 @@ def test_mauve_multiplies_blocks(spark, monkeypatch):
     assert used == ["block"] * 5
     solver = "row"
     assert abs(D.mauve(df).first()["mauve"] - got["mauve"]) < 1e-9 and got["k"] == 6
+
+
+def test_many_centres_are_those_of_spark(spark, monkeypatch):
+    """Spark chose the centres of a start on the driver, among four times as many candidates."""
+    import numpy as np
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    from synthweave.operators import distance as D
+    from synthweave.operators import kmeans as K
+    x = np.random.default_rng(3).normal(size=(900, 7))
+    x[300:340] = x[0]                                         # copies are one candidate
+    df = spark.createDataFrame([(i % 2, r.tolist()) for i, r in enumerate(x)], "side int, pc array<double>").repartition(5).cache()
+    fit = K.Fit(df, 60, [25, 26], 100, 7)
+    for seed, centres, cost, iterations in zip((25, 26), fit.centres, fit.cost, fit.iterations):
+        want = KMeans(k=60, seed=seed, maxIter=100, featuresCol="v", solver="block", maxBlockSizeInMB=0.1).fit(df.select(array_to_vector("pc").alias("v")))
+        assert np.allclose(np.array(want.clusterCenters()), centres, atol=1e-9)
+        assert math.isclose(want.summary.trainingCost, cost, rel_tol=1e-9) and want.summary.numIter == iterations
+    assert fit.best == int(fit.cost[1] < fit.cost[0]) and sum(n for _, _, n in fit.histogram()) == 900
+
+    both = df.withColumnRenamed("pc", "embedding")
+    want, fits = D.mauve(both, starts=2).first(), []
+    monkeypatch.setattr(D, "FEW_CENTRES", 44)
+    monkeypatch.setattr(KMeans, "fit", lambda *a: fits.append(a))
+    assert D.mauve(both, starts=2).first() == want and want["k"] == 45 and not fits
+
+
+def test_nearest_centre_of_close_ones(spark):
+    """Products in single precision do not decide between centres that they cannot tell apart."""
+    import numpy as np
+
+    from synthweave.operators import kmeans as K
+    rng = np.random.default_rng(4)
+    c = rng.normal(size=(50, 8))
+    c = np.concatenate([c, c + 1e-9 * rng.normal(size=c.shape), c[:3]])
+    x = c[rng.integers(0, len(c), 400)] + 1e-9 * rng.normal(size=(400, 8))
+    exact = ((x[:, None] - c) ** 2).sum(axis=2)
+    label, far = K.nearest(x, K.Centres(c))
+    assert np.allclose(far, exact.min(axis=1), atol=1e-15) and (label < 100).all()
+    lone = K.nearest(x, K.Centres(c[:50]))[0]
+    assert (lone == exact[:, :50].argmin(axis=1)).all()
