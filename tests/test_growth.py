@@ -197,3 +197,29 @@ def test_nearest_centre_of_close_ones(spark):
     assert np.allclose(far, exact.min(axis=1), atol=1e-15) and (label < 100).all()
     lone = K.nearest(x, K.Centres(c[:50]))[0]
     assert (lone == exact[:, :50].argmin(axis=1)).all()
+
+
+def test_corpus_bleu_of_one_reference_counts_in_arrow(spark):
+    """A hypothesis with one reference took array functions over every occurrence of every n-gram."""
+    from synthweave.operators import bleu as B
+    rng = random.Random(6)
+    text = lambda n: [rng.choice("abcd") for _ in range(rng.randint(0, n))]
+    hyps = [(i, text(30)) for i in range(60)] + [(0, text(9)), (61, None), (62, [])]
+    refs = [(i, 0, text(30)) for i in range(63)] + [(i, 1, text(30)) for i in range(0, 60, 4)]
+    df = spark.createDataFrame(hyps, "k bigint, tokens array<string>"), spark.createDataFrame(refs, "k bigint, ref_id int, tokens array<string>")
+    alone = df[1].where("ref_id = 0")
+    assert "MapInArrow" in B.corpus_bleu(df[0], alone, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    grams = lambda t, o: Counter(tuple(t[i:i + o]) for i in range(len(t) - o + 1))
+    for several, r in ((True, df[1]), (False, alone)):
+        got = B.corpus_bleu(df[0], r, ["k"]).first()
+        for o in range(1, 5):
+            m = p = 0
+            met = {}
+            for i, h in hyps:
+                of = [t for j, k, t in refs if j == i and (several or k == 0)]
+                own = grams(h or [], o)
+                p += sum(own.values())
+                hit = own & (grams(of[0], o) | (grams(of[1], o) if len(of) > 1 else Counter()))
+                met[i, len(of) > 1] = met.get((i, len(of) > 1), Counter()) | hit if len(of) > 1 else met.get((i, False), Counter()) + hit
+            m = sum(sum(c.values()) for c in met.values())
+            assert math.isclose(got[f"p{o}"], (m + 1) / (p + 1)), (several, o)
